@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandloom.llm.bpe import bpe_decode, bpe_encode
 from strandloom.llm.quality import order_rules, quality_cascade
+from strandloom.llm.simhash import simhash_components
+from strandloom.llm.token_files import read_token_files, token_folder, write_token_files
+
+#: Vocabulary file of the two token queries; the library's operators take any path.
+VOCABULARY = "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +32,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@_register("op3_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe_encode(_table(spark, sf_dir, "documents"), _vocabulary())
+    return bpe_decode(encoded, _vocabulary()).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUALITY_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
@@ -67,3 +90,16 @@ FROM s
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_cascade(docs, order_rules(docs)).drop("failed_rule")
+
+
+@_register("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_register("op10_token_files")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    folder = token_folder(docs)
+    return read_token_files(write_token_files(docs, folder, _vocabulary()), folder)
