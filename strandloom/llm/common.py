@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python path, once an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = pathlib.Path(__file__).resolve().parent.parent
+    path = pathlib.Path(tempfile.mkdtemp(prefix="spark-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
     sc = spark.sparkContext
@@ -67,6 +86,7 @@ def map_columns(
     ``fn`` gets the columns ``inputs`` of a batch as Arrow arrays and returns one array per field;
     the columns ``keep`` pass through. Only the columns named are read.
     """
+    ship_package(df.sparkSession)
     columns = list(dict.fromkeys([*keep, *inputs]))
     source = df.select(*[F.col(f"`{c}`") for c in columns])
     schema = T.StructType([source.schema[c] for c in keep] + fields)

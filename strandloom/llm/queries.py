@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.llm.bpe import bpe_decode, bpe_encode
+from strandloom.llm.common import fold_of
+from strandloom.llm.langid import identify, language_dictionaries
 from strandloom.llm.quality import order_rules, quality_cascade
 from strandloom.llm.simhash import simhash_components
 from strandloom.llm.token_files import read_token_files, token_folder, write_token_files
+from strandloom.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Vocabulary file of the two token queries; the library's operators take any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -103,3 +106,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     folder = token_folder(docs)
     return read_token_files(write_token_files(docs, folder, _vocabulary()), folder)
+
+
+@_register("op9_langid")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dictionaries = language_dictionaries(docs, fold_of(F.col("doc_id")) != 0)
+    return identify(docs, dictionaries).select(
+        "doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "accepted"
+    )
+
+
+@_register("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id")) != 0).select("doc_id", "toxic")
+    model = fit_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return score_toxicity(docs, model).select(
+        "doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

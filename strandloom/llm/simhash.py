@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from strandloom.llm.common import map_columns, materialise, texts_of
+from strandloom.llm.common import map_columns, materialise, ship_package, texts_of
 from strandloom.llm.graph import connected_components, local_forest
 
 #: Fingerprints a tile; a group holds two tiles at most.
@@ -107,6 +107,7 @@ def _near_in_group(radius: int):
 
 def near_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Spanning links (src, dst) between distinct fingerprints within ``radius`` bits."""
+    ship_package(distinct.sparkSession)
     tiles = _tiles(distinct, radius)
     return tiles.groupBy("a", "b").applyInArrow(_near_in_group(radius), "src long, dst long")
 

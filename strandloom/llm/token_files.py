@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from strandloom.llm.bpe import Encoder, byte_symbols
-from strandloom.llm.common import materialise, texts_of, work_path
+from strandloom.llm.common import materialise, ship_package, texts_of, work_path
 
 
 class LibraryEncoder(Encoder):
@@ -74,6 +74,7 @@ def write_token_files(
     if width not in (2, 4):
         raise ValueError("width must be 2 or 4 bytes")
     spark = docs.sparkSession
+    ship_package(spark)
     n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     tie = F.xxhash64("text")
     ordered = (
