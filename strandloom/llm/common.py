@@ -74,6 +74,18 @@ def fold_of(key: Column, k: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(k))
 
 
+#: Arrow bytes that a Python function gets at once; a single longer row comes alone.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The non-empty batches, cut so that working memory does not follow the batch size."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_columns(
     df: DataFrame,
     fn: Callable[..., Sequence[pa.Array]],
@@ -94,10 +106,9 @@ def map_columns(
     inputs, keep = list(inputs), list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = fn(*[batch.column(c) for c in inputs])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=names)
+        for batch in slices(batches):
+            made = fn(*[batch.column(c) for c in inputs])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=names)
 
     return source.mapInArrow(run, schema)
 

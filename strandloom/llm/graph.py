@@ -8,24 +8,29 @@ from pyspark.sql import DataFrame, functions as F
 from strandloom.llm.common import discard, materialise
 
 
-def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of (node, smallest node of its part) for the links a[i]-b[i]; at most one per node."""
-    if not len(a):
-        return a, b
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
+class Forest:
+    """Components of a task's links between the positions 0..n-1; links may come in blocks."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        label = self.label
+        while len(i):
+            a, b = label[i], label[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            low = np.minimum(a, b)
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            while not np.array_equal(shorter := label[label], label):
+                label = shorter
+        self.label = label
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(position, smallest position of its component) where the two differ."""
+        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return moved, self.label[moved]
 
 
 def connected_components(links: DataFrame) -> DataFrame:

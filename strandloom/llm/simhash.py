@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from strandloom.llm.common import map_columns, materialise, ship_package, texts_of
-from strandloom.llm.graph import connected_components, local_forest
+from strandloom.llm.graph import Forest, connected_components
 
 #: Fingerprints a tile; a group holds two tiles at most.
 TILE = 8192
@@ -89,18 +89,16 @@ def _near_in_group(radius: int):
         fp = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
         same = bool(first.all())  # a tile with itself: its rows come once, as first
-        left, right = fp[first], fp if same else fp[~first]
-        src, dst = [], []
-        for s in range(0, len(left), 512):
-            block = left[s : s + 512]
-            to = right[s:] if same else right
-            i, j = np.nonzero(np.bitwise_count(block[:, None] ^ to[None, :]) <= radius)
-            src.append(block[i])
-            dst.append(to[j])
-        a = np.concatenate(src) if src else np.zeros(0, np.uint64)
-        b = np.concatenate(dst) if dst else np.zeros(0, np.uint64)
-        a, b = local_forest(a.view(np.int64), b.view(np.int64))
-        return pa.table({"src": pa.array(a, pa.int64()), "dst": pa.array(b, pa.int64())})
+        ours = np.flatnonzero(first)
+        theirs = ours if same else np.flatnonzero(~first)
+        forest = Forest(len(fp))
+        for s in range(0, len(ours), 512):
+            left, right = ours[s : s + 512], theirs[s:] if same else theirs
+            i, j = np.nonzero(np.bitwise_count(fp[left][:, None] ^ fp[right][None, :]) <= radius)
+            forest.link(left[i], right[j])
+        a, b = forest.links()
+        ids = fp.view(np.int64)
+        return pa.table({"src": pa.array(ids[a], pa.int64()), "dst": pa.array(ids[b], pa.int64())})
 
     return run
 

@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from strandloom.llm.bpe import Encoder, byte_symbols
-from strandloom.llm.common import materialise, ship_package, texts_of, work_path
+from strandloom.llm.common import materialise, ship_package, slices, texts_of, work_path
 
 
 class LibraryEncoder(Encoder):
@@ -92,9 +92,7 @@ def write_token_files(
         name = f"part-{ctx.partitionId():06d}-{ctx.attemptNumber()}-{uuid.uuid4().hex[:8]}"
         lengths, keys, nulls, sink = [], [], [], None
         enc = library_encoder(vocab_path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             if sink is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{root}/{name}.bin")
