@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.llm.bpe import bpe_decode, bpe_encode
 from strandloom.llm.common import fold_of
+from strandloom.llm.embeddings import embedding_components
 from strandloom.llm.langid import identify, language_dictionaries
+from strandloom.llm.packing import pack
 from strandloom.llm.quality import order_rules, quality_cascade
 from strandloom.llm.simhash import simhash_components
 from strandloom.llm.token_files import read_token_files, token_folder, write_token_files
 from strandloom.llm.toxicity import fit_toxicity, score_toxicity
+from strandloom.llm.url_filter import filter_captures, host_of, path_of
 
 #: Vocabulary file of the two token queries; the library's operators take any path.
 VOCABULARY = "word_bpe_49k.json"
@@ -125,3 +128,90 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select(
         "doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@_register("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+parts AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN parts ON parts.x = v.vec_id LEFT JOIN degree ON degree.x = v.vec_id
+"""
+
+
+@_register("op2_embedding_dedup", EMBEDDINGS_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
+# The tables hold neither fetch dates nor a list, so both are derived from the captures themselves: the date from
+# page_id, the entries from the hosts and first path segments by md5.
+URL_SQL = r"""
+WITH c AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path
+  FROM pages),
+names AS (
+  SELECT host AS key FROM c WHERE host <> ''
+  UNION SELECT host || '/' || split_part(path, '/', 2) FROM c WHERE host <> '' AND split_part(path, '/', 2) <> ''),
+hashed AS (
+  SELECT key, CAST('0x' || substr(md5(key || '#' || n), 1, 6) AS BIGINT) AS h FROM names, (VALUES (0), (1), (2), (3)) t(n)),
+entries AS (
+  SELECT key, CAST(DATE '2023-12-01' + CAST(h % 400 AS INTEGER) AS DATE) AS since, CASE WHEN h % 3 = 0 THEN 'allow' ELSE 'block' END AS action
+  FROM hashed WHERE h % 5 < 2),
+dated AS (SELECT key, since, max(action) AS action FROM entries GROUP BY key, since),
+spans AS (SELECT key, since, action, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM dated),
+asked AS (
+  SELECT DISTINCT page_id, url, fetched, key FROM (
+    SELECT page_id, url, fetched, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) AS key
+    FROM c WHERE host <> ''
+    UNION ALL
+    SELECT page_id, url, fetched, unnest(list_transform(range(2, len(string_split(path, '/')) + 1), lambda i: host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/')))
+    FROM c WHERE host <> '')),
+best AS (
+  SELECT page_id, url, fetched, max({'n': length(key), 'key': key, 'since': since}) AS b
+  FROM asked JOIN spans USING (key)
+  WHERE action = 'block' AND since <= fetched AND (until IS NULL OR fetched < until) GROUP BY ALL)
+SELECT c.page_id, c.url, CAST(c.fetched AS VARCHAR) AS fetched, b IS NOT NULL AS blocked, b.key AS rule, CAST(b.since AS VARCHAR) AS listed_since
+FROM c LEFT JOIN best USING (page_id, url, fetched)
+"""
+
+
+@_register("op4_url_filter", URL_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")))
+    host, part = host_of(F.col("url")), F.split_part(path_of(F.col("url")), F.lit("/"), F.lit(2))
+    names = (
+        pages.where(host != "")
+        .select(F.explode(F.array(host, F.when(part != "", F.concat_ws("/", host, part)))).alias("key"))
+        .where("key IS NOT NULL").distinct()
+    )
+    h = F.conv(F.substring(F.md5(F.concat_ws("#", "key", "n")), 1, 6), 16, 10).cast("long")
+    entries = (
+        names.withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(4)]))).withColumn("h", h).where("h % 5 < 2")
+        .select(
+            "key", F.date_add(F.lit("2023-12-01").cast("date"), F.pmod("h", F.lit(400)).cast("int")).alias("since"),
+            F.when(F.col("h") % 3 == 0, "allow").otherwise("block").alias("action"),
+        )
+    )
+    # Dates as text, so that the two engines' results compare by value.
+    found = filter_captures(captures, entries)
+    return found.withColumn("fetched", F.col("fetched").cast("string")).withColumn("listed_since", F.col("listed_since").cast("string"))
