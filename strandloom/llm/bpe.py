@@ -21,6 +21,7 @@ import functools
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -37,8 +38,8 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = re.compile(f"[{SPACE}]+")
 
-#: Chunks whose results a worker keeps between batches.
-MEMO_CHUNKS = 200_000
+#: Chunks, and pre-tokens, whose ids a worker keeps in each of two generations.
+MEMO_ENTRIES = 150_000
 
 
 class PreTokenizer:
@@ -196,32 +197,57 @@ class PairIndexBPE:
                     break
 
 
+class Memo:
+    """Bounded memo in two generations: what a full generation did not use again goes with the next."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys without a value; all others are young afterwards."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in set(keys):
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 class Encoder:
-    """Texts -> ids, with a bounded memo of chunks that lives as long as the worker."""
+    """Texts -> ids as packed little-endian 4-byte integers; its bounded memos live as long as the worker."""
 
     def __init__(self, path: str):
         self.pre = PreTokenizer(path)
         self.bpe = PairIndexBPE(self.pre.spec)
-        self.memo: dict[str, list[int]] = {}
+        self.chunks, self.pieces = Memo(MEMO_ENTRIES), Memo(MEMO_ENTRIES)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         return self.bpe.encode(words)
 
-    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo = {}
-        memo = self.memo
+    def packed(self, texts: Iterable[str]) -> list[bytes]:
+        """Each text's ids, packed."""
         split = [self.pre.chunks(t) for t in texts]
-        fresh = list({c for chunks in split for c in chunks if c not in memo})
-        pieces = [self.pre.words(c) for c in fresh]
-        distinct = list({w for ws in pieces for w in ws if not isinstance(w, int)})
-        ids_of = dict(zip(distinct, self.encode_words(distinct)))
-        for chunk, ws in zip(fresh, pieces):
+        fresh = self.chunks.missing(c for chunks in split for c in chunks)
+        words = [self.pre.words(c) for c in fresh]
+        new = self.pieces.missing(w for ws in words for w in ws if not isinstance(w, int))
+        ids_of = self.pieces.young
+        for w, ids in zip(new, self.encode_words(new)):
+            ids_of[w] = struct.pack(f"<{len(ids)}i", *ids)
+        memo = self.chunks.young
+        for chunk, ws in zip(fresh, words):
             if len(ws) == 1 and not isinstance(ws[0], int):
                 memo[chunk] = ids_of[ws[0]]
             else:
-                memo[chunk] = [i for w in ws for i in ((w,) if isinstance(w, int) else ids_of[w])]
-        return [[i for c in chunks for i in memo[c]] for chunks in split]
+                memo[chunk] = b"".join([struct.pack("<i", w) if isinstance(w, int) else ids_of[w] for w in ws])
+        return [b"".join([memo[c] for c in chunks]) for chunks in split]
+
+    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
+        """Each text's ids, as lists."""
+        return [np.frombuffer(p, dtype="<i4").tolist() for p in self.packed(texts)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -241,19 +267,18 @@ def token_table(path: str) -> np.ndarray:
     return table
 
 
-def list_array(rows: list[list[int]], kind: pa.DataType) -> pa.Array:
-    """Arrow list column of integer rows."""
+def list_array(rows: list[bytes]) -> pa.Array:
+    """Arrow list column of packed rows."""
     offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter((i for r in rows for i in r), dtype=kind.to_pandas_dtype(), count=int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
 
 
 def bpe_encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """Append the ids of every whole text."""
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        return [list_array(encoder(vocab_path).encode_batch(texts_of(texts)), pa.int32())]
+        return [list_array(encoder(vocab_path).packed(texts_of(texts)))]
 
     return map_columns(docs, run, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], [text_col], list(keep))
 

@@ -91,7 +91,7 @@ def write_token_files(
         fs, root = _open(folder)
         name = f"part-{ctx.partitionId():06d}-{ctx.attemptNumber()}-{uuid.uuid4().hex[:8]}"
         lengths, keys, nulls, sink = [], [], [], None
-        enc = library_encoder(vocab_path)
+        enc, end = library_encoder(vocab_path), int(end_id).to_bytes(4, "little")
         for batch in slices(batches):
             if sink is None:
                 fs.create_dir(root, recursive=True)
@@ -99,12 +99,12 @@ def write_token_files(
             column = batch.column("key")
             keys.append(column.fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(column.is_null().to_numpy(zero_copy_only=False))
-            for ids in enc.encode_batch(texts_of(batch.column("text"))):
-                ids = np.array([*ids, end_id], dtype=np.int64)
-                if ids.max() >= 1 << 8 * width:
-                    raise ValueError(f"id {ids.max()} does not fit into {width} bytes")
-                lengths.append(len(ids))
-                sink.write(ids.astype(kind).tobytes())
+            rows = [p + end for p in enc.packed(texts_of(batch.column("text")))]
+            lengths += [len(p) // 4 for p in rows]
+            ids = np.frombuffer(b"".join(rows), dtype="<u4")
+            if ids.max() >= 1 << 8 * width:
+                raise ValueError(f"id {ids.max()} does not fit into {width} bytes")
+            sink.write(ids.astype(kind, copy=False).tobytes())
         if sink is None:
             return
         sink.close()
