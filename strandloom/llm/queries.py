@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.llm.bpe import bpe_decode, bpe_encode
 from strandloom.llm.common import fold_of
+from strandloom.llm.ctw import score_documents
 from strandloom.llm.embeddings import embedding_components
 from strandloom.llm.langid import identify, language_dictionaries
 from strandloom.llm.packing import pack
@@ -216,3 +217,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Dates as text, so that the two engines' results compare by value.
     found = filter_captures(captures, entries)
     return found.withColumn("fetched", F.col("fetched").cast("string")).withColumn("listed_since", F.col("listed_since").cast("string"))
+
+
+@_register("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = score_documents(docs, docs.where(fold_of(F.col("doc_id")) != 1))
+    return found.select(
+        "doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
