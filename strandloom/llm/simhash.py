@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from strandloom.llm.common import map_columns, materialise, ship_package, texts_of
+from strandloom.llm.common import fresh, map_columns, materialise, ship_package, texts_of
 from strandloom.llm.graph import Forest, connected_components
 
 #: Fingerprints a tile; a group holds two tiles at most.
@@ -130,13 +130,14 @@ def keep_one(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col:
     Of repeated rows of one id one stays; rows without an id stay where no row of their component has one,
     exact copies among them once.
     """
+    key, row = fresh(docs, "kept"), fresh(docs, "row")
     kept = (
         simhash_components(docs, radius, id_col, text_col)
         .where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
-        .select(F.col(f"`{id_col}`").alias("__kept"), F.col("fp").alias("__fp"))
+        .select(F.col(f"`{id_col}`").alias(key))
         .distinct()
     )
-    held = docs.join(kept.select("__kept").distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi")
+    held = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_semi")
     text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     one = Window.partitionBy(F.col(f"`{id_col}`"), F.when(F.col(f"`{id_col}`").isNull(), text_hash)).orderBy(text_hash)
-    return held.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
+    return held.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row)
