@@ -151,8 +151,10 @@ def _featured(docs: DataFrame, lexicon: dict[str, float], text_col: str, keep: l
     ids = {s: i for i, s in enumerate(entries, 1)}
     weights = np.array([0.0, *[lexicon[s] for s in entries]])
 
+    task: dict[str, Words] = {}  # filled in the worker, so that a task's slices share one memo
+
     def run(texts: pa.Array) -> list[pa.Array]:
-        words = Words(ids)
+        words = task.setdefault("words", Words(ids))
         rows = [features(t, words, weights) for t in texts_of(texts)]
         return [pa.array(rows, pa.list_(pa.float64()))]
 
