@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
 import struct
@@ -38,6 +39,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACES = re.compile(f"[{SPACE}]+")
 
+#: First byte of a special token's stand-in; UTF-8 has no such byte.
+SPECIAL = b"\xff"
+
 #: Chunks, and pre-tokens, whose ids a worker keeps in each of two generations.
 MEMO_ENTRIES = 150_000
 
@@ -61,15 +65,17 @@ class PreTokenizer:
             return [c for c in SPACES.split(text) if c]
         return text.split()
 
-    def words(self, chunk: str) -> list[bytes | int]:
-        """UTF-8 pre-tokens of one chunk; a special token stands as its id."""
+    def words(self, chunk: str) -> list[bytes]:
+        """UTF-8 pre-tokens of one chunk; a special token stands as SPECIAL and its id."""
+        if chunk.isalpha() and max(chunk) < "\u0100":
+            return [chunk.lower().encode()]
         if "<" not in chunk or not self.special_re.search(chunk):
             return self._plain(chunk)
-        out: list[bytes | int] = []
+        out: list[bytes] = []
         at = 0
         for m in self.special_re.finditer(chunk):
             out += self._plain(chunk[at : m.start()])
-            out.append(self.special[m.group()])
+            out.append(SPECIAL + b"%d" % self.special[m.group()])
             at = m.end()
         return out + self._plain(chunk[at:])
 
@@ -77,7 +83,10 @@ class PreTokenizer:
         if not chunk:
             return []
         if chunk.isascii() or max(chunk) < "\u0100":  # one form under NFC, stable in every Unicode version
-            return [w.encode() for w in self.pieces.findall(chunk.lower())]
+            lower = chunk.lower()
+            if lower[-1] in ".,;:!?" and lower[:-1].isalpha():
+                return [lower[:-1].encode(), lower[-1].encode()]
+            return [w.encode() for w in self.pieces.findall(lower)]
         t = self.tokenizer
         found = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))
         return [bytes(map(self.to_bytes.__getitem__, w)) for w, _ in found]
@@ -203,18 +212,18 @@ class Memo:
     def __init__(self, limit: int):
         self.limit, self.young, self.old = limit, {}, {}
 
-    def missing(self, keys: Iterable) -> list:
-        """The keys without a value; all others are young afterwards."""
+    def turn(self) -> None:
+        """Start a new generation if the young one is full."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        young, old, out = self.young, self.old, []
-        for k in set(keys):
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
-        return out
+
+    def missing(self, keys: set) -> list:
+        """The keys without a value; all others are young afterwards."""
+        keys.difference_update(self.young)
+        found = keys & self.old.keys() if self.old else ()
+        for k in found:
+            self.young[k] = self.old[k]
+        return list(keys.difference(found))
 
 
 class Encoder:
@@ -223,6 +232,7 @@ class Encoder:
     def __init__(self, path: str):
         self.pre = PreTokenizer(path)
         self.bpe = PairIndexBPE(self.pre.spec)
+        self.special = {SPECIAL + b"%d" % i: struct.pack("<i", i) for i in self.pre.special.values()}
         self.chunks, self.pieces = Memo(MEMO_ENTRIES), Memo(MEMO_ENTRIES)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
@@ -230,20 +240,21 @@ class Encoder:
 
     def packed(self, texts: Iterable[str]) -> list[bytes]:
         """Each text's ids, packed."""
-        split = [self.pre.chunks(t) for t in texts]
-        fresh = self.chunks.missing(c for chunks in split for c in chunks)
-        words = [self.pre.words(c) for c in fresh]
-        new = self.pieces.missing(w for ws in words for w in ws if not isinstance(w, int))
+        split = list(map(self.pre.chunks, texts))
+        self.chunks.turn()
+        self.pieces.turn()
         ids_of = self.pieces.young
+        ids_of.update(self.special)
+        fresh = self.chunks.missing(set().union(*split))
+        words = list(map(self.pre.words, fresh))
+        new = self.pieces.missing(set(itertools.chain.from_iterable(words)))
         for w, ids in zip(new, self.encode_words(new)):
             ids_of[w] = struct.pack(f"<{len(ids)}i", *ids)
         memo = self.chunks.young
         for chunk, ws in zip(fresh, words):
-            if len(ws) == 1 and not isinstance(ws[0], int):
-                memo[chunk] = ids_of[ws[0]]
-            else:
-                memo[chunk] = b"".join([struct.pack("<i", w) if isinstance(w, int) else ids_of[w] for w in ws])
-        return [b"".join([memo[c] for c in chunks]) for chunks in split]
+            memo[chunk] = ids_of[ws[0]] if len(ws) == 1 else b"".join([ids_of[w] for w in ws])
+        get = memo.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in split]
 
     def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
         """Each text's ids, as lists."""

@@ -39,11 +39,11 @@ class LibraryEncoder(Encoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.alphabet = byte_symbols()
+        self.alphabet = {b: symbol for b, symbol in byte_symbols().items() if chr(b) != symbol}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         model, alphabet = self.pre.tokenizer.model, self.alphabet
-        return [[t.id for t in model.tokenize("".join([alphabet[b] for b in w]))] for w in words]
+        return [[t.id for t in model.tokenize(w.decode("latin-1").translate(alphabet))] for w in words]
 
 
 @functools.lru_cache(maxsize=2)
