@@ -81,21 +81,27 @@ def nearest_on_line(points: DataFrame, targets: DataFrame, key: str, position: s
     )
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, text: str, length: int, within: int) -> DataFrame:
-    """(left key, right key, mismatches) of equally long texts within ``within`` mismatches (JN-15).
+def hamming_texts(left: DataFrame, right: DataFrame, text: str, length: int, within: int) -> DataFrame:
+    """(l, r, mismatches) of the distinct texts of two tables, ``length`` letters each, within ``within`` mismatches (JN-15).
 
     Pigeonhole blocking: cut into within + 1 pieces, two such texts share a piece at its place, so an equi-join on
-    (place, piece) finds every pair; pairs that share several are combined.
+    (place, piece) finds every pair. A pair is kept at the first piece it shares, so none comes twice and no
+    distinct is needed; copies of a text are joined back by its text.
     """
     cuts = [round(i * length / (within + 1)) for i in range(within + 2)]
-
-    def pieces(df: DataFrame, key: str, name: str) -> DataFrame:
-        parts = F.array(*[F.struct(F.lit(i).alias("place"), F.substring("s", a + 1, b - a).alias("piece")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
-        return df.select(F.col(key).alias(name), F.col(text).alias("s")).withColumn("x", F.explode(parts)).select(name, F.col("s").alias(f"{name}_s"), "x.*")
-
-    pairs = pieces(left, left_key, "l").join(pieces(right, right_key, "r"), ["place", "piece"])
-    differ = F.expr(f"size(filter(sequence(1, {length}), i -> substr(l_s, i, 1) <> substr(r_s, i, 1)))")
-    return pairs.select("l", "r", differ.alias("mismatches")).where(F.col("mismatches") <= within).distinct().select(F.col("l").alias(left_key), F.col("r").alias(f"{right_key}_near"), "mismatches")
+    spans = list(zip(cuts, cuts[1:]))
+
+    def pieces(df: DataFrame, name: str) -> DataFrame:
+        parts = F.array(*[F.struct(F.lit(i).alias("place"), F.substring(name, a + 1, b - a).alias("piece")) for i, (a, b) in enumerate(spans)])
+        return df.select(F.col(text).alias(name)).distinct().withColumn("x", F.explode(parts)).select(name, "x.*")
+
+    shared = [F.substring("l", a + 1, b - a) == F.substring("r", a + 1, b - a) for a, b in spans]
+    first = F.lit(len(spans))
+    for i in range(len(spans) - 1, -1, -1):
+        first = F.when(shared[i], i).otherwise(first)
+    pairs = pieces(left, "l").join(pieces(right, "r"), ["place", "piece"]).where(F.col("place") == first)
+    differ = F.expr(f"size(filter(sequence(1, {length}), i -> substr(l, i, 1) <> substr(r, i, 1)))")
+    return pairs.select("l", "r", differ.alias("mismatches")).where(F.col("mismatches") <= within)
 
 
 def group_neighbours(df: DataFrame, key: str, group: str, vector: str, k: int, radius: float) -> DataFrame:

@@ -72,12 +72,15 @@ SELECT p_partkey, count(*) FILTER (m = 0) AS copies, count(*) FILTER (m = 1) AS
   count(*) FILTER (m = 4) AS mm4, CAST(min(m) AS BIGINT) AS least, round(sum(power(4.0, -m)), 6) AS burden FROM x GROUP BY p_partkey""")
 def hamming_burden(spark, sf_dir):
     s = table(spark, sf_dir, "part").select("p_partkey", F.substring(F.rpad("p_name", 12, "_"), 1, 12).alias("s"))
-    pairs = J.hamming_pairs(s.where("p_partkey % 20 = 0"), s, "p_partkey", "p_partkey", "s", 12, 4).where("p_partkey <> p_partkey_near")
-    m = F.col("mismatches")
-    return pairs.groupBy("p_partkey").agg(
-        F.count_if(m == 0).alias("copies"), *[F.count_if(m == i).alias(f"mm{i}") for i in range(1, 5)], F.min(m).cast("long").alias("least"),
-        F.round(F.sum(F.pow(F.lit(4.0), -m)), 6).alias("burden"),
+    q, m, n = s.where("p_partkey % 20 = 0"), F.col("mismatches"), F.col("n")
+    counts = s.groupBy(F.col("s").alias("r")).agg(F.count("*").alias("n"))
+    # A text's own copies, less the row itself, are its pairs without a mismatch.
+    pairs = J.hamming_texts(q, s, "s", 12, 4).join(counts, "r").withColumn("n", n - (F.col("l") == F.col("r")).cast("long")).where("n > 0")
+    of = lambda i: F.sum(F.when(m == i, n).otherwise(0))
+    per_text = pairs.groupBy(F.col("l").alias("s")).agg(
+        of(0).alias("copies"), *[of(i).alias(f"mm{i}") for i in range(1, 5)], F.min(m).cast("long").alias("least"), F.round(F.sum(n * F.pow(F.lit(4.0), -m)), 6).alias("burden")
     )
+    return q.join(per_text, "s").drop("s")
 
 
 @query("group_knn", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
