@@ -89,7 +89,7 @@ def production_rules() -> dict[str, Rule]:
         "repeated_words": lambda v: 100 * v.n_repeat_words > 30 * v.n_words,
         "word_length": lambda v: v.n_words > 0 and not 2 * v.n_words <= v.word_chars <= 20 * v.n_words,
         "symbols": lambda v: 10 * v.n_symbols > v.n_words,
-        "duplicate_lines": lambda v: 10 * v.n_dup_lines > 3 * v.n_lines,
+        "duplicate_lines": lambda v: 2 * v.n_dup_lines > v.n_lines,
         "no_letters": lambda v: 5 * sum(map(bytes.isalpha, v.words)) < 3 * v.n_words and 5 * _lettered(v.words) < 3 * v.n_words,
         "ellipsis_lines": lambda v: 2 * (v.text.count("...\n") + v.text.count("…\n")) > v.n_lines,
         "bullet_lines": lambda v: 10 * len(BULLET.findall(v.text)) > 9 * v.n_lines,

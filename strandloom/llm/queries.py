@@ -87,7 +87,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words
     OR word_chars NOT BETWEEN 2 * n_words AND 20 * n_words OR 10 * n_symbols > n_words
-    OR 10 * n_dup_lines > 3 * n_lines OR 5 * lettered < 3 * n_words
+    OR 2 * n_dup_lines > n_lines OR 5 * lettered < 3 * n_words
     OR 2 * n_ellipsis > n_lines OR 10 * n_bullets > 9 * n_lines) AS kept
 FROM s
 """
