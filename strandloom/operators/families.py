@@ -10,7 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators.ordering import longest_run
+from strandloom.operators.joins import bin_lookup, flag_members
+from strandloom.operators.ordering import longest_run, with_running_sum
 
 Builder = Callable[[DataFrame], DataFrame]
 REGISTRY: dict[str, Builder] = {}
@@ -82,6 +83,42 @@ def dosage(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.pow(F.lit(2.0), -2 * S.circular_distance(F.col("place"), F.lit(1), 10_007) / 5003.5).alias("eng.dose"))
 
 
+def track_block(rows: DataFrame, tracks: DataFrame, roles: Sequence[str], widths: Sequence[int], n: int) -> DataFrame:
+    """Mean of every track around each place on a circle of n, by width, and log ratios to the widest (FF-D2).
+
+    Running sums of a track give a window's mean from two look-ups by position, so wide windows cost no more than narrow.
+    """
+    long = None
+    for role in roles:
+        part = with_running_sum(tracks.where(F.col("role") == role), "pos", F.col("value"), "cum").select("role", "pos", "cum")
+        long = part if long is None else long.unionByName(part)
+    total = long.groupBy("role").agg(F.max_by("cum", "pos").alias("all"))
+    asked = rows.select("key", "place").withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles]))).withColumn("w", F.explode(F.array(*[F.lit(w) for w in widths])))
+    ends = asked.select("key", "role", "w", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), (F.col("place") - F.floor(F.col("w") / 2) - 1).alias("at")), F.struct(F.lit(1).alias("sign"), (F.col("place") - F.floor(F.col("w") / 2) - 1 + F.col("w")).alias("at")))).alias("e"))
+    # Position 0 has sum 0; a place outside 1..n is a turn away.
+    ends = ends.select("key", "role", "w", "e.sign", F.pmod("e.at", F.lit(n)).alias("pos"), F.floor(F.col("e.at") / n).alias("turn"))
+    sums = ends.join(long, ["role", "pos"], "left").join(F.broadcast(total), "role")  # a row a role
+    value = F.col("sign") * (F.coalesce("cum", F.lit(0.0)) + F.col("turn") * F.col("all"))
+    means = sums.groupBy("key", "role", "w").agg((F.sum(value) / F.max("w")).alias("m"))
+    wide = means.groupBy("key").agg(*[F.max(F.when((F.col("role") == r) & (F.col("w") == w), F.col("m"))).alias(f"eng.track.{r}{w}") for r in roles for w in widths])
+    ratios = [S.log_ratio(F.col(f"`eng.track.{r}{w}`"), F.col(f"`eng.track.{r}{max(widths)}`")).alias(f"eng.track.{r}{w}.ratio") for r in roles for w in widths if w != max(widths)]
+    return wide.select("*", *ratios)
+
+
+def neighbourhood_block(rows: DataFrame, bins: DataFrame, contacts: DataFrame, width: int, n_bins: int, near: int) -> DataFrame:
+    """Per-bin columns looked up by place, with the near and far sums of a contact map (i, j, v) (FF-E, JN-18)."""
+    d = F.least(F.pmod(F.col("i") - F.col("j"), F.lit(n_bins)), F.pmod(F.col("j") - F.col("i"), F.lit(n_bins)))
+    split = contacts.groupBy(F.col("i").alias("bin")).agg(
+        F.sum(F.when(d <= near, F.col("v")).otherwise(0.0)).alias("eng.contact.near"), F.sum(F.when(d > near, F.col("v")).otherwise(0.0)).alias("eng.contact.far")
+    )
+    return bin_lookup(rows.select("key", "place"), "place", width, bins.join(split, "bin", "left"), n_bins).drop("place", "bin")
+
+
+def membership_block(rows: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """1 for keys of the member table, 0 for all others (FF-K)."""
+    return flag_members(rows.select("key"), "key", members).select("key", F.col("member").cast("int").alias(f"eng.{name}"))
+
+
 def build(rows: DataFrame, names: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """All blocks joined to the rows' keys and a status for each family (FF-0); a failing family is left out."""
     out, status = rows.select("key"), {}

@@ -134,3 +134,52 @@ def out_of_fold_ridge(df: DataFrame, folds: Sequence[int], penalty: float = 1.0)
     held = df.withColumn("fold", F.col("fold").cast("long")).join(F.broadcast(weights), "fold")  # one row a fold
     score = F.aggregate(F.zip_with(F.concat(F.array(F.lit(1.0)), F.col("features")), "w", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     return held.select("key", "fold", "label", score.alias("prediction"))
+
+
+def random_search(train: DataFrame, space: Mapping[str, Sequence], draws: int, patience: int, model: str = "gbt", seed: int = 0) -> tuple[dict, list[tuple[dict, float]]]:
+    """Best settings and the log of draws (ML-19): scored on a fifth of the training rows, stopped after ``patience``
+    draws without a better one. The held-out fold takes no part."""
+    rng = np.random.default_rng(seed)
+    marked = train.withColumn("part", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(5)))
+    fit, check = _vectors(marked.where("part > 0")), _vectors(marked.where("part = 0"))
+    best, since, log = (-np.inf, {}), 0, []
+    for _ in range(draws):
+        settings = {k: v[int(rng.integers(len(v)))] for k, v in space.items()}
+        scored = estimator(model, seed, **settings).fit(fit).transform(check)
+        rho = spearman_by(scored.withColumn("g", F.lit(0)), ["g"], "label", "prediction").first()
+        score = rho.rho if rho else 0.0
+        log.append((settings, score))
+        best, since = ((score, settings), 0) if score > best[0] else (best, since + 1)
+        if since >= patience:
+            break
+    return best[1], log
+
+
+def iterative_forest(train: DataFrame, rounds: int, trees: int, share: float = 0.5, seed: int = 0) -> tuple[list, np.ndarray]:
+    """Rounds of trees on columns drawn by the last round's importances, w -> 0.9 w + 0.1 / p (ML-18).
+
+    Gives the last round's (columns, tree) members and the weights; a prediction is the members' mean.
+    """
+    p = len(train.select("features").first()[0])
+    rng, weights = np.random.default_rng(seed), np.full(p, 1.0 / p)
+    members: list = []
+    for _ in range(rounds):
+        gains, members = np.zeros(p), []
+        for t in range(trees):
+            columns = sorted(rng.choice(p, size=max(1, int(share * p)), replace=False, p=weights).tolist())
+            bag = train.sample(withReplacement=True, fraction=1.0, seed=int(rng.integers(1 << 31)))
+            fitted = estimator("tree", seed + t).fit(_vectors(bag, columns))
+            gains[columns] += fitted.featureImportances.toArray()
+            members.append((columns, fitted))
+        weights = 0.9 * (gains / gains.sum() if gains.sum() > 0 else weights) + 0.1 / p
+        weights /= weights.sum()
+    return members, weights
+
+
+def forest_predictions(members: list, df: DataFrame) -> DataFrame:
+    """(key, fold, label, prediction): mean over the members of an iterative forest."""
+    out = None
+    for columns, fitted in members:
+        part = fitted.transform(_vectors(df, columns)).select("key", "fold", "label", "prediction")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("key", "fold", "label").agg(F.avg("prediction").alias("prediction"))

@@ -49,3 +49,16 @@ def permutation_importance(spark, sf_dir):
     r = rows(spark, sf_dir, 2)
     fitted = M.estimator("tree").fit(M._vectors(r.where("fold = 0")))
     return M.permutation_importance(r.where("fold = 1"), fitted, range(16))
+
+
+@query("random_search_tree")
+def random_search_tree(spark, sf_dir):
+    _, log = M.random_search(rows(spark, sf_dir, 2).where("fold = 0"), {"maxDepth": [2, 3, 4], "minInstancesPerNode": [1, 5]}, 3, 2, "tree")
+    return spark.createDataFrame([(i, c["maxDepth"], c["minInstancesPerNode"], float(s)) for i, (c, s) in enumerate(log)], "trial int, depth int, least int, rho double")
+
+
+@query("iterative_forest")
+def iterative_forest(spark, sf_dir):
+    r = rows(spark, sf_dir, 2)
+    members, _ = M.iterative_forest(r.where("fold = 0"), 2, 3)
+    return M.fold_scores(M.forest_predictions(members, r.where("fold = 1")))

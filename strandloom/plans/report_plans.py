@@ -101,6 +101,28 @@ def family_blocks(spark, sf_dir):
     return out
 
 
+@query("family_tracks", """WITH t AS (SELECT event_id + 1 AS pos, value, max(event_id) OVER () + 1 AS n FROM events), r AS (SELECT p_partkey, p_partkey * 37 % (SELECT max(n) FROM t) + 1 AS place FROM part WHERE p_partkey < 300),
+w AS (SELECT p_partkey, w, avg(value) AS m FROM r, (VALUES (10), (100)) v(w), LATERAL (SELECT unnest(range(0, w)) AS k), t WHERE t.pos = (((place - w // 2 + k - 1) % n) + n) % n + 1 GROUP BY ALL)
+SELECT p_partkey AS "key", round(max(m) FILTER (w = 10), 6) AS narrow, round(max(m) FILTER (w = 100), 6) AS wide, round(log2((max(m) FILTER (w = 10) + 1e-4) / (max(m) FILTER (w = 100) + 1e-4)), 5) AS ratio FROM w GROUP BY 1""")
+def family_tracks(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.lit("a").alias("role"), (F.col("event_id") + 1).alias("pos"), "value")
+    n = e.agg(F.max("pos")).first()[0]
+    rows = table(spark, sf_dir, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") * 37 % n + 1).alias("place"))
+    out = families.track_block(rows, e, ["a"], [10, 100], n)
+    return out.select("key", F.round("`eng.track.a10`", 6).alias("narrow"), F.round("`eng.track.a100`", 6).alias("wide"), F.round("`eng.track.a10.ratio`", 5).alias("ratio"))
+
+
+@query("family_neighbourhood", """WITH c AS (SELECT event_id % 50 AS i, event_id * 7 % 50 AS j, value AS v FROM events), s AS (SELECT i AS bin, round(sum(v) FILTER (least((i - j + 50) % 50, (j - i + 50) % 50) <= 5), 6) AS near, round(sum(v) FILTER (least((i - j + 50) % 50, (j - i + 50) % 50) > 5), 6) AS far, count(*) AS n FROM c GROUP BY i)
+SELECT p_partkey AS "key", n, coalesce(near, 0) AS near, coalesce(far, 0) AS far, CAST(p_size > 25 AS INTEGER) AS big FROM part JOIN s ON bin = (p_partkey // 10) % 50""")
+def family_neighbourhood(spark, sf_dir):
+    c = table(spark, sf_dir, "events").select((F.col("event_id") % 50).alias("i"), (F.col("event_id") * 7 % 50).alias("j"), F.col("value").alias("v"))
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").alias("key"), (F.col("p_partkey") + 1).alias("place"))
+    bins = c.groupBy(F.col("i").alias("bin")).agg(F.count("*").alias("n"))
+    block = families.neighbourhood_block(rows, bins, c, 10, 50, 5).join(families.membership_block(rows, part.where("p_size > 25").select(F.col("p_partkey").alias("key")), "big"), "key")
+    return block.select("key", "n", F.round("`eng.contact.near`", 6).alias("near"), F.round("`eng.contact.far`", 6).alias("far"), F.col("`eng.big`").alias("big"))
+
+
 @query("stream_resume", "SELECT event_id, user_id, value FROM events")
 def stream_resume(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
