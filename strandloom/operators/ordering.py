@@ -7,26 +7,36 @@ column share a range, so ties stay together.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Ranges at least; otherwise as many as there are shuffle partitions.
 RANGES = 64
 
 
-def range_of(df: DataFrame, column: str, ranges: int = RANGES) -> Column:
-    """0-based range of a numeric column, from approximate quantiles; NULL goes to the first."""
+def with_range(df: DataFrame, column: str, name: str, ranges: int | None = None) -> DataFrame:
+    """Append the 0-based range of a numeric column, from approximate quantiles; NULL goes to the first.
+
+    Cuts are searched in two steps of about the root of their number, each a sum of comparisons.
+    """
+    ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
     if not cuts:
-        return F.lit(0)
-    held = F.array(*[F.lit(float(c)) for c in cuts])
-    return F.coalesce(F.size(F.filter(held, lambda c: c < F.col(column))), F.lit(0))
+        return df.withColumn(name, F.lit(0))
+    step = math.isqrt(len(cuts)) + 1
+    literal = lambda part: F.array(*[F.lit(float(c)) for c in part]).cast("array<double>")
+    below = lambda held: F.coalesce(F.size(F.filter(held, lambda c: c < F.col("__probe"))), F.lit(0))
+    blocks = F.array(*[literal(cuts[i : i + step]) for i in range(0, len(cuts) + 1, step)])
+    coarse = df.withColumn("__probe", F.col(column).cast("double")).withColumn("__coarse", below(literal(cuts[step - 1 :: step])))
+    return coarse.withColumn("__held", F.element_at(blocks, F.col("__coarse") + 1)).withColumn(name, F.col("__coarse") * step + below(F.col("__held"))).drop("__probe", "__coarse", "__held")
 
 
-def with_running_sum(df: DataFrame, order: str, value: Column, name: str, ties: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def with_running_sum(df: DataFrame, order: str, value: Column, name: str, ties: Sequence[str] = (), descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Append the inclusive running sum of ``value`` in the order of ``order``, then of ``ties``."""
     sign = -1 if descending else 1
-    marked = df.withColumn("__v", value).withColumn("__r", range_of(df, order, ranges) * sign)
+    marked = with_range(df.withColumn("__v", value), order, "__r", ranges).withColumn("__r", F.col("__r") * sign)
     keys = [F.desc(order) if descending else F.asc(order), *ties]
     inside = Window.partitionBy("__r").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     # One row a range.

@@ -17,15 +17,15 @@ def random_folds(df: DataFrame, key: str, k: int, seed: int, name: str = "fold")
     return df.withColumn(name, F.pmod(draw(seed, F.col(key)), F.lit(k)))
 
 
-def exact_folds(df: DataFrame, key: str, k: int, seed: int, name: str = "fold", shards: int = 256) -> DataFrame:
+def exact_folds(df: DataFrame, key: str, k: int, seed: int, name: str = "fold", digits: int = 3) -> DataFrame:
     """Folds of equal size up to one (ML-01): ranks of the shuffled keys, dealt in turn.
 
-    The order is (shard, digest), a shard being the digest's first byte; ranks are numbered inside shards and
+    The order is (shard, digest), a shard being the digest's first ``digits`` hexadecimal digits; ranks are numbered inside shards and
     offset by the shards' prefix sums, so no window holds the table.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    marked = df.withColumn("__d", digest).withColumn("__s", F.substring("__d", 1, 2))
-    base = marked.groupBy("__s").count().select("__s", F.coalesce(F.sum("count").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # 256 rows
+    marked = df.withColumn("__d", digest).withColumn("__s", F.substring("__d", 1, digits))
+    base = marked.groupBy("__s").count().select("__s", F.coalesce(F.sum("count").over(Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # 16 ** digits rows
     inside = F.row_number().over(Window.partitionBy("__s").orderBy("__d", key))
     return marked.withColumn("__i", inside).join(F.broadcast(base), "__s").withColumn(name, F.pmod(F.col("__b") + F.col("__i") - 1, F.lit(k)).cast("long")).drop("__d", "__s", "__i", "__b")
 
