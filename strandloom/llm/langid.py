@@ -47,6 +47,7 @@ def language_dictionaries(labelled: DataFrame, usable: Column, text_col: str = "
         .where(F.col("text").rlike(r"\p{L}"))
         .withColumn("n", F.row_number().over(by))
         .where(F.col("n") <= SAMPLE_TEXTS)
+        # A longer text cannot go into a dictionary whole; only the sample is cut, never a text to be told.
         .select("lang", "n", F.lower(F.substring("text", 1, DICT_BYTES)).alias("text"))
     )
     found: dict[str, bytes] = {}

@@ -59,7 +59,7 @@ def stems(core: str) -> list[str]:
 class Words(dict):
     """Memo: word -> (hit id or 0, flags and counts packed into one integer)."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __init__(self, lexicon: dict[str, int]):
         self.lexicon = lexicon
