@@ -39,14 +39,13 @@ def _keys(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, key): the vector's bytes in double precision, null where it links with nothing."""
 
     def run(column: pa.Array) -> list[pa.Array]:
-        keys = []
-        for v in column.to_pylist():
-            key = None
-            if v and None not in v:
-                x = np.array(v, dtype="<f8") + 0.0
-                if np.isfinite(x).all() and np.any(x):
-                    key = x.tobytes()
-            keys.append(key)
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = column.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f8") + 0.0
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        odd, filled = (np.concatenate([[0], np.cumsum(x)]) for x in (~np.isfinite(values), values != 0))
+        usable = (odd[ends] == odd[starts]) & (filled[ends] > filled[starts])
+        keys = [values[s:e].tobytes() if ok else None for s, e, ok in zip(starts.tolist(), ends.tolist(), usable.tolist())]
         return [pa.array(keys, pa.binary())]
 
     return map_columns(vectors, run, [T.StructField("__key", T.BinaryType())], [vector_col], [id_col])
