@@ -48,17 +48,16 @@ def first_containing(found: DataFrame, key: str, low: str, tie: str) -> DataFram
     return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 
-def nearest_on_line(points: DataFrame, targets: DataFrame, key: str, position: str, circle: int | None = None, blocks: int | None = None) -> DataFrame:
+def nearest_on_line(points: DataFrame, targets: DataFrame, key: str, position: str, circle: int | None = None, size: int = 4096) -> DataFrame:
     """(key, position, before, after): distances to the nearest target at or below and at or above (JN-11, JN-13, JN-14).
 
-    Positions are blocked by ``width``-free equal ranges; each block carries the last target before it and the first
-    after it from a small table of block edges, so every window stays in its block. On a circle of n positions the
-    targets are repeated one turn on either side.
+    Positions are cut into blocks of ``size``; each block carries the last target before it and the first after it from
+    a table of block edges, so every window stays in its block. On a circle of n positions the targets are repeated
+    one turn on either side.
     """
     t = targets.select(F.col(position).cast("long").alias("p")).distinct()
     if circle:
         t = t.select(F.explode(F.array(F.col("p") - circle, F.col("p"), F.col("p") + circle)).alias("p"))
-    size = blocks or 4096
     block = F.floor(F.col("p") / size)
     both = t.select("p", F.lit(None).cast("long").alias("k"), F.lit(True).alias("t")).unionByName(
         points.select(F.col(position).cast("long").alias("p"), F.col(key).cast("long").alias("k"), F.lit(False).alias("t"))

@@ -41,7 +41,7 @@ def brute_nearest(p, targets, circle=None):
 def test_nearest_on_line(spark, circle):
     rnd = random.Random(1)
     targets, points = rnd.sample(range(500), 9), [(i, rnd.randrange(500)) for i in range(80)]
-    out = J.nearest_on_line(spark.createDataFrame(points, "k long, p long"), spark.createDataFrame([(t,) for t in targets], "p long"), "k", "p", circle, blocks=32).collect()
+    out = J.nearest_on_line(spark.createDataFrame(points, "k long, p long"), spark.createDataFrame([(t,) for t in targets], "p long"), "k", "p", circle, size=32).collect()
     assert {r.k: (r.before, r.after) for r in out} == {k: brute_nearest(p, targets, circle) for k, p in points}
 
 
