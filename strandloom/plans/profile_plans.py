@@ -105,7 +105,7 @@ def hotspot(spark, sf_dir):
 
 
 @query("coupling_terms", f"""{TIDY}, m AS (SELECT id, avg(CASE WHEN pos <= 32 THEN v END) AS x, avg(CASE WHEN pos > 32 THEN v END) AS y FROM p GROUP BY id)
-SELECT id, round(x * y, 6) AS product, round(x / (abs(y) + 1e-6), 6) AS ratio, round(x - y, 6) AS difference FROM m""")
+SELECT id, round(x * y, 6) + 0.0 AS product, round(x / (abs(y) + 1e-6), 6) AS ratio, round(x - y, 6) AS difference FROM m""")
 def coupling_terms(spark, sf_dir):
     means = P.region_means(tidy(spark, sf_dir), {"x": (1, 32), "y": (33, 64)})
     return rounded(P.coupling(means, "x", "y"), "id")

@@ -26,7 +26,7 @@ def duck():
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "~"
-    return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    return f"{float(v) + 0.0:.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
