@@ -64,15 +64,15 @@ def nearest_on_line(points: DataFrame, targets: DataFrame, key: str, position: s
     ).withColumn("b", block)
     edges = both.groupBy("b").agg(F.min(F.when(F.col("t"), F.col("p"))).alias("first"), F.max(F.when(F.col("t"), F.col("p"))).alias("last"))
     # One row a block of positions; bounded by the extent of the axis over ``size``.
-    over = Window.orderBy("b")
     edges = edges.select(
-        "b", F.last("last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
-        F.first("first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+        "b", F.last("last", ignorenulls=True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.last("first", ignorenulls=True).over(Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)).alias("later"),
     )
-    here = Window.partitionBy("b").orderBy("p")
+    # Both frames grow with the scan; one that runs to the end would be read again for every row.
+    up, down = (Window.partitionBy("b").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("p"), F.desc("p")))
     at = F.when(F.col("t"), F.col("p"))
-    ranked = both.withColumn("lo", F.last(at, ignorenulls=True).over(here.rangeBetween(Window.unboundedPreceding, 0))).withColumn(
-        "hi", F.first(at, ignorenulls=True).over(here.rangeBetween(0, Window.unboundedFollowing))
+    ranked = both.withColumn("lo", F.last(at, ignorenulls=True).over(up)).withColumn(
+        "hi", F.last(at, ignorenulls=True).over(down)
     )
     found = ranked.where(~F.col("t")).join(edges, "b")
     return found.select(
