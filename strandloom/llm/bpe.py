@@ -229,11 +229,11 @@ class Memo:
 class Encoder:
     """Texts -> ids as packed little-endian 4-byte integers; its bounded memos live as long as the worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
         self.pre = PreTokenizer(path)
         self.bpe = PairIndexBPE(self.pre.spec)
         self.special = {SPECIAL + b"%d" % i: struct.pack("<i", i) for i in self.pre.special.values()}
-        self.chunks, self.pieces = Memo(MEMO_ENTRIES), Memo(MEMO_ENTRIES)
+        self.chunks, self.pieces = Memo(entries), Memo(entries)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         return self.bpe.encode(words)

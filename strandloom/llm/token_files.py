@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from strandloom.llm.bpe import Encoder, byte_symbols
+from strandloom.llm.bpe import MEMO_ENTRIES, Encoder, byte_symbols
 from strandloom.llm.common import materialise, ship_package, slices, texts_of, work_path
 
 
@@ -38,7 +38,7 @@ class LibraryEncoder(Encoder):
     """Encodes pre-tokens with the library's own model."""
 
     def __init__(self, path: str):
-        super().__init__(path)
+        super().__init__(path, 2 * MEMO_ENTRIES)  # one worker a task here, so it may hold more
         self.alphabet = {b: symbol for b, symbol in byte_symbols().items() if chr(b) != symbol}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
