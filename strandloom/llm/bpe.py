@@ -43,7 +43,7 @@ SPACES = re.compile(f"[{SPACE}]+")
 SPECIAL = b"\xff"
 
 #: Chunks, and pre-tokens, whose ids a worker keeps in each of two generations.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 75_000
 
 
 class PreTokenizer:

@@ -38,7 +38,7 @@ class LibraryEncoder(Encoder):
     """Encodes pre-tokens with the library's own model."""
 
     def __init__(self, path: str):
-        super().__init__(path, 2 * MEMO_ENTRIES)  # one worker a task here, so it may hold more
+        super().__init__(path, 4 * MEMO_ENTRIES)  # one worker a task here, so it may hold more
         self.alphabet = {b: symbol for b, symbol in byte_symbols().items() if chr(b) != symbol}
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
