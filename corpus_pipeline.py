@@ -1,4 +1,4 @@
-"""Corpus pipeline: toxicity, language ID, SimHash near-duplicates, packing.
+"""Corpus pipeline: toxicity, language ID, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
 columns of their input, rows dropped and nothing else changed. Every stage learns from the documents it is given.
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.llm.common import fresh, materialise
 from strandloom.llm.langid import identify, language_dictionaries
+from strandloom.llm.near_duplicates import keep_one
 from strandloom.llm.packing import pack
-from strandloom.llm.simhash import keep_one
 from strandloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -36,7 +36,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates."""
+    """The document with the smallest id of every group of near-duplicates: 5-word shingles, Jaccard 0.8 or more."""
     return keep_one(docs)
 
 
