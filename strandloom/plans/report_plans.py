@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators import families, interpret as I
+from strandloom.operators.ordering import top_k
 from strandloom.plans.aggregate_plans import r6
 from strandloom.plans.profile_plans import TIDY, tidy
 from strandloom.plans.registry import query
@@ -80,8 +81,8 @@ def screen_disagreement(spark, sf_dir):
 
 @query("fold_verification", "SELECT * FROM (VALUES ('key in one fold', 0::BIGINT), ('no fold empty', 0::BIGINT), ('sets complete', 0::BIGINT)) t(\"check\", failures)")
 def fold_verification(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 5).alias("fold"))
-    top = e.where("event_id < 50").select("fold", F.col("event_id").alias("item"))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 5).alias("fold"), "value")
+    top = top_k(e, ["fold"], [F.desc("value"), F.col("event_id")], 10).select("fold", F.col("event_id").alias("item"))
     return I.verify_folds(e, top, "event_id", "fold", 5, 10)
 
 
