@@ -1,9 +1,12 @@
 """BPE encoding with a pair occurrence index, and decoding.
 
-The distinct pre-tokens of a partition's batch are laid out as one symbol sequence. An index maps each
-mergeable pair to all its positions; the active ranks are taken in ascending order from a heap, every
-occurrence of the pair is merged, and only the lists of the neighbouring pairs are updated. Texts are cut at
-white space first, so each distinct chunk is handled once a batch, and its ids are then reused.
+The texts of a partition are split at ASCII white space and every distinct chunk is numbered, so that a text is a row
+of chunk numbers. The distinct pre-tokens of all chunks are laid out as one symbol sequence. An index maps each
+mergeable pair to all its positions; the active ranks are taken in ascending order from a heap, every occurrence of
+the pair is merged, in one array step where there are many, and only the lists of the neighbouring pairs are updated.
+
+A partition whose chunk numbers and distinct chunks exceed HELD_BYTES is encoded in several such parts, each with its
+own index, so memory does not follow the size of a split.
 
 The vocabulary file is the JSON form of the ``tokenizers`` library; its path is a parameter and the file must be
 readable on every executor. Supported form: an optional NFC / white space / lower case normaliser chain, a
@@ -22,32 +25,36 @@ import heapq
 import itertools
 import json
 import re
-import struct
-from collections.abc import Iterable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
-from strandloom.llm.common import map_columns, texts_of
+from strandloom.llm.common import map_columns, ship_package, slices
 
-#: Unicode White_Space.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters that Python splits at although they are not White_Space.
+#: Separators that Python's patterns take for white space although Unicode's White_Space leaves them out.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
-SPACES = re.compile(f"[{SPACE}]+")
 
-#: First byte of a special token's stand-in; UTF-8 has no such byte.
-SPECIAL = b"\xff"
+#: Marks that end a chunk of letters, and such chunks: Latin letters with one form under NFC in every Unicode version.
+MARKS = ".,;:!?"
+PLAIN = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+[.,;:!?]?$"
 
-#: Chunks, and pre-tokens, whose ids a worker keeps in each of two generations.
-MEMO_ENTRIES = 75_000
+#: Bytes of chunk numbers and distinct chunks that a task holds before it encodes them.
+HELD_BYTES = 64 << 20
+#: Bytes of memory that a distinct chunk and its pre-tokens take, about.
+CHUNK_BYTES = 100
+#: Occurrences from which a rank is merged by array operations.
+MANY = 24
+#: Rank of a pair that does not merge.
+NO_RANK = np.int32(2**31 - 1)
 
 
 class PreTokenizer:
-    """Text -> white-space chunks -> pre-tokens, as the vocabulary file prescribes."""
+    """Chunk -> pre-tokens, as the vocabulary file prescribes."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,37 +66,61 @@ class PreTokenizer:
         self.special_re = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.to_bytes = {v: k for k, v in byte_symbols().items()}
 
-    def chunks(self, text: str) -> list[str]:
-        """Parts between white space; no pre-token spans two of them."""
-        if NOT_SPACE.search(text):
-            return [c for c in SPACES.split(text) if c]
-        return text.split()
-
-    def words(self, chunk: str) -> list[bytes]:
-        """UTF-8 pre-tokens of one chunk; a special token stands as SPECIAL and its id."""
-        if chunk.isalpha() and max(chunk) < "\u0100":
-            return [chunk.lower().encode()]
+    def words(self, chunk: str) -> list[str]:
+        """Pre-tokens of one chunk; a special token stands as itself, which no other pre-token can."""
         if "<" not in chunk or not self.special_re.search(chunk):
             return self._plain(chunk)
-        out: list[bytes] = []
+        out: list[str] = []
         at = 0
         for m in self.special_re.finditer(chunk):
             out += self._plain(chunk[at : m.start()])
-            out.append(SPECIAL + b"%d" % self.special[m.group()])
+            out.append(m.group())
             at = m.end()
         return out + self._plain(chunk[at:])
 
-    def _plain(self, chunk: str) -> list[bytes]:
+    def _plain(self, chunk: str) -> list[str]:
         if not chunk:
             return []
-        if chunk.isascii() or max(chunk) < "\u0100":  # one form under NFC, stable in every Unicode version
-            lower = chunk.lower()
-            if lower[-1] in ".,;:!?" and lower[:-1].isalpha():
-                return [lower[:-1].encode(), lower[-1].encode()]
-            return [w.encode() for w in self.pieces.findall(lower)]
+        # One form under NFC, stable in every Unicode version.
+        if (chunk.isascii() or max(chunk) < "\u0100") and not NOT_SPACE.search(chunk):
+            return self.pieces.findall(chunk.lower())
         t = self.tokenizer
         found = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))
-        return [bytes(map(self.to_bytes.__getitem__, w)) for w, _ in found]
+        return [bytes(map(self.to_bytes.__getitem__, w)).decode() for w, _ in found]
+
+
+def chunk_pieces(chunks: pa.StringArray, other: Callable[[str], list[str]]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Distinct pieces of the chunks, piece numbers of all chunks one after another, and where each chunk's begin.
+
+    A chunk of Latin letters, with a mark at its end or not, is its lower-case letters and the mark; ``other`` cuts the rest.
+    """
+    plain = pc.match_substring_regex(chunks, PLAIN)
+    letters = pc.utf8_rtrim(chunks.filter(plain), MARKS)
+    ends = chunks.filter(plain)
+    marked = pc.not_equal(pc.binary_length(ends), pc.binary_length(letters))
+    marks = pc.utf8_slice_codeunits(ends.filter(marked), -1)
+    cut = [other(c) for c in strings_of(chunks.filter(pc.invert(plain)))]
+    plain, marked = (x.to_numpy(zero_copy_only=False) for x in (plain, marked))
+    sizes = np.ones(len(chunks), dtype=np.int64)
+    sizes[np.flatnonzero(plain)[marked]] = 2
+    sizes[~plain] = [len(c) for c in cut]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    rest = pa.array(list(itertools.chain.from_iterable(cut)), pa.string())
+    pieces = pa.concat_arrays([pc.utf8_lower(letters), marks, rest]).dictionary_encode()
+    number = pieces.indices.to_numpy(zero_copy_only=False)
+    codes = np.empty(begins[-1], dtype=np.int32)
+    first = begins[:-1][plain]
+    codes[first] = number[: len(first)]
+    codes[first[marked] + 1] = number[len(first) : len(first) + len(marks)]
+    lengths = sizes[~plain]
+    inside = np.arange(len(rest)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    codes[np.repeat(begins[:-1][~plain], lengths) + inside] = number[len(first) + len(marks) :]
+    return pieces.dictionary, codes, begins
+
+
+def strings_of(column: pa.Array) -> list[str]:
+    """The column as Python strings."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def byte_symbols() -> dict[int, str]:
@@ -99,15 +130,23 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def expand(codes: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each code's span one after another, and where each code's values begin (one more for the end)."""
+    starts = offsets[codes]
+    lengths = offsets[codes + 1] - starts
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.repeat(starts - begins[:-1], lengths) + np.arange(begins[-1])], begins
+
+
 class PairIndexBPE:
-    """Merges all words of a batch at once through an index of pair occurrences."""
+    """Merges all words at once through an index of pair occurrences."""
 
     def __init__(self, spec: dict):
         model = spec["model"]
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         symbol = byte_symbols()
-        self.inner = [vocab[symbol[b]] for b in range(256)]
-        self.final = [vocab[symbol[b] + suffix] for b in range(256)]
+        #: Ids of the 256 bytes inside a word, then at its end.
+        self.first = np.array([vocab[symbol[b]] for b in range(256)] + [vocab[symbol[b] + suffix] for b in range(256)], dtype=np.int32)
         self.rank: dict[int, int] = {}
         self.rules: list[tuple[int, int, int]] = []
         for r, m in enumerate(model["merges"]):
@@ -115,150 +154,146 @@ class PairIndexBPE:
             a, b = vocab[left], vocab[right]
             self.rank.setdefault(a << 32 | b, r)
             self.rules.append((a, b, vocab[left + right]))
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word."""
-        inner, final, rank_of = self.inner, self.final, self.rank.get
-        sym: list[int] = []
-        starts: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        occ: dict[int, list[int]] = {}
-        for w in words:
-            at = len(sym)
-            starts.append(at)
-            if not w:
-                continue
-            ids = [inner[b] for b in w[:-1]]
-            ids.append(final[w[-1]])
-            n = len(ids)
-            sym += ids
-            nxt += range(at + 1, at + n)
-            nxt.append(-1)
-            prv.append(-1)
-            prv += range(at, at + n - 1)
-            a = ids[0]
-            for b in ids[1:]:
-                r = rank_of(a << 32 | b)
-                if r is not None:
-                    if r in occ:
-                        occ[r].append(at)
-                    else:
-                        occ[r] = [at]
-                at += 1
-                a = b
-        self._merge(sym, nxt, prv, occ)
-        out: list[list[int]] = []
-        for at, w in zip(starts, words):
-            ids = []
-            if w:
-                while at >= 0:
-                    ids.append(sym[at])
-                    at = nxt[at]
-            out.append(ids)
-        return out
-
-    def _merge(self, sym: list[int], nxt: list[int], prv: list[int], occ: dict[int, list[int]]) -> None:
-        rank_of, rules = self.rank.get, self.rules
-        active = list(occ)
-        heapq.heapify(active)
+        keys = np.array(sorted(self.rank), dtype=np.int64)
+        self.keys, self.ranks = keys, np.array([self.rank[k] for k in keys.tolist()], dtype=np.int32)
+        lowest: dict[int, int] = {}
+        for k, r in self.rank.items():
+            for s in (k >> 32, k & 0xFFFFFFFF):
+                lowest[s] = min(r, lowest.get(s, r))
+        #: Rules whose result is in no pair of lower rank and whose occurrences cannot overlap: all merge at once.
+        self.at_once = [a != b and lowest.get(c, r + 1) > r for r, (a, b, c) in enumerate(self.rules)]
+        pairs = self.first.astype(np.int64)
+        self.table = self._ranks_of(pairs[:, None] << 32 | pairs[None, :])
+
+    def _ranks_of(self, pairs: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(pairs.shape, NO_RANK)
+        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+        return np.where(self.keys[at] == pairs, self.ranks[at], NO_RANK)
+
+    def encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and where each word's begin (one more for the end)."""
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "")[0].as_buffer(), dtype=np.uint8)
+        ends = np.cumsum(lengths)
+        last = np.zeros(len(data), dtype=bool)
+        last[ends[lengths > 0] - 1] = True
+        code = data.astype(np.int32) + 256 * last
+        sym, n = self.first[code], len(data)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        nxt[last] = -1
+        prv[np.flatnonzero(last)[:-1] + 1] = -1
+        found = self.table[code[:-1], code[1:]]
+        found[last[:-1]] = NO_RANK
+        self._merge(sym, nxt, prv, np.arange(len(found), dtype=np.int32), found)
+        alive = sym >= 0
+        count = np.concatenate([[0], np.cumsum(alive)])
+        return sym[alive], count[np.concatenate([[0], ends])]
+
+    def _merge(self, sym: np.ndarray, nxt: np.ndarray, prv: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> None:
+        rules, occ, active = self.rules, {}, []
+        self._note(occ, active, at, ranks)
+        merged = np.zeros(len(sym), dtype=bool)
+        views = memoryview(sym), memoryview(nxt), memoryview(prv)
         while active:
             r = heapq.heappop(active)
-            a, b, c = rules[r]
             where = occ.pop(r)
-            if a == b:
-                where.sort()
-            for done, p in enumerate(where, 1):
-                if sym[p] != a:
-                    continue
-                q = nxt[p]
-                if q < 0 or sym[q] != b:
-                    continue
-                sym[p], sym[q] = c, -1
-                after = nxt[p] = nxt[q]
-                lower = False
-                if after >= 0:
-                    prv[after] = p
-                    k = rank_of(c << 32 | sym[after])
-                    if k is not None:
-                        if k in occ:
-                            occ[k].append(p)
-                        else:
-                            occ[k] = [p]
-                            heapq.heappush(active, k)
-                        lower = k < r
-                before = prv[p]
-                if before >= 0:
-                    k = rank_of(sym[before] << 32 | c)
-                    if k is not None:
-                        if k in occ:
-                            occ[k].append(before)
-                        else:
-                            occ[k] = [before]
-                            heapq.heappush(active, k)
-                        lower = lower or k < r
-                if lower and done < len(where):  # a new pair of lower rank goes first; the rest waits
-                    if r in occ:
-                        occ[r] += where[done:]
+            if len(where) < MANY or not self.at_once[r]:
+                self._merge_each(r, sorted(where), *views, occ, active)
+                continue
+            a, b, c = rules[r]
+            p = np.array(where, dtype=np.int32)
+            q = nxt[p]
+            here = (sym[p] == a) & (q >= 0) & (sym[q] == b)
+            p, q = p[here], q[here]
+            after = nxt[q]
+            sym[p], sym[q], nxt[p] = c, -1, after
+            follows = after >= 0
+            prv[after[follows]] = p[follows]
+            before = prv[p]
+            before = before[before >= 0]
+            merged[p] = True  # such a neighbour's pair is entered as its right one
+            before = before[~merged[before]]
+            merged[p] = False
+            left = np.concatenate([p[follows], before])
+            right = np.concatenate([after[follows], nxt[before]])
+            self._note(occ, active, left, self._ranks_of(sym[left].astype(np.int64) << 32 | sym[right]))
+
+    @staticmethod
+    def _note(occ: dict[int, list[int]], active: list[int], at: np.ndarray, ranks: np.ndarray) -> None:
+        """Enter the positions under their ranks."""
+        held = ranks != NO_RANK
+        at, ranks = at[held], ranks[held]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order].tolist(), ranks[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if len(ranks) else np.zeros(0, dtype=np.int64)
+        spans = [*starts.tolist(), len(at)]
+        for i, r in enumerate(ranks[starts].tolist()):
+            if r in occ:
+                occ[r] += at[spans[i] : spans[i + 1]]
+            else:
+                occ[r] = at[spans[i] : spans[i + 1]]
+                heapq.heappush(active, r)
+
+    def _merge_each(self, r: int, where: list[int], sym: memoryview, nxt: memoryview, prv: memoryview, occ: dict[int, list[int]], active: list[int]) -> None:
+        rank_of = self.rank.get
+        a, b, c = self.rules[r]
+        for done, p in enumerate(where, 1):
+            if sym[p] != a:
+                continue
+            q = nxt[p]
+            if q < 0 or sym[q] != b:
+                continue
+            sym[p], sym[q] = c, -1
+            after = nxt[p] = nxt[q]
+            lower = False
+            if after >= 0:
+                prv[after] = p
+                k = rank_of(c << 32 | sym[after])
+                if k is not None:
+                    if k in occ:
+                        occ[k].append(p)
                     else:
-                        occ[r] = where[done:]
-                        heapq.heappush(active, r)
-                    break
-
-
-class Memo:
-    """Bounded memo in two generations: what a full generation did not use again goes with the next."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def turn(self) -> None:
-        """Start a new generation if the young one is full."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-
-    def missing(self, keys: set) -> list:
-        """The keys without a value; all others are young afterwards."""
-        keys.difference_update(self.young)
-        found = keys & self.old.keys() if self.old else ()
-        for k in found:
-            self.young[k] = self.old[k]
-        return list(keys.difference(found))
+                        occ[k] = [p]
+                        heapq.heappush(active, k)
+                    lower = k < r
+            before = prv[p]
+            if before >= 0:
+                k = rank_of(sym[before] << 32 | c)
+                if k is not None:
+                    if k in occ:
+                        occ[k].append(before)
+                    else:
+                        occ[k] = [before]
+                        heapq.heappush(active, k)
+                    lower = lower or k < r
+            if lower and done < len(where):  # a new pair of lower rank goes first; the rest waits
+                if r in occ:
+                    occ[r] += where[done:]
+                else:
+                    occ[r] = where[done:]
+                    heapq.heappush(active, r)
+                break
 
 
 class Encoder:
-    """Texts -> ids as packed little-endian 4-byte integers; its bounded memos live as long as the worker."""
+    """Distinct chunks -> ids, through the pair index."""
 
-    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str):
         self.pre = PreTokenizer(path)
         self.bpe = PairIndexBPE(self.pre.spec)
-        self.special = {SPECIAL + b"%d" % i: struct.pack("<i", i) for i in self.pre.special.values()}
-        self.chunks, self.pieces = Memo(entries), Memo(entries)
-
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        return self.bpe.encode(words)
-
-    def packed(self, texts: Iterable[str]) -> list[bytes]:
-        """Each text's ids, packed."""
-        split = list(map(self.pre.chunks, texts))
-        self.chunks.turn()
-        self.pieces.turn()
-        ids_of = self.pieces.young
-        ids_of.update(self.special)
-        fresh = self.chunks.missing(set().union(*split))
-        words = list(map(self.pre.words, fresh))
-        new = self.pieces.missing(set(itertools.chain.from_iterable(words)))
-        for w, ids in zip(new, self.encode_words(new)):
-            ids_of[w] = struct.pack(f"<{len(ids)}i", *ids)
-        memo = self.chunks.young
-        for chunk, ws in zip(fresh, words):
-            memo[chunk] = ids_of[ws[0]] if len(ws) == 1 else b"".join([ids_of[w] for w in ws])
-        get = memo.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
-
-    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
-        """Each text's ids, as lists."""
-        return [np.frombuffer(p, dtype="<i4").tolist() for p in self.packed(texts)]
+
+    def encode_chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after another, and where each chunk's begin (one more for the end)."""
+        pieces, codes, begins = chunk_pieces(chunks, self.pre.words)
+        special = pc.is_in(pieces, pa.array(list(self.pre.special), pa.string()))
+        ids, at = self.bpe.encode(pc.if_else(special, "", pieces))
+        where = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        if len(where):
+            ids = np.insert(ids, at[where], [self.pre.special[pieces[i].as_py()] for i in where.tolist()])
+            at[1:] += np.cumsum(np.bincount(where, minlength=len(pieces)))
+        flat, spans = expand(codes, ids, at)
+        return flat, spans[begins]
 
 
 @functools.lru_cache(maxsize=2)
@@ -267,50 +302,91 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+Chunks = Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, keep: list[str], encode: Chunks) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """(kept columns, ids of all rows, where each row's begin) for slices of a task's batches.
+
+    Texts are held as chunk numbers; all distinct chunks held are encoded together.
+    """
+    held: list[tuple[list[pa.Array], np.ndarray]] = []
+    coded: list[pa.DictionaryArray] = []
+    size = 0
+
+    def out() -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+        parts = pa.chunked_array(coded).unify_dictionaries().chunks
+        values, offsets = encode(parts[0].dictionary)
+        for (columns, begins), part in zip(held, parts):
+            ids, at = expand(part.indices.to_numpy(zero_copy_only=False), values, offsets)
+            yield columns, ids, at[begins]
+
+    for batch in slices(batches):
+        chunks = pc.ascii_split_whitespace(batch.column(text_col).fill_null(""))
+        begins = np.concatenate([[0], np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        coded.append(chunks.flatten().dictionary_encode())
+        # Copies, so that the slice's batch is not held.
+        held.append(([pa.concat_arrays([batch.column(c), batch.column(c).slice(0, 0)]) for c in keep], begins))
+        size += coded[-1].indices.nbytes + begins.nbytes + CHUNK_BYTES * len(coded[-1].dictionary)
+        if size > HELD_BYTES:
+            yield from out()
+            held, coded, size = [], [], 0
+    if held:
+        yield from out()
+
+
 @functools.lru_cache(maxsize=2)
-def token_table(path: str) -> np.ndarray:
-    """Id -> token, None for an id without one."""
+def token_table(path: str) -> pa.Array:
+    """Id -> token, null for an id without one."""
     spec = json.load(open(path, encoding="utf-8"))
     vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-    table = np.full(max(vocab.values()) + 1, None, dtype=object)
+    table: list[str | None] = [None] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         table[i] = token
-    return table
+    return pa.array(table, pa.string())
 
 
-def list_array(rows: list[bytes]) -> pa.Array:
-    """Arrow list column of packed rows."""
-    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
-    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype="<i4")))
+def decode_ids(ids: np.ndarray, begins: np.ndarray, path: str) -> pa.Array:
+    """The tokens of every row's ids joined by one space."""
+    table = token_table(path)
+    known = (ids >= 0) & (ids < len(table))
+    tokens = table.take(pa.array(np.where(known, ids, 0)))
+    if table.null_count or not known.all():
+        known &= tokens.is_valid().to_numpy(zero_copy_only=False)
+        tokens, begins = tokens.filter(pa.array(known)), np.concatenate([[0], np.cumsum(known)])[begins]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), tokens), " ")
 
 
-def bpe_encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """Append the ids of every whole text."""
+def bpe_round_trip(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", decoded_col: str | None = "decoded") -> DataFrame:
+    """Append the ids of every whole text and, unless ``decoded_col`` is None, the text they decode to; one pass."""
+    ship_package(docs.sparkSession)
+    kept = list(keep)
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text_col}`").alias("text"))
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    fields += [T.StructField(decoded_col, T.StringType())] if decoded_col else []
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in kept] + fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [f"k{i}" for i in range(len(kept))]
+        for columns, ids, begins in encode_batches(batches, "text", held, encoder(vocab_path).encode_chunks):
+            made = [pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))]
+            made += [decode_ids(ids, begins, vocab_path)] if decoded_col else []
+            yield pa.RecordBatch.from_arrays([*columns, *made], names=schema.names)
 
-    def run(texts: pa.Array) -> list[pa.Array]:
-        return [list_array(encoder(vocab_path).packed(texts_of(texts)))]
+    return source.mapInArrow(run, schema)
 
-    return map_columns(docs, run, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], [text_col], list(keep))
+
+def bpe_encode(docs: DataFrame, vocab_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
+    """Append the ids of every whole text."""
+    return bpe_round_trip(docs, vocab_path, text_col, keep, ids_col, None)
 
 
 def bpe_decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id", "ids"), decoded_col: str = "decoded") -> DataFrame:
     """Append the decoded text of every row's ids; null ids decode to the empty text."""
 
     def run(ids: pa.Array) -> list[pa.Array]:
-        table = token_table(vocab_path)
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        known = (flat >= 0) & (flat < len(table))
-        tokens = table[np.where(known, flat, 0)]
-        tokens[~known] = None
-        lengths = np.array([0 if n is None else n for n in ids.value_lengths().to_pylist()], dtype=np.int64)
-        ends = np.cumsum(lengths)
-        gaps = any(t is None for t in tokens)
-        tokens = tokens.tolist()
-        texts = []
-        for s, e in zip((ends - lengths).tolist(), ends.tolist()):
-            part = tokens[s:e]
-            texts.append(" ".join([t for t in part if t is not None] if gaps else part))
-        return [pa.array(texts, pa.string())]
+        begins = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        flat = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return [decode_ids(flat, begins, vocab_path)]
 
     return map_columns(encoded, run, [T.StructField(decoded_col, T.StringType())], [ids_col], list(keep))

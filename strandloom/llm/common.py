@@ -86,10 +86,10 @@ def fold_of(key: Column, k: int = 5) -> Column:
 SLICE_BYTES = 4 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], limit: int | None = None) -> Iterator[pa.RecordBatch]:
     """The non-empty batches, cut so that working memory does not follow the batch size."""
     for batch in batches:
-        rows = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        rows = max(1, batch.num_rows * (limit or SLICE_BYTES) // max(batch.nbytes, 1))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm.bpe import bpe_decode, bpe_encode
+from strandloom.llm.bpe import bpe_round_trip
 from strandloom.llm.common import fold_of
 from strandloom.llm.ctw import score_documents
 from strandloom.llm.embeddings import embedding_components
@@ -47,8 +47,7 @@ def _vocabulary() -> str:
 
 @_register("op3_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe_encode(_table(spark, sf_dir, "documents"), _vocabulary())
-    return bpe_decode(encoded, _vocabulary()).select(
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), _vocabulary()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
