@@ -1,17 +1,18 @@
 """Brute-force checks of op3, op7, op8 and op10 on small fixtures."""
 
-import hashlib
 import random
+import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandloom.llm import quality, simhash
-from strandloom.llm.bpe import bpe_decode, bpe_encode, encoder
+from strandloom.llm import bpe, common, quality, simhash
+from strandloom.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, encoder
 from strandloom.llm.graph import connected_components
 from strandloom.llm.token_files import library_encoder, read_token_files, token_folder, write_token_files
 
@@ -34,12 +35,37 @@ def random_texts(n, seed=7):
     return ["".join(rnd.choices(pool, k=rnd.randrange(80))) for _ in range(n)]
 
 
+def syllable_texts(n, seed=3):
+    """Texts of made-up words, so that a rank has many occurrences, also overlapping ones."""
+    rnd = random.Random(seed)
+    parts = ["th", "in", "er", "on", "le", "aa", "a", "oi", "ch", "ss", "é", "ou", "St", "--", "'s", "7", ","]
+    return [" ".join("".join(rnd.choices(parts, k=rnd.randrange(1, 9))) for _ in range(rnd.randrange(60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("held", [1 << 10, 64 << 20])
 @pytest.mark.parametrize("make", [encoder, library_encoder])
-def test_ids_equal_the_library(make):
-    texts = [t for t in TEXTS if t] + random_texts(1500)
+def test_ids_equal_the_library(make, held, monkeypatch):
+    monkeypatch.setattr(bpe, "HELD_BYTES", held)
+    monkeypatch.setattr(common, "SLICE_BYTES", 1 << 14)
+    texts = [t for t in TEXTS if t] + random_texts(1500) + syllable_texts(300)
     lib = Tokenizer.from_file(PATH)
     expected = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
-    assert make(PATH).encode_batch(texts) == expected
+    batch = pa.RecordBatch.from_pydict({"at": list(range(len(texts))), "text": texts})
+    found, at = [], []
+    for (kept,), ids, begins in bpe.encode_batches(iter([batch]), "text", ["at"], make(PATH).encode_chunks):
+        found += [ids[s:e].tolist() for s, e in zip(begins, begins[1:])]
+        at += kept.to_pylist()
+    assert at == list(range(len(texts)))
+    assert found == expected
+
+
+@pytest.mark.parametrize("many", [1, 10**9])
+def test_pair_index_merges_at_once_as_one_by_one(many, monkeypatch):
+    monkeypatch.setattr(bpe, "MANY", many)
+    words = sorted({w for t in syllable_texts(200) for w in re.findall("[a-zé]+", t)})
+    lib = Tokenizer.from_file(PATH)
+    ids, begins = encoder(PATH).bpe.encode(pa.array(words))
+    assert [ids[s:e].tolist() for s, e in zip(begins, begins[1:])] == [e.ids for e in lib.encode_batch(words, add_special_tokens=False)]
 
 
 def test_encode_decode_frame(spark):
@@ -55,12 +81,32 @@ def test_encode_decode_frame(spark):
     assert bpe_encode(docs.limit(0), PATH).count() == 0
 
 
+def test_repeated_ids_and_long_texts(spark):
+    texts = ["one two", "one two", "three", None, "x" * 200_000, "y z " * 50_000]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(None, "one two")] * 2, "doc_id long, text string")
+    lib = Tokenizer.from_file(PATH)
+    expected = sorted((lib.encode(t or "", add_special_tokens=False).ids for t in [*texts, "one two", "one two"]), key=repr)
+    found = bpe_round_trip(docs, PATH).collect()
+    assert sorted((r.ids for r in found), key=repr) == expected
+    assert all(r.decoded == lib.decode(r.ids, skip_special_tokens=False) for r in found)
+    folder = token_folder(docs)
+    out = read_token_files(write_token_files(docs, folder, PATH, part_bytes=1 << 18), folder).collect()
+    assert len(out) == 8 and sum(r.doc_id is None for r in out) == 2
+    at = 0
+    for r in sorted(out, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == [None, None] + [7] * 6
+    crc = sorted(zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*ids, 2])) for ids in expected)
+    assert sorted(r.ids_crc32 for r in out) == crc
+
+
 def test_token_files_round_trip(spark):
     docs = rows(spark, TEXTS)
     lib = Tokenizer.from_file(PATH)
     for width in (2, 4):
         folder = token_folder(docs)
-        out = read_token_files(write_token_files(docs, folder, PATH, width=width, partitions=4), folder, width=width).collect()
+        out = read_token_files(write_token_files(docs, folder, PATH, width=width, part_bytes=4096), folder, width=width).collect()
         at = 0
         for r in sorted(out, key=lambda r: (r.doc_id is not None, r.doc_id)):
             text = "no id" if r.doc_id is None else TEXTS[r.doc_id] or ""
