@@ -221,7 +221,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op5_lm_score")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = score_documents(docs, docs.where(fold_of(F.col("doc_id")) != 1))
+    found = score_documents(docs, fold_of(F.col("doc_id")) != 1)
     return found.select(
         "doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
     )

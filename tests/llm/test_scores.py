@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -18,96 +19,97 @@ def brute_kt(n0, n1):
 class BruteTree:
     """Context-tree weighting by the recursive definition, one node at a time."""
 
-    def __init__(self, texts, depth, nodes):
-        self.depth, self.counts = depth, [Counter() for _ in range(depth + 1)]
+    def __init__(self, texts, depth):
+        self.depth, self.seen = depth, Counter()
         for t in texts:
-            s = [255] * depth + list(t.encode()) + [255]
+            s = self.symbols(t)
             for i in range(depth, len(s)):
                 for d in range(depth + 1):
-                    self.counts[d][tuple(s[i - d : i])] += 1
-        total = sum(self.counts[0].values())
-        self.held = [{c for c, n in level.items() if n * nodes >= total} for level in self.counts]
-        self.seen = Counter()
-        for t in texts:
-            s = [255] * depth + list(t.encode()) + [255]
-            for i in range(depth, len(s)):
-                node = self.path(s[i - depth : i])
-                for name in node:
-                    self.seen[name, s[i]] += 1
-        self.symbols = sorted({b for _, b in self.seen})
-
-    def path(self, before):
-        out = [()]
-        for d in range(1, self.depth + 1):
-            c = tuple(before[len(before) - d :])
-            if c not in self.held[d]:
-                return [*out, ("rest", out[-1])]
-            out.append(c)
-        return out
-
-    def split(self, name, prefix):
-        bits = len(prefix)
+                    self.seen[tuple(s[i - d : i]), s[i]] += 1
+        self.children = {}
+        self.after = {}
+        for c, b in self.seen:
+            self.children.setdefault(c[1:], set()).add(c) if c else None
+            self.after.setdefault(c, set()).add(b)
+
+    def symbols(self, text):
+        return [255] * self.depth + list((text or "").encode()) + [255]
+
+    def split(self, context, prefix):
         n = [0, 0]
-        for b in self.symbols:
-            text = f"{b:08b}"
-            if text.startswith(prefix):
-                n[int(text[bits])] += self.seen[name, b]
+        for b in self.after.get(context, ()):
+            bits = f"{b:08b}"
+            if bits.startswith(prefix):
+                n[int(bits[len(prefix)])] += self.seen[context, b]
         return n
 
-    def weighted(self, name, prefix, d):
-        own = brute_kt(*self.split(name, prefix))
-        if name and name[0] == "rest" or d == self.depth:
+    def weighted(self, context, prefix):
+        own = brute_kt(*self.split(context, prefix))
+        if len(context) == self.depth:
             return own
-        below = sum(self.weighted(c, prefix, d + 1) for c in self.held[d + 1] if c[1:] == name) if d + 1 <= self.depth else 0
-        below += brute_kt(*self.split(("rest", name), prefix))
+        below = sum(self.weighted(c, prefix) for c in self.children.get(context, ()))
         return math.log(0.5) + np.logaddexp(own, below)
 
-    def predict(self, path, prefix, d=0):
-        n0, n1 = self.split(path[d], prefix)
+    def predict(self, before, prefix, d=0):
+        context = tuple(before[len(before) - d :])
+        n0, n1 = self.split(context, prefix)
         zero = (n0 + 0.5) / (n0 + n1 + 1)
-        if d == len(path) - 1:
+        if d == self.depth:
             return zero
-        stay = math.exp(math.log(0.5) + brute_kt(n0, n1) - self.weighted(path[d], prefix, d))
-        return stay * zero + (1 - stay) * self.predict(path, prefix, d + 1)
+        stay = math.exp(math.log(0.5) + brute_kt(n0, n1) - self.weighted(context, prefix))
+        return stay * zero + (1 - stay) * self.predict(before, prefix, d + 1)
 
     def score(self, text):
-        s = [255] * self.depth + list(text.encode()) + [255]
-        total = 0.0
+        s, total = self.symbols(text), 0.0
         for i in range(self.depth, len(s)):
-            path, bits = self.path(s[i - self.depth : i]), f"{s[i]:08b}"
-            for k in range(8):
-                zero = self.predict(path, bits[:k])
-                total += math.log10(zero if bits[k] == "0" else 1 - zero)
+            bits = f"{s[i]:08b}"
+            for j in range(8):
+                zero = self.predict(s[i - self.depth : i], bits[:j])
+                total += math.log10(1 - zero if bits[j] == "1" else zero)
         return total
 
 
+def brute_base(texts, learned, text):
+    def tokens(t):
+        return [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) if w] + [None]
+
+    counts = Counter(w for t, use in zip(texts, learned) if use for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    return sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(text)), len(tokens(text)), sum(counts[w] > 0 for w in tokens(text)), n
+
+
 def test_log_gamma():
-    x = np.array([0.5, 1, 1.5, 7.25, 100.5, 1e6, 3e9])
+    x = np.concatenate([np.arange(0.5, 9000, 0.5), [1e6 + 0.5, 1e9, 1e12 + 0.5]])
     assert np.allclose(ctw.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-9)
 
 
-def test_scores_match_brute_force(spark):
-    rnd = random.Random(11)
-    texts = [" ".join(rnd.choices(["abab", "Ba", "é", "b" * 70, "aab"], k=rnd.randrange(0, 7))) for _ in range(24)] + [None, "", "unseen Zz"]
-    data = [(i, t, 0.0) for i, t in enumerate(texts)] + [(3, texts[3], 0.0), (None, "no id", 0.0)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, score double").repartition(3)
-    train = docs.where("doc_id % 5 <> 1")
-    learned = [t or "" for i, t, _ in data if i is not None and i % 5 != 1]
-    brute = BruteTree(learned, 2, 12)
-    counts = Counter(w for t in learned for w in "".join(c.lower() if c.isascii() else c for c in t).split())
-    total, vocab = sum(counts.values()) + len(learned), len(counts) + 1
-    got = ctw.score_documents(docs, train, depth=2, nodes=12, heavy_words=4).collect()
-    assert len(got) == len(data)
+@pytest.mark.parametrize(("depth", "subtree", "heavy"), [(2, 10**6, 10**6), (2, 30, 20), (5, 60, 1), (5, 300, 50)])
+def test_scores_match_brute_force(spark, depth, subtree, heavy):
+    rnd = random.Random(5)
+    texts = [None, "", "  ", "A b\u00e9\u00e8 a\u0301", "\U0001f600 \u4e2d"] + ["".join(rnd.choices("aab cdé\n", k=rnd.randrange(30))) for _ in range(14)]
+    texts += [texts[6], "unseen zzz qqq", "q" * 40, "w" * 65 + " b"]
+    learned = [i % 3 != 0 and i < 20 for i in range(len(texts))]
+    schema = "doc_id long, text string, train boolean, row int, string long, words string, gain double"
+    docs = spark.createDataFrame([(i, t, use, 0, 0, "clash", 0.0) for i, (t, use) in enumerate(zip(texts, learned))], schema)
+    brute = BruteTree([t for t, use in zip(texts, learned) if use], depth)
+    got = ctw.score_documents(docs, F.col("train"), depth=depth, subtree=subtree, heavy_strings=heavy, heavy_words=heavy).collect()
+    assert len(got) == len(texts)
     for r in got:
-        text = "no id" if r.doc_id is None else texts[r.doc_id] or ""
-        tokens = "".join(c.lower() if c.isascii() else c for c in text).split()
-        c = [*[counts[w] for w in tokens], len(learned)]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(c), sum(x > 0 for x in c), total)
-        assert r.base_score == pytest.approx(sum(math.log10((x + 0.5) / (total + 0.5 * (vocab + 1))) for x in c), rel=1e-9)
-        assert r.score == pytest.approx(brute.score(text), rel=1e-5)
-    assert ctw.score_documents(docs.limit(0), docs.limit(0)).count() == 0
-    untrained = ctw.score_documents(docs.where("doc_id = 0"), docs.limit(0)).first()
-    assert untrained.train_tokens == 0 and untrained.bits_per_byte == pytest.approx(8.0)
+        text = texts[r.doc_id]
+        base, n_tokens, n_known, n = brute_base(texts, learned, text)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n_tokens, n_known, n)
+        assert r.base_score == pytest.approx(base, abs=1e-9)
+        assert r.score == pytest.approx(brute.score(text), abs=1e-7)
+        assert r.bits_per_byte == pytest.approx(-brute.score(text) / math.log10(2) / (len((text or "").encode()) + 1), abs=1e-7)
+
+
+def test_scores_without_training_or_rows(spark):
+    docs = spark.createDataFrame([(0, "ab"), (None, None)], "doc_id long, text string")
+    assert ctw.score_documents(docs.limit(0), F.lit(True)).count() == 0
+    for flag in (F.lit(False), F.lit(None).cast("boolean")):
+        rows = {r.doc_id: r for r in ctw.score_documents(docs, flag).collect()}
+        assert rows[0].score == pytest.approx(24 * math.log10(0.5)) and rows[None].score == pytest.approx(8 * math.log10(0.5))
+        assert [rows[0].train_tokens, rows[0].base_score, rows[0].n_known] == [0, 0.0, 0]
 
 
 def test_language_identification(spark):
