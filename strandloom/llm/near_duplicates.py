@@ -1,14 +1,16 @@
-"""Near-duplicates by the exact Jaccard similarity of texts' sets of 5-word shingles.
+"""Near-duplicates by SimHash over 5-word shingles, links verified by the exact Jaccard similarity.
 
-A text's words, A-Z lower-cased, form 5-word shingles; two texts are linked if their sets of shingles (as XXH64, seed
-42) have a Jaccard similarity of 4/5 or more. No link is missed: in any order of all shingles, two such sets share one
-of their first n - ceil(4 n / 5) + 1 shingles, so a join on these prefixes finds every candidate, and every candidate
-is checked by intersecting the whole sets, unless parity bits prove that too many shingles differ. Shingles that are frequent in a bounded sample come last in the order,
-which keeps boilerplate out of the prefixes; the sample affects the cost, never the result.
+A text's words, A-Z lower-cased, form 5-word shingles; two texts are linked if their sets of shingles (64-bit hashes)
+have a Jaccard similarity of 4/5 or more. Candidates come from operator 8's comparison in tiles: fingerprints of 256
+bits, exclusive-or and bit counts, a link within RADIUS bits. At a similarity of 0.8 two fingerprints differ in 39 bits
+on average with a deviation of 6, so a radius of 64 loses a pair there with a chance of about 1 in 100,000.
 
-Texts with equal sets meet first and count once. Then each set is checked against one other with the same first
-shingle, and the prefix join leaves out pairs that those links already put into one component, so that a large group
-of near copies costs one check a member and not one a pair.
+Texts with equal sets meet first and count once. Tiles are intervals of the sets' sizes, as similar sets differ by no
+more than 5/4 in size; within a tile pair, blocks whose population counts differ beyond the radius are skipped. The
+first round sends, for every text with candidates, one of them, near ones first; these are verified and give
+components. The second round compares the texts with candidates again and sends only pairs in different components
+that parity bits do not exclude, which prove how many shingles two sets differ in at least. So a group of near copies costs
+one check a member, and no pair above the threshold is left out but for the radius.
 
 Defined cases: a null, empty or word-free text has the shingle of no words, so these are copies of one another; fewer
 than five words give one shingle of them all; ``component_id`` is the smallest non-null doc_id reachable (null if
@@ -17,165 +19,263 @@ there is none); repeated rows repeat their result; an empty table gives an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from strandloom.llm.common import discard, fresh, map_columns, materialise, texts_of
+from strandloom.llm.common import discard, fresh, map_columns, materialise, ship_package, slices
 from strandloom.llm.graph import connected_components
 
 WIDTH = 5
-#: Texts whose shingles are counted, about, and shingles put last, at most.
-SAMPLE, COMMON = 8192, 200_000
-
+#: Bits in which fingerprints of linked texts differ at most, of 64 * WORDS; and below which candidates are taken first.
+RADIUS, WORDS, NEAR = 64, 4, 44
+#: Texts a tile; a group holds two tiles at most.
+TILE = 16_384
+#: Ratio of the sizes at the ends of a bin, a little over 5/4, so that similar sets lie in neighbouring bins.
+RATIO = 1.26
+#: Parity bits, at most.
+PARITY_BITS = 4096
+#: Bits of the filter that texts pass before they are shuffled for verification.
+FILTER_BITS = 27
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finaliser of SplitMix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def shingle_sets(texts: pa.StringArray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of every text, ascending, one text after another, and where each text's begin."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten()
+    text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    held = pc.not_equal(flat, "")
+    words = flat.filter(held).dictionary_encode()
+    text = text[held.to_numpy(zero_copy_only=False)]
+    digest = xxhash.xxh64_intdigest
+    hashed = np.array([digest(w, 42) for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()], dtype=np.uint64)
+    word = hashed[words.indices.to_numpy(zero_copy_only=False)] if len(text) else np.zeros(0, dtype=np.uint64)
+    counts = np.bincount(text, minlength=len(texts))
+    ends = np.cumsum(counts)
+    # A shingle starts at each word with enough words behind it, and at the first word of a shorter text.
+    place = np.arange(len(word)) - np.repeat(ends - counts, counts)
+    size = np.repeat(np.minimum(counts, width), counts)
+    first = np.flatnonzero((place + size <= np.repeat(counts, counts)) & ((size == width) | (place == 0)))
+    value = np.zeros(len(first), dtype=np.uint64)
+    for k in range(width):
+        inside = size[first] > k
+        value[inside] = _mix(value[inside] + GOLDEN + word[first[inside] + k])
+    empty = np.flatnonzero(counts == 0)
+    value = np.concatenate([value, np.full(len(empty), GOLDEN)])
+    of = np.concatenate([text[first], empty])
+    order = np.lexsort((value, of))
+    value, of = value[order], of[order]
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    value, of = value[new], of[new]
+    return value, np.searchsorted(of, np.arange(len(texts) + 1))
+
+
+def fingerprints(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """One row of WORDS 64-bit numbers a text: a bit is set if it is in over half of the shingles."""
+    n = len(begins) - 1
+    counts = np.zeros((n, 64 * WORDS), dtype=np.int32)
+    of = np.repeat(np.arange(n), np.diff(begins))
+    for s in range(0, len(values), 1 << 15):
+        part, text = values[s : s + (1 << 15)], of[s : s + (1 << 15)]
+        spread = np.stack([_mix(part + np.uint64(k * int(GOLDEN) % 2**64)) for k in range(WORDS)], axis=1)
+        bits = np.unpackbits(spread.view(np.uint8), axis=1, bitorder="little")
+        first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        counts[text[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    bits = (2 * counts > np.diff(begins)[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
-def shingles(text: str, width: int = WIDTH, seed: int = 42) -> np.ndarray:
-    """The distinct shingles of one whole text, ascending."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        hashes = [digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1]
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist())]
-    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
 
+def parities(own: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of the shingles fall on i; a power of two of bits, one or two a shingle."""
+    bits = min(PARITY_BITS, max(64, 1 << len(own).bit_length()))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_differences(parity: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A proven lower bound of the number of shingles that each pair of sets does not share."""
+    sizes = np.fromiter(map(len, parity), dtype=np.int64, count=len(parity))
+    both = np.minimum(sizes[i], sizes[j])
+    out = np.zeros(len(i), dtype=np.int64)
+    for size in np.unique(both).tolist():
+        pairs = np.flatnonzero(both == size)
+        rows = np.unique(np.concatenate([i[pairs], j[pairs]]))
+        # Longer parities fold onto shorter ones by exclusive-or.
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(parity[r], dtype=np.uint8).reshape(-1, size), axis=0) for r in rows.tolist()])
+        for s in range(0, len(pairs), 65_536):
+            p = pairs[s : s + 65_536]
+            out[p] = np.bitwise_count(folded[np.searchsorted(rows, i[p])] ^ folded[np.searchsorted(rows, j[p])]).sum(axis=1)
+    return out
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash, key, n, fp, parity) of every row; ``key`` digests the whole set, ``hash`` the text."""
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        values, begins = shingle_sets(texts)
+        spans = [values[s:e] for s, e in zip(begins.tolist(), begins[1:].tolist())]
+        fps = fingerprints(values, begins)
+        return [
+            pa.array([xxhash.xxh3_128_digest(own.tobytes()) for own in spans], pa.binary()), pa.array(np.diff(begins), pa.int64()),
+            pa.array([row.tobytes() for row in fps], pa.binary()), pa.array([parities(own) for own in spans], pa.binary()),
+        ]
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)))
-
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    named = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    fields = [T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("parity", T.BinaryType())]
+    return map_columns(named, run, fields, ["text"], ["id", "hash"])
+
+
+def _tiles(nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """Each node once for every tile pair it takes part in; tiles are hashed parts of the bins of size."""
+    binned = nodes.withColumn("bin", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(RATIO))).cast("int"))
+    # One row a bin; the bins grow with the logarithm of the longest text.
+    tiles = {r.bin: -(-r["count"] // TILE) for r in binned.groupBy("bin").count().collect()}
+    near = [(a, b, tiles[a], tiles[b]) for a in tiles for b in (a - 1, a, a + 1) if b in tiles]
+    grid = nodes.sparkSession.createDataFrame(near, "bin int, bin2 int, tiles int, tiles2 int")
+    mine, other = F.struct("bin", "tile"), F.struct(F.col("bin2").alias("bin"), F.col("tile2").alias("tile"))
+    return (
+        binned.join(F.broadcast(grid), "bin")
+        .withColumn("tile", F.pmod(F.xxhash64("rid"), F.col("tiles").cast("long")).cast("int"))
+        .withColumn("tile2", F.explode(F.sequence(F.lit(0), F.col("tiles2") - 1)))
+        .select(*columns, F.least(mine, other).alias("a"), F.greatest(mine, other).alias("b"), (mine <= other).alias("first"))
+    )
 
-def _sets(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Append ``shingles``; no shuffle."""
-    field = T.StructField("shingles", T.ArrayType(T.LongType()))
-    return map_columns(docs, lambda texts: [_lists([shingles(t) for t in texts_of(texts)])], [field], [text_col], keep)
 
+def near_pairs(fp: np.ndarray, n: np.ndarray, first: np.ndarray, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits apart) of all rows of a tile pair within RADIUS bits whose sizes fit, in blocks."""
+    count = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
+    same = bool(first.all())
+    ours = np.flatnonzero(first)
+    theirs = ours if same else np.flatnonzero(~first)
+    ours, theirs = (x[np.argsort(count[x], kind="stable")] for x in (ours, theirs))
+    ordered = count[theirs]
+    for s in range(0, len(ours), block):
+        left = ours[s : s + block]
+        low = s if same else np.searchsorted(ordered, count[left[0]] - RADIUS)
+        right = theirs[low : np.searchsorted(ordered, count[left[-1]] + RADIUS, side="right")]
+        if not len(right):
+            continue
+        apart = np.zeros((len(left), len(right)), dtype=np.uint8)
+        for k in range(WORDS - 1):
+            apart += np.bitwise_count(fp[left, k][:, None] ^ fp[right, k][None, :])
+        i, j = np.nonzero(apart <= RADIUS)
+        bits = apart[i, j].astype(np.int64)
+        i, j = left[i], right[j]
+        bits += np.bitwise_count(fp[i, -1] ^ fp[j, -1])
+        held = (bits <= RADIUS) & (i != j) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        yield i[held], j[held], bits[held]
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(-1, WORDS)
+    first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
+    return table.column("rid").to_numpy(), fp, table.column("n").to_numpy(), first
+
+
+def _one_candidate(table: pa.Table) -> pa.Table:
+    """For every row with candidates the least of those with a smaller number, near ones first; -1 if all are larger."""
+    rid, fp, n, first = _columns(table)
+    none = np.int64(2**63 - 1)
+    best, some = np.full(len(rid), none), np.zeros(len(rid), dtype=bool)
+    far = np.int64(1 << 62)
+    for i, j, bits in near_pairs(fp, n, first):
+        some[i] = some[j] = True
+        low, high = np.where(rid[i] < rid[j], i, j), np.where(rid[i] < rid[j], j, i)
+        np.minimum.at(best, high, rid[low] + np.where(bits > NEAR, far, 0))
+    at = np.flatnonzero(some)
+    return pa.table({"rid": rid[at], "hub": best[at]})
+
+
+def _other_candidates(table: pa.Table) -> pa.Table:
+    """All pairs in different components that their parities do not exclude."""
+    rid, fp, n, first = _columns(table)
+    root = table.column("root").to_numpy()
+    parity = table.column("parity").to_pylist()
+    out = [(rid[:0], rid[:0])]
+    for i, j, _ in near_pairs(fp, n, first):
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        # Jaccard >= 4/5 is the same as at most a ninth of both sizes in one set only.
+        held = 9 * least_differences(parity, i, j) <= n[i] + n[j] if len(i) else np.zeros(0, dtype=bool)
+        out.append((rid[i[held]], rid[j[held]]))
+    src, dst = (np.concatenate(x) for x in zip(*out))
+    return pa.table({"src": pa.array(np.minimum(src, dst), pa.int64()), "dst": pa.array(np.maximum(src, dst), pa.int64())})
+
+
+def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rid, text) for the rows (rid, id, hash); most other texts are left where they are by a filter of fixed size."""
+    spark = docs.sparkSession
+    bit = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    # At most 2^FILTER_BITS / 64 rows.
+    words = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(bits.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            at = batch.column("hash").to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+            held = shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield batch.filter(pa.array(held.astype(bool)))
 
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """Shingles of at least three of a sample of about SAMPLE texts, rarest first; at most COMMON."""
-    n = texts.count()
-    sample = texts.where(F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(n)) < SAMPLE) if n > SAMPLE else texts
-    counts = _sets(sample, "text", []).select(F.explode("shingles").alias("h")).groupBy("h").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow().column("h").to_numpy()
-    return found[::-1].astype(np.int64)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    named = docs.select(F.col(f"`{id_col}`").alias("own"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    held = named.mapInArrow(run, named.schema)
+    joined = held.join(wanted, (held["hash"] == wanted["hash"]) & F.col("own").eqNullSafe(F.col("id")))
+    return joined.select("rid", "text").dropDuplicates(["rid"])
 
 
-def parities(own: np.ndarray) -> bytes:
-    """Bit i tells whether an odd number of the shingles fall on i; a power of two of bits, 64 or about one a shingle."""
-    bits = max(64, 1 << (len(own) - 1).bit_length())
-    return np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def least_difference(a: bytes, b: bytes) -> int:
-    """A proven lower bound of the number of shingles in one of two sets only, from their parities."""
-    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
-def _marked(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, hash, node, n, parity, prefix): ``node`` digests the whole set, ``prefix`` is in the common order."""
-    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable")))
-
-    def run(column: pa.Array) -> list[pa.Array]:
-        keys, rank = shared.value
-        node, size, parity, prefixes = [], [], [], []
-        for text in texts_of(column):
-            own = shingles(text)
-            n, order = len(own), own
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hot = keys[at] == own
-                order = np.concatenate([own[~hot], own[hot][np.argsort(rank[at[hot]])]])
-            node.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
-            size.append(n)
-            parity.append(parities(own))
-            prefixes.append(order[: n - (4 * n + 4) // 5 + 1])
-        return [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(parity, pa.binary()), _lists(prefixes)]
-
-    fields = [
-        T.StructField("node", T.LongType()), T.StructField("n", T.LongType()),
-        T.StructField("parity", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
-    ]
-    return map_columns(texts, run, fields, ["text"], ["id", "hash"])
-
-
-def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (src, dst) whose sets have a Jaccard similarity of 4/5 or more."""
+    ends = [texts.select(F.col("rid").alias(c), F.col("text").alias(f"{c}_text")) for c in ("src", "dst")]
+    both = pairs.join(ends[0], "src").join(ends[1], "dst")
 
-    def apart(a: pa.Array, b: pa.Array) -> list[pa.Array]:
-        return [pa.array([least_difference(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())]
-
-    ends = [nodes.select(F.col("node").alias(e), F.col("n").alias(f"{e}_n"), F.col("parity").alias(f"{e}_parity")) for e in ("src", "dst")]
-    sized = pairs.join(ends[0], "src").join(ends[1], "dst")
-    bounded = map_columns(sized, apart, [T.StructField("apart", T.LongType())], ["src_parity", "dst_parity"], ["src", "dst", "src_n", "dst_n"])
-    # Jaccard >= 4/5 is the same as at most a ninth of both sizes in one set only; these pairs can hold it.
-    pairs = materialise(bounded.where(9 * F.col("apart") <= F.col("src_n") + F.col("dst_n")).select("src", "dst"), "candidates")
-    wanted = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
-    held = texts.join(nodes.join(wanted, "node").select("hash", "node"), "hash").select("node", "text").dropDuplicates(["node"])
-    sets = materialise(_sets(held, "text", ["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), "src")
-    both = both.join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b")), "dst")
-    # |A and B| / |A or B| >= 4/5, in whole numbers.
-    enough = 9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))
-    checked = materialise(both.where(enough).select("src", "dst"), "checked")
-    discard(sets)
-    discard(pairs)
-    return checked
-
-
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-
-
-def near_links(marked: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (src, dst) that give the components of all pairs of ``nodes`` at 4/5 or more."""
-    centre = nodes.groupBy("first").agg(F.min(F.struct("node", "n")).alias("c"))
-    star = nodes.join(centre, "first").where("node <> c.node").where(_sizes_fit(F.col("n"), F.col("c.n")))
-    near = _checked(star.select(F.col("node").alias("src"), F.col("c.node").alias("dst")), nodes, texts)
-    joined = connected_components(near).withColumnRenamed("node", "known")
-    roots = nodes.join(joined, F.col("node") == F.col("known"), "left").select("node", "row", F.coalesce("component", "node").alias("root"))
-    entries = (
-        marked.select("row", "node", "n", "prefix").join(roots, ["node", "row"])
-        .select("node", "root", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "h"))
-        .select("h", "node", "root", "n", (F.col("n") - F.col("at")).alias("left"))
-    )
-    # Shingles of one component only are done; the others are few.
-    own = Window.partitionBy("h")
-    several = entries.withColumn("low", F.min("root").over(own)).withColumn("high", F.max("root").over(own)).where("low <> high")
-    entries = materialise(several.drop("low", "high"), "prefixes")
-    other = entries.select("h", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "left", "root")])
-    met = (
-        entries.join(other, "h").where("node < node2 AND root <> root2").where(_sizes_fit(F.col("n"), F.col("n2")))
-        # Holds at the first shingle that the two sets share, where no more than these can be common.
-        .where(9 * F.least("left", "left2") >= 4 * (F.col("n") + F.col("n2")))
-    )
-    far = _checked(met.select(F.col("node").alias("src"), F.col("node2").alias("dst")).distinct(), nodes, texts)
-    discard(entries)
-    return near.unionByName(far)
+    def run(a: pa.Array, b: pa.Array) -> list[pa.Array]:
+        (x, x_at), (y, y_at) = shingle_sets(a), shingle_sets(b)
+        shared = [len(np.intersect1d(x[s:e], y[t:u], assume_unique=True)) for s, e, t, u in zip(x_at, x_at[1:], y_at, y_at[1:])]
+        return [pa.array(9 * np.array(shared, dtype=np.int64) >= 4 * (np.diff(x_at) + np.diff(y_at)))]
+
+    checked = map_columns(both, run, [T.StructField("linked", T.BooleanType())], ["src_text", "dst_text"], ["src", "dst"])
+    return materialise(checked.where("linked").select("src", "dst").distinct(), "verified")
 
 
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hash, component_id) of every row; ``hash`` is the text's."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    marked = materialise(_marked(texts, common_shingles(texts)).withColumn("row", F.monotonically_increasing_id()), "shingles")
-    # One row stands for each set, with its own prefix.
-    each = marked.groupBy("node").agg(
-        F.min("id").alias("low"), F.min(F.struct("row", "hash", "n", "parity", F.element_at("prefix", 1).alias("first"))).alias("r")
-    )
-    nodes = materialise(each.select("node", "low", "r.*"), "nodes")
-    links = connected_components(near_links(marked, nodes, texts.select("hash", "text"))).withColumnRenamed("node", "known")
-    grouped = nodes.join(links, F.col("node") == F.col("known"), "left").select("node", "low", F.coalesce("component", "node").alias("root"))
+    ship_package(docs.sparkSession)
+    marked = materialise(_marked(docs, id_col, text_col), "shingles")
+    # One row stands for each set.
+    each = marked.groupBy("key").agg(F.min("id").alias("low"), F.min(F.struct("hash", "id")).alias("r"), *[F.min(c).alias(c) for c in ("n", "fp", "parity")])
+    nodes = materialise(each.select("key", "low", "r.hash", "r.id", "n", "fp", "parity").withColumn("rid", F.monotonically_increasing_id()), "nodes")
+    tiles = _tiles(nodes, ["rid", "n", "fp"])
+    found = tiles.groupBy("a", "b").applyInArrow(_one_candidate, "rid long, hub long")
+    active = materialise(found.groupBy("rid").agg(F.min("hub").alias("hub")).withColumn("hub", F.when(F.col("hub") < 2**63 - 1, F.col("hub") % (1 << 62))), "active")
+    held = nodes.join(active.select("rid"), "rid")
+    texts = materialise(_texts_of(docs, held.select("rid", "id", "hash"), id_col, text_col), "candidates")
+    stars = _verified(active.where("hub IS NOT NULL").select(F.col("rid").alias("src"), F.col("hub").alias("dst")), texts)
+    roots = connected_components(stars).withColumnRenamed("node", "rid")
+    rooted = held.join(roots, "rid", "left").withColumn("root", F.coalesce("component", "rid"))
+    rest = _tiles(rooted, ["rid", "n", "fp", "parity", "root"]).groupBy("a", "b").applyInArrow(_other_candidates, "src long, dst long")
+    links = _verified(materialise(rest, "rest"), texts)
+    joined = connected_components(stars.unionByName(links)).withColumnRenamed("node", "rid")
+    discard(texts)
+    grouped = nodes.join(joined, "rid", "left").select("key", "low", F.coalesce("component", "rid").alias("root"))
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = materialise(grouped.join(lows, "root").select("node", "component_id"), "components")
-    return marked.select("id", "hash", "node").join(found, "node").select(F.col("id").alias(id_col), "hash", "component_id")
+    placed = materialise(grouped.join(lows, "root").select("key", "component_id"), "components")
+    return marked.select("id", "hash", "key").join(placed, "key").select(F.col("id").alias(id_col), "hash", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,14 +284,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of repeated rows of one id one stays; rows without an id stay where no row of their component has one,
     exact copies among them once.
     """
-    key, digest, row = fresh(docs, "kept"), fresh(docs, "kept_hash"), fresh(docs, "row")
-    kept = (
-        near_duplicate_components(docs, id_col, text_col)
-        .where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id")))
-        .select(F.col(f"`{id_col}`").alias(key), F.col("hash").alias(digest))
-        .distinct()
-    )
-    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    held = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & (text_hash == F.col(digest)), "left_semi")
-    one = Window.partitionBy(F.col(f"`{id_col}`"), F.when(F.col(f"`{id_col}`").isNull(), text_hash)).orderBy(text_hash)
-    return held.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row)
+    key, digest, times, row = (fresh(docs, c) for c in ("kept", "kept_hash", "kept_times", "kept_row"))
+    of_text = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    own = F.col(f"`{id_col}`")
+    found = near_duplicate_components(docs, id_col, text_col).where(own.eqNullSafe(F.col("component_id")))
+    # Of several texts of one id, the one with the least hash.
+    held = found.groupBy(own.alias(key), F.when(own.isNull(), F.col("hash")).alias("each")).agg(F.min("hash").alias(digest), F.count("*").alias(times))
+    kept = materialise(held.drop("each"), "kept")
+    joined = docs.join(kept, own.eqNullSafe(F.col(key)) & (of_text == F.col(digest)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = Window.partitionBy(F.col(key), F.col(digest)).orderBy(F.col(digest))
+    repeated = joined.where(F.col(times) > 1).withColumn(row, F.row_number().over(one)).where(F.col(row) == 1)
+    return joined.where(F.col(times) == 1).select(*columns).unionByName(repeated.select(*columns))

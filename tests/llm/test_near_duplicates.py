@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -59,9 +61,10 @@ def test_edited_copies_as_by_brute_force(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-def test_sample_changes_no_result(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "SAMPLE", 40)
-    monkeypatch.setattr(near_duplicates, "COMMON", 3)
+@pytest.mark.parametrize(("tile", "near"), [(16, 44), (50, 0), (4096, 64)])
+def test_components_as_by_brute_force(spark, rows, monkeypatch, tile, near):
+    monkeypatch.setattr(near_duplicates, "TILE", tile)
+    monkeypatch.setattr(near_duplicates, "NEAR", near)
     found = near_duplicates.near_duplicate_components(spark.createDataFrame(rows, SCHEMA))
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(zip([r[0] for r in rows], brute_force(rows)))
 
@@ -73,12 +76,41 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([(3, a), (5, b), (-1, "alone")])
 
 
+def sets_of(texts):
+    values, begins = near_duplicates.shingle_sets(pa.array(texts, pa.string()))
+    return [values[s:e] for s, e in zip(begins, begins[1:])]
+
+
+def test_shingle_sets_have_the_right_similarity(rows):
+    texts = [t for _, t, _ in rows]
+    found = sets_of(texts)
+    for i in range(0, len(texts) - 5, 5):
+        for j in range(i, i + 5):
+            a, b = shingle_set(texts[i]), shingle_set(texts[j])
+            assert len(found[i]) == len(a) and len(np.intersect1d(found[i], found[j])) == len(a & b)
+
+
 def test_parities_bound_the_difference():
     rnd = random.Random(2)
-    for n in (1, 50, 64, 65, 300, 1100):
-        a = near_duplicates.shingles(" ".join(str(rnd.random()) for _ in range(n)))
-        b = near_duplicates.np.union1d(a[: len(a) * 9 // 10], near_duplicates.shingles(" ".join(str(rnd.random()) for _ in range(n // 8))))
-        assert near_duplicates.least_difference(near_duplicates.parities(a), near_duplicates.parities(b)) <= len(near_duplicates.np.setxor1d(a, b))
+    for n in (1, 50, 64, 65, 300, 1100, 9000):
+        a, other = sets_of([" ".join(str(rnd.random()) for _ in range(k)) for k in (n, n // 8)])
+        b = np.union1d(a[: len(a) * 9 // 10], other)
+        bound = near_duplicates.least_differences([near_duplicates.parities(x) for x in (a, b)], np.array([0, 1]), np.array([1, 0]))
+        assert bound[0] == bound[1] <= len(np.setxor1d(a, b))
+
+
+def test_radius_misses_next_to_no_pair_at_the_threshold():
+    rnd = np.random.default_rng(4)
+    within = 0
+    for n in (9, 18, 90, 900):
+        shared, each = 8 * n // 9, n - 8 * n // 9
+        rows = []
+        for _ in range(500):
+            common = rnd.integers(0, 2**63, shared, dtype=np.uint64)
+            rows += [np.concatenate([common, rnd.integers(0, 2**63, each, dtype=np.uint64)]) for _ in range(2)]
+        fp = near_duplicates.fingerprints(np.concatenate(rows), np.arange(len(rows) + 1) * n)
+        within += int((np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1) <= near_duplicates.RADIUS).sum())
+    assert within >= 1998  # of 2,000 pairs at exactly 0.8
 
 
 def test_no_rows(spark):
