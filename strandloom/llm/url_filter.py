@@ -1,15 +1,15 @@
 """URL filters as a temporal list join.
 
 Dated list entries (key, since, action) become validity intervals: an entry holds until the next dated entry of its
-key. A capture asks for its host, every parent domain and every path prefix below its host; an as-of join, on the key
-and with the fetch date inside the interval, finds the entries active when it was fetched. At most one interval of a
-key holds at a time, so a capture matches no more rows than it has keys. Only DataFrame operations are used; a hot
+key. A capture asks for its host, every parent domain and every path prefix below its host; an as-of join finds the
+entries active when it was fetched: a key's intervals are one row, of which at most one interval holds the fetch date,
+so the join gives no more rows than a capture has keys, however long a key's history. Only DataFrame operations are used; a hot
 host is split by adaptive execution's skew join, and the list is broadcast only where Spark knows it to be small.
 
 Keys: ``example.com`` covers that host and all below it; ``example.com/a`` covers that path and all below it.
 
 Defined cases: a capture with a null or host-less URL or a null date matches nothing; host names are compared in
-lower case without user and port; entries with a null key, date or action are ignored; of entries of one key and
+lower case without user, port and dots at the end, in URLs and in keys; paths are compared as they are; entries with a null key, date or action are ignored; of entries of one key and
 date ``block`` wins; repeated captures are judged one by one; empty tables give no matches or an empty result.
 """
 
@@ -22,7 +22,8 @@ from strandloom.llm.common import materialise
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user and port; the empty string if there is none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.regexp_replace(F.lower(host), r"\.+$", "")
 
 
 def path_of(url: Column) -> Column:
@@ -41,15 +42,25 @@ def candidate_keys(url: Column) -> Column:
     return F.when(host_of(url) != "", F.array_distinct(F.concat(domains, deeper)))
 
 
+def entry_key(key: Column) -> Column:
+    """The key as captures ask for it: host in lower case without dots at its end, path as it is, without slashes at its end."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(key, "^[^/]*", 0)), r"\.+$", "")
+    return F.concat(host, F.regexp_replace(F.regexp_extract(key, "^[^/]*(.*)$", 1), "/+$", ""))
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
-    """(key, since, until) of the blocking entries; ``until`` is null while the entry still holds."""
+    """(key, spans): the key's blocking intervals (since, until), ascending; ``until`` is null while the entry still holds.
+
+    One row a key; its spans are no more than the dates on which it was listed.
+    """
     dated = (
-        entries.select(F.lower("key").alias("key"), F.col("since").cast("date").alias("since"), "action")
+        entries.select(entry_key(F.col("key")).alias("key"), F.col("since").cast("date").alias("since"), "action")
         .where("key IS NOT NULL AND since IS NOT NULL AND action IS NOT NULL")
         .groupBy("key", "since").agg(F.max("action").alias("action"))
     )
     until = F.lead("since").over(Window.partitionBy("key").orderBy("since"))
-    return dated.withColumn("until", until).where("action = 'block'").select("key", "since", "until")
+    spans = F.array_sort(F.collect_list(F.struct("since", "until")))
+    return dated.withColumn("until", until).where("action = 'block'").groupBy("key").agg(spans.alias("spans"))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", date_col: str = "fetched") -> DataFrame:
@@ -60,7 +71,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
         "captures",
     )
     asked = narrow.where("fetched IS NOT NULL").select("row", "fetched", F.explode(candidate_keys(F.col("url"))).alias("key"))
-    active = asked.join(validity_intervals(entries), "key").where("since <= fetched AND (until IS NULL OR fetched < until)")
+    held = F.filter("spans", lambda s: (s["since"] <= F.col("fetched")) & (s["until"].isNull() | (F.col("fetched") < s["until"])))
+    active = asked.join(validity_intervals(entries), "key").withColumn("since", F.get(held, 0)["since"]).where("since IS NOT NULL")
     best = active.groupBy("row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "since")).alias("best"))
     return narrow.join(best, "row", "left").select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), F.col("fetched").alias(date_col),
