@@ -1,13 +1,13 @@
 """Packing with optimal length buckets.
 
-The lengths of all documents give one global histogram of bounded size. Dynamic programming over it chooses at most
+The lengths of all documents give one global histogram. Dynamic programming over it chooses at most
 ``buckets`` upper bounds that minimise the padding of all documents; inside a bucket, batches of as many documents
 as the token budget holds at the bucket's bound are formed. Only DataFrame operations touch the rows. Ranks inside a
 bucket come from row numbers in bounded shards plus prefix sums of the shards' counts, so no task sorts a whole
 bucket and every bucket has at most one batch that is not full.
 
-Lengths are words and, below EXACT, exact; above, the histogram's cells are a 4,096th of an octave wide and a cell's
-longest member is the candidate bound, so the histogram has less than 100,000 cells at any size.
+Lengths are words, and the histogram has one row for each distinct length: as d distinct lengths take d * d / 2 words
+at least, a corpus of 10^13 words has less than 5 million of them.
 
 Defined cases: a null or empty text has length 0; a document longer than the budget is a batch of its own; ties and
 repeated rows are placed one by one; an empty table gives an empty result; other columns are not read.
@@ -22,8 +22,6 @@ from strandloom.llm.common import WORD_RE, materialise
 
 BUCKETS = 16
 TOKEN_BUDGET = 16_384
-#: Lengths up to here have a histogram cell each.
-EXACT = 8_192
 #: Rows of a shard, in which ranks are numbered by one task.
 SHARD_ROWS = 8_192
 
@@ -33,11 +31,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def _cell(n: Column) -> Column:
-    width = F.greatest(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)))) - 12).cast("long"))
-    return F.when(n <= EXACT, n).otherwise(n - F.pmod(n, width))
-
-
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Ascending upper bounds, at most ``buckets``, with the least total padding.
 
@@ -52,7 +45,7 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     best = [0] + [None] * n
     choice = []
     for _ in range(min(buckets, n)):
-        new, back, hull = [0] + [None] * n, [0] * (n + 1), []
+        new, back, hull = [0] + [None] * n, np.zeros(n + 1, dtype=np.int64), []
         at = 0
         for j in range(1, n + 1):
             if best[j - 1] is not None:
@@ -73,7 +66,7 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
         if j == 0:
             break
         bounds.append(size[j - 1])
-        j = back[j]
+        j = int(back[j])
     return bounds[::-1]
 
 
@@ -85,12 +78,11 @@ def _hides(a: tuple, b: tuple, c: tuple) -> bool:
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
     """(id, n_tokens, bucket, padded_tokens, batch, slot) of every row; ``batch`` is unique over all buckets."""
     n = word_count(F.col(f"`{text_col}`")) if length is None else F.coalesce(length, F.lit(0)).cast("long")
-    order = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    # The row number tells repeated rows apart, which else would share a shard.
+    order = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.monotonically_increasing_id())
     sized = materialise(docs.select(F.col(f"`{id_col}`"), n.alias("n_tokens"), order.alias("__h")), "lengths")
-    cells = sorted(
-        (r.high, r["count"]) for r in sized.groupBy(_cell(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("high"), F.count("*").alias("count")).collect()
-    )
-    highs, counts = np.array([c[0] for c in cells]), np.array([c[1] for c in cells])
+    cells = sized.groupBy("n_tokens").count().orderBy("n_tokens").toArrow()
+    highs, counts = (cells.column(c).to_numpy() for c in ("n_tokens", "count"))
     bounds = optimal_bounds(highs, counts, buckets) or [0]
     at = np.searchsorted(bounds, highs) if len(highs) else np.zeros(0, dtype=int)
     shards = [max(1, -(-int(counts[at == k].sum()) // SHARD_ROWS)) for k in range(len(bounds))]
