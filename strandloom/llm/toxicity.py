@@ -1,13 +1,14 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Learned from a bounded sample of labelled rows (``fit_rows``), cut by a hash into three parts: the first gives a
-lexicon (words and word stems with high odds in toxic texts), the second fits ``GBTClassifier`` on the dense
-features, the third fits ``IsotonicRegression`` on the trees' margin. Features of a whole text: lexicon densities,
-hits near a second-person word, capitals, punctuation and obfuscation rates, length.
+Learned from a bounded sample of labelled rows (``fit_rows``), whose toxic and other rows are each dealt into five
+parts by the order of a hash: two give a lexicon (words and word stems with high odds in toxic texts), two others fit
+``GBTClassifier`` on the dense features, the last fits ``IsotonicRegression`` on the trees' margin. No row is in two of
+the three. Features of a whole text: lexicon densities, hits near a second-person word, capitals, punctuation and
+obfuscation rates, length.
 
 Defined cases: a null or empty text has all features zero and gets the score of such features; rows without a
-label are not learned; if the labelled rows hold one class only, every score is that class's value, and 0 without
-any; repeated rows repeat their result; an empty table gives an empty result; other columns pass through unread.
+label are not learned; with fewer than five labelled rows of a class, which cannot fill the parts, every score is the
+share of toxic rows, and 0 without any labelled row; a word of any length counts whole; repeated rows repeat their result; an empty table gives an empty result; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from strandloom.llm.common import map_columns, materialise, ship_package, texts_of
 
 #: Labelled rows that the model is fitted on, at most about so many.
 FIT_ROWS = 20_000
+#: Disjoint parts of those rows, and what is learned from each.
+PARTS, LEXICON_PARTS, TREE_PARTS, CALIBRATION_PARTS = 5, (0, 1), (2, 3), (4,)
 #: Entries of the lexicon, at most.
 LEXICON_SIZE = 400
 STEM_LENGTHS = (4, 5, 6, 7, 8)
@@ -56,10 +59,17 @@ def stems(core: str) -> list[str]:
     return [f"={core}", *[core[:n] for n in STEM_LENGTHS if len(core) > n]]
 
 
+def character_counts(word: str) -> tuple[int, int, int, int]:
+    """Exclamation marks, characters that are neither letter nor digit, upper-case letters, letters."""
+    return word.count("!"), sum(not c.isalnum() for c in word), sum(map(str.isupper, word)), sum(map(str.isalpha, word))
+
+
 class Words(dict):
     """Memo: word -> (hit id or 0, flags and counts packed into one integer)."""
 
     LIMIT = 200_000
+    #: Longer words are counted on their own, as their counts could exceed a packed field.
+    LONGEST = 255
 
     def __init__(self, lexicon: dict[str, int]):
         self.lexicon = lexicon
@@ -73,13 +83,10 @@ class Words(dict):
         disguised = 0
         if not hit and mixed:
             hit = disguised = self._hit(_EDGE.sub("", word.lower().translate(DISGUISE)))
-        letters = sum(map(str.isalpha, word))
-        upper = sum(map(str.isupper, word))
-        marks = sum(not c.isalnum() for c in word)
-        packed = (
-            hit | (core in SECOND_PERSON) << 16 | mixed << 17 | (disguised > 0) << 18 | (letters > 2 and upper == letters) << 19
-            | min(word.count("!"), 255) << 20 | min(marks, 255) << 28 | min(upper, 255) << 36 | min(letters, 255) << 44
-        )
+        exclamations, marks, upper, letters = character_counts(word)
+        packed = hit | (core in SECOND_PERSON) << 16 | mixed << 17 | (disguised > 0) << 18 | (letters > 2 and upper == letters) << 19
+        if len(word) <= self.LONGEST:
+            packed |= exclamations << 20 | marks << 28 | upper << 36 | letters << 44
         self[word] = packed
         return packed
 
@@ -97,7 +104,10 @@ def features(text: str, words: Words, weights: np.ndarray) -> list[float]:
     hit = p & 0xFFFF
     where = np.flatnonzero(hit)
     second = (p >> 16 & 1).astype(bool)
-    letters = int((p >> 44 & 255).sum())
+    exclamations, marks, upper, letters = (int((p >> at & 255).sum()) for at in (20, 28, 36, 44))
+    if max(map(len, tokens)) > words.LONGEST:
+        long = [character_counts(w) for w in tokens if len(w) > words.LONGEST]
+        exclamations, marks, upper, letters = (x + sum(c[k] for c in long) for k, x in enumerate((exclamations, marks, upper, letters)))
     near = 0
     if len(where) and second.any():
         at = np.flatnonzero(second)
@@ -105,7 +115,7 @@ def features(text: str, words: Words, weights: np.ndarray) -> list[float]:
         near = int((np.minimum(np.abs(at[j] - where), np.abs(at[np.maximum(j - 1, 0)] - where)) <= NEAR).sum())
     return [
         len(where) / n, float(len(where)), float(len(np.unique(hit[where]))), float(weights[hit].max()), near / n, second.sum() / n,
-        int((p >> 36 & 255).sum()) / max(letters, 1), (p >> 19 & 1).sum() / n, int((p >> 28 & 255).sum()) / n, int((p >> 20 & 255).sum()) / n,
+        upper / max(letters, 1), (p >> 19 & 1).sum() / n, marks / n, exclamations / n,
         (p >> 17 & 1).sum() / n, (p >> 18 & 1).sum() / n, math.log1p(n),
     ]
 
@@ -167,32 +177,27 @@ def fit_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 20,
     total = usable.select("toxic").count()
     if not total:
         return ToxicityModel({}, None, None, 0.0)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000))
-    # A bounded number of rows; written once, read by every step of the fit.
-    sample = materialise(
-        usable.withColumn("draw", draw).where(F.col("draw") < math.ceil(1e6 * min(1.0, fit_rows / total))).withColumn("part", F.pmod("draw", F.lit(20))),
-        "toxicity-fit",
-    )
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("toxicity")), F.lit(1_000_000))
+    drawn = usable.withColumn("draw", draw).where(F.col("draw") < math.ceil(1e6 * min(1.0, fit_rows / total)))
+    # A bounded number of rows, about ``fit_rows``; written once, read by every step of the fit.
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "doc_id", "text"))
+    sample = materialise(drawn.withColumn("part", F.pmod(place, F.lit(PARTS))), "toxicity-fit")
     classes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(classes) < 2:
-        return ToxicityModel({}, None, None, float(next(iter(classes), 0)))
-    lexicon = learn_lexicon(sample.where("part < 10"))
+    if min(classes.get(0, 0), classes.get(1, 0)) < PARTS:
+        return ToxicityModel({}, None, None, classes.get(1, 0) / max(sum(classes.values()), 1))
+    lexicon = learn_lexicon(sample.where(F.col("part").isin(*LEXICON_PARTS)))
     rows = materialise(
         _featured(sample, lexicon, "text", ["toxic", "part"], "features").withColumn("features", array_to_vector("features")),
         "toxicity-features",
     ).coalesce(4)
-    fitted = GBTClassifier(labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False).fit(_both_classes(rows, "part BETWEEN 8 AND 15"))
-    margins = fitted.transform(_both_classes(rows, "part >= 16")).select(vector_to_array("rawPrediction")[1].alias("margin"), F.col("toxic").cast("double").alias("toxic"))
+    learner = GBTClassifier(labelCol="toxic", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False)
+    fitted = learner.fit(rows.where(F.col("part").isin(*TREE_PARTS)))
+    held = fitted.transform(rows.where(F.col("part").isin(*CALIBRATION_PARTS)))
+    margins = held.select(vector_to_array("rawPrediction")[1].alias("margin"), F.col("toxic").cast("double").alias("toxic"))
     calibration = IsotonicRegression(labelCol="toxic", featuresCol="margin").fit(margins)
     return ToxicityModel(lexicon, fitted, calibration)
 
 
-def _both_classes(rows: DataFrame, part: str) -> DataFrame:
-    """The part's rows, or all rows where the part misses a class (small tables)."""
-    held = rows.where(part)
-    return held if held.select("toxic").distinct().count() == 2 else rows
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), score_col: str = "score") -> DataFrame:
     """Append a calibrated score of every whole text; one pass, no shuffle."""
     if model.trees is None:
