@@ -1,6 +1,7 @@
 """Language identification by compression with per-language raw-content dictionaries.
 
-A bounded sample of labelled texts a language makes a zstandard raw-content dictionary. A text is lower-cased, cut
+Passages of a bounded sample of labelled texts, SAMPLE_TEXTS a language, make a zstandard raw-content dictionary; a
+passage starts at a place drawn by a hash, anywhere in its text, and has PASSAGE characters. A text is lower-cased, cut
 into blocks of ``block`` bytes and every block is compressed with each dictionary on its own, so that matches come
 from the dictionary rather than from the text itself; the language with the fewest bytes wins. A text is rejected
 when the second language needs hardly more bytes: fewer than ``min_margin`` of the text's bytes.
@@ -22,12 +23,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from strandloom.llm.common import map_columns
 
-#: Labelled texts taken for one language, by order of a hash of their key and text.
-SAMPLE_TEXTS = 64
-#: Bytes of a dictionary.
-DICT_BYTES = 65_536
-#: Texts above this length come last in the sample, so that one text does not fill a dictionary.
-LONG_TEXT = 8_192
+#: Labelled texts taken for one language, by order of a hash of their key and text, and characters taken of each.
+SAMPLE_TEXTS, PASSAGE = 96, 768
 BLOCK = 1_024
 #: Bytes by which the scores' softmax is scaled.
 TEMPERATURE = 4.0
@@ -37,9 +34,10 @@ FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.D
 
 
 def language_dictionaries(labelled: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> dict[str, bytes]:
-    """Language -> raw dictionary, from at most SAMPLE_TEXTS usable rows a language."""
+    """Language -> raw dictionary, from a passage of each of at most SAMPLE_TEXTS usable rows a language."""
     order = F.xxhash64(F.col(f"`{key_col}`"), F.col(f"`{text_col}`"))
-    by = Window.partitionBy("lang").orderBy(F.octet_length("text") > LONG_TEXT, "order", "text")
+    by = Window.partitionBy("lang").orderBy("order", "text")
+    start = F.pmod(F.xxhash64("order"), F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1) + 1
     sample = (
         labelled.where(usable)
         .select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), order.alias("order"))
@@ -47,14 +45,12 @@ def language_dictionaries(labelled: DataFrame, usable: Column, text_col: str = "
         .where(F.col("text").rlike(r"\p{L}"))
         .withColumn("n", F.row_number().over(by))
         .where(F.col("n") <= SAMPLE_TEXTS)
-        # A longer text cannot go into a dictionary whole; only the sample is cut, never a text to be told.
-        .select("lang", "n", F.lower(F.substring("text", 1, DICT_BYTES)).alias("text"))
+        .select("lang", "n", F.lower(F.substring("text", start.cast("int"), F.lit(PASSAGE))).alias("text"))
     )
     found: dict[str, bytes] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.lang, r.n)):
-        if len(held := found.get(r.lang, b"")) < DICT_BYTES:
-            found[r.lang] = held + r.text.encode("utf-8", "surrogatepass") + b"\n"
-    return {k: v[:DICT_BYTES] for k, v in found.items()}
+        found[r.lang] = found.get(r.lang, b"") + r.text.encode("utf-8", "surrogatepass") + b"\n"
+    return found
 
 
 def _search() -> zstandard.ZstdCompressionParameters:
@@ -90,7 +86,7 @@ def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...], min_
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
     """Append predicted language, score and acceptance of every whole text; one pass, no shuffle."""
-    # Bounded by languages * DICT_BYTES.
+    # Bounded by languages * SAMPLE_TEXTS * PASSAGE characters.
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sorted(dictionaries.items())))
 
     def run(texts: pa.Array) -> list[pa.Array]:
