@@ -20,6 +20,8 @@ own component; vectors of different lengths do not link; ``component_id`` is the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from strandloom.llm.common import map_columns, materialise, ship_package
 from strandloom.llm.graph import Forest, connected_components
 
-#: Distinct vectors a group.
-GROUP_ROWS = 8192
+#: Distinct vectors a group, at most and at least.
+GROUP_ROWS, LEAST_ROWS = 8192, 1024
 #: Rows of a product's left side.
 BLOCK = 512
 #: Covers the rounding of double arithmetic on unit vectors.
@@ -104,7 +106,9 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
         .withColumn("rid", F.monotonically_increasing_id()),
         "distinct",
     )
-    groups = max(1, -(-distinct.count() // GROUP_ROWS))
+    # Smaller groups where else there were fewer cells than cores.
+    n, cores = distinct.count(), spark.sparkContext.defaultParallelism
+    groups = max(1, -(-n // GROUP_ROWS), min(-(-n // LEAST_ROWS), math.ceil(math.sqrt(4 * cores))))
     group = F.pmod(F.xxhash64("__key"), F.lit(groups)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     cells = (
