@@ -47,9 +47,20 @@ def test_pack_keeps_every_row_and_the_budget(spark, monkeypatch):
         full.setdefault(b, []).append(len(rs) == limit)
     assert all(x.count(False) <= 1 for x in full.values())
     assert packing.pack(docs.limit(0)).count() == 0
-    big = np.array([packing.EXACT + 3])
-    cell = spark.createDataFrame([(int(n),) for n in (0, 1, 8192, 8193, 10**6)], "n long").select(packing._cell(F.col("n")).alias("c")).collect()
-    assert [r.c for r in cell][:4] == [0, 1, 8192, 8192] and 10**6 - 256 < cell[4].c <= 10**6 and len(big) == 1
+
+
+def test_repeated_rows_are_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 16)
+    docs = spark.createDataFrame([(1, "a b")] * 200, "doc_id long, text string")
+    out = packing.pack(docs, budget=20).collect()
+    assert sorted((r.batch, r.slot) for r in out) == [(i // 10, i % 10) for i in range(200)]
+
+
+def test_long_lengths_have_their_own_bounds(spark):
+    sizes = [10, 20_001, 20_002, 20_003, 1_000_000, 1_000_001]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n long").withColumn("text", F.lit("x"))
+    out = packing.pack(docs, buckets=len(sizes), length=F.col("n")).collect()
+    assert all(r.n_tokens == r.padded_tokens for r in out)
 
 
 def brute_vectors(rows, threshold):
@@ -75,6 +86,7 @@ def brute_vectors(rows, threshold):
 
 def test_embeddings_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "GROUP_ROWS", 40)
+    monkeypatch.setattr(embeddings, "LEAST_ROWS", 40)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
     rows = [(int(i), (centres[rng.integers(12)] + rng.normal(scale=0.18, size=16)).astype("f4").tolist()) for i in range(180)]
@@ -99,15 +111,17 @@ def test_url_filter_as_of(spark):
     entries = spark.createDataFrame(
         [("example.com", d(2024, 1, 1), "block"), ("example.com", d(2024, 2, 1), "allow"), ("Example.com", d(2024, 3, 1), "block"),
          ("a.example.com/x", d(2024, 1, 10), "block"), ("tie.org", d(2024, 1, 1), "allow"), ("tie.org", d(2024, 1, 1), "block"),
-         (None, d(2024, 1, 1), "block"), ("late.org", None, "block")], "key string, since date, action string")
+         (None, d(2024, 1, 1), "block"), ("late.org", None, "block"), ("Case.org./Adult/", d(2024, 1, 1), "block"), ("dots.org..", d(2024, 1, 1), "block")], "key string, since date, action string")
     captures = spark.createDataFrame(
         [(1, "http://EXAMPLE.com/", d(2023, 12, 31)), (2, "http://b.example.com:80/q", d(2024, 1, 1)), (3, "https://u@example.com?x", d(2024, 2, 1)),
          (4, "https://example.com/#f", d(2024, 5, 1)), (5, "http://a.example.com/x/y/?q=1", d(2024, 2, 10)), (6, "http://a.example.com/xy", d(2024, 2, 10)),
          (7, None, d(2024, 1, 5)), (8, "nonsense", d(2024, 1, 5)), (9, "http://tie.org", d(2024, 1, 5)), (10, "http://tie.org", None),
-         (9, "http://tie.org", d(2024, 1, 5)), (11, "http://notexample.com/", d(2024, 1, 5))], "page_id long, url string, fetched date").withColumn("rule", F.lit(1))
+         (9, "http://tie.org", d(2024, 1, 5)), (11, "http://notexample.com/", d(2024, 1, 5)), (12, "http://case.org/Adult/x", d(2024, 1, 5)), (13, "http://CASE.org./adult", d(2024, 1, 5)),
+         (14, "http://dots.org./" + "y/" * 3000, d(2024, 1, 5))], "page_id long, url string, fetched date").withColumn("rule", F.lit(1))
     out = sorted([(r.page_id, r.blocked, r.rule) for r in filter_captures(captures, entries).collect()])
     assert out == [(1, False, None), (2, True, "example.com"), (3, False, None), (4, True, "example.com"), (5, True, "a.example.com/x"), (6, False, None),
-                   (7, False, None), (8, False, None), (9, True, "tie.org"), (9, True, "tie.org"), (10, False, None), (11, False, None)]
+                   (7, False, None), (8, False, None), (9, True, "tie.org"), (9, True, "tie.org"), (10, False, None), (11, False, None),
+                   (12, True, "case.org/Adult"), (13, False, None), (14, True, "dots.org")]
     assert filter_captures(captures.limit(0), entries).count() == 0
     assert not any(r.blocked for r in filter_captures(captures, entries.limit(0)).collect())
     keys = spark.createDataFrame([("http://a.b.c/d/e",)], "u string").select(candidate_keys(F.col("u"))).first()[0]

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from strandloom.llm import ctw, langid, toxicity
@@ -153,3 +154,93 @@ def test_toxicity_held_out(spark):
     assert {r.score for r in toxicity.score_toxicity(odd, toxicity.fit_toxicity(frame.limit(0))).collect()} == {0.0}
     one = toxicity.fit_toxicity(frame.where("toxic = 1"))
     assert {r.score for r in toxicity.score_toxicity(odd, one).collect()} == {1.0}
+    few = toxicity.fit_toxicity(frame.where("doc_id < 16"))
+    assert {r.score for r in toxicity.score_toxicity(odd, few).collect()} == {0.25}
+
+
+def test_toxicity_parts_are_disjoint_and_calibration_is_isotonic(spark):
+    assert not set(toxicity.LEXICON_PARTS) & {*toxicity.TREE_PARTS, *toxicity.CALIBRATION_PARTS} and not set(toxicity.TREE_PARTS) & set(toxicity.CALIBRATION_PARTS)
+    rnd = random.Random(6)
+    data = [(i, " ".join(rnd.choices(["w%d" % k for k in range(50)] + ["foul"] * (15 if rnd.random() < (0.7 if i % 3 == 0 else 0.05) else 0), k=20)), int(i % 3 == 0)) for i in range(500)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(frame)
+    # Pool adjacent violators over the model's own boundaries: rising, and the scores lie between them.
+    bounds = list(model.calibration.predictions)
+    assert bounds == sorted(bounds) and 0 <= bounds[0] and bounds[-1] <= 1
+    # The lexicon by its definition, over the rows of its parts.
+    order = spark.createDataFrame(data, "doc_id long, text string, toxic int").withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit("toxicity")), F.lit(1_000_000)))
+    rows = sorted(order.collect(), key=lambda r: (r.draw, r.doc_id, r.text))
+    held = [r for c in (0, 1) for k, r in enumerate([r for r in rows if r.toxic == c], 1) if k % toxicity.PARTS in toxicity.LEXICON_PARTS]
+    n = Counter(r.toxic for r in held)
+    counts = {c: Counter(s for r in held if r.toxic == c for s in {s for w in r.text.split() for s in toxicity.stems(w)}) for c in (0, 1)}
+    odds = {s: (k + 0.5) / (n[1] + 1) / ((counts[0][s] + 0.5) / (n[0] + 1)) for s, k in counts[1].items()}
+    want = {s: math.log(o) for s, o in odds.items() if o >= toxicity.MIN_ODDS and counts[1][s] >= max(toxicity.MIN_TEXTS, 0.01 * n[1])}
+    assert model.lexicon == pytest.approx(want)
+
+
+def brute_features(text, lexicon):
+    """The features by their definitions, one word at a time."""
+    tokens = text.split()
+    if not tokens:
+        return [0.0] * len(toxicity.FEATURES)
+
+    def hit(core):
+        return next((s for s in toxicity.stems(core) if s in lexicon), None) if core else None
+
+    def bare(w):
+        return re.sub(r"^\W+|\W+$", "", w)
+
+    hits, disguised = [], 0
+    mixed = [bool(toxicity._MIXED.search(w)) for w in tokens]
+    for w, odd in zip(tokens, mixed):
+        found = hit(bare(w).lower())
+        if not found and odd:
+            found = hit(bare(w.lower().translate(toxicity.DISGUISE)))
+            disguised += bool(found)
+        hits.append(found)
+    second = [i for i, w in enumerate(tokens) if bare(w).lower() in toxicity.SECOND_PERSON]
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i, h in enumerate(hits) if h)
+    n, found, joined = len(tokens), [h for h in hits if h], "".join(tokens)
+    letters, upper = sum(c.isalpha() for c in joined), sum(c.isupper() for c in joined)
+    shouts = sum(sum(map(str.isalpha, w)) > 2 and sum(map(str.isupper, w)) == sum(map(str.isalpha, w)) for w in tokens)
+    return [
+        len(found) / n, len(found), len(set(found)), max([lexicon[h] for h in found], default=0.0), near / n, len(second) / n, upper / max(letters, 1),
+        shouts / n, sum(not c.isalnum() for c in joined) / n, joined.count("!") / n, sum(mixed) / n, disguised / n, math.log1p(n),
+    ]
+
+
+def test_toxicity_features_match_brute_force():
+    rnd = random.Random(9)
+    lexicon = {"=foul": 3.0, "vile": 2.5, "scumb": 4.0}
+    entries = sorted(lexicon)
+    words = toxicity.Words({s: i for i, s in enumerate(entries, 1)})
+    weights = np.array([0.0, *[lexicon[s] for s in entries]])
+    pool = ["foul", "Foul!", "vilest", "V1LE", "sc*mbag", "scumbag", "you", "Your,", "du", "word", "LOUD", "b3tter", "a!!", "...", "x" * 300 + "!" * 300, "A" * 400, "été"]
+    for text in ["", " ", *[" ".join(rnd.choices(pool, k=rnd.randrange(1, 40))) for _ in range(200)]]:
+        assert toxicity.features(text, words, weights) == pytest.approx(brute_features(text, lexicon))
+
+
+def test_language_scores_match_single_compressions():
+    rnd = random.Random(2)
+    dictionaries = tuple(sorted((lang, " ".join("".join(rnd.choices(letters, k=4)) for _ in range(900)).encode()) for lang, letters in (("aa", "abcde"), ("bb", "fghij"))))
+    for text in ["abba caba", "fghi jjij " * 700, "Abc, fgh. " * 40, "é" * 5000]:
+        raw = text.lower().encode()
+        sizes = {}
+        for lang, held in dictionaries:
+            d = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(dict_data=d, compression_params=langid._search())
+            sizes[lang] = sum(len(c.compress(raw[i : i + langid.BLOCK])) for i in range(0, len(raw), langid.BLOCK))
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        lang, score, accepted = langid.classify(text, dictionaries)
+        gap = max(sizes.values()) - min(sizes.values())
+        assert lang == best and score == pytest.approx(1 / (1 + math.exp(-gap / langid.TEMPERATURE)))
+        assert accepted == (gap > 0 and gap >= langid.MIN_MARGIN * len(raw))
+
+
+def test_language_passages_come_from_anywhere(spark):
+    text = " ".join(f"word{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, text, "aa") for i in range(200)], "doc_id long, text string, lang string")
+    held = langid.language_dictionaries(docs, F.lit(True))["aa"].decode().split("\n")[:-1]
+    places = [text.index(p) for p in held]
+    assert len(held) == langid.SAMPLE_TEXTS and all(len(p) == langid.PASSAGE for p in held)
+    assert min(places) < len(text) / 10 and max(places) > len(text) * 9 / 10

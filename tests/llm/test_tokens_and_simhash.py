@@ -174,8 +174,20 @@ def test_quality_statistics_and_order():
     view = quality.TextView("a # line\na # line\n\n \t\na # line\r\né\vx")
     assert (view.n_words, view.word_chars, view.n_symbols, view.n_dup_lines, view.n_lines) == (11, 20, 3, 1, 4)
     rules = {"never": lambda v: False, "always": lambda v: True}
-    assert quality.cascade_order(["a", "b"], rules)[0] == "always"
-    assert quality.cascade_order([], rules) == ["always", "never"]
+    assert quality.cascade_order(quality.rule_costs(["a", "b"], rules))[0] == "always"
+    assert quality.cascade_order(quality.rule_costs([], rules)) == ["always", "never"]
+    assert quality.cascade_order({"dear": (9, 9.0), "cheap": (2, 0.1), "none": (0, 0.0)}) == ["cheap", "dear", "none"]
+
+
+def test_quality_rules_behind_a_rejection_cost_nothing():
+    rules = quality.production_rules()
+    order = ["too_few_words", *[n for n in rules if n != "too_few_words"]]
+    view = quality.TextView("few words\n" * 3)
+    assert quality.first_failure(view, [(n, rules[n]) for n in order]) == "too_few_words"
+    assert set(vars(view)) == {"text", "raw", "words", "n_words"}
+    for text in ("", "the " * 40, "a # b\n" * 30, " ".join(f"Word{i} says" for i in range(30)), "x" * 100_000):
+        verdicts = {quality.first_failure(quality.TextView(text), [(n, rules[n]) for n in o]) is None for o in (order, order[::-1])}
+        assert len(verdicts) == 1
 
 
 def test_quality_cascade_rows(spark):
@@ -186,3 +198,6 @@ def test_quality_cascade_rows(spark):
     assert [out[i].kept for i in (1, 2, 3, 4)] == [False, False, True, False]
     assert out[4].n_repeat_words == 40 and out[4].base_failed and out[1].failed_rule is not None
     assert quality.quality_cascade(docs.limit(0), order).count() == 0
+    assert sorted(quality.order_rules(docs.limit(0))) == sorted(order)
+    short = quality.quality_cascade(docs, order, stats=False)
+    assert short.columns == ["doc_id", "kept", "failed_rule"] and sum(r.kept for r in short.collect()) == 2
