@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -112,30 +112,58 @@ def motif_sites(df: DataFrame, key: str, text: str, target: int, motif: str) ->
     return df.select(key, F.inline(F.concat(plus, minus)))
 
 
-# Nearest-neighbour duplex steps (SantaLucia 1998), kcal/mol and cal/(mol K).
+# Nearest-neighbour duplex steps (SantaLucia 1998): enthalpy in kcal/mol, entropy in cal/(mol K), free energy at 37 degrees.
 STEPS = [
-    ("AA", -7.9, -22.2), ("AT", -7.2, -20.4), ("TA", -7.2, -21.3), ("CA", -8.5, -22.7), ("GT", -8.4, -22.4),
-    ("CT", -7.8, -21.0), ("GA", -8.2, -22.2), ("CG", -10.6, -27.2), ("GC", -9.8, -24.4), ("GG", -8.0, -19.9),
+    ("AA", -7.9, -22.2, -1.00), ("AT", -7.2, -20.4, -0.88), ("TA", -7.2, -21.3, -0.58), ("CA", -8.5, -22.7, -1.45), ("GT", -8.4, -22.4, -1.44),
+    ("CT", -7.8, -21.0, -1.28), ("GA", -8.2, -22.2, -1.30), ("CG", -10.6, -27.2, -2.17), ("GC", -9.8, -24.4, -2.24), ("GG", -8.0, -19.9, -1.84),
 ]
-# Initiation by a terminal G-C or A-T pair.
-ENDS = {"GC": (0.1, -2.8), "AT": (2.3, 4.1)}
+# Initiation by a terminal G-C or A-T pair, in the same order.
+ENDS = {"GC": (0.1, -2.8, 0.98), "AT": (2.3, 4.1, 1.03)}
 
 
-def step_maps() -> tuple[Column, Column]:
-    """Dinucleotide -> enthalpy and -> entropy, reverse complements included."""
+def step_maps() -> tuple[Column, Column, Column]:
+    """Dinucleotide -> enthalpy, entropy and free energy, reverse complements included."""
     turn = str.maketrans("ACGT", "TGCA")
-    full = {k: (h, s) for step, h, s in STEPS for k in (step, step.translate(turn)[::-1])}
-    flat = lambda i: F.create_map(*[F.lit(x) for k, v in full.items() for x in (k, v[i])])
-    return flat(0), flat(1)
+    full = {k: values for step, *values in STEPS for k in (step, step.translate(turn)[::-1])}
+    return tuple(F.create_map(*[F.lit(x) for k, v in full.items() for x in (k, v[i])]) for i in range(3))
 
 
 def duplex(text: Column, concentration: float = 5e-7) -> Column:
-    """Struct of dh, ds, dg37 and tm of a duplex by nearest neighbours; unknown steps count zero (SC-13)."""
-    h, s = step_maps()
-    steps = kmers(text, 2)
-    total = lambda m: F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + F.coalesce(F.try_element_at(m, x), F.lit(0.0)))
-    end = lambda c, i: F.when(c.isin("G", "C"), ENDS["GC"][i]).otherwise(ENDS["AT"][i])
-    first, last = F.substring(text, 1, 1), F.right(text, F.lit(1))
-    dh, ds = total(h) + end(first, 0) + end(last, 0), total(s) + end(first, 1) + end(last, 1)
+    """Struct of dh, ds, dg37 and tm of a duplex by nearest neighbours, case ignored (SC-13).
+
+    All NULL for a text with another letter than A, C, G, T or with fewer than two.
+    """
+    letters = F.upper(text)
+    steps = kmers(letters, 2)
+    first, last = F.substring(letters, 1, 1), F.right(letters, F.lit(1))
+
+    def total(i: int, values: Column) -> Column:
+        end = lambda c: F.when(c.isin("G", "C"), ENDS["GC"][i]).otherwise(ENDS["AT"][i])
+        inner = F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + F.try_element_at(values, x))
+        return F.when(letters.rlike("^[ACGT]{2,}$"), inner + end(first) + end(last))
+
+    dh, ds, dg = (total(i, m) for i, m in enumerate(step_maps()))
     tm = F.try_divide(1000 * dh, ds + 1.987 * F.log(F.lit(concentration / 4))) - 273.15
-    return F.struct(dh.alias("dh"), ds.alias("ds"), (dh - 310.15 * ds / 1000).alias("dg37"), tm.alias("tm"))
+    return F.struct(dh.alias("dh"), ds.alias("ds"), dg.alias("dg37"), tm.alias("tm"))
+
+
+def decode(values: Column, codes: Mapping[str, str], unknown: str = "N") -> Column:
+    """Letters of an array of codes, ``unknown`` for a NULL code (SC-10); check the codes first by ``unknown_codes``."""
+    table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    return F.array_join(F.transform(values, lambda v: F.coalesce(F.try_element_at(table, v.cast("string")), F.lit(unknown))), "")
+
+
+def unknown_codes(df: DataFrame, column: str, codes: Mapping[str, str]) -> DataFrame:
+    """(code, rows) of the codes outside the table, of which a decoding should have none (SC-10)."""
+    code = F.col(column).cast("string")
+    return df.where(code.isNotNull() & ~code.isin(*codes)).groupBy(code.alias("code")).agg(F.count("*").alias("rows"))
+
+
+def is_sequence(text: Column, length: int | None = None) -> Column:
+    """True for a text of A, C, G, T only, of that length where one is given; false for NULL (PRJ-11)."""
+    return F.coalesce(text.rlike("^[ACGT]{%s}$" % (length if length else "1,")), F.lit(False))
+
+
+def has_unknown(text: Column, letter: str = "N") -> Column:
+    """True where the text holds the letter for an unknown base; false for NULL (PRJ-11)."""
+    return F.coalesce(F.contains(text, F.lit(letter)), F.lit(False))

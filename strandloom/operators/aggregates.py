@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import math
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from strandloom.operators.ordering import average_rank, with_running_sum
+from strandloom.operators.ordering import average_rank, exact_quantiles, with_running_sum
 
 
 def two_level_spread(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
@@ -174,17 +179,103 @@ def share_by_category(df: DataFrame, category: str, weight: str, labels: DataFra
 
 def describe(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Count, mean, spread, extremes and exact quartiles (AG-38)."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"), q.alias("q")).select(
-        *groups, "n", "mean", "sd", "lo", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "hi"
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], groups)
+    sums = df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    # One row a group on either side.
+    return sums.join(q, list(groups) or None, "left").select(
+        *groups, "n", "mean", "sd", "lo", *[F.col("quantiles")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))], "hi"
     )
 
 
+def pair_sums(df: DataFrame, group: str, key: str, pos: str, value: str, columns: int = 512) -> DataFrame:
+    """(group, i, j, n, s, x, y, xx, yy) of every two columns i <= j of a tidy table, over the keys that have both.
+
+    n counts them; s, x, y, xx and yy are the sums of the product, of either value and of either square. Rows are
+    gathered as sparse lists; a task multiplies matrices of them, a block of ``columns`` by another at a time, and sends
+    one row a pair of columns for all its rows. Positions are whole numbers, NULL values are left out.
+    """
+    names = [f.name for f in T.StructType.fromDDL("n double, s double, x double, y double, xx double, yy double").fields]
+    held = df.where(F.col(value).isNotNull()).select(F.col(group).cast("long").alias("g"), F.col(key).alias("k"), F.col(pos).cast("int").alias("p"), F.col(value).cast("double").alias("v"))
+    wide = held.groupBy("g", "k").agg(F.collect_list("p").alias("p"), F.collect_list("v").alias("v")).select("g", "p", "v")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, dict[tuple[int, int], np.ndarray]] = {}
+        for batch in batches:
+            group_of = batch.column("g").to_numpy(zero_copy_only=False)
+            sizes = batch.column("p").value_lengths().to_numpy()
+            at, values = batch.column("p").flatten().to_numpy(), batch.column("v").flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            for g in np.unique(group_of).tolist():
+                inside = group_of[row] == g
+                blocks = {}
+                for b in np.unique(at[inside] // columns).tolist():
+                    here = inside & (at // columns == b)
+                    x, m = np.zeros((2, len(sizes), columns))
+                    x[row[here], at[here] % columns], m[row[here], at[here] % columns] = values[here], 1.0
+                    blocks[b] = (x, m)
+                own = sums.setdefault(g, {})
+                for a, (x, m) in blocks.items():
+                    for b, (y, o) in blocks.items():
+                        if a <= b:
+                            found = np.stack([m.T @ o, x.T @ y, x.T @ o, m.T @ y, (x * x).T @ o, m.T @ (y * y)])
+                            own[a, b] = own[a, b] + found if (a, b) in own else found
+        for g, own in sums.items():
+            for (a, b), found in own.items():
+                i, j = np.nonzero(found[0])
+                upper = (a < b) | (i <= j)
+                i, j = i[upper], j[upper]
+                ids = {"g": np.full(len(i), g), "i": (i + a * columns).astype(np.int32), "j": (j + b * columns).astype(np.int32)}
+                yield pa.RecordBatch.from_pydict(ids | {n: f[i, j] for n, f in zip(names, found)})
+
+    parts = wide.mapInArrow(products, "g long, i int, j int, n double, s double, x double, y double, xx double, yy double")
+    return parts.groupBy(F.col("g").alias(group), "i", "j").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def gram(df: DataFrame, group: str, key: str, pos: str, value: str) -> DataFrame:
     """(group, i, j, s): sums of products of a tidy table's columns, the normal equations of a regression (AG-33)."""
-    wide = df.groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct(pos, value))).alias("x"))
-    products = wide.select(group, F.explode("x").alias("a"), "x").select(group, "a", F.explode("x").alias("b")).where(f"a.{pos} <= b.{pos}")
-    return products.groupBy(group, F.col(f"a.{pos}").alias("i"), F.col(f"b.{pos}").alias("j")).agg(F.sum(F.col(f"a.{value}") * F.col(f"b.{value}")).alias("s"))
+    return pair_sums(df, group, key, pos, value).select(group, "i", "j", "s")
+
+
+def row_bootstrap(df: DataFrame, key: str, metrics: Mapping[str, Column], replicates: int, alpha: float = 0.05) -> DataFrame:
+    """(metric, point, lo, hi, se) by a Poisson bootstrap of the rows (AG-25, UD-03).
+
+    ``metrics`` are the callbacks: name -> aggregate column in which ``F.col('w')`` is a row's weight, for instance
+    ``F.sum(F.col('w') * e) / F.sum('w')``. A row's weight in a replicate is a Poisson(1) number drawn by md5 of the
+    replicate and its key, which is what drawing n of n rows with replacement tends to; the point has weights 1. The
+    work is replicates times rows, summed where the rows are.
+    """
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "__rep", F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    steps = list(itertools.accumulate(math.exp(-1) / math.factorial(i) for i in range(12)))
+    weight = reduce(lambda acc, p: acc + (draw >= p).cast("double"), steps, F.lit(0.0))
+    drawn = df.withColumn("__rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("w", F.when(F.col("__rep") < 0, F.lit(1.0)).otherwise(weight))
+    values = drawn.groupBy("__rep").agg(*[m.cast("double").alias(f"m{i}") for i, m in enumerate(metrics.values())])
+    tidy = values.select("__rep", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"m{i}").alias("value")) for i, n in enumerate(metrics)])).alias("x")).select("__rep", "x.*")
+    sample = F.when(F.col("__rep") >= 0, F.col("value"))
+    # One row a replicate and metric from here on.
+    return tidy.groupBy("metric").agg(
+        F.max(F.when(F.col("__rep") < 0, F.col("value"))).alias("point"), F.percentile(sample, alpha / 2).alias("lo"),
+        F.percentile(sample, 1 - alpha / 2).alias("hi"), F.stddev_samp(sample).alias("se"),
+    )
+
+
+def quality_counts(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
+    """(rows, check...): how many rows meet each condition, NULL counted as not (AG-29)."""
+    return df.agg(F.count("*").alias("rows"), *[F.count_if(c).alias(n) for n, c in checks.items()])
+
+
+def direction_summary(df: DataFrame, name: str, value: str, contribution: str) -> DataFrame:
+    """Per attribute mean and five quantiles of the contribution, and its correlation with the value (AG-39)."""
+    q = exact_quantiles(df, contribution, [0.0, 0.25, 0.5, 0.75, 1.0], [name])
+    sums = df.groupBy(name).agg(F.count(contribution).alias("n"), F.avg(contribution).alias("mean"), pearson(value, contribution).alias("direction"))
+    # One row an attribute on either side.
+    return sums.join(q, name).select(name, "n", "mean", *[F.col("quantiles")[i].alias(f"q{25 * i}") for i in range(5)], "direction")
+
+
+def group_rank_summary(df: DataFrame, group: str, x: str, y: str, least: int) -> DataFrame:
+    """(groups, mean, sd, median) of the rank correlations of groups with at least ``least`` rows (AG-23)."""
+    rho = spearman_by(df, [group], x, y, least)
+    middle = exact_quantiles(rho, "rho", [0.5]).select(F.col("quantiles")[0].alias("median"))
+    return rho.agg(F.count("*").alias("groups"), F.avg("rho").alias("mean"), F.stddev_samp("rho").alias("sd")).join(middle, how="left")  # one row each
 
 
 def group_bootstrap(df: DataFrame, groups: DataFrame, group: str, value: str, replicates: int, keep_multiplicity: bool) -> DataFrame:
@@ -202,3 +293,10 @@ def group_bootstrap(df: DataFrame, groups: DataFrame, group: str, value: str, re
     sums = df.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     held = draws.join(groups, "slot").join(sums, F.col("g") == F.col(group))
     return held.groupBy("replicate").agg((F.sum("s") / F.sum("c")).alias("mean"))
+
+
+def interaction(df: DataFrame, a: str, b: str, name: str, centre: float | None = None) -> DataFrame:
+    """Append the product of a centred column and another, centred at ``centre`` or at its own mean (SC-24)."""
+    means = df.agg(F.avg(a).alias("__a"), (F.avg(b) if centre is None else F.lit(centre)).alias("__b"))
+    joined = df.join(F.broadcast(means))  # one row
+    return joined.withColumn(name, (F.col(a) - F.col("__a")) * (F.col(b) - F.col("__b"))).drop("__a", "__b")

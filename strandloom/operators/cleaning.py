@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandloom.operators.ordering import exact_quantiles
+
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns as doubles, NULL where a value is no number (PRJ-01)."""
@@ -77,8 +79,8 @@ def modal_length(df: DataFrame, column: str) -> DataFrame:
 
 def above_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     """Rows at or above the exact linear quantile (PRJ-13)."""
-    cut = df.agg(F.percentile(column, F.lit(q)).alias("cut"))
-    return df.join(F.broadcast(cut), F.col(column) >= F.col("cut")).drop("cut")  # one row
+    cut = exact_quantiles(df, column, [q]).select(F.col("quantiles")[0].alias("__cut"))
+    return df.join(F.broadcast(cut), F.col(column) >= F.col("__cut")).drop("__cut")  # one row
 
 
 def large_strata(df: DataFrame, group: str, least: int) -> DataFrame:
@@ -132,3 +134,9 @@ def agreement(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, atol:
     """Cells present in both tidy tables and the share that agrees (AG-40)."""
     x = a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), list(keys)).where("x IS NOT NULL AND y IS NOT NULL")
     return x.agg(F.count("*").alias("cells"), F.avg((F.abs(F.col("x") - F.col("y")) <= atol + rtol * F.abs("y")).cast("double")).alias("share"))
+
+
+def drop_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Without those of the columns that the frame has, names taken as they are, dots included (PRJ-03)."""
+    unwanted = set(names)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in unwanted])

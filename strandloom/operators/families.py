@@ -61,7 +61,7 @@ def methylation(rows: DataFrame) -> DataFrame:
 @family("i_shape")
 def shape(rows: DataFrame) -> DataFrame:
     """Mean enthalpy step of the windows and its bend at the helical phase (FF-I, WN-16)."""
-    h, _ = S.step_maps()
+    h, _, _ = S.step_maps()
     steps = F.transform(S.kmers(F.col("s"), 2), lambda k: F.coalesce(F.try_element_at(h, k), F.lit(0.0)))
     turn = lambda f: F.aggregate(F.transform(steps, lambda v, i: v * f(F.lit(6.283185307179586) * (i + 1) / 10.5)), F.lit(0.0), lambda a, v: a + v)
     n = F.size(steps)

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from strandloom.operators.aggregates import pearson, spearman_by
+from strandloom.operators.aggregates import pair_sums, spearman_by
 
 
 def column_correlations(profile: DataFrame) -> DataFrame:
-    """(i, j, r) of every two columns i < j of a tidy (id, pos, v): one aggregation of sums of products (ML-28, ML-31)."""
-    wide = profile.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x"))
-    pairs = wide.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).where("a.pos < b.pos")
-    return pairs.select(F.col("a.pos").alias("i"), F.col("b.pos").alias("j"), F.col("a.v").alias("x"), F.col("b.v").alias("y")).groupBy("i", "j").agg(pearson("x", "y").alias("r"))
+    """(i, j, r) of every two columns i < j of a tidy (id, pos, v): over the rows that have both, 0 for constants (ML-28, ML-31)."""
+    own = profile.where("v IS NOT NULL").withColumn("__g", F.lit(0))
+    # Values far from zero are moved first, so that sums of products keep their digits.
+    means = own.groupBy("pos").agg(F.avg("v").alias("__m"))
+    moved = own.join(F.broadcast(means), "pos").withColumn("v", F.col("v") - F.col("__m"))  # one row a column
+    sums = pair_sums(moved, "__g", "id", "pos", "v").where("i < j")
+    n = F.col("n")
+    spread = lambda x, xx: F.sqrt(F.greatest(F.col(xx) / n - F.pow(F.col(x) / n, F.lit(2)), F.lit(0.0)))
+    covariance = F.col("s") / n - F.col("x") / n * F.col("y") / n
+    return sums.select("i", "j", F.coalesce(F.try_divide(covariance, spread("x", "xx") * spread("y", "yy")), F.lit(0.0)).alias("r"))
 
 
 def nearest_correlate(correlations: DataFrame) -> DataFrame:
@@ -49,7 +55,8 @@ def headroom(profile: DataFrame, residuals: DataFrame, least: int = 200) -> Data
 
 def linear_attribution(profile: DataFrame, weights: DataFrame) -> DataFrame:
     """(pos, importance): mean size of each column's share of a linear prediction, |w| times the mean distance to the mean (ML-25)."""
-    centred = profile.withColumn("m", F.avg("v").over(Window.partitionBy("pos")))
+    means = profile.groupBy("pos").agg(F.avg("v").alias("m"))
+    centred = profile.join(F.broadcast(means), "pos")  # one row a column
     spread = centred.groupBy("pos").agg(F.avg(F.abs(F.col("v") - F.col("m"))).alias("s"))
     return spread.join(F.broadcast(weights), "pos").select("pos", (F.abs("w") * F.col("s")).alias("importance"))  # one row a column
 

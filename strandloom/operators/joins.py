@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -103,16 +105,50 @@ def hamming_texts(left: DataFrame, right: DataFrame, text: str, length: int, wit
     return pairs.select("l", "r", differ.alias("mismatches")).where(F.col("mismatches") <= within)
 
 
-def group_neighbours(df: DataFrame, key: str, group: str, vector: str, k: int, radius: float) -> DataFrame:
-    """Mean distance to the k nearest of the same group and number within the radius (JN-16).
+def neighbours(df: DataFrame, key: str, vector: str, k: int, radius: float, group: str | None = None, tile: int = 2048) -> DataFrame:
+    """(key, mean_near, within): mean distance to the k nearest other rows and number within the radius (JN-16).
 
-    The pairs grow with the square of a group, so the group is a spatial bin or another key of bounded size.
+    Over all rows, or over those of one ``group``. Rows are dealt into tiles by a hash; each pair of tiles is one
+    bounded task that multiplies matrices and sends k rows and one count a row, never its pairs. The products grow with
+    the square of the rows, as the operator asks; equal distances go to the lesser key.
     """
-    other = df.select(F.col(key).alias("__o"), group, F.col(vector).alias("__v"))
-    distance = F.sqrt(F.aggregate(F.zip_with(vector, "__v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x))
-    pairs = df.join(other, group).where(F.col(key) != F.col("__o")).select(key, "__o", distance.alias("d"))
-    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("d", "__o")))
-    return near.groupBy(key).agg(F.avg(F.when(F.col("n") <= k, F.col("d"))).alias("mean_near"), F.count_if(F.col("d") <= radius).alias("within"))
+    g = F.lit(0) if group is None else F.col(group)
+    rows = df.select(g.alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    tiles = rows.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(tiles, "g").withColumn("a", F.pmod(F.xxhash64("k"), F.col("tiles").cast("long")).cast("int"))
+    cells = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "g", "k", "v", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") <= F.col("b")).alias("first")
+    )
+
+    def near(left: np.ndarray, right: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[pa.Table]:
+        out = []
+        for s in range(0, len(left), 256):
+            x, ids = left[s : s + 256], own[s : s + 256]
+            square = (x * x).sum(axis=1)[:, None] + (right * right).sum(axis=1)[None, :] - 2 * (x @ right.T)
+            square[ids[:, None] == other[None, :]] = np.inf
+            distance = np.sqrt(np.maximum(square, 0))
+            at = np.lexsort((np.broadcast_to(other, distance.shape), distance), axis=1)[:, :k]
+            found = np.take_along_axis(distance, at, axis=1)
+            within = np.zeros(found.shape, dtype=np.int64)
+            within[:, :1] = (distance <= radius).sum(axis=1)[:, None]
+            keep = np.isfinite(found)
+            out.append(pa.table({"k": np.repeat(ids, at.shape[1])[keep.ravel()], "o": other[at][keep], "d": found[keep], "within": within[keep]}))
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        ids, x = table.column("k").to_numpy(), np.stack(table.column("v").to_numpy(zero_copy_only=False))
+        same = bool(first.all())
+        theirs = first if same else ~first
+        parts = near(x[first], x[theirs], ids[first], ids[theirs]) if theirs.any() else []
+        parts += near(x[theirs], x[first], ids[theirs], ids[first]) if theirs.any() and not same else []
+        empty = pa.table({"k": ids[:0], "o": ids[:0], "d": np.zeros(0), "within": ids[:0]})
+        return pa.concat_tables([empty, *parts])
+
+    found = cells.groupBy("g", "a", "b").applyInArrow(run, "k long, o long, d double, within long")
+    # At most k rows a row and tile.
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("d", "o")))
+    return ranked.groupBy(F.col("k").alias(key)).agg(F.avg(F.when(F.col("n") <= k, F.col("d"))).alias("mean_near"), F.sum("within").alias("within"))
 
 
 def bin_lookup(df: DataFrame, position: str, width: int, table: DataFrame, n_bins: int) -> DataFrame:
@@ -121,11 +157,15 @@ def bin_lookup(df: DataFrame, position: str, width: int, table: DataFrame, n_bin
 
 
 def fingerprint_match(columns: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Tidy (col, row, bit) tables matched by a digest of their whole contents, ambiguity reported (JN-19)."""
+    """Tidy (col, row, bit) tables matched by a digest of their whole contents, ambiguity reported (JN-19).
+
+    The digest is the number of rows and two sums of hashes of (row, bit), which need no order and no column in one task.
+    """
 
     def digests(df: DataFrame, name: str) -> DataFrame:
-        bits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "bit"))), lambda x: x["bit"].cast("string")), "")
-        return df.groupBy("col").agg(F.md5(bits).alias("digest")).select(F.col("col").alias(name), "digest")
+        hashed = lambda seed: F.sum(F.xxhash64("row", "bit", F.lit(seed)).cast("decimal(38,0)"))
+        sums = df.groupBy("col").agg(F.count("*").alias("n"), hashed(1).alias("h1"), hashed(2).alias("h2"))
+        return sums.select(F.col("col").alias(name), F.struct("n", "h1", "h2").alias("digest"))
 
     found = digests(columns, "col").join(digests(candidates, "candidate"), "digest", "left")
     return found.groupBy("col").agg(F.min("candidate").alias("candidate"), F.count("candidate").alias("matches")).withColumn("ambiguous", F.col("matches") > 1)
@@ -138,10 +178,41 @@ def lookup_profile(df: DataFrame, key: str, text: str, k: int, lookup: DataFrame
     return rows.join(lookup, "kmer", "left").select(key, "pos", "kmer", "value")
 
 
-def occurrences(queries: DataFrame, sites: DataFrame, text: str) -> DataFrame:
-    """Every site with the query's text and the number of them (JN-10); NULL and 0 where there is none."""
-    counted = sites.groupBy(text).agg(F.count("*").alias("copies"), F.min(F.struct("strand", "pos")).alias("first"))
-    return queries.join(counted, text, "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+def occurrences(queries: DataFrame, sites: DataFrame, text: str, order: Sequence[str] = ("strand", "pos")) -> DataFrame:
+    """Every site with the query's text, how many there are and which comes first in ``order`` (JN-10).
+
+    One row a match; a query without a match has one row with NULL sites and 0 copies.
+    """
+    counted = sites.groupBy(text).agg(F.count("*").alias("copies"), F.min(F.struct(*order)).alias("__first"))
+    found = queries.join(counted, text, "left").join(sites, text, "left")
+    return found.withColumn("copies", F.coalesce("copies", F.lit(0))).withColumn("first", F.struct(*order) == F.col("__first")).drop("__first")
+
+
+def _nearest_of(points: DataFrame, targets: DataFrame, key: str, position: str) -> DataFrame:
+    """(key, distance, number): the nearest target (position, number) of each point, the least number of equals."""
+    lowest = targets.groupBy(F.col(position).cast("long").alias("__p")).agg(F.min("number").alias("number"))
+    near = nearest_on_line(points, targets, key, position).withColumn("distance", F.least("before", "after"))
+    ends = F.array(F.when(F.col("before") == F.col("distance"), F.col(position) - F.col("distance")), F.when(F.col("after") == F.col("distance"), F.col(position) + F.col("distance")))
+    asked = near.select(key, "distance", F.explode(ends).alias("__p")).where("__p IS NOT NULL")
+    return asked.join(lowest, "__p").groupBy(key, "distance").agg(F.min("number").alias("number"))
+
+
+def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, position: str, low: str, high: str, number: str, width: int = 4096) -> DataFrame:
+    """(key, distance, number) of the interval nearest to each point, 0 inside; of equals the least number (JN-13)."""
+    own = intervals.select(F.col(low).cast("long").alias("__low"), F.col(high).cast("long").alias("__high"), F.col(number).alias("number"))
+    at = points.select(key, F.col(position).cast("long").alias(position))
+    inside = interval_containment(at, own, position, "__low", "__high", width).groupBy(key).agg(F.min("number").alias("__in"))
+    ends = own.select(F.col("__low").alias(position), "number").unionByName(own.select(F.col("__high").alias(position), "number"))
+    outside = _nearest_of(at, ends, key, position)
+    joined = outside.join(inside, key, "left")
+    return joined.select(key, F.when(F.col("__in").isNotNull(), 0).otherwise(F.col("distance")).alias("distance"), F.coalesce("__in", "number").alias("number"))
+
+
+def nearest_midpoint(points: DataFrame, intervals: DataFrame, key: str, position: str, low: str, high: str, number: str) -> DataFrame:
+    """(key, distance, number) of the interval whose midpoint is nearest to each point, the least number of equals (JN-14)."""
+    twice = intervals.select((F.col(low) + F.col(high)).cast("long").alias(position), F.col(number).alias("number"))
+    found = _nearest_of(points.select(key, (2 * F.col(position)).cast("long").alias(position)), twice, key, position)
+    return found.withColumn("distance", F.col("distance") / 2)
 
 
 def zip_rows(left: DataFrame, right: DataFrame, order: str) -> DataFrame:

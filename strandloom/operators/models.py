@@ -10,9 +10,11 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strandloom.operators.aggregates import pearson, spearman_by
+from strandloom.operators.aggregates import gram, pearson, spearman_by
+from strandloom.operators.resampling import permuted_each
+from strandloom.sources.workspace import stored
 
 
 def estimator(name: str, seed: int = 0, **more):
@@ -57,6 +59,7 @@ def out_of_fold(df: DataFrame, folds: Sequence[int], top: int | None, model: str
 
 def fold_scores(predictions: DataFrame) -> DataFrame:
     """(fold, n, r2, mse, pearson, spearman) of held-out predictions (AG-15, AG-17)."""
+    predictions = stored(predictions, "predictions")  # ranks read them several times, the models predict once
     e = F.col("label") - F.col("prediction")
     plain = predictions.groupBy("fold").agg(
         F.count("*").alias("n"), (1 - F.try_divide(F.avg(e * e), F.var_pop("label"))).alias("r2"), F.avg(e * e).alias("mse"), pearson("label", "prediction").alias("pearson")
@@ -88,19 +91,22 @@ def transfer(source: DataFrame, target: DataFrame, model: str = "gbt", seed: int
     return estimator(model, seed).fit(_vectors(source)).transform(_vectors(target)).select("key", "fold", "label", "prediction")
 
 
-def permutation_importance(df: DataFrame, fitted, columns: Sequence[int], seed: int = 0) -> DataFrame:
-    """(column, drop): fall of the rank correlation when a column's values are those of another row (ML-24).
+def _replaced(column: int) -> Column:
+    """Features with one slot taken from its shuffled column."""
+    return F.transform("features", lambda v, i: F.when(i == column, F.col(f"c{column}")).otherwise(v))
 
-    Rows are repeated once a column with that slot replaced, so one transform scores all columns.
-    """
-    donor = df.select("key", "features").withColumn("h", F.xxhash64("key", F.lit(seed)))
-    n = 64
-    groups = donor.select(F.pmod("h", F.lit(n)).alias("g"), F.col("features").alias("other")).groupBy("g").agg(F.max_by("other", F.xxhash64("other")).alias("other"))
-    spread = df.withColumn("column", F.explode(F.array(F.lit(-1), *[F.lit(int(c)) for c in columns])))
-    spread = spread.withColumn("g", F.pmod(F.xxhash64("key", "column", F.lit(seed)), F.lit(n))).join(F.broadcast(groups), "g", "left")  # 64 rows
-    moved = F.transform("features", lambda v, i: F.when(i == F.col("column"), F.coalesce(F.col("other")[F.greatest(i, F.lit(0))], v)).otherwise(v))
-    scored = fitted.transform(_vectors(spread.withColumn("features", moved)))
-    rho = spearman_by(scored, ["column"], "label", "prediction")
+
+def permutation_importance(df: DataFrame, fitted, columns: Sequence[int], seed: int = 0) -> DataFrame:
+    """(column, drop): fall of the rank correlation when a column's values are permuted over all rows (ML-24)."""
+    wide = df.select("key", *[F.col("features")[int(c)].alias(f"c{c}") for c in columns])
+    shuffled = permuted_each(wide, "key", [f"c{c}" for c in columns], seed)
+    joined = df.join(shuffled, "key")
+    variants = [F.struct(F.lit(-1).alias("column"), F.col("features").alias("features"))]
+    for c in columns:
+        variants.append(F.struct(F.lit(int(c)).alias("column"), _replaced(int(c)).alias("features")))
+    spread = joined.select("key", "fold", "label", F.explode(F.array(*variants)).alias("x")).select("key", "fold", "label", "x.column", "x.features")
+    predictions = stored(fitted.transform(_vectors(spread)).select("column", "label", "prediction"), "permuted")
+    rho = spearman_by(predictions, ["column"], "label", "prediction")
     full = rho.where("column = -1").select(F.col("rho").alias("full"))
     return rho.where("column >= 0").join(F.broadcast(full)).select("column", (F.col("full") - F.col("rho")).alias("drop"))  # one row
 
@@ -122,8 +128,8 @@ def out_of_fold_ridge(df: DataFrame, folds: Sequence[int], penalty: float = 1.0)
     The driver holds folds times columns squared sums, whatever the number of rows.
     """
     x = F.concat(F.array(F.lit(1.0)), F.col("features"), F.array("label"))
-    rows = df.select("fold", F.posexplode(x).alias("i", "a"), x.alias("x")).select("fold", "i", "a", F.posexplode("x").alias("j", "b")).where("i <= j")
-    sums = rows.groupBy("fold", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect()
+    tidy = df.select("fold", "key", F.posexplode(x).alias("pos", "v"))
+    sums = gram(tidy, "fold", "key", "pos", "v").collect()
     size = max((r.j for r in sums), default=-1) + 1
     total = {f: np.zeros((size, size)) for f in folds}
     for r in sums:
@@ -146,8 +152,8 @@ def random_search(train: DataFrame, space: Mapping[str, Sequence], draws: int, p
     for _ in range(draws):
         settings = {k: v[int(rng.integers(len(v)))] for k, v in space.items()}
         scored = estimator(model, seed, **settings).fit(fit).transform(check)
-        rho = spearman_by(scored.withColumn("g", F.lit(0)), ["g"], "label", "prediction").first()
-        score = rho.rho if rho else 0.0
+        rho = spearman_by(scored, [], "label", "prediction").first()
+        score = rho.rho if rho and rho.rho is not None else 0.0
         log.append((settings, score))
         best, since = ((score, settings), 0) if score > best[0] else (best, since + 1)
         if since >= patience:
@@ -183,3 +189,41 @@ def forest_predictions(members: list, df: DataFrame) -> DataFrame:
         part = fitted.transform(_vectors(df, columns)).select("key", "fold", "label", "prediction")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("key", "fold", "label").agg(F.avg("prediction").alias("prediction"))
+
+
+def save_model(fitted, path: str, columns: Sequence[int] = ()) -> None:
+    """The fitted model and the columns it reads, in a new folder that all executors share (SRC-13, SNK-04)."""
+    fitted.write().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([([int(c) for c in columns],)], "columns array<int>").coalesce(1).write.parquet(f"{path}/columns")
+
+
+def load_model(spark: SparkSession, path: str):
+    """(model, columns) as saved (SRC-13)."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(f"{path}/model", spark), list(spark.read.parquet(f"{path}/columns").first()[0])
+
+
+def faithfulness(df: DataFrame, ranked: Sequence[int], steps: Sequence[int], folds: Sequence[int], model: str = "tree", seed: int = 0) -> DataFrame:
+    """(arm, dropped, fold, n, mse, r2) of models fitted again without their leading columns (ML-30).
+
+    The arm ``top`` drops the first ``steps`` columns of the ranking; the arms ``random0`` and ``random1`` drop as many
+    drawn by a seed. A ranking is faithful where its arm loses more than both.
+    """
+    rng, everything, out = np.random.default_rng(seed), sorted(ranked), None
+    for k in steps:
+        arms = {"top": set(ranked[:k]), **{f"random{i}": set(rng.choice(everything, size=k, replace=False).tolist()) for i in (0, 1)}}
+        scores = ablation(df, {name: [c for c in everything if c not in gone] for name, gone in arms.items()}, folds, model)
+        part = scores.withColumn("dropped", F.lit(int(k)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def compare_models(df: DataFrame, models: Sequence[str], folds: Sequence[int], seed: int = 0) -> DataFrame:
+    """(model, fold, n, mse, r2) of several models on the same folds and columns (ML-22, ML-35)."""
+    out = None
+    for name in models:
+        part = fold_scores(out_of_fold(df, folds, None, name, seed)).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -46,13 +47,27 @@ def with_running_sum(df: DataFrame, order: str, value: Column, name: str, ties:
 
 
 def average_rank(df: DataFrame, column: str, name: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Append the average rank of ``column`` inside ``groups``, or over the table (WN-01); divide by n for percentages."""
-    if groups:
-        by, same = Window.partitionBy(*groups).orderBy(column), Window.partitionBy(*groups, column)
-        return df.withColumn(name, F.rank().over(by) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0))
-    counts = df.groupBy(column).agg(F.count("*").alias("__c"))
-    ranked = with_running_sum(counts, column, F.col("__c"), "__upto")
-    return df.join(ranked.select(column, (F.col("__upto") - (F.col("__c") - 1) / F.lit(2.0)).alias(name)), column)
+    """Append the average rank of a numeric column inside ``groups``, or over the table (WN-01); divide by n for percentages.
+
+    NULL has no rank and counts for none. Equal values are counted first; the counts are summed inside ranges of the
+    values and over each group's ranges, so neither ties nor a large group meet in one task.
+    """
+    held = df.where(F.col(column).isNotNull())
+    counts = with_range(held.groupBy(*groups, column).agg(F.count("*").alias("__c")), column, "__r")
+    inside = Window.partitionBy(*groups, "__r").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    # One row a group and range.
+    before = Window.partitionBy(*groups).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.groupBy(*groups, "__r").agg(F.sum("__c").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+    summed = _joined(counts.withColumn("__i", F.sum("__c").over(inside)), base, [*groups, "__r"])
+    ranks = summed.withColumn(name, F.col("__b") + F.col("__i") - (F.col("__c") - 1) / F.lit(2.0)).select(*groups, column, name)
+    return _joined(df, ranks, [*groups, column])
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys that may be NULL."""
+    other = right.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)])
+    return left.join(other, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def clipped_mean(df: DataFrame, position: str, value: str, before: int, after: int, name: str, block: int = 4096) -> DataFrame:
@@ -86,10 +101,36 @@ def running_extremes(df: DataFrame, position: str, step: str) -> DataFrame:
     return summed.agg(F.min_by(position, F.struct("cum", position)).alias("argmin"), F.min_by(position, F.struct((-F.col("cum")).alias("c"), position)).alias("argmax"))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, quantiles): exact linear quantiles of the values that are not NULL, without a group in one task.
+
+    Equal values are counted first and the counts summed in ranges; the order statistics that the quantiles lie between
+    are then two values each.
+    """
+    counts = with_range(df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("__c")), column, "__r")
+    inside = Window.partitionBy(*groups, "__r").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    by_range = Window.partitionBy(*groups).orderBy("__r")
+    # One row a group and range.
+    base = counts.groupBy(*groups, "__r").agg(F.sum("__c").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = base.withColumn("__n", F.sum("__s").over(Window.partitionBy(*groups))).drop("__s")
+    placed = _joined(counts.withColumn("__i", F.sum("__c").over(inside)), base, [*groups, "__r"])
+    last = F.col("__b") + F.col("__i")  # rank of the value's last copy, from 1
+    first = last - F.col("__c") + 1
+    value, out = F.col(column).cast("double"), []
+    for i, q in enumerate(shares):
+        at = (F.col("__n") - 1) * F.lit(float(q)) + 1
+        low = F.max(F.when((first <= F.floor(at)) & (F.floor(at) <= last), value))
+        high = F.max(F.when((first <= F.ceil(at)) & (F.ceil(at) <= last), value))
+        out += [low.alias(f"__l{i}"), high.alias(f"__h{i}")]
+    found = placed.groupBy(*groups).agg(F.max("__n").alias("__n"), *out)
+    part = [(F.col("__n") - 1) * F.lit(float(q)) - F.floor((F.col("__n") - 1) * F.lit(float(q))) for q in shares]
+    return found.select(*groups, F.array(*[F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * p for i, p in enumerate(part)]).alias("quantiles"))
+
+
 def quantile_bands(df: DataFrame, column: str, bands: int, name: str) -> DataFrame:
     """Append the band between exact linear quantiles: half-open, the last one closed (WN-15)."""
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(i / bands) for i in range(1, bands)])).alias("__cuts"))
-    return df.join(F.broadcast(cuts)).withColumn(name, F.size(F.filter("__cuts", lambda c: c <= F.col(column)))).drop("__cuts")  # one row
+    cuts = exact_quantiles(df, column, [i / bands for i in range(1, bands)]).withColumnRenamed("quantiles", "__cuts")
+    return df.join(F.broadcast(cuts), how="left").withColumn(name, F.size(F.filter("__cuts", lambda c: c <= F.col(column)))).drop("__cuts")  # one row
 
 
 def running_best(df: DataFrame, run: str, trial: str, score: str) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandloom.operators.ordering import exact_quantiles
+
 
 def draw(seed: int, key: Column, bits: int = 32) -> Column:
     """Uniform whole number of a seed and a key, the same in every run and engine."""
@@ -66,10 +68,12 @@ def tidy(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
 def train_statistics(rows: DataFrame, fold: str, folds: int) -> DataFrame:
     """(held, name, median, q1, q3, mean, sd) over the rows outside each held-out fold."""
     spread = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("held") != F.col(fold))
-    return spread.groupBy("held", "name").agg(
-        F.coalesce(F.median("value"), F.lit(0.0)).alias("median"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
-    ).select("held", "name", "median", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "mean", "sd")
+    moments = spread.groupBy("held", "name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    q = exact_quantiles(spread, "value", [0.25, 0.5, 0.75], ["held", "name"])
+    # One row a fold and column on either side.
+    return moments.join(q, ["held", "name"], "left").select(
+        "held", "name", F.coalesce(F.col("quantiles")[1], F.lit(0.0)).alias("median"), F.col("quantiles")[0].alias("q1"), F.col("quantiles")[2].alias("q3"), "mean", "sd"
+    )
 
 
 def apply_train_statistics(rows: DataFrame, stats: DataFrame, fold: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import aggregates as A
 from strandloom.operators.profiles import explode_profile
+from strandloom.operators.ordering import exact_quantiles
 from strandloom.plans.registry import query
 from strandloom.sources.tables import table
 
@@ -60,9 +61,10 @@ def value_counts_null(spark, sf_dir):
   round(avg(CASE WHEN o_totalprice > 200000 THEN 1.0 ELSE 0.0 END), 6) AS share FROM orders GROUP BY 1""")
 def quantile_share(spark, sf_dir):
     p = "o_totalprice"
-    q = F.percentile(p, F.array(F.lit(0.5), F.lit(0.9)))
-    out = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(q.alias("q"), F.round(F.avg((F.col(p) > 200000).cast("double")), 6).alias("share"))
-    return out.select("o_orderpriority", F.round(F.col("q")[0], 4).alias("q50"), F.round(F.col("q")[1], 4).alias("q90"), "share")
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", p)
+    out = o.groupBy("o_orderpriority").agg(F.round(F.avg((F.col(p) > 200000).cast("double")), 6).alias("share"))
+    out = out.join(exact_quantiles(o, p, [0.5, 0.9], ["o_orderpriority"]), "o_orderpriority")
+    return out.select("o_orderpriority", F.round(F.col("quantiles")[0], 4).alias("q50"), F.round(F.col("quantiles")[1], 4).alias("q90"), "share")
 
 
 @query("conditional_counts", """WITH r AS (SELECT user_id, event_type, rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS r FROM events)

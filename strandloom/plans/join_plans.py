@@ -89,7 +89,39 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, o) AS n FROM
 SELECT vec_id, round(avg(d) FILTER (n <= 5), 6) AS mean_near, count(*) FILTER (d <= 1.2) AS within FROM r GROUP BY vec_id""")
 def group_knn(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    return J.group_neighbours(v, "vec_id", "label", "e", 5, 1.2).withColumn("mean_near", F.round("mean_near", 6))
+    return J.neighbours(v, "vec_id", "e", 5, 1.2, "label").withColumn("mean_near", F.round("mean_near", 6))
+
+
+@query("all_pairs_knn", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS o, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, o) AS n FROM d)
+SELECT vec_id, round(avg(d) FILTER (n <= 5), 6) AS mean_near, count(*) FILTER (d <= 1.2) AS within FROM r GROUP BY vec_id""")
+def all_pairs_knn(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return J.neighbours(v, "vec_id", "embedding", 5, 1.2).withColumn("mean_near", F.round("mean_near", 6))
+
+
+INTERVALS = """WITH p AS (SELECT event_id, event_id * 37 % 9973 AS x FROM events), i AS (SELECT p_partkey AS n, p_partkey * 53 % 9973 AS l, p_partkey * 53 % 9973 + p_size % 7 AS h FROM part)"""
+
+
+def _intervals(spark, sf_dir):
+    p = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 37 % 9973).alias("x"))
+    l = F.col("p_partkey") * 53 % 9973  # noqa: E741
+    return p, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), l.alias("l"), (l + F.col("p_size") % 7).alias("h"))
+
+
+@query("nearest_interval", f"""{INTERVALS}, d AS (SELECT x, n, CASE WHEN x BETWEEN l AND h THEN 0 ELSE least(abs(x - l), abs(x - h)) END AS d FROM (SELECT DISTINCT x FROM p) q, i),
+b AS (SELECT x, min({{'d': d, 'n': n}}) AS b FROM d GROUP BY x) SELECT event_id, CAST(b.d AS BIGINT) AS distance, b.n AS number FROM p JOIN b USING (x)""")
+def nearest_interval(spark, sf_dir):
+    p, i = _intervals(spark, sf_dir)
+    return J.nearest_interval(p, i, "event_id", "x", "l", "h", "n")
+
+
+@query("nearest_midpoint", f"""{INTERVALS}, d AS (SELECT x, n, abs(2 * x - l - h) / 2 AS d FROM (SELECT DISTINCT x FROM p) q, i),
+b AS (SELECT x, min({{'d': d, 'n': n}}) AS b FROM d GROUP BY x) SELECT event_id, b.d AS distance, b.n AS number FROM p JOIN b USING (x)""")
+def nearest_midpoint(spark, sf_dir):
+    p, i = _intervals(spark, sf_dir)
+    return J.nearest_midpoint(p, i, "event_id", "x", "l", "h", "n")
 
 
 @query("bin_lookup", """WITH b AS (SELECT ((event_id - 1) // 50) % 40 AS bin, round(avg(value), 6) AS bin_mean FROM events WHERE event_id > 0 GROUP BY 1)
@@ -125,12 +157,12 @@ def lookup_profile(spark, sf_dir):
 
 
 @query("occurrence_join", """WITH s AS (SELECT p_brand AS t, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand, p_partkey AS pos FROM part),
-q AS (SELECT 'Brand#' || i AS t FROM range(5, 60) r(i)), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY strand, pos) AS n FROM s)
-SELECT q.t, (SELECT count(*) FROM s WHERE s.t = q.t) AS copies, r.strand, r.pos FROM q LEFT JOIN r ON r.t = q.t AND n = 1""")
+q AS (SELECT 'Brand#' || i AS t FROM range(5, 60) r(i)), r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY strand, pos) AS n, count(*) OVER (PARTITION BY t) AS c FROM s)
+SELECT q.t, coalesce(c, 0) AS copies, r.strand, r.pos, n = 1 AS first FROM q LEFT JOIN r ON r.t = q.t""")
 def occurrence_join(spark, sf_dir):
     s = table(spark, sf_dir, "part").select(F.col("p_brand").alias("t"), F.when(F.col("p_size") % 2 == 0, "+").otherwise("-").alias("strand"), F.col("p_partkey").alias("pos"))
     q = spark.range(5, 60).select(F.concat(F.lit("Brand#"), "id").alias("t"))
-    return J.occurrences(q, s, "t").select("t", "copies", "first.strand", "first.pos")
+    return J.occurrences(q, s, "t").withColumn("first", F.when(F.col("strand").isNotNull(), F.col("first")))
 
 
 @query("fragment_anchor", """WITH a AS (SELECT doc_id, text, lower(substr(text, 5, 12)) AS f FROM documents)

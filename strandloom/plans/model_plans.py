@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from strandloom.operators import models as M
 from strandloom.plans.registry import query
 from strandloom.sources.tables import table
-from strandloom.sources.workspace import stored
+from strandloom.sources.workspace import stored, work_folder
 
 
 def rows(spark, sf_dir, folds=3):
-    """First half of each vector as features, a sum of the second half as label."""
+    """All components of each vector but 33 to 40 as features; the label is the sum of those eight and of two features."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     label = F.aggregate(F.slice("e", 33, 8), F.lit(0.0), lambda a, v: a + v) + F.col("e")[0] * 2 - F.col("e")[5]
-    made = e.select(F.col("vec_id").alias("key"), label.alias("label"), F.slice("e", 1, 16).alias("features"), F.pmod(F.xxhash64("vec_id"), F.lit(folds)).alias("fold"))
+    features = F.concat(F.slice("e", 1, 32), F.slice("e", F.lit(41), F.greatest(F.size("e") - 40, F.lit(0))))
+    made = e.select(F.col("vec_id").alias("key"), label.alias("label"), features.alias("features"), F.pmod(F.xxhash64("vec_id"), F.lit(folds)).alias("fold"))
     return stored(made, "model-rows")
 
 
@@ -33,6 +34,25 @@ def ablation_gbt(spark, sf_dir):
     return M.ablation(rows(spark, sf_dir, 2), {"all": None, "first": [0, 5], "noise": [1, 2]}, range(2), "tree")
 
 
+@query("faithfulness_tree")
+def faithfulness_tree(spark, sf_dir):
+    r = rows(spark, sf_dir, 2)
+    return M.faithfulness(r, M.rank_features(r.where("fold = 0")), [2, 8], range(2))
+
+
+@query("model_comparison")
+def model_comparison(spark, sf_dir):
+    return M.compare_models(rows(spark, sf_dir, 2), ["tree", "ridge", "linear"], range(2))
+
+
+@query("saved_model_scores")
+def saved_model_scores(spark, sf_dir):
+    r, path = rows(spark, sf_dir, 2), work_folder(spark, "model")
+    M.save_model(M.estimator("tree").fit(M._vectors(r.where("fold = 0"), [0, 5, 7])), path, [0, 5, 7])
+    fitted, columns = M.load_model(spark, path)
+    return M.fold_scores(fitted.transform(M._vectors(r.where("fold = 1"), columns)))
+
+
 @query("stacked_models")
 def stacked_models(spark, sf_dir):
     return M.fold_scores(M.stacked(rows(spark, sf_dir, 2), ["tree", "ridge"], range(2)))
@@ -48,7 +68,7 @@ def transfer_gbt(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     r = rows(spark, sf_dir, 2)
     fitted = M.estimator("tree").fit(M._vectors(r.where("fold = 0")))
-    return M.permutation_importance(r.where("fold = 1"), fitted, range(16))
+    return M.permutation_importance(r.where("fold = 1"), fitted, range(len(r.first().features)))
 
 
 @query("random_search_tree")

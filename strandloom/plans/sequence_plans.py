@@ -85,16 +85,20 @@ def motif_sites(spark, sf_dir):
     return S.motif_sites(dna(spark, sf_dir), "p_partkey", "s", 6, "GG").withColumn("place", F.col("place").cast("long"))
 
 
-_pairs = [(k, h, s) for step, h, s in S.STEPS for k in dict.fromkeys((step, step.translate(str.maketrans("ACGT", "TGCA"))[::-1]))]
+_pairs = [(k, *v) for step, *v in S.STEPS for k in dict.fromkeys((step, step.translate(str.maketrans("ACGT", "TGCA"))[::-1]))]
+_end = lambda gc, at: f"CASE WHEN q[1] IN ('G', 'C') THEN {gc} ELSE {at} END + CASE WHEN q[-1] IN ('G', 'C') THEN {gc} ELSE {at} END"
 
 
-@query("duplex_thermodynamics", f"""{D}, t(k, h, s) AS (VALUES {', '.join(f"('{k}', {h}::DOUBLE, {s}::DOUBLE)" for k, h, s in _pairs)}),
-x AS (SELECT p_partkey, d.s AS q, sum(t.h) AS h, sum(t.s) AS e FROM d, LATERAL (SELECT unnest(range(1, length(d.s))) AS i), t WHERE t.k = substr(d.s, i, 2) GROUP BY ALL),
-y AS (SELECT p_partkey, h + CASE WHEN q[1] IN ('G', 'C') THEN 0.1 ELSE 2.3 END + CASE WHEN q[-1] IN ('G', 'C') THEN 0.1 ELSE 2.3 END AS dh,
-  e + CASE WHEN q[1] IN ('G', 'C') THEN -2.8 ELSE 4.1 END + CASE WHEN q[-1] IN ('G', 'C') THEN -2.8 ELSE 4.1 END AS ds FROM x)
-SELECT p_partkey, round(dh, 5) AS dh, round(ds, 5) AS ds, round(dh - 310.15 * ds / 1000, 8) AS dg37, round(1000 * dh / (ds + 1.987 * ln(5e-7 / 4)) - 273.15, 5) AS tm FROM y""")
+# Every eleventh text has an unknown letter, every thirteenth is one letter long.
+@query("duplex_thermodynamics", f"""{D}, o AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN s[:3] || 'N' || s[4:] WHEN p_partkey % 13 = 0 THEN s[:1] ELSE s END AS q FROM d),
+t(k, h, s, g) AS (VALUES {', '.join(f"('{k}', {h}::DOUBLE, {s}::DOUBLE, {g}::DOUBLE)" for k, h, s, g in _pairs)}),
+x AS (SELECT p_partkey, q, sum(t.h) AS h, sum(t.s) AS e, sum(t.g) AS g FROM o, LATERAL (SELECT unnest(range(1, length(q))) AS i), t WHERE t.k = substr(q, i, 2) AND regexp_full_match(q, '[ACGT]+') GROUP BY ALL),
+y AS (SELECT p_partkey, h + {_end(0.1, 2.3)} AS dh, e + {_end(-2.8, 4.1)} AS ds, g + {_end(0.98, 1.03)} AS dg37 FROM x)
+SELECT p_partkey, round(dh, 5) AS dh, round(ds, 5) AS ds, round(dg37, 8) AS dg37, round(1000 * dh / (ds + 1.987 * ln(5e-7 / 4)) - 273.15, 5) AS tm FROM o LEFT JOIN y USING (p_partkey)""")
 def duplex_thermodynamics(spark, sf_dir):
-    out = dna(spark, sf_dir).select("p_partkey", S.duplex(F.col("s")).alias("x"))
+    s, key = F.col("s"), F.col("p_partkey")
+    odd = F.when(key % 11 == 0, F.concat(F.substring(s, 1, 3), F.lit("N"), F.substr(s, F.lit(4)))).when(key % 13 == 0, F.substring(s, 1, 1)).otherwise(s)
+    out = dna(spark, sf_dir).select("p_partkey", S.duplex(odd).alias("x"))
     return out.select("p_partkey", *[F.round(f"x.{c}", 8 if c == "dg37" else 5).alias(c) for c in ("dh", "ds", "dg37", "tm")])
 
 

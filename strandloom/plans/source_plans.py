@@ -11,9 +11,13 @@ from strandloom.sources.tables import table
 from strandloom.sources.workspace import work_folder
 
 
-@query("titled_csv_round_trip", "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part")
+# Every third name and every fifth size is missing, so cells behind the key are empty.
+@query("titled_csv_round_trip", "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS p_name, p_brand, CASE WHEN p_partkey % 5 > 0 THEN p_size END AS p_size, p_retailprice FROM part")
 def titled_csv_round_trip(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    key = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(key % 3 > 0, F.col("p_name")).alias("p_name"), "p_brand", F.when(key % 5 > 0, F.col("p_size")).alias("p_size"), "p_retailprice"
+    )
     path = work_folder(spark, "titled-csv")
     S.write_titled_csv(p, path, "Parts of the catalogue")
     return S.read_titled_csv(spark, path, p.schema, "p_partkey")
@@ -26,14 +30,15 @@ def context_scores_scan(spark, sf_dir):
     return S.read_context_scores(spark, [path])
 
 
-@query("wiggle_dense_track", """WITH s AS (SELECT event_id * 3 AS pos, round(value, 3) AS value FROM events WHERE event_id % 4 = 1)
-SELECT i AS pos, coalesce(value, 0) AS value FROM range(1, 20001) t(i) LEFT JOIN s ON s.pos = i""")
+@query("wiggle_dense_track", """WITH s AS (SELECT event_id * 3 AS pos, round(value, 3) AS value FROM events)
+SELECT i AS pos, coalesce(value, 0) AS value FROM (SELECT unnest(range(1, (SELECT max(pos) FROM s) + 1)) AS i) t LEFT JOIN s ON s.pos = i""")
 def wiggle_dense_track(spark, sf_dir):
     path = work_folder(spark, "wiggle")
-    e = table(spark, sf_dir, "events").where("event_id % 4 = 1")
+    e = table(spark, sf_dir, "events")
+    last = 3 * (e.agg(F.max("event_id")).first()[0] or 0)
     lines = e.select(F.concat_ws("\t", (F.col("event_id") * 3).cast("string"), F.round("value", 3).cast("string")).alias("value"))
     spark.createDataFrame([("track type=wiggle_0",), ("variableStep chrom=c",)], "value string").unionByName(lines).write.text(path)
-    return S.read_wiggle(spark, path, 20000)
+    return S.read_wiggle(spark, path, last)
 
 
 @query("fasta_scan", "SELECT 'p' || p_partkey AS name, upper(regexp_replace(p_name || p_type, '\\s', '', 'g')) AS bases FROM part")
@@ -69,8 +74,9 @@ def append_and_resume(spark, sf_dir):
     return remaining(o, S.read_if_any(spark, path, "o_orderkey long, o_custkey long"), ["o_orderkey"])
 
 
-@query("replicate_mean_tracks", """SELECT event_type AS role, event_id % 500 AS pos, round(avg(value), 6) AS value FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL""")
+@query("replicate_mean_tracks", """SELECT event_type AS role, event_id % 500 AS pos, round(avg(value), 6) AS value FROM events GROUP BY ALL""")
 def replicate_mean_tracks(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", "event_id", (F.col("event_id") % 500).alias("pos"), "value")
     part = lambda kind, k: e.where((F.col("event_type") == kind) & (F.col("event_id") % 2 == k))
-    return S.mean_tracks({kind: [part(kind, 0), part(kind, 1)] for kind in ("click", "view")}).withColumn("value", F.round("value", 6))
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # roles, a handful
+    return S.mean_tracks({kind: [part(kind, 0), part(kind, 1)] for kind in kinds}).withColumn("value", F.round("value", 6))

@@ -9,11 +9,14 @@ from strandloom.plans.registry import query
 from strandloom.sources.tables import table
 
 
-@query("average_rank", """SELECT o_orderkey, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE AS rank,
-  round((rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE) / count(*) OVER (), 9) AS pct FROM (SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS d FROM orders)""")
+# Every seventh order has no date: NULL has no rank and counts for none.
+@query("average_rank", """SELECT o_orderkey, CASE WHEN d IS NOT NULL THEN rank() OVER (ORDER BY d NULLS LAST) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE END AS rank,
+  round(CASE WHEN d IS NOT NULL THEN (rank() OVER (ORDER BY d NULLS LAST) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE) / count(d) OVER () END, 9) AS pct
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN epoch(o_orderdate)::BIGINT END AS d FROM orders)""")
 def average_rank(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("d"))
-    n = o.agg(F.count("*").alias("n"))
+    date = F.when(F.col("o_orderkey") % 7 > 0, F.unix_seconds(F.col("o_orderdate").cast("timestamp")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", date.alias("d"))
+    n = o.agg(F.count("d").alias("n"))
     return W.average_rank(o, "d", "rank").join(F.broadcast(n)).select("o_orderkey", "rank", F.round(F.col("rank") / F.col("n"), 9).alias("pct"))  # one row
 
 

@@ -9,31 +9,32 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 
 def read_titled_csv(spark: SparkSession, path: str, schema: str | T.StructType, id_col: str) -> DataFrame:
-    """CSV whose first row may be a title (SRC-01, SRC-02).
+    """CSV whose first lines may be a title and a header (SRC-01, SRC-02).
 
-    Title and header rows are those that do not parse as data: the title row names no key, the header row is the key's
-    own name. Both are found by content, so the file splits as any other. Cells that are no value of their column's
-    type are NULL.
+    The header is the row whose key is the key column's own name; whatever stands before the first of a file, in the
+    file's first block, is its title. Both are told by place and name, so data rows may have empty cells anywhere and
+    the file splits as any other. Cells that are no value of their column's type are NULL.
     """
-    lines = spark.read.text(path)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     texts = ", ".join(f"`{f.name}` STRING" for f in schema.fields)
-    raw = lines.select(F.from_csv("value", texts, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
-    rows = raw.where(F.col(f"`{schema.fields[1].name}`").isNotNull() & (F.col(f"`{id_col}`") != id_col))
-    return rows.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields])
-
-
-def titled_lines(df: DataFrame, title: str) -> DataFrame:
-    """Lines (part, value) of a titled CSV: title padded to the width, header, rows (SNK-01)."""
-    head = [title + "," * (len(df.columns) - 1), ",".join(df.columns)]
-    top = df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(head)], "part int, value string")
-    return top.unionByName(df.select(F.lit(2).alias("part"), F.to_csv(F.struct(*df.columns)).alias("value")))
+    lines = spark.read.text(path).select(
+        F.from_csv("value", texts, {"mode": "PERMISSIVE"}).alias("r"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+    )
+    header = F.col(f"r.`{id_col}`").eqNullSafe(F.lit(id_col))
+    # One row a file with a header.
+    headers = lines.where(header & (F.col("block") == 0)).groupBy("file").agg(F.min("line").alias("header"))
+    title = (F.col("block") == 0) & F.col("header").isNotNull() & (F.col("line") < F.col("header"))
+    rows = lines.join(headers, "file", "left").where(~header & ~title)
+    return rows.select(*[F.expr(f"try_cast(r.`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields])
 
 
 def write_titled_csv(df: DataFrame, path: str, title: str) -> None:
-    """Titled CSV; the title and the header are in the first part file, rows follow in as many as the plan has."""
-    titled_lines(df, title).select("value").write.text(path)
+    """Titled CSV (SNK-01): title padded to the width and header at the top of one part file, rows in as many as the plan has."""
+    head = "\n".join([title + "," * (len(df.columns) - 1), ",".join(df.columns)])
+    top = df.sparkSession.createDataFrame([(head,)], "value string")
+    top.unionByName(df.select(F.to_csv(F.struct(*df.columns)).alias("value"))).write.text(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -53,9 +54,8 @@ def read_context_scores(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(record, line, bases) of a FASTA file, upper case (SRC-06): each file is read by one task, records by their order."""
-    whole = spark.read.text(path, wholetext=True)
-    records = whole.select(F.posexplode(F.filter(F.split("value", r"(?m)^>"), lambda x: F.trim(x) != "")).alias("record", "x"))
+    """(name, bases) of every record of a FASTA file, upper case (SRC-06); files split between records."""
+    records = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", "^>", "").alias("x")).where(F.trim("x") != "")
     body = F.upper(F.regexp_replace(F.regexp_extract("x", r"(?s)^[^\n]*\n(.*)$", 1), r"\s", ""))
     return records.select(F.regexp_extract("x", r"^(\S*)", 1).alias("name"), body.alias("bases"))
 
@@ -81,7 +81,7 @@ def mean_tracks(tracks: Mapping[str, Sequence[DataFrame]]) -> DataFrame:
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, v) of a dense whitespace matrix whose first cell of a line is its row number (SRC-09)."""
     cells = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("x"))
-    return cells.select(F.col("x")[0].cast("long").alias("i"), F.posexplode(F.slice("x", 2, 1 << 20)).alias("j", "v")).select("i", "j", F.col("v").cast("double").alias("v"))
+    return cells.select(F.col("x")[0].cast("long").alias("i"), F.posexplode(F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0)))).alias("j", "v")).select("i", "j", F.col("v").cast("double").alias("v"))
 
 
 def read_excel(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or on one machine a temporary one where it is unset."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         root = sc.getCheckpointDir()

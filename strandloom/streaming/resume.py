@@ -32,13 +32,14 @@ def windowed_means(events: DataFrame, time: str, key: str, value: str, window: s
     return events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), key).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "mean", "n")
 
 
-def run_windowed_means(spark: SparkSession, source: str, schema: str, time: str, key: str, value: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """The stream's windows as a table, after all that ``source`` holds."""
-    target, checkpoint = work_folder(spark, "windows"), work_folder(spark, "windows-state")
-    out = windowed_means(spark.readStream.schema(schema).parquet(source), time, key, value, window, late)
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+def run_windowed_means(spark: SparkSession, source: str, schema: str, time: str, key: str, value: str, window: str = "1 day", late: str = "1 hour", state: str | None = None) -> DataFrame:
+    """The closed windows as a table, after all that ``source`` holds.
 
-    out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target)
+    A window is appended once the watermark, ``late`` behind the latest time seen, has passed its end; its state ends
+    there, and rows that come later are dropped. With the same ``state`` folder a second run takes new files only.
+    """
+    folder = state or work_folder(spark, "windows")
+    out = windowed_means(spark.readStream.schema(schema).parquet(source), time, key, value, window, late)
+    stream = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
