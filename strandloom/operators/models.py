@@ -10,10 +10,10 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.operators.aggregates import gram, pearson, spearman_by
-from strandloom.operators.resampling import permuted_each
+from strandloom.operators.resampling import permuted
 from strandloom.sources.workspace import stored
 
 
@@ -91,20 +91,16 @@ def transfer(source: DataFrame, target: DataFrame, model: str = "gbt", seed: int
     return estimator(model, seed).fit(_vectors(source)).transform(_vectors(target)).select("key", "fold", "label", "prediction")
 
 
-def _replaced(column: int) -> Column:
-    """Features with one slot taken from its shuffled column."""
-    return F.transform("features", lambda v, i: F.when(i == column, F.col(f"c{column}")).otherwise(v))
-
-
 def permutation_importance(df: DataFrame, fitted, columns: Sequence[int], seed: int = 0) -> DataFrame:
-    """(column, drop): fall of the rank correlation when a column's values are permuted over all rows (ML-24)."""
-    wide = df.select("key", *[F.col("features")[int(c)].alias(f"c{c}") for c in columns])
-    shuffled = permuted_each(wide, "key", [f"c{c}" for c in columns], seed)
-    joined = df.join(shuffled, "key")
-    variants = [F.struct(F.lit(-1).alias("column"), F.col("features").alias("features"))]
-    for c in columns:
-        variants.append(F.struct(F.lit(int(c)).alias("column"), _replaced(int(c)).alias("features")))
-    spread = joined.select("key", "fold", "label", F.explode(F.array(*variants)).alias("x")).select("key", "fold", "label", "x.column", "x.features")
+    """(column, drop): fall of the rank correlation when a column's values are permuted over all rows (ML-24).
+
+    One permutation gives every row another row; each variant takes one slot from it.
+    """
+    other = permuted(df.select("key", F.col("features").alias("other")), "key", ["other"], seed)
+    spread = df.join(other, "key").withColumn("column", F.explode(F.array(F.lit(-1), *[F.lit(int(c)) for c in columns])))
+    moved = F.zip_with("features", "other", lambda v, o: F.struct(v.alias("v"), o.alias("o")))
+    taken = F.transform(moved, lambda x, i: F.when(i == F.col("column"), x["o"]).otherwise(x["v"]))
+    spread = spread.select("key", "fold", "label", "column", taken.alias("features"))
     predictions = stored(fitted.transform(_vectors(spread)).select("column", "label", "prediction"), "permuted")
     rho = spearman_by(predictions, ["column"], "label", "prediction")
     full = rho.where("column = -1").select(F.col("rho").alias("full"))
