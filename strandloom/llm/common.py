@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import pathlib
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
 _SHIPPED: set[str] = set()
+#: Paths of the work tables made so far.
+_CREATED: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -47,7 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/work-{name}-{uuid.uuid4().hex}"
+    _CREATED.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the work tables made meanwhile; what is computed from them must be written elsewhere by then."""
+    known = len(_CREATED)
+    yield
+    while len(_CREATED) > known:
+        _delete(spark, _CREATED.pop())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -63,12 +77,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the work tables that ``df`` reads; only for frames no later plan depends on."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/work-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
