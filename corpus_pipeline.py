@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm.common import fresh, materialise
+from strandloom.llm.common import fresh, own_tables, work_path
 from strandloom.llm.langid import identify, language_dictionaries
 from strandloom.llm.near_duplicates import keep_one
 from strandloom.llm.packing import pack
@@ -36,7 +36,11 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates: 5-word shingles, Jaccard 0.8 or more."""
+    """The document with the smallest id of every group of near-duplicates.
+
+    Operator 8 with the settings of a near-duplicate stage: 256-bit SimHash over 5-word shingles, compared in tiles within
+    a radius that holds texts of a Jaccard similarity of 0.8, links verified by whole sets at 0.8 or more.
+    """
     return keep_one(docs)
 
 
@@ -52,13 +56,20 @@ STAGES = [
     ("packing", pack_documents),
 ]
 
-#: Trees, compression and XXH64 are beyond SQL; tests/llm compares the stages with brute force instead.
+#: Trees, compression and SimHash are beyond SQL; tests/llm compares each stage with a plain recomputation instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's rows written as Parquet in the shared folder and read again."""
+    """All stages over ``documents``, each stage's rows written as Parquet in the shared folder and read again.
+
+    A stage's own work tables are deleted once its rows are written.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        path = work_path(spark, name)
+        with own_tables(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.parquet(path)
+        docs = spark.read.schema(rows.schema).parquet(path)
     return docs
