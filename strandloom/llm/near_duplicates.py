@@ -8,9 +8,10 @@ on average with a deviation of 6, so a radius of 64 loses a pair there with a ch
 Texts with equal sets meet first and count once. Tiles are intervals of the sets' sizes, as similar sets differ by no
 more than 5/4 in size; within a tile pair, blocks whose population counts differ beyond the radius are skipped. The
 first round sends, for every text with candidates, one of them, near ones first; these are verified and give
-components. The second round compares the texts with candidates again and sends only pairs in different components
-that parity bits do not exclude, which prove how many shingles two sets differ in at least. So a group of near copies costs
-one check a member, and no pair above the threshold is left out but for the radius.
+components. The next rounds compare the texts with candidates again and send for each the nearest one in another
+component that parity bits do not exclude, which prove how many shingles two sets differ in at least. The last round sends
+all pairs that are then still in different components and not excluded. So a group of near copies costs a few checks a
+member, and no pair above the threshold is left out but for the radius.
 
 Defined cases: a null, empty or word-free text has the shingle of no words, so these are copies of one another; fewer
 than five words give one shingle of them all; ``component_id`` is the smallest non-null doc_id reachable (null if
@@ -33,6 +34,8 @@ from strandloom.llm.graph import connected_components
 WIDTH = 5
 #: Bits in which fingerprints of linked texts differ at most, of 64 * WORDS; and below which candidates are taken first.
 RADIUS, WORDS, NEAR = 64, 4, 44
+#: Rounds that send the nearest text in another component, before the one that sends all.
+NEAREST_ROUNDS = 2
 #: Texts a tile; a group holds two tiles at most.
 TILE = 16_384
 #: Ratio of the sizes at the ends of a bin, a little over 5/4, so that similar sets lie in neighbouring bins.
@@ -200,18 +203,41 @@ def _one_candidate(table: pa.Table) -> pa.Table:
     return pa.table({"rid": rid[at], "hub": best[at]})
 
 
-def _other_candidates(table: pa.Table) -> pa.Table:
-    """All pairs in different components that their parities do not exclude."""
-    rid, fp, n, first = _columns(table)
+def _possible(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, least share of shingles apart) of the pairs in different components that their parities do not exclude."""
+    _, fp, n, first = _columns(table)
     root = table.column("root").to_numpy()
     parity = table.column("parity").to_pylist()
-    out = [(rid[:0], rid[:0])]
     for i, j, _ in near_pairs(fp, n, first):
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-        # Jaccard >= 4/5 is the same as at most a ninth of both sizes in one set only.
-        held = 9 * least_differences(parity, i, j) <= n[i] + n[j] if len(i) else np.zeros(0, dtype=bool)
-        out.append((rid[i[held]], rid[j[held]]))
+        other = root[i] != root[j]
+        i, j = i[other], j[other]
+        if len(i):
+            apart = least_differences(parity, i, j)
+            # Jaccard >= 4/5 is the same as at most a ninth of both sizes in one set only.
+            held = 9 * apart <= n[i] + n[j]
+            yield i[held], j[held], apart[held] / (n[i] + n[j])[held]
+
+
+def _nearest_candidates(table: pa.Table) -> pa.Table:
+    """For every row the nearest one in another component, the least of equals."""
+    rid = table.column("rid").to_numpy()
+    best, hub = np.full(len(rid), np.inf), np.zeros(len(rid), dtype=np.int64)
+    for i, j, apart in _possible(table):
+        row, other, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+        order = np.lexsort((rid[other], apart, row))
+        row, other, apart = row[order], other[order], apart[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
+        better = first[apart[first] < best[row[first]]]
+        best[row[better]], hub[row[better]] = apart[better], rid[other[better]]
+    at = np.flatnonzero(np.isfinite(best))
+    return pa.table({"rid": rid[at], "apart": best[at], "hub": hub[at]})
+
+
+def _other_candidates(table: pa.Table) -> pa.Table:
+    """All pairs in different components that their parities do not exclude."""
+    rid = table.column("rid").to_numpy()
+    out = [(rid[:0], rid[:0])]
+    out += [(rid[i], rid[j]) for i, j, _ in _possible(table)]
     src, dst = (np.concatenate(x) for x in zip(*out))
     return pa.table({"src": pa.array(np.minimum(src, dst), pa.int64()), "dst": pa.array(np.maximum(src, dst), pa.int64())})
 
@@ -265,12 +291,18 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     active = materialise(found.groupBy("rid").agg(F.min("hub").alias("hub")).withColumn("hub", F.when(F.col("hub") < 2**63 - 1, F.col("hub") % (1 << 62))), "active")
     held = nodes.join(active.select("rid"), "rid")
     texts = materialise(_texts_of(docs, held.select("rid", "id", "hash"), id_col, text_col), "candidates")
-    stars = _verified(active.where("hub IS NOT NULL").select(F.col("rid").alias("src"), F.col("hub").alias("dst")), texts)
-    roots = connected_components(stars).withColumnRenamed("node", "rid")
-    rooted = held.join(roots, "rid", "left").withColumn("root", F.coalesce("component", "rid"))
-    rest = _tiles(rooted, ["rid", "n", "fp", "parity", "root"]).groupBy("a", "b").applyInArrow(_other_candidates, "src long, dst long")
-    links = _verified(materialise(rest, "rest"), texts)
-    joined = connected_components(stars.unionByName(links)).withColumnRenamed("node", "rid")
+    links = _verified(active.where("hub IS NOT NULL").select(F.col("rid").alias("src"), F.col("hub").alias("dst")), texts)
+    for last in [False] * NEAREST_ROUNDS + [True]:
+        roots = connected_components(links).withColumnRenamed("node", "rid")
+        rooted = held.join(roots, "rid", "left").withColumn("root", F.coalesce("component", "rid"))
+        tiles = _tiles(rooted, ["rid", "n", "fp", "parity", "root"]).groupBy("a", "b")
+        if last:
+            pairs = tiles.applyInArrow(_other_candidates, "src long, dst long")
+        else:
+            nearest = tiles.applyInArrow(_nearest_candidates, "rid long, apart double, hub long")
+            pairs = nearest.groupBy(F.col("rid").alias("src")).agg(F.min_by("hub", F.struct("apart", "hub")).alias("dst"))
+        links = links.unionByName(_verified(materialise(pairs, "pairs"), texts))
+    joined = connected_components(links).withColumnRenamed("node", "rid")
     discard(texts)
     grouped = nodes.join(joined, "rid", "left").select("key", "low", F.coalesce("component", "rid").alias("root"))
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -181,7 +181,7 @@ def fit_toxicity(labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 20,
     drawn = usable.withColumn("draw", draw).where(F.col("draw") < math.ceil(1e6 * min(1.0, fit_rows / total)))
     # A bounded number of rows, about ``fit_rows``; written once, read by every step of the fit.
     place = F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "doc_id", "text"))
-    sample = materialise(drawn.withColumn("part", F.pmod(place, F.lit(PARTS))), "toxicity-fit")
+    sample = materialise(drawn.withColumn("part", F.pmod(place, F.lit(PARTS))).repartition("draw"), "toxicity-fit")
     classes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if min(classes.get(0, 0), classes.get(1, 0)) < PARTS:
         return ToxicityModel({}, None, None, classes.get(1, 0) / max(sum(classes.values()), 1))

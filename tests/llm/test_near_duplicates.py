@@ -61,8 +61,9 @@ def test_edited_copies_as_by_brute_force(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize(("tile", "near"), [(16, 44), (50, 0), (4096, 64)])
-def test_components_as_by_brute_force(spark, rows, monkeypatch, tile, near):
+@pytest.mark.parametrize(("tile", "near", "rounds"), [(16, 44, 2), (50, 0, 0), (4096, 64, 1)])
+def test_components_as_by_brute_force(spark, rows, monkeypatch, tile, near, rounds):
+    monkeypatch.setattr(near_duplicates, "NEAREST_ROUNDS", rounds)
     monkeypatch.setattr(near_duplicates, "TILE", tile)
     monkeypatch.setattr(near_duplicates, "NEAR", near)
     found = near_duplicates.near_duplicate_components(spark.createDataFrame(rows, SCHEMA))
