@@ -61,7 +61,7 @@ def own_tables(spark: SparkSession) -> Iterator[None]:
     known = len(_CREATED)
     yield
     while len(_CREATED) > known:
-        _delete(spark, _CREATED.pop())
+        delete_folder(spark, _CREATED.pop())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -79,10 +79,11 @@ def discard(df: DataFrame) -> None:
     """Delete the work tables that ``df`` reads; only for frames no later plan depends on."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/work-" in path:
-            _delete(df.sparkSession, path)
+            delete_folder(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, wherever it lies."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

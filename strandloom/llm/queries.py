@@ -12,6 +12,7 @@ from strandloom.llm.ctw import score_documents
 from strandloom.llm.embeddings import embedding_components
 from strandloom.llm.langid import identify, language_dictionaries
 from strandloom.llm.packing import pack
+from strandloom.llm.phrases import collocations
 from strandloom.llm.quality import order_rules, quality_cascade
 from strandloom.llm.simhash import simhash_components
 from strandloom.llm.token_files import read_token_files, token_folder, write_token_files
@@ -225,3 +226,35 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
     )
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, w[i : i + m - 1] AS g
+  FROM w, LATERAL (SELECT unnest(range(1, 6)) AS m), LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)),
+f AS (SELECT lang, g, count(*)::HUGEINT AS a FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+longer AS (
+  SELECT DISTINCT lang, g[s : s + m - 1] AS g, a
+  FROM f, LATERAL (SELECT unnest(range(2, len(g))) AS m), LATERAL (SELECT unnest(range(1, len(g) - m + 2)) AS s)),
+alone AS (SELECT * FROM f WHERE len(g) > 1 AND NOT EXISTS (SELECT 1 FROM longer l WHERE l.lang = f.lang AND l.g = f.g AND 100 * l.a >= 100 * f.a)),
+cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM alone),
+scored AS (
+  SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, n, 1000 * c.a * n // (x.a * y.a) AS score
+  FROM cuts c JOIN totals USING (lang) JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM worst)
+WHERE rank <= 2000
+"""
+
+
+@_register("op11_phrases", PHRASES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents")).drop("k")
