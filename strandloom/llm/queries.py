@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandloom.llm.alignment import align_documents
 from strandloom.llm.bpe import bpe_round_trip
 from strandloom.llm.common import fold_of
 from strandloom.llm.ctw import score_documents
@@ -19,8 +20,8 @@ from strandloom.llm.token_files import read_token_files, token_folder, write_tok
 from strandloom.llm.toxicity import fit_toxicity, score_toxicity
 from strandloom.llm.url_filter import filter_captures, host_of, path_of
 
-#: Vocabulary file of the two token queries; the library's operators take any path.
-VOCABULARY = "word_bpe_49k.json"
+#: Vocabulary files of the token queries; the library's operators take any path.
+VOCABULARY, BYTE_VOCABULARY, PIECE_MODEL = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,10 +41,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def _vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @_register("op3_bpe")
@@ -258,3 +259,8 @@ WHERE rank <= 2000
 @_register("op11_phrases", PHRASES_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents")).drop("k")
+
+
+@_register("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(_table(spark, sf_dir, "documents"), _vocabulary(BYTE_VOCABULARY), _vocabulary(PIECE_MODEL))
