@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.llm.alignment import align_documents
+from strandloom.llm.attention_quality import fit_attention, score_attention
 from strandloom.llm.bpe import bpe_round_trip
 from strandloom.llm.common import fold_of
 from strandloom.llm.ctw import score_documents
@@ -264,3 +265,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op12_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(_table(spark, sf_dir, "documents"), _vocabulary(BYTE_VOCABULARY), _vocabulary(PIECE_MODEL))
+
+
+@_register("op13_attention_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2).select("doc_id", "quality")
+    return score_attention(docs, fit_attention(docs, labels)).select(
+        "doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "n_passages", "top_passage", "top_weight",
+    )
