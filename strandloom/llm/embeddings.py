@@ -37,16 +37,23 @@ BLOCK = 512
 SLACK = 1e-9
 
 
+def _precision(vectors: DataFrame, vector_col: str) -> str:
+    """Four bytes a component where the column has no more; all arithmetic is in double precision."""
+    return "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "<f8"
+
+
 def _keys(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, key): the vector's bytes in double precision, null where it links with nothing."""
+    """(id, key): the vector's bytes in its own precision, null where it links with nothing."""
+    dtype = _precision(vectors, vector_col)
 
     def run(column: pa.Array) -> list[pa.Array]:
         lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        values = column.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False).astype("<f8") + 0.0
+        values = column.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) + 0.0
         ends = np.cumsum(lengths)
         starts = ends - lengths
         odd, filled = (np.concatenate([[0], np.cumsum(x)]) for x in (~np.isfinite(values), values != 0))
         usable = (odd[ends] == odd[starts]) & (filled[ends] > filled[starts])
+        values = values.astype(dtype)
         keys = [values[s:e].tobytes() if ok else None for s, e, ok in zip(starts.tolist(), ends.tolist(), usable.tolist())]
         return [pa.array(keys, pa.binary())]
 
@@ -60,19 +67,19 @@ def quantise(units: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     return q.astype(np.int8), scale, np.sqrt(((units - q * scale) ** 2).sum(axis=1)) + SLACK
 
 
-def compare(keys: list[bytes], first: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, Forest]:
-    """Links of every row (copies counted) and the forest of a cell; ``first`` marks the left group's rows."""
-    x = np.stack([np.frombuffer(k, dtype="<f8") for k in keys])
+def compare(keys: list[bytes], first: np.ndarray, copies: np.ndarray, threshold: float, same: bool, dtype: str = "<f8") -> tuple[np.ndarray, Forest]:
+    """Links of every row (copies counted) and the forest of a cell; ``first`` marks the left group's rows, ``same`` a
+    group with itself. A group may hold no vector of this length, so that cannot be told from the rows."""
+    x = np.stack([np.frombuffer(k, dtype=dtype) for k in keys]).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     units = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     q, scale, error = quantise(units)
     # Sums of int8 products are whole numbers that float32 holds exactly up to 2^24.
     q = q.astype(np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64)
-    same = bool(first.all())
     ours = np.flatnonzero(first)
     theirs = ours if same else np.flatnonzero(~first)
     links, forest = np.zeros(len(keys)), Forest(len(keys))
-    if not len(theirs):
+    if not len(ours) or not len(theirs):
         return links, forest
     widest = float(error[theirs].max())
     for s in range(0, len(ours), BLOCK):
@@ -99,6 +106,7 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     """(id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
     ship_package(spark)
+    dtype = _precision(vectors, vector_col)
     marked = materialise(_keys(vectors, id_col, vector_col), "vectors")
     distinct = materialise(
         marked.where("__key IS NOT NULL").groupBy("__key")
@@ -120,7 +128,8 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     def run(table: pa.Table) -> pa.Table:
         first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
         rid = table.column("rid").to_numpy()
-        links, forest = compare(table.column("__key").to_pylist(), first, table.column("copies").to_numpy().astype(float), threshold)
+        same = table.column("a")[0] == table.column("b")[0]
+        links, forest = compare(table.column("__key").to_pylist(), first, table.column("copies").to_numpy().astype(float), threshold, same, dtype)
         linked = np.flatnonzero(links)
         return pa.table(
             {"rid": pa.array(rid[linked], pa.int64()), "links": pa.array(links[linked].astype(np.int64)), "root": pa.array(rid[forest.label[linked]], pa.int64())}

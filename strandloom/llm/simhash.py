@@ -88,7 +88,7 @@ def _near_in_group(radius: int):
     def run(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
-        same = bool(first.all())  # a tile with itself: its rows come once, as first
+        same = table.column("a")[0] == table.column("b")[0]  # a tile with itself: its rows come once, as first
         ours = np.flatnonzero(first)
         theirs = ours if same else np.flatnonzero(~first)
         forest = Forest(len(fp))
