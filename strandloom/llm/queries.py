@@ -169,7 +169,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_SQL = r"""
 WITH c AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched,
-    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', '') AS host,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1)), '\.+$', '') AS host,
     regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path
   FROM pages),
 names AS (
@@ -184,7 +184,7 @@ dated AS (SELECT key, since, max(action) AS action FROM entries GROUP BY key, si
 spans AS (SELECT key, since, action, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM dated),
 asked AS (
   SELECT DISTINCT page_id, url, fetched, key FROM (
-    SELECT page_id, url, fetched, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) AS key
+    SELECT page_id, url, fetched, unnest(list_transform(range(1, CASE WHEN host[1] = '[' THEN 2 ELSE len(string_split(host, '.')) + 1 END), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.'))) AS key
     FROM c WHERE host <> ''
     UNION ALL
     SELECT page_id, url, fetched, unnest(list_transform(range(2, len(string_split(path, '/')) + 1), lambda i: host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/')))

@@ -9,7 +9,8 @@ host is split by adaptive execution's skew join, and the list is broadcast only
 Keys: ``example.com`` covers that host and all below it; ``example.com/a`` covers that path and all below it.
 
 Defined cases: a capture with a null or host-less URL or a null date matches nothing; host names are compared in
-lower case without user, port and dots at the end, in URLs and in keys; paths are compared as they are; entries with a null key, date or action are ignored; of entries of one key and
+lower case without user, port and dots at the end, in URLs and in keys, and IPv6 addresses in their
+brackets, with no parent domain; a user ends at the last @ before the path; paths are compared as they are; entries with a null key, date or action are ignored; of entries of one key and
 date ``block`` wins; repeated captures are judged one by one; empty tables give no matches or an empty result.
 """
 
@@ -21,8 +22,8 @@ from strandloom.llm.common import materialise
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user and port; the empty string if there is none."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    """Lower-case host without user and port, an IPv6 address in its brackets; the empty string if there is none."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1)
     return F.regexp_replace(F.lower(host), r"\.+$", "")
 
 
@@ -33,7 +34,9 @@ def path_of(url: Column) -> Column:
 
 def candidate_keys(url: Column) -> Column:
     """Keys whose entries cover the URL: parent domains and path prefixes."""
-    labels, parts = F.split(host_of(url), r"\."), F.split(path_of(url), "/")
+    host = host_of(url)
+    # An address in brackets has no parent domain.
+    labels, parts = F.when(F.substring(host, 1, 1) == "[", F.array(host)).otherwise(F.split(host, r"\.")), F.split(path_of(url), "/")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     deeper = F.when(
         F.size(parts) > 1,
@@ -44,7 +47,7 @@ def candidate_keys(url: Column) -> Column:
 
 def entry_key(key: Column) -> Column:
     """The key as captures ask for it: host in lower case without dots at its end, path as it is, without slashes at its end."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(key, "^[^/]*", 0)), r"\.+$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(key, r"^(?:[^/]*@)?(\[[^\]/]*\]|[^/:]*)", 1)), r"\.+$", "")
     return F.concat(host, F.regexp_replace(F.regexp_extract(key, "^[^/]*(.*)$", 1), "/+$", ""))
 
 

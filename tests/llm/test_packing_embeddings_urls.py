@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import embeddings, packing
@@ -97,6 +98,19 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert embeddings.embedding_components(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_of_several_lengths_over_groups(spark, monkeypatch, kind):
+    monkeypatch.setattr(embeddings, "GROUP_ROWS", 25)
+    monkeypatch.setattr(embeddings, "LEAST_ROWS", 25)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(150)] + [(200 + i, (centre + rng.normal(scale=0.01, size=3)).tolist()) for i in range(10)]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = sorted([tuple(r) for r in embeddings.embedding_components(frame).collect()], key=str)
+    assert got == brute_vectors([tuple(r) for r in frame.collect()], 0.95)
+    assert [n for i, n, *_ in sorted(got) if i >= 200] == [9] * 10
+
+
 def test_quantisation_bound_is_rigorous():
     rng = np.random.default_rng(9)
     u = rng.normal(size=(300, 64))
@@ -124,5 +138,9 @@ def test_url_filter_as_of(spark):
                    (12, True, "case.org/Adult"), (13, False, None), (14, True, "dots.org")]
     assert filter_captures(captures.limit(0), entries).count() == 0
     assert not any(r.blocked for r in filter_captures(captures, entries.limit(0)).collect())
+    v6 = spark.createDataFrame([("[2001:DB8::1]", d(2024, 1, 1), "block"), ("u@Port.org:81/p", d(2024, 1, 1), "block"), ("[::ffff:1.2.3.4]/x/", d(2024, 1, 1), "block")], "key string, since date, action string")
+    asked = ["http://[2001:db8::1]/", "https://u:p@[2001:DB8::1]:8080/a?b", "http://[2001:db8::2]/", "http://[2001:db8::1", "http://port.org:9/p/q", "http://a@b@port.org/p", "http://port.org/", "http://[::FFFF:1.2.3.4]:1/x", "http://2.3.4]/x"]
+    hits = {r.page_id: r.rule for r in filter_captures(spark.createDataFrame([(i, u, d(2024, 1, 2)) for i, u in enumerate(asked)], "page_id long, url string, fetched date"), v6).collect()}
+    assert [hits[i] for i in range(len(asked))] == ["[2001:db8::1]", "[2001:db8::1]", None, None, "port.org/p", "port.org/p", None, "[::ffff:1.2.3.4]/x", None]
     keys = spark.createDataFrame([("http://a.b.c/d/e",)], "u string").select(candidate_keys(F.col("u"))).first()[0]
     assert keys == ["a.b.c", "b.c", "c", "a.b.c/d", "a.b.c/d/e"]
