@@ -2,16 +2,17 @@
 
 A text's words, A-Z lower-cased, form 5-word shingles; two texts are linked if their sets of shingles (64-bit hashes)
 have a Jaccard similarity of 4/5 or more. Candidates come from operator 8's comparison in tiles: fingerprints of 256
-bits, exclusive-or and bit counts, a link within RADIUS bits. At a similarity of 0.8 two fingerprints differ in 39 bits
-on average with a deviation of 6, so a radius of 64 loses a pair there with a chance of about 1 in 100,000.
+bits, exclusive-or and bit counts, a link within a radius. The chance that a bit differs at a similarity of 0.8 depends on
+the sets' sizes: 3/16 for 4 shingles against 5, at most 0.162 for larger ones. The radius is 84 bits for sets of 4 and
+74 for larger ones, which loses a pair at the threshold with a chance below 1 in 1,000,000 at every size.
 
 Texts with equal sets meet first and count once. Tiles are intervals of the sets' sizes, as similar sets differ by no
 more than 5/4 in size; within a tile pair, blocks whose population counts differ beyond the radius are skipped. The
 first round sends, for every text with candidates, one of them, near ones first; these are verified and give
-components. The next rounds compare the texts with candidates again and send for each the nearest one in another
-component that parity bits do not exclude, which prove how many shingles two sets differ in at least. The last round sends
-all pairs that are then still in different components and not excluded. So a group of near copies costs a few checks a
-member, and no pair above the threshold is left out but for the radius.
+components. Each next round compares the texts again and sends for each its nearest candidates in other components
+that were not sent before and that parity bits do not exclude, which prove how many shingles two sets differ in at least:
+one, one, eight, sixty-four and so on, until no text has more. So a group of near copies costs a few checks a
+member, a round's pairs are bounded by its allotment a text, and no pair above the threshold is left out but for the radius.
 
 Defined cases: a null, empty or word-free text has the shingle of no words, so these are copies of one another; fewer
 than five words give one shingle of them all; ``component_id`` is the smallest non-null doc_id reachable (null if
@@ -20,6 +21,7 @@ there is none); repeated rows repeat their result; an empty table gives an empty
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +34,19 @@ from strandloom.llm.common import discard, fresh, map_columns, materialise, ship
 from strandloom.llm.graph import connected_components
 
 WIDTH = 5
-#: Bits in which fingerprints of linked texts differ at most, of 64 * WORDS; and below which candidates are taken first.
-RADIUS, WORDS, NEAR = 64, 4, 44
-#: Rounds that send the nearest text in another component, before the one that sends all.
-NEAREST_ROUNDS = 2
+#: Bits in which fingerprints of linked texts differ at most, of 64 * WORDS, in general and where a set has SMALL shingles or
+#: fewer; and below which candidates are taken first.
+RADIUS, SMALL_RADIUS, SMALL, WORDS, NEAR = 74, 84, 4, 4, 44
+#: Candidates of a text in the rounds after the first; the last one grows by itself.
+ALLOTMENTS = (1, 1, 8)
+#: Pairs that a task holds before it keeps each text's nearest ones.
+HELD_PAIRS = 1 << 20
 #: Texts a tile; a group holds two tiles at most.
 TILE = 16_384
 #: Ratio of the sizes at the ends of a bin, a little over 5/4, so that similar sets lie in neighbouring bins.
 RATIO = 1.26
 #: Parity bits, at most.
-PARITY_BITS = 4096
+PARITY_BITS = 1 << 15
 #: Bits of the filter that texts pass before they are shuffled for verification.
 FILTER_BITS = 27
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -158,44 +163,48 @@ def _tiles(nodes: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def near_pairs(fp: np.ndarray, n: np.ndarray, first: np.ndarray, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bits apart) of all rows of a tile pair within RADIUS bits whose sizes fit, in blocks."""
-    count = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
-    same = bool(first.all())
+def radius_of(n: np.ndarray) -> int:
+    """The radius of a tile pair with sets of these sizes."""
+    return SMALL_RADIUS if n.min(initial=SMALL + 1) <= SMALL else RADIUS
+
+
+def near_pairs(fp: np.ndarray, n: np.ndarray, first: np.ndarray, same: bool, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits apart) of all rows of a tile pair within the radius whose sizes fit, in blocks; ``same`` a tile with itself."""
+    count, radius = np.bitwise_count(fp).sum(axis=1, dtype=np.int64), radius_of(n)
     ours = np.flatnonzero(first)
     theirs = ours if same else np.flatnonzero(~first)
     ours, theirs = (x[np.argsort(count[x], kind="stable")] for x in (ours, theirs))
     ordered = count[theirs]
     for s in range(0, len(ours), block):
         left = ours[s : s + block]
-        low = s if same else np.searchsorted(ordered, count[left[0]] - RADIUS)
-        right = theirs[low : np.searchsorted(ordered, count[left[-1]] + RADIUS, side="right")]
+        low = s if same else np.searchsorted(ordered, count[left[0]] - radius)
+        right = theirs[low : np.searchsorted(ordered, count[left[-1]] + radius, side="right")]
         if not len(right):
             continue
         apart = np.zeros((len(left), len(right)), dtype=np.uint8)
         for k in range(WORDS - 1):
             apart += np.bitwise_count(fp[left, k][:, None] ^ fp[right, k][None, :])
-        i, j = np.nonzero(apart <= RADIUS)
+        i, j = np.nonzero(apart <= radius)
         bits = apart[i, j].astype(np.int64)
         i, j = left[i], right[j]
         bits += np.bitwise_count(fp[i, -1] ^ fp[j, -1])
-        held = (bits <= RADIUS) & (i != j) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        held = (bits <= radius) & (i != j) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
         yield i[held], j[held], bits[held]
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
     fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), dtype="<u8").reshape(-1, WORDS)
     first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
-    return table.column("rid").to_numpy(), fp, table.column("n").to_numpy(), first
+    return table.column("rid").to_numpy(), fp, table.column("n").to_numpy(), first, table.column("a")[0] == table.column("b")[0]
 
 
 def _one_candidate(table: pa.Table) -> pa.Table:
     """For every row with candidates the least of those with a smaller number, near ones first; -1 if all are larger."""
-    rid, fp, n, first = _columns(table)
+    rid, fp, n, first, same = _columns(table)
     none = np.int64(2**63 - 1)
     best, some = np.full(len(rid), none), np.zeros(len(rid), dtype=bool)
     far = np.int64(1 << 62)
-    for i, j, bits in near_pairs(fp, n, first):
+    for i, j, bits in near_pairs(fp, n, first, same):
         some[i] = some[j] = True
         low, high = np.where(rid[i] < rid[j], i, j), np.where(rid[i] < rid[j], j, i)
         np.minimum.at(best, high, rid[low] + np.where(bits > NEAR, far, 0))
@@ -205,10 +214,10 @@ def _one_candidate(table: pa.Table) -> pa.Table:
 
 def _possible(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, least share of shingles apart) of the pairs in different components that their parities do not exclude."""
-    _, fp, n, first = _columns(table)
+    _, fp, n, first, same = _columns(table)
     root = table.column("root").to_numpy()
     parity = table.column("parity").to_pylist()
-    for i, j, _ in near_pairs(fp, n, first):
+    for i, j, _ in near_pairs(fp, n, first, same):
         other = root[i] != root[j]
         i, j = i[other], j[other]
         if len(i):
@@ -218,28 +227,30 @@ def _possible(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             yield i[held], j[held], apart[held] / (n[i] + n[j])[held]
 
 
-def _nearest_candidates(table: pa.Table) -> pa.Table:
-    """For every row the nearest one in another component, the least of equals."""
-    rid = table.column("rid").to_numpy()
-    best, hub = np.full(len(rid), np.inf), np.zeros(len(rid), dtype=np.int64)
-    for i, j, apart in _possible(table):
-        row, other, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
-        order = np.lexsort((rid[other], apart, row))
-        row, other, apart = row[order], other[order], apart[order]
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else row
-        better = first[apart[first] < best[row[first]]]
-        best[row[better]], hub[row[better]] = apart[better], rid[other[better]]
-    at = np.flatnonzero(np.isfinite(best))
-    return pa.table({"rid": rid[at], "apart": best[at], "hub": hub[at]})
+def _next_candidates(allotment: int):
+    """For every open row the nearest ``allotment`` ones in other components beyond (after, after_hub), the least of equals first."""
 
-
-def _other_candidates(table: pa.Table) -> pa.Table:
-    """All pairs in different components that their parities do not exclude."""
-    rid = table.column("rid").to_numpy()
-    out = [(rid[:0], rid[:0])]
-    out += [(rid[i], rid[j]) for i, j, _ in _possible(table)]
-    src, dst = (np.concatenate(x) for x in zip(*out))
-    return pa.table({"src": pa.array(np.minimum(src, dst), pa.int64()), "dst": pa.array(np.maximum(src, dst), pa.int64())})
+    def nearest(row: np.ndarray, other: np.ndarray, apart: np.ndarray, rid: np.ndarray) -> np.ndarray:
+        order = np.lexsort((rid[other], apart, row))
+        first = np.searchsorted(row[order], row[order])
+        return order[np.arange(len(order)) - first < allotment]
+
+    def run(table: pa.Table) -> pa.Table:
+        rid = table.column("rid").to_numpy()
+        open_, after, after_hub = (table.column(c).to_numpy(zero_copy_only=False) for c in ("open", "after", "after_hub"))
+        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        for i, j, apart in _possible(table):
+            row, other, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+            beyond = open_[row] & ((apart > after[row]) | ((apart == after[row]) & (rid[other] > after_hub[row])))
+            held = tuple(np.concatenate(x) for x in zip(held, (row[beyond], other[beyond], apart[beyond])))
+            if len(held[0]) > HELD_PAIRS:
+                kept = nearest(*held, rid)
+                held = tuple(x[kept] for x in held)
+        kept = nearest(*held, rid)
+        row, other, apart = (x[kept] for x in held)
+        return pa.table({"rid": rid[row], "apart": apart, "hub": rid[other]})
+
+    return run
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -292,16 +303,22 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     held = nodes.join(active.select("rid"), "rid")
     texts = materialise(_texts_of(docs, held.select("rid", "id", "hash"), id_col, text_col), "candidates")
     links = _verified(active.where("hub IS NOT NULL").select(F.col("rid").alias("src"), F.col("hub").alias("dst")), texts)
-    for last in [False] * NEAREST_ROUNDS + [True]:
+    cursor = held.select("rid", F.lit(True).alias("open"), F.lit(-1.0).alias("after"), F.lit(-1).cast("long").alias("after_hub"))
+    for allotment in itertools.chain(ALLOTMENTS, (ALLOTMENTS[-1] * 8**k for k in itertools.count(1))):
         roots = connected_components(links).withColumnRenamed("node", "rid")
-        rooted = held.join(roots, "rid", "left").withColumn("root", F.coalesce("component", "rid"))
-        tiles = _tiles(rooted, ["rid", "n", "fp", "parity", "root"]).groupBy("a", "b")
-        if last:
-            pairs = tiles.applyInArrow(_other_candidates, "src long, dst long")
-        else:
-            nearest = tiles.applyInArrow(_nearest_candidates, "rid long, apart double, hub long")
-            pairs = nearest.groupBy(F.col("rid").alias("src")).agg(F.min_by("hub", F.struct("apart", "hub")).alias("dst"))
-        links = links.unionByName(_verified(materialise(pairs, "pairs"), texts))
+        rooted = held.join(cursor, "rid", "left").join(roots, "rid", "left").withColumn("root", F.coalesce("component", "rid"))
+        rooted = rooted.withColumns({"open": F.coalesce("open", F.lit(False)), "after": F.coalesce("after", F.lit(0.0)), "after_hub": F.coalesce("after_hub", F.lit(0))})
+        tiles = _tiles(rooted, ["rid", "n", "fp", "parity", "root", "open", "after", "after_hub"]).groupBy("a", "b")
+        found = tiles.applyInArrow(_next_candidates(allotment), "rid long, apart double, hub long")
+        place = F.row_number().over(Window.partitionBy("rid").orderBy("apart", "hub"))  # an allotment a tile pair
+        sent = materialise(found.withColumn("place", place).where(F.col("place") <= allotment), "pairs")
+        if not sent.limit(1).count():
+            break
+        pairs = sent.select(F.least("rid", "hub").alias("src"), F.greatest("rid", "hub").alias("dst")).distinct()
+        links = links.unionByName(_verified(pairs, texts))
+        # A text that used its whole allotment may have more.
+        last = sent.groupBy("rid").agg(F.max(F.struct("apart", "hub")).alias("last"), F.count("*").alias("n")).where(F.col("n") == allotment)
+        cursor = materialise(last.select("rid", F.lit(True).alias("open"), F.col("last.apart").alias("after"), F.col("last.hub").alias("after_hub")), "cursor")
     joined = connected_components(links).withColumnRenamed("node", "rid")
     discard(texts)
     grouped = nodes.join(joined, "rid", "left").select("key", "low", F.coalesce("component", "rid").alias("root"))

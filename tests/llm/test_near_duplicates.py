@@ -1,5 +1,6 @@
 """The pipeline's near-duplicate stage against all pairs by brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -61,9 +62,9 @@ def test_edited_copies_as_by_brute_force(spark, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize(("tile", "near", "rounds"), [(16, 44, 2), (50, 0, 0), (4096, 64, 1)])
+@pytest.mark.parametrize(("tile", "near", "rounds"), [(16, 44, (1, 1, 8)), (50, 0, (2,)), (4096, 64, (1,))])
 def test_components_as_by_brute_force(spark, rows, monkeypatch, tile, near, rounds):
-    monkeypatch.setattr(near_duplicates, "NEAREST_ROUNDS", rounds)
+    monkeypatch.setattr(near_duplicates, "ALLOTMENTS", rounds)
     monkeypatch.setattr(near_duplicates, "TILE", tile)
     monkeypatch.setattr(near_duplicates, "NEAR", near)
     found = near_duplicates.near_duplicate_components(spark.createDataFrame(rows, SCHEMA))
@@ -100,18 +101,63 @@ def test_parities_bound_the_difference():
         assert bound[0] == bound[1] <= len(np.setxor1d(a, b))
 
 
-def test_radius_misses_next_to_no_pair_at_the_threshold():
+def chance_of_a_bit(shared, a, b):
+    """That one bit differs between sets of shared + a and shared + b shingles."""
+    chances = [[math.comb(k, x) / 2**k for x in range(k + 1)] for k in (shared, a, b)]
+    over = lambda x, own, size: sum(p for y, p in enumerate(own) if 2 * (x + y) > size)
+    out = 0.0
+    for x, p in enumerate(chances[0]):
+        one, two = over(x, chances[1], shared + a), over(x, chances[2], shared + b)
+        out += p * (one * (1 - two) + two * (1 - one))
+    return out
+
+
+def test_radius_loses_less_than_one_pair_in_a_million_at_every_size():
+    for shared in range(4, 121):
+        for a in range(shared // 8 + 1):
+            b = shared // 4 - a  # the most shingles apart at a similarity of 0.8
+            p, bits = chance_of_a_bit(shared, a, b), 64 * near_duplicates.WORDS
+            radius = near_duplicates.radius_of(np.array([shared + a, shared + b]))
+            lost = sum(math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log(1 - p)) for k in range(radius + 1, bits + 1))
+            assert lost < 1e-6, (shared, a, b, lost)
+
+
+@pytest.mark.parametrize(("shared", "a", "b"), [(4, 0, 1), (8, 0, 2), (8, 1, 1), (12, 1, 2), (80, 10, 10), (800, 100, 100)])
+def test_no_drawn_pair_at_the_threshold_is_lost(shared, a, b):
     rnd = np.random.default_rng(4)
-    within = 0
-    for n in (9, 18, 90, 900):
-        shared, each = 8 * n // 9, n - 8 * n // 9
-        rows = []
-        for _ in range(500):
-            common = rnd.integers(0, 2**63, shared, dtype=np.uint64)
-            rows += [np.concatenate([common, rnd.integers(0, 2**63, each, dtype=np.uint64)]) for _ in range(2)]
-        fp = near_duplicates.fingerprints(np.concatenate(rows), np.arange(len(rows) + 1) * n)
-        within += int((np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1) <= near_duplicates.RADIUS).sum())
-    assert within >= 1998  # of 2,000 pairs at exactly 0.8
+    draw = lambda n: rnd.integers(0, 2**63, n, dtype=np.uint64)
+    rows = []
+    for _ in range(2000):
+        common = draw(shared)
+        rows += [np.concatenate([common, draw(a)]), np.concatenate([common, draw(b)])]
+    fp = near_duplicates.fingerprints(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    radius = near_duplicates.radius_of(np.array([shared + a, shared + b]))
+    assert (np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1) <= radius).all()
+
+
+def test_short_texts_with_one_word_more(spark):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(1500):
+        text = " ".join(str(rnd.random()) for _ in range(8))
+        rows += [(2 * k, text, "en"), (2 * k + 1, text + " more", "en")]
+    kept = pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 3000, 2))
+
+
+def test_many_candidates_below_the_threshold(spark, monkeypatch):
+    """A template that makes all texts candidates of one another, few of them links."""
+    monkeypatch.setattr(near_duplicates, "ALLOTMENTS", (1, 2))
+    rnd = random.Random(9)
+    body = [str(rnd.random()) for _ in range(80)]
+    rows = []
+    for k in range(60):
+        own = [str(rnd.random()) for _ in range(12)]
+        rows.append((k, " ".join(body + own), "en"))
+        if k % 6 == 0:
+            rows.append((1000 + k, " ".join(body + own + ["tail"]), "en"))
+    found = near_duplicates.near_duplicate_components(spark.createDataFrame(rows, SCHEMA))
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(zip([r[0] for r in rows], brute_force(rows)))
 
 
 def test_no_rows(spark):
