@@ -4,8 +4,9 @@ A is a byte-level BPE of the ``tokenizers`` library over space+text, B a ``sente
 itself. Both end a token before a single space between two other characters: A's pattern starts a new piece there, and
 B has no piece with a space behind another character, which is checked when the model is loaded. So a text is cut there
 into chunks, and each distinct chunk of a task is encoded by the two libraries and aligned once, however often it
-occurs. A chunk may be as long as the text. Inside a chunk, a common end near the middle is looked for by bisection
-outward from the middle, and both halves are split in the same way; an interval without one is a leaf group.
+occurs. A chunk may be as long as the text. Inside a chunk, a common end near the middle is looked for by bisection,
+outward from the middle, and both halves are split in the same way, all intervals of all new chunks at once; an interval
+without one is a leaf group.
 
 All A-B pairs of occurrences in a group are links. A document's distinct pairs with their times are written to the shared
 folder; how many documents hold a pair is one aggregation of these rows. The counts of the most frequent pairs, HEAVY_PAIRS
@@ -20,10 +21,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
-from bisect import bisect_left
-from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,37 +33,44 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from strandloom.llm.common import map_columns, materialise, texts_of
 from strandloom.llm.ctw import most_frequent
 
-#: Pairs whose counts are broadcast, at most; distinct chunks that a task remembers, and characters of a remembered chunk, at most.
-HEAVY_PAIRS, REMEMBERED, LONGEST_REMEMBERED = 1 << 19, 150_000, 2_000
+#: Pairs whose counts are broadcast, at most; distinct chunks and their characters, beyond which a task forgets those it has met.
+HEAVY_PAIRS, REMEMBERED, REMEMBERED_LETTERS = 1 << 19, 300_000, 16 << 20
+#: Links of a group, beyond which pairs of its distinct ids are counted.
+LARGE_GROUP = 1 << 20
 #: A single space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def shared_groups(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """(end in ``a``, end in ``b``) of each group, in order, from the ascending end offsets of both tokens of one text.
+def shared_groups(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all groups, as numbers of tokens of A and of B, in order.
 
-    Both sequences end at the same offset.
+    ``a`` and ``b`` are ascending end offsets of the tokens of many texts laid one behind another; ``a_ends`` and ``b_ends`` tell
+    how many tokens there are up to each text's end, where both end. All open intervals are looked at together: each
+    bisects B for its middle A end, then for those one step further out, until one is common, and is split there; one that
+    has tried all is a group.
     """
-    out, open_ = [], [(0, len(a), 0, len(b))]
-    while open_:
-        a0, a1, b0, b1 = open_.pop()
-        found = None
+    starts = [np.concatenate([[0], x[:-1]]) if len(x) else x for x in (a_ends, b_ends)]
+    a0, a1, b0, b1 = starts[0], a_ends, starts[1], b_ends
+    step, done = np.zeros(len(a0), dtype=np.int64), []
+    while len(a0):
         middle = (a0 + a1 - 1) // 2
-        for step in range(max(middle - a0, a1 - 2 - middle) + 1):
-            for i in (middle + step, middle - step) if step else (middle,):
-                if a0 <= i < a1 - 1:
-                    j = bisect_left(b, a[i], b0, b1 - 1)
-                    if j < b1 - 1 and b[j] == a[i]:
-                        found = (i + 1, j + 1)
-                        break
-            if found:
-                break
-        if found:
-            i, j = found
-            open_ += [(i, a1, j, b1), (a0, i, b0, j)]  # the left half comes off first
-        else:
-            out.append((a1, b1))
-    return out
+        cut, other = np.full(len(a0), -1), np.zeros(len(a0), dtype=np.int64)
+        for i in (middle - step, middle + step):
+            inside = np.flatnonzero((i >= a0) & (i < a1 - 1) & (cut < 0))
+            j = np.searchsorted(b, a[i[inside]])
+            common = b[j] == a[i[inside]]
+            cut[inside[common]], other[inside[common]] = i[inside[common]] + 1, j[common] + 1
+        split = cut >= 0
+        tried = ~split & (middle - step < a0) & (middle + step >= a1 - 1)
+        done.append((a1[tried], b1[tried]))
+        wait = ~split & ~tried
+        c, d = cut[split], other[split]
+        a0, a1 = np.concatenate([a0[wait], a0[split], c]), np.concatenate([a1[wait], c, a1[split]])
+        b0, b1 = np.concatenate([b0[wait], b0[split], d]), np.concatenate([b1[wait], d, b1[split]])
+        step = np.concatenate([step[wait] + 1, np.zeros(2 * len(c), dtype=np.int64)])
+    ends = [np.concatenate([np.zeros(0, dtype=np.int64), *[x[k] for x in done]]) for k in (0, 1)]
+    order = np.argsort(ends[0], kind="stable")
+    return ends[0][order], ends[1][order]
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -73,18 +80,31 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-@dataclass
-class Chunk:
-    """A distinct chunk: counts, group text, distinct packed pairs and how often each is linked; no pairs where bytes differ."""
+class Chunks:
+    """What is known of the distinct chunks that a task has met, by number; no tokens where bytes differ."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.counts = np.zeros((4, 0), dtype=np.int64)  # tokens of A, of B, groups, links
+        self.whole = np.zeros(0, dtype=bool)
+        self.begins = np.zeros(1, dtype=np.int64)
+        self.pairs, self.times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.letters = 0
+
+
+def _spans(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers begins[0]..ends[0]-1, begins[1]..ends[1]-1 and so on."""
+    n = ends - begins
+    return np.arange(int(n.sum())) + np.repeat(begins - (np.cumsum(n) - n), n)
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    pairs: np.ndarray
-    times: np.ndarray
-    whole: bool = True
+
+def _summed(owner: np.ndarray, value: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (owner, value), ascending, and the sums of ``times``."""
+    names, number = np.unique(value, return_inverse=True)
+    keys, at = np.unique(owner * max(len(names), 1) + number, return_inverse=True)
+    owner, number = np.divmod(keys, max(len(names), 1))
+    return owner, names[number], np.bincount(at, weights=times, minlength=len(keys)).astype(np.int64)
 
 
 @dataclass
@@ -93,7 +113,7 @@ class Aligner:
 
     a_path: str
     b_path: str
-    memo: dict[str, Chunk] = field(default_factory=dict)
+    known: Chunks = field(default_factory=Chunks)
 
     def __post_init__(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -105,84 +125,96 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         letters = _byte_of_letter()
-        size = self.a.get_vocab_size()
-        held = [self.a.id_to_token(i) or "" for i in range(size)]
+        held = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.a_bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in held]
         self.b = sentencepiece.SentencePieceProcessor(model_file=self.b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of the model spans a space; chunks would not be encoded on their own")
-
-    def align(self, part: str, a: list[int], b: list[int]) -> Chunk:
-        """The chunk space+``part`` with its token ids."""
-        raw = b" " + part.encode("utf-8", "surrogatepass")
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return Chunk(0, 0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False)
-        ends = [np.cumsum([len(t) for t in x]).tolist() for x in (a_bytes, b_bytes)]
-        groups, texts, pairs, times, n_links, i, j = shared_groups(*ends), [], [], [], 0, 0, 0
-        for i1, j1 in groups:
-            texts.append(",".join(map(str, a[i:i1])) + ";" + ",".join(map(str, b[j:j1])))
-            n_links += (i1 - i) * (j1 - j)
-            if i1 - i == 1 == j1 - j:
-                pairs.append([a[i] << 32 | b[j]])
-                times.append([1])
-            else:
-                (x, m), (y, n) = (np.unique(z, return_counts=True) for z in (a[i:i1], b[j:j1]))
-                pairs.append((x[:, None] << 32 | y[None, :]).ravel())
-                times.append((m[:, None] * n[None, :]).ravel())
-            i, j = i1, j1
-        distinct, at = np.unique(np.concatenate(pairs).astype(np.int64), return_inverse=True)
-        summed = np.bincount(at, weights=np.concatenate(times), minlength=len(distinct)).astype(np.int64)
-        return Chunk(len(a), len(b), len(groups), n_links, "|".join(texts), distinct, summed)
-
-    def chunks(self, parts: list[str]) -> dict[str, Chunk]:
-        """All of ``parts``, those not met before encoded in one batch."""
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        wanted = dict.fromkeys(parts)
-        new = [p for p in wanted if p not in self.memo]
-        a = [e.ids for e in self.a.encode_batch([" " + p for p in new], add_special_tokens=False)]
-        found = dict(zip(new, map(self.align, new, a, self.b.encode(new, num_threads=1) if new else [])))
-        self.memo.update((p, c) for p, c in found.items() if len(p) <= LONGEST_REMEMBERED)
-        return {p: found[p] if p in found else self.memo[p] for p in wanted}
+        self.a_size, self.b_size = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
+        # Texts of the ids within a group, at A's end of it and at its end.
+        self.texts = [f"{i}{mark}" for size, marks in ((len(self.a_bytes), ",;"), (len(self.b_bytes), ",|")) for i in range(size) for mark in marks]
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode and align chunks space+part that were not met before."""
+        known = self.known
+        a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
+        b = self.b.encode(parts, num_threads=1)
+        whole = []
+        for k, p in enumerate(parts):
+            raw = b" " + p.encode("utf-8", "surrogatepass")
+            whole.append(b"".join([self.a_bytes[i] for i in a[k]]) == raw == b"".join([self.b_bytes[i] for i in b[k]]))
+            if not whole[-1]:
+                a[k] = b[k] = []
+        n_a, n_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(parts)) for x in (a, b))
+        a, b = (np.fromiter(itertools.chain.from_iterable(x), dtype=np.int64, count=int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        held = np.flatnonzero(n_a)
+        a_ends, b_ends = np.cumsum(n_a), np.cumsum(n_b)
+        a1, b1 = shared_groups(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), a_ends[held], b_ends[held])
+        a0, b0 = (np.concatenate([[0], x[:-1]]) if len(x) else x for x in (a1, b1))
+        chunk = np.searchsorted(a_ends, a1)
+        links = (a1 - a0) * (b1 - b0)
+        # All pairs of a group; of a large group, pairs of its distinct ids.
+        plain = np.flatnonzero(links <= LARGE_GROUP)
+        at = _spans(np.zeros(len(plain), dtype=np.int64), links[plain])
+        of = np.repeat(plain, links[plain])
+        pairs, owner, times = [a[a0[of] + at // (b1 - b0)[of]] << 32 | b[b0[of] + at % (b1 - b0)[of]]], [chunk[of]], [np.ones(len(of), dtype=np.int64)]
+        for g in np.flatnonzero(links > LARGE_GROUP).tolist():
+            (x, m), (y, n) = (np.unique(z, return_counts=True) for z in (a[a0[g] : a1[g]], b[b0[g] : b1[g]]))
+            pairs.append((x[:, None] << 32 | y[None, :]).ravel())
+            times.append((m[:, None] * n[None, :]).ravel())
+            owner.append(np.full(len(pairs[-1]), chunk[g]))
+        owner, pairs, times = _summed(*map(np.concatenate, (owner, pairs, times)))
+        # Ids as text, a group's A tokens before its B tokens.
+        token = np.concatenate([2 * a, 2 * (len(self.a_bytes) + b)])
+        token[a1 - 1] += 1
+        token[len(a) + b1 - 1] += 1
+        group_a, group_b = np.repeat(np.arange(len(a1)), a1 - a0), np.repeat(np.arange(len(b1)), b1 - b0)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        written = [self.texts[i] for i in token[order].tolist()]
+        ends = np.cumsum(n_a + n_b).tolist()
+        known.groups += ["".join(written[s:e]) for s, e in zip([0, *ends], ends)]
+        base = len(known.number)
+        known.number.update(zip(parts, range(base, base + len(parts))))
+        counts = np.stack([n_a, n_b, np.bincount(chunk, minlength=len(parts)), np.bincount(chunk, weights=links, minlength=len(parts)).astype(np.int64)])
+        known.counts = np.concatenate([known.counts, counts], axis=1)
+        known.whole = np.concatenate([known.whole, np.array(whole, dtype=bool)])
+        known.begins = np.concatenate([known.begins, len(known.pairs) + np.searchsorted(owner, np.arange(1, len(parts) + 1))])
+        known.pairs, known.times = np.concatenate([known.pairs, pairs]), np.concatenate([known.times, times])
+        known.letters += sum(map(len, parts))
 
     def documents(self, texts: list[str]) -> list[pa.Array]:
         """n_a, n_b, n_groups, n_links, groups_sha256, distinct pairs and their times of every text."""
+        if len(self.known.number) > REMEMBERED or self.known.letters > REMEMBERED_LETTERS:
+            self.known = Chunks()
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
         for parts in cut:
             if parts:
                 parts[0] = parts[0][1:]
-        known = self.chunks([p for parts in cut for p in parts])
-        place = {p: i for i, p in enumerate(known)}
-        chunks = list(known.values())
-        # Texts with a chunk whose bytes differ have no tokens.
-        cut = [parts if all(known[p].whole for p in parts) else [] for parts in cut]
+        known = self.known
+        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in known.number))
+        if new:
+            self.learn(new)
         sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
         owner = np.repeat(np.arange(len(cut)), sizes)
-        chunk = np.fromiter((place[p] for parts in cut for p in parts), dtype=np.int64, count=int(sizes.sum()))
-        totals = [
-            np.bincount(owner, weights=np.array([getattr(c, name) for c in chunks], dtype=np.float64)[chunk], minlength=len(cut)).astype(np.int64)
-            if len(chunks) else np.zeros(len(cut), dtype=np.int64)
-            for name in ("n_a", "n_b", "n_groups", "n_links")
-        ]
-        digests = [hashlib.sha256("|".join([known[p].groups for p in parts]).encode()).hexdigest() if parts else "" for parts in cut]
+        chunk = np.fromiter(map(known.number.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.int64, count=int(sizes.sum()))
+        # Texts with a chunk whose bytes differ have no tokens.
+        odd = np.bincount(owner, weights=~known.whole[chunk], minlength=len(cut)) > 0
+        held = ~odd[owner]
+        owner, chunk = owner[held], chunk[held]
+        totals = [np.bincount(owner, weights=c[chunk], minlength=len(cut)).astype(np.int64) for c in known.counts]
+        ends = np.searchsorted(owner, np.arange(len(cut) + 1)).tolist()
+        numbers = chunk.tolist()
+        digests = [hashlib.sha256("".join([known.groups[c] for c in numbers[s:e]])[:-1].encode()).hexdigest() if e > s else "" for s, e in zip(ends, ends[1:])]
         # Distinct pairs of each document: of its distinct chunks first, then of their pairs.
-        held, of_doc = np.unique(owner * max(len(chunks), 1) + chunk, return_counts=True)
-        owner, chunk = np.divmod(held, max(len(chunks), 1))
-        lengths = np.array([len(c.pairs) for c in chunks], dtype=np.int64)
-        begins = np.cumsum(lengths) - lengths
-        names, number = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[c.pairs for c in chunks]]), return_inverse=True)
-        times = np.concatenate([np.zeros(0, dtype=np.int64), *[c.times for c in chunks]])
-        n = lengths[chunk]
-        at = np.arange(int(n.sum())) + np.repeat(begins[chunk] - (np.cumsum(n) - n), n)
-        key = np.repeat(owner, n) * max(len(names), 1) + number[at]
-        keys, of_key = np.unique(key, return_inverse=True)
-        summed = np.bincount(of_key, weights=times[at] * np.repeat(of_doc, n), minlength=len(keys)).astype(np.int64)
-        doc, pair = np.divmod(keys, max(len(names), 1))
+        each, of_doc = np.unique(owner * (len(known.number) + 1) + chunk, return_counts=True)
+        owner, chunk = np.divmod(each, len(known.number) + 1)
+        n = known.begins[chunk + 1] - known.begins[chunk]
+        at = _spans(known.begins[chunk], known.begins[chunk + 1])
+        doc, pairs, times = _summed(np.repeat(owner, n), known.pairs[at], known.times[at] * np.repeat(of_doc, n))
         offsets = pa.array(np.searchsorted(doc, np.arange(len(cut) + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (names[pair], summed)]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (pairs, times)]
         return [*[pa.array(t, pa.int64()) for t in totals], pa.array(digests, pa.string()), *lists]
 
 

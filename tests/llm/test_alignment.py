@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -87,8 +88,26 @@ def test_no_rows(spark):
 
 def test_groups_of_any_ends():
     rng = random.Random(2)
-    for _ in range(2000):
-        n = rng.randrange(1, 40)
-        a, b = (sorted({*rng.sample(range(1, n + 1), rng.randrange(0, n)), n}) for _ in "ab")
-        common = sorted(set(a) & set(b))
-        assert A.shared_groups(a, b) == [(a.index(c) + 1, b.index(c) + 1) for c in common]
+    for _ in range(300):
+        ends, counts, base, want = ([], []), ([], []), 0, []
+        for _ in range(rng.randrange(1, 6)):  # texts one behind another
+            n = rng.randrange(1, 40)
+            both = [sorted({*rng.sample(range(1, n + 1), rng.randrange(0, n)), n}) for _ in "ab"]
+            want += [(len(ends[0]) + both[0].index(c) + 1, len(ends[1]) + both[1].index(c) + 1) for c in sorted(set(both[0]) & set(both[1]))]
+            for x, own, total in zip(ends, both, counts):
+                x += [base + e for e in own]
+                total.append(len(x))
+            base += n
+        found = A.shared_groups(*map(np.array, ends), *map(np.array, counts))
+        assert list(zip(*map(np.ndarray.tolist, found))) == want
+
+
+def test_pairs_of_a_large_group(monkeypatch):
+    texts = [t or "" for t in odd_texts()]
+    plain = A.Aligner(A_PATH, B_PATH).documents(texts)
+    monkeypatch.setattr(A, "LARGE_GROUP", 1)
+    monkeypatch.setattr(A, "REMEMBERED", 10)
+    small = A.Aligner(A_PATH, B_PATH)
+    one = [small.documents([t]) for t in texts]
+    for k, column in enumerate(plain):
+        assert column.to_pylist() == [x[k][0].as_py() for x in one]
