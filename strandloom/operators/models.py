@@ -57,14 +57,19 @@ def out_of_fold(df: DataFrame, folds: Sequence[int], top: int | None, model: str
     return out
 
 
-def fold_scores(predictions: DataFrame) -> DataFrame:
-    """(fold, n, r2, mse, pearson, spearman) of held-out predictions (AG-15, AG-17)."""
+def scores_by(predictions: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, n, r2, mse, pearson, spearman) of held-out predictions (AG-15, AG-17)."""
     predictions = stored(predictions, "predictions")  # ranks read them several times, the models predict once
     e = F.col("label") - F.col("prediction")
-    plain = predictions.groupBy("fold").agg(
+    plain = predictions.groupBy(*groups).agg(
         F.count("*").alias("n"), (1 - F.try_divide(F.avg(e * e), F.var_pop("label"))).alias("r2"), F.avg(e * e).alias("mse"), pearson("label", "prediction").alias("pearson")
     )
-    return plain.join(spearman_by(predictions, ["fold"], "label", "prediction").select("fold", F.col("rho").alias("spearman")), "fold")
+    return plain.join(spearman_by(predictions, list(groups), "label", "prediction").select(*groups, F.col("rho").alias("spearman")), list(groups))
+
+
+def fold_scores(predictions: DataFrame) -> DataFrame:
+    """``scores_by`` fold."""
+    return scores_by(predictions, ["fold"])
 
 
 def ablation(df: DataFrame, arms: Mapping[str, Sequence[int] | None], folds: Sequence[int], model: str = "gbt", seeds: Sequence[int] = (0,)) -> DataFrame:

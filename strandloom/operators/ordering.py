@@ -127,6 +127,21 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], groups:
     return found.select(*groups, F.array(*[F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * p for i, p in enumerate(part)]).alias("quantiles"))
 
 
+def quantile_cuts(df: DataFrame, column: str, bins: int, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, cut): the greatest value of each of ``bins`` equal shares of the values but the last; equal values are not cut apart."""
+    counts = with_range(df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("__c")), column, "__r")
+    inside = Window.partitionBy(*groups, "__r").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    by_range = Window.partitionBy(*groups).orderBy("__r")
+    # One row a group and range.
+    base = counts.groupBy(*groups, "__r").agg(F.sum("__c").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    base = base.withColumn("__n", F.sum("__s").over(Window.partitionBy(*groups))).drop("__s")
+    placed = _joined(counts.withColumn("__i", F.sum("__c").over(inside)), base, [*groups, "__r"])
+    share = F.floor((F.col("__b") + F.col("__i") - 1) * bins / F.col("__n"))
+    cuts = placed.groupBy(*groups, share.alias("__share")).agg(F.max(column).alias("cut"))
+    top = placed.groupBy(*groups).agg(F.max(column).alias("__top"))
+    return _joined(cuts, top, list(groups)).where(F.col("cut") < F.col("__top")).select(*groups, "cut")
+
+
 def quantile_bands(df: DataFrame, column: str, bands: int, name: str) -> DataFrame:
     """Append the band between exact linear quantiles: half-open, the last one closed (WN-15)."""
     cuts = exact_quantiles(df, column, [i / bands for i in range(1, bands)]).withColumnRenamed("quantiles", "__cuts")
