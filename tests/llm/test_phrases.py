@@ -64,20 +64,26 @@ def test_no_rows(spark):
 def test_extension_counts_and_both_intervals():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(0, 4, 300), 0).astype(np.int32)
-    forward, reverse = P.transform(text), P.transform(text[::-1])
-    counts = np.bincount(text, minlength=4)
-    starts = P.starts_of(forward, 4)
-    zero = np.zeros(3, dtype=np.int64)
-    one = P.Phrases(starts[1:], starts[1:], counts[1:], np.arange(1, 4), zero, zero)
-    near, far, n, head, tail = P.extend(forward, starts, one)
-    rows = sorted(range(len(text)), key=lambda i: [text[(i + k) % len(text)] for k in range(8)])
     back = text[::-1]
-    rows_back = sorted(range(len(text)), key=lambda i: [back[(i + k) % len(text)] for k in range(8)])
-    for a, b, c, h, t in zip(near, far, n, head, tail):
-        assert all((text[i], text[(i + 1) % len(text)]) == (h, t) for i in rows[a : a + c])
-        assert all((back[i], back[(i + 1) % len(text)]) == (t, h) for i in rows_back[b : b + c])
-    assert n.sum() == sum(1 for x, y in zip(text, text[1:]) if x and y)
-    assert len(reverse) == len(text)
+    counts = np.bincount(text, minlength=4)
+    starts = P.starts_of(text, 4)
+    shard = P.Shard(starts[1:], counts[1:], np.arange(1, 4, dtype=np.uint64), P.transform(text), P.transform(back), np.uint64(0))
+    rows, rows_back = (sorted(range(len(t)), key=lambda i: [t[(i + k) % len(t)] for k in range(8)]) for t in (text, back))
+    at = lambda t, i, m: tuple(int(t[(i + k) % len(t)]) for k in range(m))
+    p = shard.single()
+    for size in range(2, 6):
+        p = shard.extend(p, size % 2 == 0)
+        grams = Counter(at(text, i, size) for i in range(len(text) - size + 1))
+        assert {tuple(w): n for w, n in zip(p.words.tolist(), p.n.tolist())} == {g: n for g, n in grams.items() if 0 not in g}
+        for f, r, n, w in zip(p.forward, p.reverse, p.n, p.words.tolist()):
+            assert all(at(text, i, size) == tuple(w) for i in rows[f : f + n])
+            assert all(at(back, i, size) == tuple(w[::-1]) for i in rows_back[r : r + n])
+
+
+def test_packed_cells():
+    cells, n = np.array([9, 1, 9, 130, 64], dtype=np.uint64), np.array([1, 2, 3, 4, 5])
+    found = [P.unpacked_cells(c, r, 10, 4) for r, c in P.packed_cells(cells, n, 10, 4)]
+    assert sorted((int(c), int(k)) for x, y in found for c, k in zip(x, y)) == [(1, 2), (9, 4), (64, 5), (130, 4)]
 
 
 def test_blocks_end_where_pieces_end():
