@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -85,22 +87,28 @@ def nearest_on_line(points: DataFrame, targets: DataFrame, key: str, position: s
 def hamming_texts(left: DataFrame, right: DataFrame, text: str, length: int, within: int) -> DataFrame:
     """(l, r, mismatches) of the distinct texts of two tables, ``length`` letters each, within ``within`` mismatches (JN-15).
 
-    Pigeonhole blocking: cut into within + 1 pieces, two such texts share a piece at its place, so an equi-join on
-    (place, piece) finds every pair. A pair is kept at the first piece it shares, so none comes twice and no
-    distinct is needed; copies of a text are joined back by its text.
+    Pigeonhole blocking: cut into within + 2 pieces, two such texts share two pieces at their places, so an equi-join on
+    (pair of places, both pieces) finds every pair. A pair is kept at the first two pieces it shares, so none comes twice and no
+    distinct is needed; copies of a text are joined back by its text. For texts of A, C, G, T see ``offtarget.within``.
     """
-    cuts = [round(i * length / (within + 1)) for i in range(within + 2)]
+    pieces = min(within + 2, length)
+    take = pieces - within  # shared pieces at least
+    if take < 1:
+        raise ValueError("too many mismatches for the length")
+    cuts = [round(i * length / pieces) for i in range(pieces + 1)]
     spans = list(zip(cuts, cuts[1:]))
+    places = list(itertools.combinations(range(pieces), take))
 
-    def pieces(df: DataFrame, name: str) -> DataFrame:
-        parts = F.array(*[F.struct(F.lit(i).alias("place"), F.substring(name, a + 1, b - a).alias("piece")) for i, (a, b) in enumerate(spans)])
-        return df.select(F.col(text).alias(name)).distinct().withColumn("x", F.explode(parts)).select(name, "x.*")
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        part = lambda i: F.substring(name, spans[i][0] + 1, spans[i][1] - spans[i][0])
+        keys = F.array(*[F.struct(F.lit(n).alias("place"), F.concat(*[part(i) for i in held]).alias("piece")) for n, held in enumerate(places)])
+        return df.select(F.col(text).alias(name)).distinct().withColumn("x", F.explode(keys)).select(name, "x.*")
 
     shared = [F.substring("l", a + 1, b - a) == F.substring("r", a + 1, b - a) for a, b in spans]
-    first = F.lit(len(spans))
-    for i in range(len(spans) - 1, -1, -1):
-        first = F.when(shared[i], i).otherwise(first)
-    pairs = pieces(left, "l").join(pieces(right, "r"), ["place", "piece"]).where(F.col("place") == first)
+    first = F.lit(-1)
+    for n, held in reversed(list(enumerate(places))):
+        first = F.when(reduce(lambda x, y: x & y, [shared[i] for i in held]), n).otherwise(first)
+    pairs = keyed(left, "l").join(keyed(right, "r"), ["place", "piece"]).where(F.col("place") == first)
     differ = F.expr(f"size(filter(sequence(1, {length}), i -> substr(l, i, 1) <> substr(r, i, 1)))")
     return pairs.select("l", "r", differ.alias("mismatches")).where(F.col("mismatches") <= within)
 
@@ -110,10 +118,13 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, radius: float, grou
 
     Over all rows, or over those of one ``group``. Rows are dealt into tiles by a hash; each pair of tiles is one
     bounded task that multiplies matrices and sends k rows and one count a row, never its pairs. The products grow with
-    the square of the rows, as the operator asks; equal distances go to the lesser key.
+    the square of the rows, as the operator asks; equal distances go to the lesser key. A row alone in its group, or whose
+    vector is NULL or has NULL or NaN components or another length than its neighbours', has no neighbour: (NULL, 0).
     """
     g = F.lit(0) if group is None else F.col(group)
-    rows = df.select(g.alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    every = df.select(g.alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    usable = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x))
+    rows = every.where(usable).withColumn("g", F.struct(F.col("g"), F.size("v").alias("length")))
     tiles = rows.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     dealt = rows.join(tiles, "g").withColumn("a", F.pmod(F.xxhash64("k"), F.col("tiles").cast("long")).cast("int"))
     cells = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
@@ -138,17 +149,18 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, radius: float, grou
     def run(table: pa.Table) -> pa.Table:
         first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
         ids, x = table.column("k").to_numpy(), np.stack(table.column("v").to_numpy(zero_copy_only=False))
-        same = bool(first.all())
+        same = table.column("a")[0] == table.column("b")[0]
         theirs = first if same else ~first
-        parts = near(x[first], x[theirs], ids[first], ids[theirs]) if theirs.any() else []
-        parts += near(x[theirs], x[first], ids[theirs], ids[first]) if theirs.any() and not same else []
+        parts = near(x[first], x[theirs], ids[first], ids[theirs]) if theirs.any() and first.any() else []
+        parts += near(x[theirs], x[first], ids[theirs], ids[first]) if theirs.any() and first.any() and not same else []
         empty = pa.table({"k": ids[:0], "o": ids[:0], "d": np.zeros(0), "within": ids[:0]})
         return pa.concat_tables([empty, *parts])
 
     found = cells.groupBy("g", "a", "b").applyInArrow(run, "k long, o long, d double, within long")
     # At most k rows a row and tile.
     ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("d", "o")))
-    return ranked.groupBy(F.col("k").alias(key)).agg(F.avg(F.when(F.col("n") <= k, F.col("d"))).alias("mean_near"), F.sum("within").alias("within"))
+    sums = ranked.groupBy("k").agg(F.avg(F.when(F.col("n") <= k, F.col("d"))).alias("mean_near"), F.sum("within").alias("within"))
+    return every.select("k").join(sums, "k", "left").select(F.col("k").alias(key), "mean_near", F.coalesce("within", F.lit(0)).alias("within"))
 
 
 def bin_lookup(df: DataFrame, position: str, width: int, table: DataFrame, n_bins: int) -> DataFrame:

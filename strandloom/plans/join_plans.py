@@ -67,20 +67,23 @@ def nearest_point_circular(spark, sf_dir):
 
 
 @query("hamming_burden", """WITH s AS (SELECT p_partkey, substr(rpad(p_name, 12, '_'), 1, 12) AS s FROM part), x AS (
-SELECT a.p_partkey, hamming(a.s, b.s) AS m FROM s a JOIN s b ON a.p_partkey <> b.p_partkey WHERE a.p_partkey % 20 = 0 AND hamming(a.s, b.s) <= 4)
-SELECT p_partkey, count(*) FILTER (m = 0) AS copies, count(*) FILTER (m = 1) AS mm1, count(*) FILTER (m = 2) AS mm2, count(*) FILTER (m = 3) AS mm3,
-  count(*) FILTER (m = 4) AS mm4, CAST(min(m) AS BIGINT) AS least, round(sum(power(4.0, -m)), 6) AS burden FROM x GROUP BY p_partkey""")
+SELECT a.p_partkey, hamming(a.s, b.s) AS m FROM s a JOIN s b ON a.p_partkey <> b.p_partkey WHERE a.p_partkey % 20 = 0 AND hamming(a.s, b.s) <= 4),
+c AS (SELECT p_partkey, count(*) FILTER (m = 0) AS copies, count(*) FILTER (m = 1) AS mm1, count(*) FILTER (m = 2) AS mm2, count(*) FILTER (m = 3) AS mm3,
+  count(*) FILTER (m = 4) AS mm4, CAST(min(m) FILTER (m > 0) AS BIGINT) AS least, round(sum(CASE WHEN m > 0 THEN power(4.0, -m) ELSE 0 END), 6) AS burden FROM x GROUP BY p_partkey)
+SELECT p_partkey, coalesce(copies, 0) AS copies, coalesce(mm1, 0) AS mm1, coalesce(mm2, 0) AS mm2, coalesce(mm3, 0) AS mm3, coalesce(mm4, 0) AS mm4, least, coalesce(burden, 0) AS burden
+FROM s LEFT JOIN c USING (p_partkey) WHERE p_partkey % 20 = 0""")
 def hamming_burden(spark, sf_dir):
     s = table(spark, sf_dir, "part").select("p_partkey", F.substring(F.rpad("p_name", 12, "_"), 1, 12).alias("s"))
     q, m, n = s.where("p_partkey % 20 = 0"), F.col("mismatches"), F.col("n")
     counts = s.groupBy(F.col("s").alias("r")).agg(F.count("*").alias("n"))
-    # A text's own copies, less the row itself, are its pairs without a mismatch.
+    # A text's own copies, less the row itself, are its pairs without a mismatch; they are no burden and no nearest text.
     pairs = J.hamming_texts(q, s, "s", 12, 4).join(counts, "r").withColumn("n", n - (F.col("l") == F.col("r")).cast("long")).where("n > 0")
     of = lambda i: F.sum(F.when(m == i, n).otherwise(0))
     per_text = pairs.groupBy(F.col("l").alias("s")).agg(
-        of(0).alias("copies"), *[of(i).alias(f"mm{i}") for i in range(1, 5)], F.min(m).cast("long").alias("least"), F.round(F.sum(n * F.pow(F.lit(4.0), -m)), 6).alias("burden")
+        of(0).alias("copies"), *[of(i).alias(f"mm{i}") for i in range(1, 5)], F.min(F.when(m > 0, m)).cast("long").alias("least"),
+        F.round(F.sum(F.when(m > 0, n * F.pow(F.lit(4.0), -m)).otherwise(0.0)), 6).alias("burden"),
     )
-    return q.join(per_text, "s").drop("s")
+    return q.join(per_text, "s", "left").drop("s").na.fill(0, ["copies", "mm1", "mm2", "mm3", "mm4", "burden"])
 
 
 @query("group_knn", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 def read_titled_csv(spark: SparkSession, path: str, schema: str | T.StructType, id_col: str) -> DataFrame:
     """CSV whose first lines may be a title and a header (SRC-01, SRC-02).
 
-    The header is the row whose key is the key column's own name; whatever stands before the first of a file, in the
-    file's first block, is its title. Both are told by place and name, so data rows may have empty cells anywhere and
-    the file splits as any other. Cells that are no value of their column's type are NULL.
+    The header is the first row of a file's first block whose key is the key column's own name; whatever stands before it is
+    the title. Both are told by place and name, so data rows may have empty cells anywhere, or a key that reads like the
+    key column, and the file splits as any other. Cells that are no value of their column's type are NULL. A record is
+    a line: a quoted line break is not supported, as it would keep the file from splitting, and raises no error.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -25,8 +26,8 @@ def read_titled_csv(spark: SparkSession, path: str, schema: str | T.StructType,
     header = F.col(f"r.`{id_col}`").eqNullSafe(F.lit(id_col))
     # One row a file with a header.
     headers = lines.where(header & (F.col("block") == 0)).groupBy("file").agg(F.min("line").alias("header"))
-    title = (F.col("block") == 0) & F.col("header").isNotNull() & (F.col("line") < F.col("header"))
-    rows = lines.join(headers, "file", "left").where(~header & ~title)
+    top = (F.col("block") == 0) & F.col("header").isNotNull() & (F.col("line") <= F.col("header"))
+    rows = lines.join(headers, "file", "left").where(~top)
     return rows.select(*[F.expr(f"try_cast(r.`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in schema.fields])
 
 
@@ -38,8 +39,8 @@ def write_titled_csv(df: DataFrame, path: str, title: str) -> None:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated text with ``#`` comments, columns by place (SRC-04)."""
-    return spark.read.csv(path, sep="\t", comment="#", schema=schema, mode="DROPMALFORMED", header=False)
+    """Tab-separated text with ``#`` comments, columns by place (SRC-04); a cell that is no value of its column's type, or is missing, is NULL."""
+    return spark.read.csv(path, sep="\t", comment="#", schema=schema, mode="PERMISSIVE", header=False)
 
 
 def clean_names(df: DataFrame) -> DataFrame:

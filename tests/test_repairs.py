@@ -76,7 +76,9 @@ def test_neighbours_over_tiles(spark):
     df = spark.createDataFrame([(i, i % 2, x[i].tolist()) for i in range(60)] + [(99, 7, x[0].tolist())], "k int, g int, v array<double>")
     for group in (None, "g"):
         found = {r.k: r for r in J.neighbours(df, "k", "v", 3, 1.5, group, tile=9).collect()}
-        assert set(found) == set(range(60)) | ({99} if group is None else set())
+        assert set(found) == set(range(60)) | {99}
+        if group:
+            assert (found[99].mean_near, found[99].within) == (None, 0)
         for i in range(60):
             others = [j for j in range(60) if j != i and (group is None or j % 2 == i % 2)]
             d = np.sort([np.linalg.norm(x[i] - x[j]) for j in others] + ([np.linalg.norm(x[i] - x[0])] if group is None else []))
