@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from strandloom.operators.bootstrap import t_test_p
 from strandloom.operators.ordering import average_rank, exact_quantiles, with_running_sum
 
 
@@ -69,8 +70,10 @@ def fit_quality(df: DataFrame, groups: Sequence[str], y: str, p: str) -> DataFra
 
 
 def paired_t(df: DataFrame, groups: Sequence[str], delta: str) -> DataFrame:
-    """t statistic of paired differences, NULL where they are constant (AG-18)."""
-    return df.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(delta).alias("mean"), F.try_divide(F.avg(delta), F.stddev_samp(delta) / F.sqrt(F.count("*").cast("double"))).alias("t"))
+    """(groups, n, mean, t, p): t statistic of paired differences and its two-sided p-value, NULL where they are constant (AG-18)."""
+    t = F.try_divide(F.avg(delta), F.stddev_samp(delta) / F.sqrt(F.count("*").cast("double")))
+    found = df.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(delta).alias("mean"), t.alias("t"))
+    return found.withColumn("p", t_test_p(F.col("t"), F.col("n") - 1))
 
 
 def within_group_variance_share(df: DataFrame, group: str, value: str, least: int) -> DataFrame:

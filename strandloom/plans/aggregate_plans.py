@@ -115,12 +115,18 @@ def r2_mse_by_fold(spark, sf_dir):
     return A.fit_quality(li, ["fold"], "y", "p").select("fold", "n", F.round("mse", 2).alias("mse"), F.round("r2", 6).alias("r2"))
 
 
-@query("paired_t", """WITH d AS (SELECT event_type, user_id % 20 AS k, avg(value) FILTER (event_id % 2 = 0) - avg(value) FILTER (event_id % 2 = 1) AS d FROM events GROUP BY ALL)
-SELECT event_type, count(*) AS n, round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) AS t FROM d WHERE d IS NOT NULL GROUP BY 1""")
+# The p-value in SQL by the finite series of the t distribution with a whole number of degrees of freedom.
+@query("paired_t", """WITH d AS (SELECT event_type, user_id % 20 AS k, avg(value) FILTER (event_id % 2 = 0) - avg(value) FILTER (event_id % 2 = 1) AS d FROM events GROUP BY ALL),
+t AS (SELECT event_type, count(*) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM d WHERE d IS NOT NULL GROUP BY 1),
+c AS (SELECT *, n - 1 AS v, atan(abs(t) / sqrt(n - 1)) AS a FROM t),
+e AS (SELECT *, list_sum(list_transform(range(0, CAST(v // 2 AS BIGINT)), lambda i: CASE WHEN v % 2 = 0
+    THEN list_aggregate(list_prepend(1.0::DOUBLE, list_transform(range(1, i + 1), lambda j: (2 * j - 1) / (2.0::DOUBLE * j))), 'product') * power(cos(a), 2 * i)
+    ELSE list_aggregate(list_prepend(1.0::DOUBLE, list_transform(range(1, i + 1), lambda j: (2 * j) / (2.0::DOUBLE * j + 1))), 'product') * power(cos(a), 2 * i + 1) END)) AS s FROM c)
+SELECT event_type, n, round(mean, 6) AS mean, round(t, 5) AS t, round(1 - CASE WHEN v % 2 = 0 THEN sin(a) * s ELSE 2 / pi() * (a + sin(a) * s) END, 9) AS p FROM e""")
 def paired_t(spark, sf_dir):
     even = F.col("event_id") % 2 == 0
     d = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 20).alias("k")).agg((F.avg(F.when(even, F.col("value"))) - F.avg(F.when(~even, F.col("value")))).alias("d"))
-    return A.paired_t(d.where("d IS NOT NULL"), ["event_type"], "d").select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"))
+    return A.paired_t(d.where("d IS NOT NULL"), ["event_type"], "d").select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"), F.round("p", 9).alias("p"))
 
 
 @query("concentration", """WITH s AS (SELECT p_partkey, p_retailprice AS w, sum(p_retailprice) OVER () AS a, count(*) OVER () AS n, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r,

@@ -30,10 +30,13 @@ def grouped_folds(spark, sf_dir):
     return R.grouped_folds(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", 5, 3).select("event_id", "user_id", "fold")
 
 
-@query("balanced_group_folds", None)
+@query("balanced_group_folds", """WITH s AS (SELECT o_custkey, count(*) AS n, md5(CAST(o_custkey AS VARCHAR)) AS d FROM orders GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, substr(d, 1, 3), d, o_custkey) - 1 AS r FROM s),
+f AS (SELECT n, CASE WHEN r // 7 % 2 = 0 THEN r % 7 ELSE 6 - r % 7 END AS fold FROM r)
+SELECT CAST(fold AS BIGINT) AS fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups FROM f GROUP BY 1""")
 def balanced_group_folds(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return R.balanced_group_folds(c, "c_nationkey", 5).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("c_nationkey").alias("groups"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return R.balanced_group_folds(o, "o_custkey", 7).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("o_custkey").alias("groups"))
 
 
 @query("arc_groups", "SELECT event_id, CAST((event_id * 37 % 100003) // 5000 AS BIGINT) AS bin, least(CAST(floor((event_id * 37 % 100003) / (100003 / 5.0::DOUBLE)) AS BIGINT), 4) AS arc FROM events")

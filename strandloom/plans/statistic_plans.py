@@ -8,7 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators import aggregates as A, cleaning as C
+from strandloom.operators import aggregates as A, bootstrap as B, cleaning as C
 from strandloom.plans.aggregate_plans import r6
 from strandloom.plans.registry import query
 from strandloom.plans.sequence_plans import D, dna
@@ -93,3 +93,28 @@ def wide_gram_matrix(spark, sf_dir):
     t = e.select(F.col("event_id").alias("id"), (F.col("event_id") % 3).alias("fold"), pos.alias("pos"), (F.col("value") / (F.col("k") + 0.7)).alias("v"))
     sums = A.gram(t.groupBy("id", "fold", "pos").agg(F.max("v").alias("v")), "fold", "id", "pos", "v")
     return sums.withColumn("s", F.round("s", 5))
+
+
+@query("bootstrap_n_of_n")
+def bootstrap_n_of_n(spark, sf_dir):
+    """Intervals over replicates of exactly n of n rows; the tests compare the draws with their distribution."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("y"), (F.col("value") * 0.5 + F.col("event_id") % 7).alias("p"))
+    w, error = F.col("w"), F.col("y") - F.col("p")
+    metrics = {"mse": F.sum(w * error * error) / F.sum(w), "mean_y": F.sum(w * F.col("y")) / F.sum(w)}
+    return B.bootstrap_interval(e, "event_id", metrics, 60)
+
+
+@query("bootstrap_weights", """SELECT CAST(r AS INTEGER) AS replicate, (SELECT count(*) FROM orders) AS n, CASE WHEN r < 0 THEN round((SELECT avg(o_totalprice) FROM orders), 4) END AS mean
+FROM range(-1, 20) t(r)""")
+def bootstrap_weights(spark, sf_dir):
+    """Every replicate's weights sum to the rows' number; its point is the plain mean."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    out = B.bootstrap_replicates(o, "o_orderkey", {"mean": F.sum(F.col("w") * F.col("o_totalprice")) / F.sum("w")}, 20)
+    return out.select("replicate", F.col("n").cast("long").alias("n"), F.when(F.col("replicate") < 0, F.round("mean", 4)).alias("mean"))
+
+
+@query("turning_point_interval")
+def turning_point_interval(spark, sf_dir):
+    """Turning point of price on quantity with its bootstrap interval."""
+    l = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))  # noqa: E741
+    return B.bootstrap_interval(l, "key", {"turning_point": B.turning_point("x", "y")}, 20)
