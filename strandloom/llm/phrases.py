@@ -4,13 +4,15 @@ A task cuts its texts into shards of one language and at most about SHARD_WORDS
 break (0) between pieces; it keeps the Burrows-Wheeler transforms of the array and of its reverse, of rotations sorted
 by their first eight symbols, which is all that phrases of five words ask of them. A phrase is an interval in
 both; extending it to the left reads the forward transform, to the right the reverse one, and moves both intervals
-along. All phrases of one length are extended at once.
+along. All phrases of one length are extended at once, two-word ones to the left, three-word ones to the right, and so on.
 
-Lengths grow in rounds. A round's intervals (phrase before and after the new word, count) are summed across shards, and
-those with ``least`` occurrences go back to the shards that hold them; a longer phrase is tried only where both its
-shorter ends have returned, so no frequent phrase is missed and no other one is counted further. Odd rounds extend to
-the left, even ones to the right. A phrase is named by the numbers of its two ends, so sums are exact and rows short.
-The index is written once, bucketed by shard, and read by every round where it lies; only intervals are shuffled.
+Lengths grow in rounds. In a round every shard hashes its phrases that are one word longer into cells and sends the cells'
+counts, packed by ranges of cells; a task a range sums them over all shards and tells each shard which of its cells hold
+``least`` occurrences or more. A cell's sum is no less than any of its phrases' counts, so a phrase in another cell is not
+frequent, and a longer phrase is tried only where both its shorter ends lie in such cells. At the end the shards send the
+phrases left, as text with their counts and packed in the same way, and exact sums decide. So only packed cells and the few phrases left are
+shuffled; the index is written once, bucketed by shard, and every round reads it where it lies. There are four
+times as many cells as words, and a range for every RANGE_WORDS of them, whatever their number.
 
 Defined cases: a null text is empty; a null language is ``und``; an empty table gives an empty result; repeated rows
 count again; of texts of any length the pieces are read in blocks; columns beyond text and language are not read.
@@ -18,22 +20,26 @@ count again; of texts of any length the pieces are read in blocks; columns beyon
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.llm.common import delete_folder, materialise, ship_package, slices, work_path
 
 #: Words of a shard, about; a task holds no more at once. Words of a phrase, at most.
-SHARD_WORDS, LONGEST = 1 << 21, 5
+SHARD_WORDS, LONGEST = 1 << 20, 5
+#: Words for which there is one range of cells, and ranges at least.
+RANGE_WORDS, LEAST_RANGES = 1 << 21, 64
 #: Bytes of text whose words are listed at once.
 BLOCK_BYTES = 8 << 20
 #: Candidates that one task ranks, about.
@@ -79,7 +85,7 @@ def transform(text: np.ndarray, depth: int = LONGEST) -> np.ndarray:
     rank, sorted_by = text.astype(np.int64), 1
     while sorted_by < depth or sorted_by == 1:
         key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -sorted_by)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # rotations that agree so far may come in any order
         key = key[order]
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
@@ -87,54 +93,165 @@ def transform(text: np.ndarray, depth: int = LONGEST) -> np.ndarray:
     return text[order - 1]
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers from 0 to 2^31, by their lower and their upper half, which numpy sorts by counting."""
+    low = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((x >> 16).astype(np.uint16)[low], kind="stable")]
+
+
 def starts_of(transformed: np.ndarray, size: int) -> np.ndarray:
     """Rows that sort before those of each symbol 0..size-1."""
     counts = np.bincount(transformed, minlength=size)
     return np.cumsum(counts) - counts
 
 
+def _spans(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers begins[0]..ends[0]-1, begins[1]..ends[1]-1 and so on."""
+    n = ends - begins
+    return np.arange(int(n.sum())) + np.repeat(begins - (np.cumsum(n) - n), n)
+
+
+#: Factor of the rolling hash of words.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finaliser of SplitMix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
 @dataclass
 class Phrases:
-    """Phrases of one length in a shard: intervals (``near`` in the transform read, ``far`` in the other one, ``n`` rows),
-    number, and the numbers of the phrase without its word at the far and at the near side (0 for single words)."""
+    """Phrases of one length in a shard: first rows of their intervals in both transforms, rows, word numbers, hash, and the
+    places of their first and last words but one in the phrases one word shorter."""
 
-    near: np.ndarray
-    far: np.ndarray
+    forward: np.ndarray
+    reverse: np.ndarray
     n: np.ndarray
-    number: np.ndarray
-    but_far: np.ndarray
-    but_near: np.ndarray
-
-
-def extend(transformed: np.ndarray, starts: np.ndarray, p: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(near, far, n, number of the phrase without its far word, of the phrase without its near word) of all phrases one
-    word longer at the near side whose two ends are among ``p``."""
-    width = np.int64(len(starts))
-    order = np.argsort(p.near, kind="stable")
-    near, far, n, number, but_far, but_near = (x[order] for x in (p.near, p.far, p.n, p.number, p.but_far, p.but_near))
-    last = np.cumsum(n)
-    owner = np.repeat(np.arange(len(n)), n)
-    row = np.arange(len(owner)) + np.repeat(near - (last - n), n)
-    key = owner * width + transformed[row]
-    by_key = np.argsort(key, kind="stable")
-    key = key[by_key]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
-    count = np.diff(np.append(first, len(key)))
-    owner, word = np.divmod(key[first], width)
-    below = first - (last - n)[owner]  # rows of the phrase before which a smaller symbol stands, breaks included
-    # The other end of the longer phrase: the same new word, and this phrase without its far word.
-    edge = np.searchsorted(starts, near, side="right") - 1
-    shorter, place = np.unique(np.concatenate([but_near, but_far]), return_inverse=True)
-    ends = place[: len(near)] * width + edge
-    by_end = np.argsort(ends)
-    wanted = place[len(near) :][owner] * width + word
-    at = np.minimum(np.searchsorted(ends[by_end], wanted), len(ends) - 1) if len(ends) else np.zeros(0, dtype=np.int64)
-    held = np.flatnonzero((word > 0) & (ends[by_end][at] == wanted)) if len(ends) else at
-    # The step from a row to that of its rotation by one: rows of a symbol keep their order.
-    step = np.empty(len(transformed), dtype=np.int64)
-    step[np.argsort(transformed, kind="stable")] = np.arange(len(transformed))
-    owner_h = owner[held]
-    return step[row[by_key[first[held]]]], far[owner_h] + below[held], count[held], number[by_end[at[held]]], number[owner_h]
+    words: np.ndarray
+    hash: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+
+    def take(self, at: np.ndarray) -> Phrases:
+        return Phrases(*(getattr(self, f)[at] for f in ("forward", "reverse", "n", "words", "hash", "head", "tail")))
+
+
+@dataclass
+class Shard:
+    """An unpacked row of the index."""
+
+    starts: np.ndarray
+    counts: np.ndarray
+    hashes: np.ndarray
+    forward: np.ndarray
+    reverse: np.ndarray
+    seed: np.uint64
+    orders: dict[bool, np.ndarray] = field(default_factory=dict)
+
+    def single(self) -> Phrases:
+        zero = np.zeros(len(self.counts), dtype=np.int64)
+        return Phrases(self.starts, self.starts, self.counts, np.arange(1, len(zero) + 1)[:, None], self.hashes, zero, zero)
+
+    def order(self, left: bool) -> np.ndarray:
+        """The rows of a transform by their symbol: the k-th leads to row k, that of its rotation by one."""
+        if left not in self.orders:
+            self.orders[left] = stable_order(self.forward if left else self.reverse)
+        return self.orders[left]
+
+    def extend(self, p: Phrases, left: bool, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Phrases:
+        """All phrases one word longer whose first and last words but one are among ``p``; only those whose hash is ``wanted``."""
+        transformed = self.forward if left else self.reverse
+        near, far, but_near, but_far = (p.forward, p.reverse, p.tail, p.head) if left else (p.reverse, p.forward, p.head, p.tail)
+        edge = p.words[:, 0 if left else -1]
+        # Rows of all intervals by symbol, then by row: a phrase's rows with one symbol stand together.
+        owner_of = np.full(len(transformed), -1, dtype=np.int32)
+        owner_of[_spans(near, near + p.n)] = np.repeat(np.arange(len(p.n), dtype=np.int32), p.n)
+        order = self.order(left)
+        owner = owner_of[order]
+        moved = np.flatnonzero(owner >= 0)
+        owner, symbol = owner[moved], transformed[order[moved]]
+        new = np.ones(len(moved), dtype=bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(moved)))
+        owner, word, moved = owner[first].astype(np.int64), symbol[first].astype(np.int64), moved[first]
+        words = np.flatnonzero(word > 0)
+        single = p.words.shape[1] == 1
+        hashed = self.hashes[word[words] - 1] * _BASE ** np.uint64(p.words.shape[1]) + p.hash[owner[words]] if left else p.hash[owner[words]] * _BASE + self.hashes[word[words] - 1]
+        held = np.arange(len(words)) if wanted is None else np.flatnonzero(wanted(hashed))
+        if single:
+            other = word[words[held]] - 1
+        else:  # the other end: the new word, then the phrase without its far word
+            width = np.int64(len(self.counts) + 1)
+            ends = but_near * width + edge
+            by_end = np.argsort(ends)
+            key = but_far[owner[words[held]]] * width + word[words[held]]
+            at = by_end[np.minimum(np.searchsorted(ends[by_end], key), len(ends) - 1)] if len(ends) else key
+            there = ends[at] == key if len(ends) else np.zeros(0, dtype=bool)
+            held, other = held[there], at[there]
+        # Rows of the phrase before which a smaller symbol stands, breaks included.
+        by_owner = stable_order(owner)
+        running = np.cumsum(count[by_owner]) - count[by_owner]
+        leads = np.flatnonzero(np.concatenate([[True], owner[by_owner][1:] != owner[by_owner][:-1]])) if len(owner) else by_owner
+        below = np.empty(len(owner), dtype=np.int64)
+        below[by_owner] = running - np.repeat(running[leads], np.diff(np.append(leads, len(owner))))
+        at = words[held]
+        owner, word, moved, count, along, hashed = owner[at], word[at], moved[at], count[at], far[owner[at]] + below[at], hashed[held]
+        if left:
+            return Phrases(moved, along, count, np.column_stack([word, p.words[owner]]), hashed, other, owner)
+        return Phrases(along, moved, count, np.column_stack([p.words[owner], word]), hashed, owner, other)
+
+    def cells(self, hashes: np.ndarray, bits: int) -> np.ndarray:
+        return _mix(hashes + self.seed) >> np.uint64(64 - bits)
+
+    def grow(self, held: dict[int, np.ndarray], bits: int) -> Iterator[Phrases]:
+        """Phrases of 2, 3, ... words in the cells ``held`` by length, and then those one word longer in any cell."""
+        p = self.single()
+        for size in range(2, len(held) + 3):
+            p = self.extend(p, size % 2 == 0, (lambda h: _among(self.cells(h, bits), held[size])) if size in held else None)
+            yield p
+
+
+def _among(cells: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of ``cells`` are in ``held``; most of the others are told by their last bits."""
+    low = np.uint64((1 << 20) - 1)
+    maybe = np.zeros(1 << 20, dtype=bool)
+    maybe[held & low] = True
+    out = maybe[cells & low]
+    out[out] = np.isin(cells[out], held)
+    return out
+
+
+def unpacked(row: dict) -> Shard:
+    read = zstandard.ZstdDecompressor().decompress
+    forward, reverse = (np.frombuffer(read(row[c]), dtype=np.int32) for c in ("forward", "reverse"))
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in row["words"]], dtype=np.uint64)
+    return Shard(np.array(row["starts"]), np.array(row["counts"]), hashes, forward, reverse, np.uint64(xxhash.xxh64_intdigest(row["lang"].encode())))
+
+
+def packed_cells(cells: np.ndarray, n: np.ndarray, bits: int, range_bits: int) -> Iterator[tuple[int, bytes]]:
+    """(range, distinct cells of the range and their counts, packed); a range is a cell's first ``range_bits`` of ``bits``."""
+    order = np.argsort(cells)
+    cells, n = cells[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else order
+    n = np.minimum(np.add.reduceat(n, first), (1 << 32) - 1) if len(first) else n
+    cells = cells[first]
+    shift = np.uint64(bits - range_bits)
+    place = (cells & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.uint32)
+    cut = np.searchsorted(cells, np.arange((1 << range_bits) + 1, dtype=np.uint64) << shift)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for r, (s, e) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
+        if e > s:
+            yield r, pack(np.concatenate([place[s : s + 1], np.diff(place[s:e]), n[s:e].astype(np.uint32)]).tobytes())
+
+
+def unpacked_cells(packed: bytes, of: int, bits: int, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint32)
+    place, n = both[: len(both) // 2], both[len(both) // 2 :]
+    return np.cumsum(place, dtype=np.uint64) + (np.uint64(of) << np.uint64(bits - range_bits)), n.astype(np.int64)
 
 
 class _Shards:
@@ -192,83 +309,122 @@ def build_index(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return named.mapInArrow(run, schema)
 
 
-def _longer(index: DataFrame, held: DataFrame, left: bool) -> DataFrame:
-    """(shard, head, tail, forward_at, reverse_at, n) of the phrases one word longer than those ``held`` by the shards."""
+def _cells_held(rows: pa.Table) -> dict[int, np.ndarray]:
+    out: dict[int, list[np.ndarray]] = {}
+    for size, cells in zip(rows.column("size").to_pylist(), rows.column("held").to_pylist()):
+        out.setdefault(size, []).append(np.frombuffer(cells, dtype=np.uint64))
+    return {size: np.concatenate(parts) for size, parts in sorted(out.items())}
+
+
+def _sent_cells(index: DataFrame, held: DataFrame, size: int, bits: int, range_bits: int) -> DataFrame:
+    """(range, shard, cells) of the phrases of ``size`` words whose shorter ends are held."""
 
     def run(shard: pa.Table, rows: pa.Table) -> pa.Table:
-        out = [np.zeros(0, dtype=np.int64)] * 5
-        if shard.num_rows and rows.num_rows:
-            transformed = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard.column("near")[0].as_py()), dtype=np.int32)
-            starts = np.append(0, shard.column("starts")[0].values.to_numpy())
-            out = extend(transformed, starts, Phrases(*(rows.column(c).to_numpy() for c in ("near", "far", "n", "number", "but_far", "but_near"))))
-        near, far, n, but_far, but_near = out
-        # To the left, the longer phrase without its far (last) word is its head.
-        forward_at, reverse_at, head, tail = (near, far, but_far, but_near) if left else (far, near, but_near, but_far)
-        number = np.full(len(n), rows.column("of")[0].as_py() if rows.num_rows else 0, dtype=np.int64)
-        return pa.table({"shard": number, "head": head, "tail": tail, "forward_at": forward_at, "reverse_at": reverse_at, "n": n})
-
-    near, far, but_far, but_near = ("forward_at", "reverse_at", "head", "tail") if left else ("reverse_at", "forward_at", "tail", "head")
-    read = index.select("shard", "starts", F.col("forward" if left else "reverse").alias("near"))
-    sent = held.select(F.col("shard").alias("of"), F.col(near).alias("near"), F.col(far).alias("far"), "n", "number", F.col(but_far).alias("but_far"), F.col(but_near).alias("but_near"))
-    cogrouped = read.groupBy("shard").cogroup(sent.groupBy("of"))
-    return cogrouped.applyInArrow(run, "shard long, head long, tail long, forward_at long, reverse_at long, n long")
-
-
-def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[list[DataFrame], DataFrame]:
-    """([phrases of 1 word, of 2 words, ...], totals) with at least ``least`` occurrences in their language.
-
-    Phrases: (number, head, tail, lang, words, a, heads, tails, left_most, right_most): counts of the first 1, 2, ... words
-    and of the last 1, 2, ... words; the highest count of a phrase one word longer to either side, null if none is frequent.
-    Totals: (lang, n) words of each language.
-    """
+        out = []
+        for row in shard.to_pylist():
+            known = _cells_held(rows)
+            if len(known) == size - 2:  # else it has no frequent phrase of some shorter length
+                opened = unpacked(row)
+                p = list(opened.grow(known, bits))[-1]
+                out += [(r, row["shard"], c) for r, c in packed_cells(opened.cells(p.hash, bits), p.n, bits, range_bits)]
+        return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate((("range", pa.int64()), ("shard", pa.int64()), ("cells", pa.binary())))})
+
+    return index.groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(run, "range long, shard long, cells binary")
+
+
+def _kept_cells(sent: DataFrame, size: int, bits: int, range_bits: int, least: int) -> DataFrame:
+    """(of, size, held): each shard's cells with a sum of at least ``least``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        of = table.column("range")[0].as_py()
+        parts = [unpacked_cells(c, of, bits, range_bits) for c in table.column("cells").to_pylist()]
+        cells = np.concatenate([c for c, _ in parts])
+        distinct, at = np.unique(cells, return_inverse=True)
+        frequent = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(distinct))[at] >= least
+        ends = np.cumsum([len(c) for c, _ in parts])
+        out = [(s, c[f].tobytes()) for s, c, f in zip(table.column("shard").to_pylist(), (c for c, _ in parts), np.split(frequent, ends[:-1])) if f.any()]
+        return pa.table({"of": pa.array([s for s, _ in out], pa.int64()), "size": pa.array([size] * len(out), pa.int32()), "held": pa.array([h for _, h in out], pa.binary())})
+
+    return sent.groupBy("range").applyInArrow(run, "of long, size int, held binary")
+
+
+_COUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
+
+
+def _sent_phrases(index: DataFrame, held: DataFrame, bits: int, range_bits: int) -> DataFrame:
+    """(range, rows): the phrases that a shard holds in the cells left with their counts, packed by ranges of their cells."""
+
+    def run(shard: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        for row in shard.to_pylist():
+            known, words = _cells_held(rows), row["words"]
+            known = {s: known[s] for s in range(2, max(known, default=1) + 1) if all(t in known for t in range(2, s + 1))}
+            ranges, size, phrase, count = [np.zeros(0, dtype=np.int64)], [], [], []
+            opened = unpacked(row)
+            for m, p in zip(known, opened.grow(known, bits)):
+                ranges.append((opened.cells(p.hash, bits) >> np.uint64(bits - range_bits)).astype(np.int64))
+                phrase += [b" ".join([words[i] for i in w]) for w in (p.words - 1).tolist()]
+                count += p.n.tolist()
+                size += [m] * len(p.n)
+            ranges = np.concatenate(ranges)
+            order = np.argsort(ranges, kind="stable")
+            counted = pa.table([pa.array([row["lang"]] * len(size), pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()), pa.array(count, pa.int64())], schema=_COUNTED).take(order)
+            cut = np.searchsorted(ranges[order], np.arange((1 << range_bits) + 1)).tolist()
+            for r, (s, e) in enumerate(zip(cut, cut[1:])):
+                if e > s:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, _COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                        writer.write_table(counted.slice(s, e - s).combine_chunks())
+                    out.append((r, sink.getvalue().to_pybytes()))
+        return pa.table({"range": pa.array([r for r, _ in out], pa.int64()), "rows": pa.array([b for _, b in out], pa.binary())})
+
+    return index.groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(run, "range long, rows binary")
+
+
+def _summed_phrases(sent: DataFrame, least: int) -> DataFrame:
+    """(lang, size, phrase, a) of the phrases with at least ``least`` occurrences in all shards."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table.column("rows").to_pylist()])
+        summed = rows.group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")])
+        return summed.filter(pc.greater_equal(summed.column("n_sum"), least)).select(["lang", "size", "phrase", "n_sum"]).rename_columns(["lang", "size", "phrase", "a"])
+
+    return sent.groupBy("range").applyInArrow(run, "lang string, size int, phrase binary, a long")
+
+
+def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    """((lang, size, phrase, a) of all phrases of 1 to ``longest`` words with at least ``least`` occurrences, (lang, n) words)."""
     spark = docs.sparkSession
     ship_package(spark)
     name, path = f"fm_index_{uuid.uuid4().hex}", work_path(spark, "fm-index")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     build_index(docs, text_col, lang_col, shard_words).write.bucketBy(buckets, "shard").option("path", path).saveAsTable(name)
     index = spark.table(name)
-    words = index.select("lang", "shard", F.explode(F.arrays_zip("words", "starts", "counts")).alias("w")).select("lang", "shard", "w.*")
-    totals = materialise(words.groupBy("lang").agg(F.sum("counts").alias("n")), "totals")
-    zero = F.lit(0).cast("long")
-    summed = words.groupBy("lang", "words").agg(F.sum("counts").alias("a")).where(F.col("a") >= least).withColumn("number", F.monotonically_increasing_id() + 1)
-    found = materialise(
-        summed.select("number", zero.alias("head"), zero.alias("tail"), "lang", F.array(F.col("words").cast("string")).alias("words"), "a",
-                      F.array().cast("array<long>").alias("heads"), F.array().cast("array<long>").alias("tails")),
-        "phrases",
-    )
-    held = (
-        words.withColumnRenamed("words", "word").join(found.select("lang", F.col("words")[0].cast("binary").alias("word"), "number"), ["lang", "word"])
-        .select("shard", F.col("starts").alias("forward_at"), F.col("starts").alias("reverse_at"), F.col("counts").alias("n"), "number", zero.alias("head"), zero.alias("tail"))
-    )
-    levels = [found]
+    words = index.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.*")
+    totals = materialise(index.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n")), "totals")
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    bits = max(20, math.ceil(math.log2(n + 1)) + 2)
+    range_bits = math.ceil(math.log2(max(LEAST_RANGES, n / RANGE_WORDS)))
+    held = spark.createDataFrame([], "of long, size int, held binary")
     for size in range(2, longest + 1):
-        rows = materialise(_longer(index, held, size % 2 == 0), "intervals")
-        summed = materialise(rows.groupBy("head", "tail").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("number", F.monotonically_increasing_id() + 1), "summed")
-        before = levels[-1]
-        heads = before.select(F.col("number").alias("head"), "lang", F.col("words").alias("w"), F.concat("heads", F.array("a")).alias("heads"))
-        tails = before.select(F.col("number").alias("tail"), F.element_at("words", -1).alias("word"), F.concat("tails", F.array("a")).alias("tails"))
-        found = summed.join(heads, "head").join(tails, "tail").select("number", "head", "tail", "lang", F.concat("w", F.array("word")).alias("words"), "a", "heads", "tails")
-        levels.append(materialise(found, "phrases"))
-        held = rows.join(summed.select("head", "tail", "number"), ["head", "tail"])
-    out = []
-    for level, above in zip(levels, [*levels[1:], None]):
-        if above is None:
-            out.append(level.withColumn("left_most", F.lit(None).cast("long")).withColumn("right_most", F.lit(None).cast("long")))
-            continue
-        left = above.groupBy(F.col("tail").alias("number")).agg(F.max("a").alias("left_most"))
-        right = above.groupBy(F.col("head").alias("number")).agg(F.max("a").alias("right_most"))
-        out.append(level.join(left, "number", "left").join(right, "number", "left"))
+        sent = materialise(_sent_cells(index, held, size, bits, range_bits), "cells")
+        held = held.unionByName(materialise(_kept_cells(sent, size, bits, range_bits, least), "held"))
+    exact = _summed_phrases(_sent_phrases(index, held, bits, range_bits), least)
+    single = words.groupBy("lang", F.lit(1).alias("size"), F.col("words").alias("phrase")).agg(F.sum("counts").alias("a"))
+    found = single.unionByName(exact).where(F.col("a") >= least).withColumn("phrase", F.col("phrase").cast("string"))
+    found = materialise(found, "phrases")
     spark.sql(f"DROP TABLE {name}")
     delete_folder(spark, path)
-    return out, totals
+    return found, totals
 
 
-def _score(k: int) -> Column:
-    """(score, k, l, r) of the cut after the first k words; whole numbers throughout."""
-    whole = lambda c: c.cast("decimal(19,0)")
-    first, rest = F.col("heads")[k - 1], F.get("tails", F.size("words") - k - 1)
-    above = (F.lit(1000).cast("decimal(4,0)") * whole(F.col("a"))).cast("decimal(19,0)") * whole(F.col("n"))
-    return F.struct(F.call_function("div", above, whole(first) * whole(rest)).alias("score"), F.lit(k).alias("k"), first.alias("l"), rest.alias("r"))
+def extensions(found: DataFrame) -> DataFrame:
+    """(lang, phrase, left_most, right_most): highest count of a frequent phrase one word longer to the left and to the right."""
+    longer = found.where("size > 1")
+    cut = lambda c, pattern: F.regexp_replace(c, pattern, "")
+    tail = longer.select("lang", cut(F.col("phrase"), "^[^ ]* ").alias("phrase"), F.col("a").alias("left"), F.lit(None).cast("long").alias("right"))
+    head = longer.select("lang", cut(F.col("phrase"), " [^ ]*$").alias("phrase"), F.lit(None).cast("long").alias("left"), F.col("a").alias("right"))
+    return tail.unionByName(head).groupBy("lang", "phrase").agg(F.max("left").alias("left_most"), F.max("right").alias("right_most"))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 100, most: int = 2000, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -277,19 +433,28 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     The score of a phrase is that of its worst cut into two parts, floor(1000 a n / (l r)). A phrase that occurs only inside
     a longer frequent one is left out; looking one word to each side is enough, as counts do not grow with length.
     """
-    levels, totals = frequent_phrases(docs, text_col, lang_col, least, longest, shard_words)
-    scored = None
-    for size, level in enumerate(levels[1:], 2):
-        alone = level.where(~F.coalesce(F.greatest("left_most", "right_most") >= F.col("a"), F.lit(False))).join(totals, "lang")
-        part = alone.select("lang", F.array_join("words", " ").alias("phrase"), "a", "n", F.array_min(F.array(*[_score(k) for k in range(1, size)])).alias("cut"))
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:
-        raise ValueError("phrases have two words at least")
-    scored = materialise(scored.select("lang", "phrase", "a", "n", "cut.*"), "scored")
+    found, totals = frequent_phrases(docs, text_col, lang_col, least, longest, shard_words)
+    alone = (
+        found.where("size > 1").join(extensions(found), ["lang", "phrase"], "left")
+        .where(~F.coalesce(F.greatest("left_most", "right_most") >= F.col("a"), F.lit(False)))
+    )
+    w = F.split("phrase", " ")
+    part = lambda start, size: F.array_join(F.slice(w, start, size), " ")
+    cuts = alone.select("lang", "phrase", "a", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k")).select(
+        "lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("first"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest")
+    )
+    both = (
+        cuts.join(found.select("lang", F.col("phrase").alias("first"), F.col("a").alias("l")), ["lang", "first"])
+        .join(found.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")), ["lang", "rest"]).join(totals, "lang")
+    )
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    above = (F.lit(1000).cast("decimal(4,0)") * whole("a")).cast("decimal(19,0)") * whole("n")
+    cut = F.struct(F.call_function("div", above, whole("l") * whole("r")).alias("score"), "k", "l", "r")
+    scored = materialise(both.groupBy("lang", "phrase", "a", "n").agg(F.min(cut).alias("cut")).select("lang", "phrase", "a", "n", "cut.*"), "scored")
     # A language may hold most phrases: its best are first taken from parts of bounded size.
     parts = -(-scored.count() // RANKED_ROWS)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(max(parts, 1)))
-    few = scored.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
+    dealt = F.pmod(F.xxhash64("phrase"), F.lit(max(parts, 1)))
+    few = scored.withColumn("part", dealt).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= most)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", F.col("k").cast("long").alias("k"))
