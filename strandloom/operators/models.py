@@ -12,7 +12,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.operators.aggregates import gram, pearson, spearman_by
+from strandloom.operators.aggregates import pearson, spearman_by
+from strandloom.operators.block_matrix import ridge_predictions
 from strandloom.operators.resampling import permuted
 from strandloom.sources.workspace import stored
 
@@ -118,29 +119,9 @@ def gain_shares(fitted) -> list[float]:
     return (g / g.sum() if g.sum() > 0 else g).tolist()
 
 
-def ridge_from_gram(gram: np.ndarray, cross: np.ndarray, penalty: float) -> np.ndarray:
-    """Coefficients from normal equations that Spark has summed (AG-33); columns of ``cross`` are targets."""
-    return np.linalg.solve(gram + penalty * np.eye(len(gram)), cross)
-
-
 def out_of_fold_ridge(df: DataFrame, folds: Sequence[int], penalty: float = 1.0) -> DataFrame:
-    """(key, fold, label, prediction) by ridge regression: one aggregation gives every fold's sums of products (AG-33, ML-31).
-
-    The driver holds folds times columns squared sums, whatever the number of rows.
-    """
-    x = F.concat(F.array(F.lit(1.0)), F.col("features"), F.array("label"))
-    tidy = df.select("fold", "key", F.posexplode(x).alias("pos", "v"))
-    sums = gram(tidy, "fold", "key", "pos", "v").collect()
-    size = max((r.j for r in sums), default=-1) + 1
-    total = {f: np.zeros((size, size)) for f in folds}
-    for r in sums:
-        total[r.fold][r.i, r.j] = total[r.fold][r.j, r.i] = r.s
-    everything = sum(total.values())
-    models = {f: ridge_from_gram((everything - total[f])[:-1, :-1], (everything - total[f])[:-1, -1], penalty).tolist() for f in folds}
-    weights = df.sparkSession.createDataFrame(list(models.items()), "fold long, w array<double>")
-    held = df.withColumn("fold", F.col("fold").cast("long")).join(F.broadcast(weights), "fold")  # one row a fold
-    score = F.aggregate(F.zip_with(F.concat(F.array(F.lit(1.0)), F.col("features")), "w", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return held.select("key", "fold", "label", score.alias("prediction"))
+    """(key, fold, label, prediction) by ridge regression with a free intercept, fitted outside each fold (AG-33)."""
+    return ridge_predictions(df.where(F.col("fold").isin(*folds)), penalty)
 
 
 def random_search(train: DataFrame, space: Mapping[str, Sequence], draws: int, patience: int, model: str = "gbt", seed: int = 0) -> tuple[dict, list[tuple[dict, float]]]:

@@ -1,10 +1,10 @@
-"""Model queries: rows-only, as trees have no SQL; ridge has closed sums but is solved on the driver."""
+"""Model queries: trees have no SQL; ridge regression on two columns has a closed form."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import models as M
+from strandloom.operators import block_matrix as X, models as M
 from strandloom.plans.registry import query
 from strandloom.sources.tables import table
 from strandloom.sources.workspace import stored, work_folder
@@ -24,6 +24,32 @@ def oof_ridge(spark, sf_dir):
     return M.fold_scores(M.out_of_fold_ridge(rows(spark, sf_dir), range(3)))
 
 
+@query("ridge_redundancy", """WITH e AS (SELECT vec_id % 4 AS fold, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+r AS (SELECT fold, e[1] AS a, e[2] AS b, CAST(i - 3 AS BIGINT) AS target, CASE WHEN fold = 0 AND i % 9 = 0 THEN NULL WHEN i = 3 THEN 2 * e[1] - e[2] + e[3] / 4 ELSE e[i] END AS y FROM e, LATERAL (SELECT unnest(range(3, 65)) AS i)),
+h AS (SELECT DISTINCT fold AS held FROM e),
+m AS (SELECT held, target, avg(y) AS my FROM r, h WHERE fold <> held GROUP BY ALL),
+f AS (SELECT held, target, a, b, coalesce(y, my) AS y FROM r JOIN m USING (target) WHERE fold <> held),
+s AS (SELECT held, target, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, covar_pop(a, a) * count(*) + 1 AS aa, covar_pop(b, b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab,
+  covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS cy FROM f GROUP BY ALL),
+c AS (SELECT *, (ay * bb - cy * ab) / (aa * bb - ab * ab) AS u, (cy * aa - ay * ab) / (aa * bb - ab * ab) AS v FROM s)
+SELECT r.target, count(y) AS n, round(1 - sum(power(y - (my + u * (a - ma) + v * (b - mb)), 2)) / (var_pop(y) * count(y)), 6) AS r2 FROM r JOIN c ON c.target = r.target AND c.held = r.fold WHERE y IS NOT NULL GROUP BY r.target""")
+def ridge_redundancy(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).alias("fold"), F.col("embedding").cast("array<double>").alias("e"))
+    first = 2 * F.col("e")[0] - F.col("e")[1] + F.col("e")[2] / 4
+    others = F.transform(F.slice("e", 4, 61), lambda v, k: F.when((F.col("fold") == 0) & ((k + 4) % 9 == 0), F.lit(None).cast("double")).otherwise(v))
+    rows_ = e.select("fold", F.slice("e", 1, 2).alias("features"), F.concat(F.array(first), others).alias("targets"))
+    return X.redundancy(stored(rows_, "redundancy-rows"), least=10).withColumn("r2", F.round("r2", 6))
+
+
+@query("wide_redundancy")
+def wide_redundancy(spark, sf_dir):
+    """Half of the embedding from the squares, products and values of the other half: 560 columns, 32 targets."""
+    e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 3).alias("fold"), F.col("embedding").cast("array<double>").alias("e"))
+    half = F.slice("e", 1, 32)
+    pairs = F.flatten(F.transform(half, lambda a, i: F.transform(F.slice(half, i + 1, F.lit(33) - i - 1), lambda b: a * b)))
+    return X.redundancy(stored(e.select("fold", F.concat(half, pairs).alias("features"), F.slice("e", 33, 32).alias("targets")), "redundancy-rows"), penalty=10.0, least=10)
+
+
 @query("cv_gbt_top8")
 def cv_gbt(spark, sf_dir):
     return M.fold_scores(M.out_of_fold(rows(spark, sf_dir, 2), range(2), 8))
