@@ -11,8 +11,8 @@ counts, packed by ranges of cells; a task a range sums them over all shards and
 ``least`` occurrences or more. A cell's sum is no less than any of its phrases' counts, so a phrase in another cell is not
 frequent, and a longer phrase is tried only where both its shorter ends lie in such cells. At the end the shards send the
 phrases left, as text with their counts and packed in the same way, and exact sums decide. So only packed cells and the few phrases left are
-shuffled; the index is written once, bucketed by shard, and every round reads it where it lies. There are four
-times as many cells as words, and a range for every RANGE_WORDS of them, whatever their number.
+shuffled; the index is written once, bucketed by shard, and every round reads it where it lies. There are two to
+four times as many cells as words, and a range for every RANGE_WORDS of them, whatever their number.
 
 Defined cases: a null text is empty; a null language is ``und``; an empty table gives an empty result; repeated rows
 count again; of texts of any length the pieces are read in blocks; columns beyond text and language are not read.
@@ -232,6 +232,16 @@ def unpacked(row: dict) -> Shard:
     return Shard(np.array(row["starts"]), np.array(row["counts"]), hashes, forward, reverse, np.uint64(xxhash.xxh64_intdigest(row["lang"].encode())))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers below 2^32 by planes of bytes, of which the higher ones are mostly zero."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked_numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def packed_cells(cells: np.ndarray, n: np.ndarray, bits: int, range_bits: int) -> Iterator[tuple[int, bytes]]:
     """(range, distinct cells of the range and their counts, packed); a range is a cell's first ``range_bits`` of ``bits``."""
     order = np.argsort(cells)
@@ -240,18 +250,21 @@ def packed_cells(cells: np.ndarray, n: np.ndarray, bits: int, range_bits: int) -
     n = np.minimum(np.add.reduceat(n, first), (1 << 32) - 1) if len(first) else n
     cells = cells[first]
     shift = np.uint64(bits - range_bits)
-    place = (cells & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.uint32)
+    place = (cells & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
     cut = np.searchsorted(cells, np.arange((1 << range_bits) + 1, dtype=np.uint64) << shift)
-    pack = zstandard.ZstdCompressor(level=1).compress
     for r, (s, e) in enumerate(zip(cut.tolist(), cut[1:].tolist())):
         if e > s:
-            yield r, pack(np.concatenate([place[s : s + 1], np.diff(place[s:e]), n[s:e].astype(np.uint32)]).tobytes())
+            yield r, packed(np.concatenate([np.diff(place[s:e], prepend=0), n[s:e]]))
 
 
-def unpacked_cells(packed: bytes, of: int, bits: int, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint32)
-    place, n = both[: len(both) // 2], both[len(both) // 2 :]
-    return np.cumsum(place, dtype=np.uint64) + (np.uint64(of) << np.uint64(bits - range_bits)), n.astype(np.int64)
+def _cells_of(steps: np.ndarray, of: int, bits: int, range_bits: int) -> np.ndarray:
+    """Cells from their steps inside a range."""
+    return np.cumsum(steps, dtype=np.uint64) + (np.uint64(of) << np.uint64(bits - range_bits))
+
+
+def unpacked_cells(raw: bytes, of: int, bits: int, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    both = unpacked_numbers(raw)
+    return _cells_of(both[: len(both) // 2], of, bits, range_bits), both[len(both) // 2 :].astype(np.int64)
 
 
 class _Shards:
@@ -309,10 +322,10 @@ def build_index(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return named.mapInArrow(run, schema)
 
 
-def _cells_held(rows: pa.Table) -> dict[int, np.ndarray]:
+def _cells_held(rows: pa.Table, bits: int, range_bits: int) -> dict[int, np.ndarray]:
     out: dict[int, list[np.ndarray]] = {}
-    for size, cells in zip(rows.column("size").to_pylist(), rows.column("held").to_pylist()):
-        out.setdefault(size, []).append(np.frombuffer(cells, dtype=np.uint64))
+    for size, of, steps in zip(*(rows.column(c).to_pylist() for c in ("size", "range", "held"))):
+        out.setdefault(size, []).append(_cells_of(unpacked_numbers(steps), of, bits, range_bits))
     return {size: np.concatenate(parts) for size, parts in sorted(out.items())}
 
 
@@ -322,7 +335,7 @@ def _sent_cells(index: DataFrame, held: DataFrame, size: int, bits: int, range_b
     def run(shard: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
         for row in shard.to_pylist():
-            known = _cells_held(rows)
+            known = _cells_held(rows, bits, range_bits)
             if len(known) == size - 2:  # else it has no frequent phrase of some shorter length
                 opened = unpacked(row)
                 p = list(opened.grow(known, bits))[-1]
@@ -333,31 +346,43 @@ def _sent_cells(index: DataFrame, held: DataFrame, size: int, bits: int, range_b
 
 
 def _kept_cells(sent: DataFrame, size: int, bits: int, range_bits: int, least: int) -> DataFrame:
-    """(of, size, held): each shard's cells with a sum of at least ``least``."""
+    """(of, size, range, held): each shard's cells with a sum of at least ``least``."""
 
     def run(table: pa.Table) -> pa.Table:
         of = table.column("range")[0].as_py()
         parts = [unpacked_cells(c, of, bits, range_bits) for c in table.column("cells").to_pylist()]
-        cells = np.concatenate([c for c, _ in parts])
-        distinct, at = np.unique(cells, return_inverse=True)
+        distinct, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
         frequent = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(distinct))[at] >= least
-        ends = np.cumsum([len(c) for c, _ in parts])
-        out = [(s, c[f].tobytes()) for s, c, f in zip(table.column("shard").to_pylist(), (c for c, _ in parts), np.split(frequent, ends[:-1])) if f.any()]
-        return pa.table({"of": pa.array([s for s, _ in out], pa.int64()), "size": pa.array([size] * len(out), pa.int32()), "held": pa.array([h for _, h in out], pa.binary())})
+        first, out = np.uint64(of) << np.uint64(bits - range_bits), []
+        for shard, (cells, _), own in zip(table.column("shard").to_pylist(), parts, np.split(frequent, np.cumsum([len(c) for c, _ in parts])[:-1])):
+            if own.any():
+                out.append((shard, packed(np.diff((cells[own] - first).astype(np.int64), prepend=0))))
+        ids = {"of": pa.array([s for s, _ in out], pa.int64()), "size": pa.array([size] * len(out), pa.int32()), "range": pa.array([of] * len(out), pa.int64())}
+        return pa.table(ids | {"held": pa.array([h for _, h in out], pa.binary())})
+
+    return sent.groupBy("range").applyInArrow(run, "of long, size int, range long, held binary")
+
 
-    return sent.groupBy("range").applyInArrow(run, "of long, size int, held binary")
+def packed_phrases(size: list[int], phrase: list[bytes], count: list[int]) -> bytes:
+    """Phrases in their order, which compresses their common beginnings, with sizes and counts."""
+    order = sorted(range(len(phrase)), key=phrase.__getitem__)
+    numbers = packed(np.array([[size[i] for i in order], [min(count[i], (1 << 32) - 1) for i in order]]).ravel())
+    return len(numbers).to_bytes(8, "little") + numbers + zstandard.ZstdCompressor(level=9).compress(b"\n".join([phrase[i] for i in order]))
 
 
-_COUNTED = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
+def unpacked_phrases(raw: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    cut = 8 + int.from_bytes(raw[:8], "little")
+    numbers = unpacked_numbers(raw[8:cut])
+    return numbers[: len(numbers) // 2], zstandard.ZstdDecompressor().decompress(raw[cut:]).split(b"\n"), numbers[len(numbers) // 2 :].astype(np.int64)
 
 
 def _sent_phrases(index: DataFrame, held: DataFrame, bits: int, range_bits: int) -> DataFrame:
-    """(range, rows): the phrases that a shard holds in the cells left with their counts, packed by ranges of their cells."""
+    """(range, lang, rows): the phrases that a shard holds in the cells left with their counts, packed by ranges of their cells."""
 
     def run(shard: pa.Table, rows: pa.Table) -> pa.Table:
         out = []
         for row in shard.to_pylist():
-            known, words = _cells_held(rows), row["words"]
+            known, words = _cells_held(rows, bits, range_bits), row["words"]
             known = {s: known[s] for s in range(2, max(known, default=1) + 1) if all(t in known for t in range(2, s + 1))}
             ranges, size, phrase, count = [np.zeros(0, dtype=np.int64)], [], [], []
             opened = unpacked(row)
@@ -368,25 +393,25 @@ def _sent_phrases(index: DataFrame, held: DataFrame, bits: int, range_bits: int)
                 size += [m] * len(p.n)
             ranges = np.concatenate(ranges)
             order = np.argsort(ranges, kind="stable")
-            counted = pa.table([pa.array([row["lang"]] * len(size), pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()), pa.array(count, pa.int64())], schema=_COUNTED).take(order)
             cut = np.searchsorted(ranges[order], np.arange((1 << range_bits) + 1)).tolist()
             for r, (s, e) in enumerate(zip(cut, cut[1:])):
                 if e > s:
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, _COUNTED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                        writer.write_table(counted.slice(s, e - s).combine_chunks())
-                    out.append((r, sink.getvalue().to_pybytes()))
-        return pa.table({"range": pa.array([r for r, _ in out], pa.int64()), "rows": pa.array([b for _, b in out], pa.binary())})
+                    at = order[s:e].tolist()
+                    out.append((r, row["lang"], packed_phrases(*([x[i] for i in at] for x in (size, phrase, count)))))
+        return pa.table({"range": pa.array([x[0] for x in out], pa.int64()), "lang": pa.array([x[1] for x in out], pa.string()), "rows": pa.array([x[2] for x in out], pa.binary())})
 
-    return index.groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(run, "range long, rows binary")
+    return index.groupBy("shard").cogroup(held.groupBy("of")).applyInArrow(run, "range long, lang string, rows binary")
 
 
 def _summed_phrases(sent: DataFrame, least: int) -> DataFrame:
     """(lang, size, phrase, a) of the phrases with at least ``least`` occurrences in all shards."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in table.column("rows").to_pylist()])
-        summed = rows.group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")])
+        parts = []
+        for lang, raw in zip(table.column("lang").to_pylist(), table.column("rows").to_pylist()):
+            size, phrase, n = unpacked_phrases(raw)
+            parts.append(pa.table({"lang": pa.array([lang] * len(phrase)), "size": pa.array(size.astype(np.int32)), "phrase": pa.array(phrase, pa.binary()), "n": n}))
+        summed = pa.concat_tables(parts).group_by(["lang", "size", "phrase"]).aggregate([("n", "sum")])
         return summed.filter(pc.greater_equal(summed.column("n_sum"), least)).select(["lang", "size", "phrase", "n_sum"]).rename_columns(["lang", "size", "phrase", "a"])
 
     return sent.groupBy("range").applyInArrow(run, "lang string, size int, phrase binary, a long")
@@ -403,9 +428,9 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     words = index.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", "w.*")
     totals = materialise(index.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)).alias("n")), "totals")
     n = totals.agg(F.sum("n")).first()[0] or 0
-    bits = max(20, math.ceil(math.log2(n + 1)) + 2)
+    bits = max(20, math.ceil(math.log2(n + 1)) + 1)
     range_bits = math.ceil(math.log2(max(LEAST_RANGES, n / RANGE_WORDS)))
-    held = spark.createDataFrame([], "of long, size int, held binary")
+    held = spark.createDataFrame([], "of long, size int, range long, held binary")
     for size in range(2, longest + 1):
         sent = materialise(_sent_cells(index, held, size, bits, range_bits), "cells")
         held = held.unionByName(materialise(_kept_cells(sent, size, bits, range_bits, least), "held"))

@@ -86,6 +86,11 @@ def test_packed_cells():
     assert sorted((int(c), int(k)) for x, y in found for c, k in zip(x, y)) == [(1, 2), (9, 4), (64, 5), (130, 4)]
 
 
+def test_packed_phrases():
+    size, phrase, count = P.unpacked_phrases(P.packed_phrases([2, 3, 2], [b"b c", b"a b c", b"a \xc3\xa9"], [5, 7, 100_000]))
+    assert sorted(zip(size.tolist(), phrase, count.tolist())) == [(2, b"a \xc3\xa9", 100_000), (2, b"b c", 5), (3, b"a b c", 7)]
+
+
 def test_blocks_end_where_pieces_end():
     raw = ("one two. " * 50 + "x" * 300 + " y. tail").encode()
     parts = list(P.blocks(raw, 40))
