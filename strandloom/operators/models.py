@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandloom.operators.aggregates import pearson, spearman_by
 from strandloom.operators.block_matrix import ridge_predictions
+from strandloom.operators.boosting import boosted_predictions, fit_boosted
+from strandloom.operators.regressors import kernel_predictions, knn_predictions, pls_predictions
 from strandloom.operators.resampling import permuted
 from strandloom.sources.workspace import stored
 
@@ -202,10 +204,23 @@ def faithfulness(df: DataFrame, ranked: Sequence[int], steps: Sequence[int], fol
     return out
 
 
-def compare_models(df: DataFrame, models: Sequence[str], folds: Sequence[int], seed: int = 0) -> DataFrame:
+def zoo_predictions(df: DataFrame, folds: Sequence[int], model: str, seed: int = 0, **settings) -> DataFrame:
+    """(key, fold, label, prediction), out of fold, of any regressor of the zoo (ML-16): those of ``estimator``, and histogram
+    boosting plain (``hist``), with dropout (``dart``) or Huber's loss (``huber``), partial least squares (``pls``), nearest
+    neighbours (``knn``), random kernel features (``kernel``) and block ridge (``block_ridge``)."""
+    held = df.where(F.col("fold").isin(*folds))
+    boosted = {"hist": {}, "dart": {"drop": 0.1}, "huber": {"objective": "huber"}}
+    if model in boosted:
+        fitted = fit_boosted(held, folds, [seed], **boosted[model], **settings)
+        return boosted_predictions(held, fitted).drop("seed")
+    others = {"pls": pls_predictions, "knn": knn_predictions, "kernel": kernel_predictions, "block_ridge": ridge_predictions}
+    return others[model](held, **settings) if model in others else out_of_fold(df, folds, None, model, seed)
+
+
+def compare_models(df: DataFrame, models: Sequence[str], folds: Sequence[int], seed: int = 0, settings: Mapping[str, Mapping] | None = None) -> DataFrame:
     """(model, fold, n, mse, r2) of several models on the same folds and columns (ML-22, ML-35)."""
     out = None
     for name in models:
-        part = fold_scores(out_of_fold(df, folds, None, name, seed)).withColumn("model", F.lit(name))
+        part = fold_scores(zoo_predictions(df, folds, name, seed, **(settings or {}).get(name, {}))).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import block_matrix as X, models as M
+from strandloom.operators import block_matrix as X, models as M, regressors as R
 from strandloom.plans.registry import query
 from strandloom.sources.tables import table
 from strandloom.sources.workspace import stored, work_folder
@@ -108,3 +108,22 @@ def iterative_forest(spark, sf_dir):
     r = rows(spark, sf_dir, 2)
     members, _ = M.iterative_forest(r.where("fold = 0"), 2, 3)
     return M.fold_scores(M.forest_predictions(members, r.where("fold = 1")))
+
+
+@query("zoo_comparison")
+def zoo_comparison(spark, sf_dir):
+    """Held-out scores of the regressors that the library lacks, on the same folds."""
+    settings = {"pls": {"components": 5}, "knn": {"k": 25}, "kernel": {"features": 128, "penalty": 0.1}, "hist": {"trees": 10, "rate": 0.3}, "dart": {"trees": 6, "rate": 0.3}}
+    return M.compare_models(rows(spark, sf_dir), list(settings), range(3), settings=settings)
+
+
+@query("knn_regression", """WITH e AS (SELECT vec_id, label, vec_id % 3 AS fold, e[1] AS a, e[2] AS b FROM (SELECT vec_id, CAST(label AS DOUBLE) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
+h AS (SELECT DISTINCT fold AS held FROM e), s AS (SELECT held, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM e, h WHERE fold <> held GROUP BY held),
+d AS (SELECT q.vec_id, q.fold, o.vec_id AS o, o.label AS v, sqrt(power((q.a - o.a) / sa, 2) + power((q.b - o.b) / sb, 2)) AS d FROM e q JOIN e o ON o.fold <> q.fold JOIN s ON s.held = q.fold),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, o) AS n FROM d)
+SELECT vec_id AS key, CAST(fold AS BIGINT) AS fold, round(CASE WHEN count(*) FILTER (d = 0) > 0 THEN avg(v) FILTER (d = 0) ELSE sum(v / d) FILTER (d > 0) / sum(1 / d) FILTER (d > 0) END, 5) AS prediction FROM r WHERE n <= 10 GROUP BY vec_id, fold""")
+def knn_regression(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("key"), F.pmod("vec_id", F.lit(3)).alias("fold"), F.col("label").cast("double").alias("label"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("features")
+    )
+    return R.knn_predictions(e, 10).select("key", "fold", F.round("prediction", 5).alias("prediction"))
