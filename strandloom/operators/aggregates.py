@@ -190,12 +190,13 @@ def describe(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def pair_sums(df: DataFrame, group: str, key: str, pos: str, value: str, columns: int = 512) -> DataFrame:
+def pair_sums(df: DataFrame, group: str, key: str, pos: str, value: str, columns: int = 512, crossed: int | None = None) -> DataFrame:
     """(group, i, j, n, s, x, y, xx, yy) of every two columns i <= j of a tidy table, over the keys that have both.
 
     n counts them; s, x, y, xx and yy are the sums of the product, of either value and of either square. Rows are
     gathered as sparse lists; a task multiplies matrices of them, a block of ``columns`` by another at a time, and sends
-    one row a pair of columns for all its rows. Positions are whole numbers, NULL values are left out.
+    one row a pair of columns for all its rows. Positions are whole numbers, NULL values are left out. With ``crossed`` only
+    pairs of a column in a block below that number and one in a block from it on are made.
     """
     names = [f.name for f in T.StructType.fromDDL("n double, s double, x double, y double, xx double, yy double").fields]
     held = df.where(F.col(value).isNotNull()).select(F.col(group).cast("long").alias("g"), F.col(key).alias("k"), F.col(pos).cast("int").alias("p"), F.col(value).cast("double").alias("v"))
@@ -219,7 +220,7 @@ def pair_sums(df: DataFrame, group: str, key: str, pos: str, value: str, columns
                 own = sums.setdefault(g, {})
                 for a, (x, m) in blocks.items():
                     for b, (y, o) in blocks.items():
-                        if a <= b:
+                        if a <= b and (crossed is None or a < crossed <= b):
                             found = np.stack([m.T @ o, x.T @ y, x.T @ o, m.T @ y, (x * x).T @ o, m.T @ (y * y)])
                             own[a, b] = own[a, b] + found if (a, b) in own else found
         for g, own in sums.items():

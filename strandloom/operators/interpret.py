@@ -29,6 +29,36 @@ def nearest_correlate(correlations: DataFrame) -> DataFrame:
     return both.groupBy(F.col("i").alias("col")).agg(best.alias("b")).select("col", F.col("b.j").alias("nearest"), "b.size")
 
 
+def cross_correlations(left: DataFrame, right: DataFrame, columns: int = 512) -> DataFrame:
+    """(i, j, r) of every column of one tidy table (id, pos, v) with every column of another, over the ids that have both (ML-28).
+
+    The right table's positions are moved behind the left's, into blocks of their own; only blocks of both are multiplied.
+    """
+    top = left.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("m")).first().m  # one row
+    first = (int(top) // columns + 1) * columns
+    centred = lambda df: df.where("v IS NOT NULL").join(F.broadcast(df.groupBy("pos").agg(F.avg("v").alias("__m"))), "pos").select("id", "pos", (F.col("v") - F.col("__m")).alias("v"))  # noqa: E731  one row a column
+    both = centred(left).unionByName(centred(right).withColumn("pos", F.col("pos") + first)).withColumn("__g", F.lit(0))
+    sums = pair_sums(both, "__g", "id", "pos", "v", columns, crossed=first // columns)
+    n = F.col("n")
+    spread = lambda x, xx: F.sqrt(F.greatest(F.col(xx) / n - F.pow(F.col(x) / n, F.lit(2)), F.lit(0.0)))
+    covariance = F.col("s") / n - F.col("x") / n * F.col("y") / n
+    return sums.select("i", (F.col("j") - first).alias("j"), F.coalesce(F.try_divide(covariance, spread("x", "xx") * spread("y", "yy")), F.lit(0.0)).alias("r"))
+
+
+def nearest_with_null(left: DataFrame, right: DataFrame, seed: int, columns: int = 512) -> DataFrame:
+    """(col, nearest, size, null_size): each left column's strongest right column, the first of ties, and how strong the strongest
+    is when the left rows are dealt anew to the ids by md5 (ML-28)."""
+    from strandloom.operators.resampling import permuted
+
+    ids = left.select("id").distinct()
+    moved = permuted(ids.withColumn("from", F.col("id")), "id", ["from"], seed)
+    shuffled = moved.join(left.withColumnRenamed("id", "from"), "from").select("id", "pos", "v")
+    best = F.max_by(F.struct("j", F.abs("r").alias("size")), F.struct(F.abs("r").alias("s"), (-F.col("j")).alias("t")))
+    own = cross_correlations(left, right, columns).groupBy(F.col("i").alias("col")).agg(best.alias("b")).select("col", F.col("b.j").alias("nearest"), "b.size")
+    null = cross_correlations(shuffled, right, columns).groupBy(F.col("i").alias("col")).agg(F.max(F.abs("r")).alias("null_size"))
+    return own.join(null, "col", "left")
+
+
 def greedy_clusters(correlations: DataFrame, order: Sequence[int], tau: float) -> dict[int, int]:
     """Column -> cluster seed: columns in order take all free columns correlated at ``tau`` or more (ML-29).
 

@@ -28,6 +28,20 @@ def nearest_correlate(spark, sf_dir):
     return r6(I.nearest_correlate(I.column_correlations(tidy(spark, sf_dir))), "col")
 
 
+# Rows dealt anew: the rank of an id in one md5 order takes the row of the same rank in another.
+@query("nearest_with_null", """WITH p AS (SELECT vec_id AS id, CAST(i AS INTEGER) AS pos, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)),
+k AS (SELECT vec_id AS id, row_number() OVER (ORDER BY substr(md5('-1:' || vec_id), 1, 3), md5('-1:' || vec_id), vec_id) AS a, row_number() OVER (ORDER BY substr(md5('5:' || vec_id), 1, 3), md5('5:' || vec_id), vec_id) AS b FROM embeddings),
+m AS (SELECT x.id, y.id AS source FROM k x JOIN k y ON x.a = y.b),
+o AS (SELECT l.pos AS col, r.pos AS j, abs(corr(l.v, r.v)) AS s FROM p l JOIN p r USING (id) WHERE l.pos <= 24 AND r.pos > 24 GROUP BY ALL),
+n AS (SELECT l.pos AS col, r.pos AS j, abs(corr(l.v, r.v)) AS s FROM m JOIN p l ON l.id = m.source JOIN p r ON r.id = m.id WHERE l.pos <= 24 AND r.pos > 24 GROUP BY ALL),
+b AS (SELECT col, j AS nearest, s AS size FROM o QUALIFY row_number() OVER (PARTITION BY col ORDER BY s DESC, j) = 1)
+SELECT b.col, nearest, round(size, 6) AS size, round(max(n.s), 6) AS null_size FROM b JOIN n USING (col) GROUP BY b.col, nearest, size""")
+def nearest_with_null(spark, sf_dir):
+    p = tidy(spark, sf_dir)
+    out = I.nearest_with_null(p.where("pos <= 24"), p.where("pos > 24"), 5, columns=16)
+    return out.select("col", "nearest", F.round("size", 6).alias("size"), F.round("null_size", 6).alias("null_size"))
+
+
 @query("greedy_clusters")
 def greedy_clusters(spark, sf_dir):
     found = I.greedy_clusters(I.column_correlations(tidy(spark, sf_dir)), range(1, 65), 0.15)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.operators.joins import remaining
@@ -11,18 +13,40 @@ from strandloom.sources.files import read_if_any
 from strandloom.sources.workspace import work_folder
 
 
-def resume_stream(spark: SparkSession, source: str, schema: str, target: str, keys: Sequence[str], checkpoint: str) -> None:
+class DeadlinePassed(Exception):
+    """Ends a stream before a micro-batch whose turn comes too late."""
+
+
+def resume_stream(
+    spark: SparkSession, source: str, schema: str, target: str, keys: Sequence[str], checkpoint: str, deadline: float | None = None,
+    files_a_batch: int | None = None, clock: Callable[[], float] = time.time,
+) -> bool:
     """Process what ``source`` holds and stop; a second run with the same checkpoint takes new files only.
 
     Each micro-batch is anti-joined with the target, so a batch that is run again after a failure appends nothing twice.
+    Once the clock has passed ``deadline``, seconds since the epoch, the batch at hand is given up before it writes and left to the
+    next run; ``files_a_batch`` bounds how much that is. True if all of the source was processed.
     """
+    late = False
 
     def append(batch: DataFrame, _: int) -> None:
+        nonlocal late
+        if deadline is not None and clock() >= deadline:
+            late = True
+            raise DeadlinePassed
         todo = remaining(batch.dropDuplicates(list(keys)), read_if_any(spark, target, schema), keys)
         todo.write.mode("append").parquet(target)
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    reader = spark.readStream.schema(schema)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    running = reader.parquet(source).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        running.awaitTermination()
+    except StreamingQueryException:
+        if not late:
+            raise
+    return not late
 
 
 def windowed_means(events: DataFrame, time: str, key: str, value: str, window: str, late: str) -> DataFrame:
