@@ -55,7 +55,7 @@ def first_containing(found: DataFrame, key: str, low: str, tie: str) -> DataFram
 def nearest_on_line(points: DataFrame, targets: DataFrame, key: str, position: str, circle: int | None = None, size: int = 4096) -> DataFrame:
     """(key, position, before, after): distances to the nearest target at or below and at or above (JN-11, JN-13, JN-14).
 
-    Positions are cut into blocks of ``size``; each block carries the last target before it and the first after it from
+    Each distinct position is searched once. Positions are cut into blocks of ``size``; each block carries the last target before it and the first after it from
     a table of block edges, so every window stays in its block. On a circle of n positions the targets are repeated
     one turn on either side.
     """
@@ -63,9 +63,8 @@ def nearest_on_line(points: DataFrame, targets: DataFrame, key: str, position: s
     if circle:
         t = t.select(F.explode(F.array(F.col("p") - circle, F.col("p"), F.col("p") + circle)).alias("p"))
     block = F.floor(F.col("p") / size)
-    both = t.select("p", F.lit(None).cast("long").alias("k"), F.lit(True).alias("t")).unionByName(
-        points.select(F.col(position).cast("long").alias("p"), F.col(key).cast("long").alias("k"), F.lit(False).alias("t"))
-    ).withColumn("b", block)
+    asked = points.select(F.col(position).cast("long").alias("p")).distinct()
+    both = t.select("p", F.lit(True).alias("t")).unionByName(asked.select("p", F.lit(False).alias("t"))).withColumn("b", block)
     edges = both.groupBy("b").agg(F.min(F.when(F.col("t"), F.col("p"))).alias("first"), F.max(F.when(F.col("t"), F.col("p"))).alias("last"))
     # One row a block of positions; bounded by the extent of the axis over ``size``.
     edges = edges.select(
@@ -78,10 +77,9 @@ def nearest_on_line(points: DataFrame, targets: DataFrame, key: str, position: s
     ranked = both.withColumn("lo", F.last(at, ignorenulls=True).over(up)).withColumn(
         "hi", F.last(at, ignorenulls=True).over(down)
     )
-    found = ranked.where(~F.col("t")).join(edges, "b")
-    return found.select(
-        F.col("k").alias(key), F.col("p").alias(position), (F.col("p") - F.coalesce("lo", "earlier")).alias("before"), (F.coalesce("hi", "later") - F.col("p")).alias("after")
-    )
+    found = ranked.where(~F.col("t")).join(edges, "b").select("p", (F.col("p") - F.coalesce("lo", "earlier")).alias("before"), (F.coalesce("hi", "later") - F.col("p")).alias("after"))
+    own = points.select(F.col(key).cast("long").alias(key), F.col(position).cast("long").alias("p"))
+    return own.join(found, "p").select(key, F.col("p").alias(position), "before", "after")
 
 
 def hamming_texts(left: DataFrame, right: DataFrame, text: str, length: int, within: int) -> DataFrame:
@@ -210,21 +208,27 @@ def _nearest_of(points: DataFrame, targets: DataFrame, key: str, position: str)
 
 
 def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, position: str, low: str, high: str, number: str, width: int = 4096) -> DataFrame:
-    """(key, distance, number) of the interval nearest to each point, 0 inside; of equals the least number (JN-13)."""
+    """(key, distance, number) of the interval nearest to each point, 0 inside; of equals the least number (JN-13).
+
+    Every distinct position is searched once.
+    """
     own = intervals.select(F.col(low).cast("long").alias("__low"), F.col(high).cast("long").alias("__high"), F.col(number).alias("number"))
-    at = points.select(key, F.col(position).cast("long").alias(position))
-    inside = interval_containment(at, own, position, "__low", "__high", width).groupBy(key).agg(F.min("number").alias("__in"))
+    rows = points.select(key, F.col(position).cast("long").alias(position))
+    at = rows.select(position, F.col(position).alias("__at")).distinct()
+    inside = interval_containment(at, own, position, "__low", "__high", width).groupBy("__at").agg(F.min("number").alias("__in"))
     ends = own.select(F.col("__low").alias(position), "number").unionByName(own.select(F.col("__high").alias(position), "number"))
-    outside = _nearest_of(at, ends, key, position)
-    joined = outside.join(inside, key, "left")
-    return joined.select(key, F.when(F.col("__in").isNotNull(), 0).otherwise(F.col("distance")).alias("distance"), F.coalesce("__in", "number").alias("number"))
+    joined = _nearest_of(at, ends, "__at", position).join(inside, "__at", "left")
+    found = joined.select(F.col("__at").alias(position), F.when(F.col("__in").isNotNull(), 0).otherwise(F.col("distance")).alias("distance"), F.coalesce("__in", "number").alias("number"))
+    return rows.join(found, position).select(key, "distance", "number")
 
 
 def nearest_midpoint(points: DataFrame, intervals: DataFrame, key: str, position: str, low: str, high: str, number: str) -> DataFrame:
     """(key, distance, number) of the interval whose midpoint is nearest to each point, the least number of equals (JN-14)."""
     twice = intervals.select((F.col(low) + F.col(high)).cast("long").alias(position), F.col(number).alias("number"))
-    found = _nearest_of(points.select(key, (2 * F.col(position)).cast("long").alias(position)), twice, key, position)
-    return found.withColumn("distance", F.col("distance") / 2)
+    rows = points.select(key, (2 * F.col(position)).cast("long").alias(position))
+    at = rows.select(position, F.col(position).alias("__at")).distinct()
+    found = _nearest_of(at, twice, "__at", position).select(F.col("__at").alias(position), (F.col("distance") / 2).alias("distance"), "number")
+    return rows.join(found, position).select(key, "distance", "number")
 
 
 def zip_rows(left: DataFrame, right: DataFrame, order: str) -> DataFrame:

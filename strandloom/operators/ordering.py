@@ -1,8 +1,9 @@
 """Ranks, running sums and moving means that need a global order, without a window over the whole table.
 
-``with_running_sum`` cuts the order into ranges by exact-enough quantiles, sums inside each range by a window that is
-partitioned by range, and adds the prefix sums of the ranges, of which there are few. Rows equal in the first order
-column share a range, so ties stay together.
+Equal values are counted first. A group of up to LARGE distinct values is one window over their counts. Larger groups are cut
+into ranges by approximate quantiles of the distinct values, which are an aggregation of the plan itself, so nothing runs while
+a plan is built; sums are taken inside each range, and the prefix sums of the ranges, of which there are few, are added.
+Rows equal in the first order column share a range, so ties stay together.
 """
 
 from __future__ import annotations
@@ -13,31 +14,62 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Ranges at least; otherwise as many as there are shuffle partitions.
-RANGES = 64
+#: Ranges at least; otherwise as many as there are shuffle partitions. Distinct values up to which a group is one window.
+RANGES, LARGE = 64, 1 << 18
 
 
-def with_range(df: DataFrame, column: str, name: str, ranges: int | None = None) -> DataFrame:
-    """Append the 0-based range of a numeric column, from approximate quantiles; NULL goes to the first.
+def _ranged(counts: DataFrame, column: str, groups: Sequence[str], name: str) -> DataFrame:
+    """Append the 0-based range of each row of distinct values (groups, column) inside its group; NULL goes to the first.
 
     Cuts are searched in two steps of about the root of their number, each a sum of comparisons.
     """
-    ranges = ranges or max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    step = math.isqrt(len(cuts)) + 1
-    literal = lambda part: F.array(*[F.lit(float(c)) for c in part]).cast("array<double>")
-    below = lambda held: F.coalesce(F.size(F.filter(held, lambda c: c < F.col("__probe"))), F.lit(0))
-    blocks = F.array(*[literal(cuts[i : i + step]) for i in range(0, len(cuts) + 1, step)])
-    coarse = df.withColumn("__probe", F.col(column).cast("double")).withColumn("__coarse", below(literal(cuts[step - 1 :: step])))
-    return coarse.withColumn("__held", F.element_at(blocks, F.col("__coarse") + 1)).withColumn(name, F.col("__coarse") * step + below(F.col("__held"))).drop("__probe", "__coarse", "__held")
-
-
-def with_running_sum(df: DataFrame, order: str, value: Column, name: str, ties: Sequence[str] = (), descending: bool = False, ranges: int | None = None) -> DataFrame:
-    """Append the inclusive running sum of ``value`` in the order of ``order``, then of ``ties``."""
+    ranges = max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    step = math.isqrt(ranges) + 1
+    probe = F.col(column).cast("double")
+    quantiles = F.percentile_approx(probe, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(2 * ranges))
+    cuts = counts.groupBy(*groups).agg(F.array_distinct(quantiles).alias("__cuts"))
+    marked = joined_or_null(counts, cuts, groups) if groups else counts.join(F.broadcast(cuts), how="left")  # one row
+    below = lambda part: F.size(F.filter(part, lambda c: c < F.col("__probe")))
+    coarse = F.filter("__cuts", lambda c, i: i % step == step - 1)
+    found = marked.withColumn("__probe", probe).withColumn("__coarse", below(coarse))
+    fine = F.slice("__cuts", F.greatest(F.col("__coarse"), F.lit(0)) * step + 1, F.lit(step))
+    place = F.when(F.col("__cuts").isNull() | F.col("__probe").isNull(), F.lit(0)).otherwise(F.col("__coarse") * step + below(fine))
+    return found.withColumn(name, place.cast("int")).drop("__cuts", "__probe", "__coarse")
+
+
+def placed_counts(df: DataFrame, column: str, groups: Sequence[str] = (), times: Column | None = None) -> DataFrame:
+    """(groups, column, __c, __i, __n): copies of each distinct value that is not NULL, the group's rows up to and with it, and all.
+
+    Groups of up to LARGE distinct values are one window each; larger ones are summed by ranges.
+    """
+    counted = F.count("*") if times is None else F.sum(times)
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(counted.alias("__c"))
+    # One row a large group, so fewer rows by LARGE than there are distinct values. The rows' sum, which is no less, is asked for
+    # too, so that all three readers of the counts ask for the same columns and share their shuffle.
+    sizes = counts.groupBy(*groups).agg(F.count(column).alias("__d"), F.sum("__c").alias("__all"))
+    large = F.broadcast(sizes.where((F.col("__d") > LARGE) & (F.col("__all") > LARGE)).select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], "__d"))
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)], F.lit(True))
+    by_group = Window.partitionBy(*groups)
+    running = by_group.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    small = counts.join(large, same, "left_anti").withColumn("__i", F.sum("__c").over(running)).withColumn("__n", F.sum("__c").over(by_group))
+    ranged = _ranged(counts.join(large, same, "left_semi"), column, groups, "__r")
+    inside = Window.partitionBy(*groups, "__r").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    before = by_group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a group and range.
+    base = ranged.groupBy(*groups, "__r").agg(F.sum("__c").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(before), F.lit(0))).withColumn("__n", F.sum("__s").over(by_group)).drop("__s")
+    summed = joined_or_null(ranged.withColumn("__i", F.sum("__c").over(inside)), base, [*groups, "__r"])
+    return small.unionByName(summed.withColumn("__i", F.col("__i") + F.col("__b")).drop("__r", "__b"))
+
+
+def with_running_sum(df: DataFrame, order: str, value: Column, name: str, ties: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Append the inclusive running sum of ``value`` in the order of ``order``, then of ``ties``.
+
+    Rows equal in ``order`` are one range of their own if there are many: their order among themselves is that of ``ties``.
+    """
     sign = -1 if descending else 1
-    marked = with_range(df.withColumn("__v", value), order, "__r", ranges).withColumn("__r", F.col("__r") * sign)
+    counts = df.groupBy(order).agg(F.count("*").alias("__c"))
+    ranged = _ranged(counts, order, [], "__r").select(order, "__r")
+    marked = joined_or_null(df.withColumn("__v", value), ranged, [order]).withColumn("__r", F.col("__r") * sign)
     keys = [F.desc(order) if descending else F.asc(order), *ties]
     inside = Window.partitionBy("__r").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     # One row a range.
@@ -52,18 +84,12 @@ def average_rank(df: DataFrame, column: str, name: str, groups: Sequence[str] =
     NULL has no rank and counts for none. Equal values are counted first; the counts are summed inside ranges of the
     values and over each group's ranges, so neither ties nor a large group meet in one task.
     """
-    held = df.where(F.col(column).isNotNull())
-    counts = with_range(held.groupBy(*groups, column).agg(F.count("*").alias("__c")), column, "__r")
-    inside = Window.partitionBy(*groups, "__r").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    # One row a group and range.
-    before = Window.partitionBy(*groups).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.groupBy(*groups, "__r").agg(F.sum("__c").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
-    summed = _joined(counts.withColumn("__i", F.sum("__c").over(inside)), base, [*groups, "__r"])
-    ranks = summed.withColumn(name, F.col("__b") + F.col("__i") - (F.col("__c") - 1) / F.lit(2.0)).select(*groups, column, name)
-    return _joined(df, ranks, [*groups, column])
+    placed = placed_counts(df, column, groups)
+    ranks = placed.withColumn(name, F.col("__i") - (F.col("__c") - 1) / F.lit(2.0)).select(*groups, column, name)
+    return joined_or_null(df, ranks, [*groups, column])
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def joined_or_null(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on keys that may be NULL."""
     other = right.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], *[c for c in right.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)])
@@ -101,20 +127,14 @@ def running_extremes(df: DataFrame, position: str, step: str) -> DataFrame:
     return summed.agg(F.min_by(position, F.struct("cum", position)).alias("argmin"), F.min_by(position, F.struct((-F.col("cum")).alias("c"), position)).alias("argmax"))
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], groups: Sequence[str] = (), times: Column | None = None) -> DataFrame:
     """(groups, quantiles): exact linear quantiles of the values that are not NULL, without a group in one task.
 
     Equal values are counted first and the counts summed in ranges; the order statistics that the quantiles lie between
     are then two values each.
     """
-    counts = with_range(df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("__c")), column, "__r")
-    inside = Window.partitionBy(*groups, "__r").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    by_range = Window.partitionBy(*groups).orderBy("__r")
-    # One row a group and range.
-    base = counts.groupBy(*groups, "__r").agg(F.sum("__c").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = base.withColumn("__n", F.sum("__s").over(Window.partitionBy(*groups))).drop("__s")
-    placed = _joined(counts.withColumn("__i", F.sum("__c").over(inside)), base, [*groups, "__r"])
-    last = F.col("__b") + F.col("__i")  # rank of the value's last copy, from 1
+    placed = placed_counts(df, column, groups, times)
+    last = F.col("__i")  # rank of the value's last copy, from 1
     first = last - F.col("__c") + 1
     value, out = F.col(column).cast("double"), []
     for i, q in enumerate(shares):
@@ -129,17 +149,11 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], groups:
 
 def quantile_cuts(df: DataFrame, column: str, bins: int, groups: Sequence[str] = ()) -> DataFrame:
     """(groups, cut): the greatest value of each of ``bins`` equal shares of the values but the last; equal values are not cut apart."""
-    counts = with_range(df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("__c")), column, "__r")
-    inside = Window.partitionBy(*groups, "__r").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    by_range = Window.partitionBy(*groups).orderBy("__r")
-    # One row a group and range.
-    base = counts.groupBy(*groups, "__r").agg(F.sum("__c").alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = base.withColumn("__n", F.sum("__s").over(Window.partitionBy(*groups))).drop("__s")
-    placed = _joined(counts.withColumn("__i", F.sum("__c").over(inside)), base, [*groups, "__r"])
-    share = F.floor((F.col("__b") + F.col("__i") - 1) * bins / F.col("__n"))
+    placed = placed_counts(df, column, groups)
+    share = F.floor((F.col("__i") - 1) * bins / F.col("__n"))
     cuts = placed.groupBy(*groups, share.alias("__share")).agg(F.max(column).alias("cut"))
     top = placed.groupBy(*groups).agg(F.max(column).alias("__top"))
-    return _joined(cuts, top, list(groups)).where(F.col("cut") < F.col("__top")).select(*groups, "cut")
+    return joined_or_null(cuts, top, list(groups)).where(F.col("cut") < F.col("__top")).select(*groups, "cut")
 
 
 def quantile_bands(df: DataFrame, column: str, bands: int, name: str) -> DataFrame:

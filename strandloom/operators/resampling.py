@@ -72,12 +72,24 @@ def tidy(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
 
 
 def train_statistics(rows: DataFrame, fold: str, folds: int) -> DataFrame:
-    """(held, name, median, q1, q3, mean, sd) over the rows outside each held-out fold."""
-    spread = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("held") != F.col(fold))
-    moments = spread.groupBy("held", "name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    q = exact_quantiles(spread, "value", [0.25, 0.5, 0.75], ["held", "name"])
-    # One row a fold and column on either side.
-    return moments.join(q, ["held", "name"], "left").select(
+    """(held, name, median, q1, q3, mean, sd) over the rows outside each held-out fold; NULL and NaN values do not count.
+
+    Values are counted by fold and name once; the counts, not the rows, are copied to the folds that learn from them, and
+    means and deviations are the total's sums less the fold's, about the name's mean over all rows.
+    """
+    held = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")
+    counts = rows.where(F.col("value").isNotNull()).groupBy(F.col(fold).alias("own"), "name", "value").agg(F.count("*").alias("times"))
+    spread = counts.select("*", held).where(F.col("held") != F.col("own"))
+    q = exact_quantiles(spread, "value", [0.25, 0.5, 0.75], ["held", "name"], F.col("times"))
+    n, v = F.col("times"), F.col("value") - F.col("centre")
+    centres = counts.groupBy("name").agg((F.sum(F.col("value") * n) / F.sum(n)).alias("centre"))
+    # One row a fold and column from here on.
+    sums = counts.join(F.broadcast(centres), "name").groupBy("own", "name", "centre").agg(F.sum(n).alias("n"), F.sum(n * v).alias("s"), F.sum(n * v * v).alias("q"))
+    rest = sums.select("*", held).where(F.col("held") != F.col("own")).groupBy("held", "name", "centre").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
+    mean = F.col("s") / F.col("n")
+    moments = rest.select("held", "name", (F.col("centre") + mean).alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"))
+    every = rows.select("name").distinct().select("name", held)
+    return every.join(moments, ["held", "name"], "left").join(q, ["held", "name"], "left").select(
         "held", "name", F.coalesce(F.col("quantiles")[1], F.lit(0.0)).alias("median"), F.col("quantiles")[0].alias("q1"), F.col("quantiles")[2].alias("q3"), "mean", "sd"
     )
 

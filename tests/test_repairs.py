@@ -30,14 +30,18 @@ def test_tsv_and_fasta(spark, tmp_path):
     assert sorted(map(tuple, files.read_fasta(spark, str(tmp_path / "f.fa")).collect())) == [("one", "ACGTT"), ("three", "GG"), ("two", "")]
 
 
+@pytest.mark.parametrize("large", [1 << 18, 2])
 @pytest.mark.parametrize("groups", [[], ["g"]])
-def test_null_has_no_rank(spark, groups):
+def test_null_has_no_rank(spark, groups, large, monkeypatch):
+    monkeypatch.setattr(W, "LARGE", large)
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", None), (3, "a", 2.0), (4, "a", 2.0), (5, None, 7.0), (6, None, None)], "k int, g string, v double")
     ranks = {r.k: r.r for r in W.average_rank(df, "v", "r", groups).collect()}
     assert ranks == {1: 1.0, 2: None, 3: 2.5, 4: 2.5, 5: 1.0 if groups else 4.0, 6: None}
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("large", [1 << 18, 3])
+def test_exact_quantiles(spark, large, monkeypatch):
+    monkeypatch.setattr(W, "LARGE", large)
     rng = np.random.default_rng(1)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 900), np.round(rng.normal(size=900), 1))] + [(0, None), (9, 4.0)]
     found = W.exact_quantiles(spark.createDataFrame(rows, "g int, v double"), "v", [0.0, 0.1, 0.5, 0.987, 1.0], ["g"]).collect()
@@ -46,6 +50,22 @@ def test_exact_quantiles(spark):
         assert r.quantiles == pytest.approx(np.quantile([v for g, v in rows if g == r.g and v is not None], [0, 0.1, 0.5, 0.987, 1]))
 
 
+@pytest.mark.parametrize("large", [1 << 18, 4])
+def test_rank_correlation_by_group(spark, large, monkeypatch):
+    monkeypatch.setattr(W, "LARGE", large)
+    rng = np.random.default_rng(6)
+    rows = [(int(g), float(a), float(b)) for g, a, b in zip(rng.integers(0, 4, 500), np.round(rng.normal(size=500), 1), np.round(rng.normal(size=500), 1))] + [(9, 1.0, 2.0), (9, 1.0, 3.0), (5, None, 1.0), (None, 1.0, 2.0), (None, 2.0, 1.0)]
+    found = {r.g: (r.n, r.rho) for r in A.spearman_by(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()}
+    assert set(found) == {0, 1, 2, 3, 9, None} and found[9] == (2, 0.0) and found[None] == (2, pytest.approx(-1.0))
+
+    def ranks(v):
+        return [(np.array(v) < x).sum() + ((np.array(v) == x).sum() + 1) / 2 for x in v]
+
+    for g in range(4):
+        x, y = zip(*[(a, b) for k, a, b in rows if k == g])
+        assert found[g] == (len(x), pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1]))
+
+
 def test_duplex_of_other_letters_is_null(spark):
     texts = spark.createDataFrame([("ACGT",), ("acgt",), ("ANNA",), ("A",), ("",), (None,)], "s string")
     rows = texts.select(S.duplex(F.col("s")).alias("x")).select("x.*").collect()
