@@ -5,7 +5,7 @@ A builder takes rows (key, s, strand, place) and gives a block; ``build`` report
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -77,10 +77,58 @@ def mappability(rows: DataFrame) -> DataFrame:
     return rows.select("key").join(total, "key", "left").join(once, "key", "left").select("key", F.coalesce(F.try_divide(F.coalesce("u", F.lit(0)), "w"), F.lit(0.0)).alias("eng.map.unique"))
 
 
-@family("z_dosage")
-def dosage(rows: DataFrame) -> DataFrame:
-    """2 to the minus twice the distance from the origin, as a share of half the circle (FF-Z1)."""
-    return rows.select("key", F.pow(F.lit(2.0), -2 * S.circular_distance(F.col("place"), F.lit(1), 10_007) / 5003.5).alias("eng.dose"))
+def dosage(rows: DataFrame, n: int, origin: int = 1) -> DataFrame:
+    """2 to the minus twice the distance from the origin, as a share of half the circle of ``n`` (FF-Z1)."""
+    return rows.select("key", F.pow(F.lit(2.0), -2 * S.circular_distance(F.col("place"), F.lit(origin), n) / F.lit(n / 2)).alias("eng.dose"))
+
+
+def circular_window_means(asked: DataFrame, track: DataFrame, n: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, w, m): mean of a dense track (pos, value) over ``w`` positions around ``place`` on a circle of ``n``, from rows (keys, place, w).
+
+    Running sums give a window's mean from two look-ups by position, so wide windows cost no more than narrow ones.
+    """
+    sums = with_running_sum(track.select("pos", "value"), "pos", F.col("value"), "cum").select("pos", "cum")
+    total = sums.agg(F.max_by("cum", "pos").alias("all"))
+    low = F.col("place") - F.floor(F.col("w") / 2) - 1
+    ends = asked.select(*keys, "w", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), low.alias("at")), F.struct(F.lit(1).alias("sign"), (low + F.col("w")).alias("at")))).alias("e"))
+    # Position 0 has sum 0; a place outside 1..n is a turn away.
+    ends = ends.select(*keys, "w", "e.sign", F.pmod("e.at", F.lit(n)).alias("pos"), F.floor(F.col("e.at") / n).alias("turn"))
+    value = F.col("sign") * (F.coalesce("cum", F.lit(0.0)) + F.col("turn") * F.col("all"))
+    return ends.join(sums, "pos", "left").join(F.broadcast(total)).groupBy(*keys, "w").agg((F.sum(value) / F.max("w")).alias("m"))  # one row
+
+
+def torsion_gradient(rows: DataFrame, track: DataFrame, widths: Sequence[int], n: int) -> DataFrame:
+    """Mean of the track behind each place less that before it, in the direction of the strand, by width (FF-D2).
+
+    The windows are centred half a width to either side; rows are (key, strand, place), NULL where there is no place.
+    """
+    sides = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(side).alias("side"), F.lit(side * (w // 2)).alias("move")) for w in widths for side in (1, -1)]))
+    asked = rows.where("place IS NOT NULL").select("key", "place", sides.alias("x")).select("key", (F.pmod(F.col("place") + F.col("x.move") - 1, F.lit(n)) + 1).alias("place"), "x.w", "x.side")
+    means = circular_window_means(asked, track, n, ["key", "side"])
+    gradient = means.groupBy("key").agg(*[F.sum(F.when(F.col("w") == w, F.col("side") * F.col("m"))).alias(f"g{w}") for w in widths])
+    sign = F.when(F.col("strand") == "+", 1).otherwise(-1)
+    return rows.join(gradient, "key", "left").select("key", *[(sign * F.col(f"g{w}")).alias(f"eng.track.gradient{w}") for w in widths])
+
+
+def circular_kmers(bases: DataFrame, k: int, n: int) -> DataFrame:
+    """(pos, kmer) of the ``k`` letters from each position of a circle of ``n``, from rows (pos, base) of 1-based positions."""
+    sent = bases.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"), "pos", "base").select((F.pmod(F.col("pos") - F.col("i") - 1, F.lit(n)) + 1).alias("pos"), "i", "base")
+    letters = F.transform(F.array_sort(F.collect_list(F.struct("i", "base"))), lambda x: x["base"])
+    return sent.groupBy("pos").agg(F.array_join(letters, "").alias("kmer"))
+
+
+def mapgc_block(rows: DataFrame, bases: DataFrame, k: int, widths: Sequence[int], n: int) -> DataFrame:
+    """Share of k-mers that occur once on either strand, and of G and C, around each place, by width (FF-Z3)."""
+    kmers = circular_kmers(bases, k, n).withColumn("c", S.canonical(F.col("kmer")))
+    once = kmers.groupBy("c").agg(F.count("*").alias("times"))
+    unique = kmers.join(once, "c").select("pos", (F.col("times") == 1).cast("double").alias("value"))
+    gc = bases.select("pos", F.col("base").isin("G", "C").cast("double").alias("value"))
+    asked = rows.where("place IS NOT NULL").select("key", "place", F.explode(F.array(*[F.lit(w) for w in widths])).alias("w"))
+    out = rows.select("key")
+    for name, track in (("unique", unique), ("gc", gc)):
+        means = circular_window_means(asked, track, n, ["key"])
+        out = out.join(means.groupBy("key").agg(*[F.max(F.when(F.col("w") == w, F.col("m"))).alias(f"eng.map.{name}{w}") for w in widths]), "key", "left")
+    return out
 
 
 def track_block(rows: DataFrame, tracks: DataFrame, roles: Sequence[str], widths: Sequence[int], n: int) -> DataFrame:
@@ -119,12 +167,16 @@ def membership_block(rows: DataFrame, members: DataFrame, name: str) -> DataFram
     return flag_members(rows.select("key"), "key", members).select("key", F.col("member").cast("int").alias(f"eng.{name}"))
 
 
-def build(rows: DataFrame, names: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """All blocks joined to the rows' keys and a status for each family (FF-0); a failing family is left out."""
+def build(rows: DataFrame, names: Sequence[str] | None = None, registry: Mapping[str, Builder] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """All blocks joined to the rows' keys and a status for each family (FF-0); a failing family is left out.
+
+    ``registry`` holds further builders, or others of the same names, for instance ``flank_families.registry``.
+    """
+    builders = REGISTRY | dict(registry or {})
     out, status = rows.select("key"), {}
-    for name in names or sorted(REGISTRY):
+    for name in names or sorted(builders):
         try:
-            block = REGISTRY[name](rows)
+            block = builders[name](rows)
             if odd := [c for c in block.columns if c != "key" and not c.startswith("eng.")]:
                 raise ValueError(f"columns without eng.: {odd}")
             out, status[name] = out.join(block, "key", "left"), "ok"

@@ -8,7 +8,7 @@ A NULL text gives NULL columns.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -212,3 +212,13 @@ def transcription_block(rows: DataFrame, starts: DataFrame, genes: DataFrame, ex
     block = block.join(F.broadcast(mean)).withColumn("eng.tx.ix.expr_over_tss", (F.col("__e") - F.col("__m")) / (1 + F.col("`eng.tx.tss.any`")))  # one row
     lead = F.col("`eng.tx.repl.leading_strand`")
     return block.withColumn("eng.tx.ix.template_x_leading", (F.col("__tpl") - 0.5) * (lead - 0.5)).drop("__tpl", "__cod", "__e", "__m")
+
+
+def registry(tables: Mapping[str, Table], series: Sequence[str], thirds: Mapping[str, tuple[int, int]], motifs: Mapping[str, Sequence[str]], scales: Mapping[str, Table], bend: tuple[str, str], widths: Sequence[int]) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The whole flank families as builders of rows (key, upstream, target, pam, downstream), for ``families.build`` (FF-0)."""
+    return {
+        "a_flank": lambda rows: flank_block(rows, tables, series, widths=widths),
+        "d_mechanics": lambda rows: mechanics_block(rows, thirds),
+        "f_methylation": lambda rows: methylation_block(rows, motifs),
+        "i_shape": lambda rows: shape_block(rows, scales, bend, widths),
+    }

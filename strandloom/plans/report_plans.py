@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.operators import families, interpret as I
-from strandloom.operators.ordering import top_k
+from strandloom.operators.ordering import top_k, with_running_sum
 from strandloom.plans.aggregate_plans import r6
 from strandloom.plans.profile_plans import TIDY, tidy
 from strandloom.plans.registry import query
 from strandloom.plans.sequence_plans import D, dna
 from strandloom.sources.tables import table
-from strandloom.sources.workspace import work_folder
+from strandloom.sources.workspace import stored, work_folder
 from strandloom.streaming.resume import resume_stream, run_windowed_means
 
 CORR = f"""{TIDY}, c AS (SELECT a.pos AS i, b.pos AS j, covar_pop(a.v, b.v) / (stddev_pop(a.v) * stddev_pop(b.v)) AS r FROM p a JOIN p b ON a.id = b.id AND a.pos < b.pos GROUP BY ALL)"""
@@ -115,11 +115,44 @@ def family_flank(spark, sf_dir):
 @query("family_blocks")
 def family_blocks(spark, sf_dir):
     rows = dna(spark, sf_dir).select(F.col("p_partkey").alias("key"), "s", F.lit("+").alias("strand"), (F.col("p_partkey") % 10_007 + 1).alias("place"))
-    out, status = families.build(rows)
+    out, status = families.build(rows, registry={"z_dosage": lambda r: families.dosage(r, 10_007)})
     assert set(status.values()) == {"ok"}, status
     return out
 
 
+@query("family_gradient", """WITH t AS (SELECT event_id + 1 AS pos, value, max(event_id) OVER () + 1 AS n FROM events),
+r AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1 ELSE -1 END AS s, CASE WHEN p_size % 10 <> 3 THEN p_partkey * 37 % (SELECT max(n) FROM t) + 1 END AS place FROM part),
+w AS (SELECT p_partkey, s, w, d, avg(value) AS m FROM r, (VALUES (20), (90)) v(w), (VALUES (1), (-1)) x(d), LATERAL (SELECT unnest(range(0, w)) AS k), t WHERE t.pos = (((place + d * (w // 2) - w // 2 + k - 1) % n) + n) % n + 1 GROUP BY ALL)
+SELECT r.p_partkey AS "key", round(sum(r.s * d * m) FILTER (w = 20), 6) AS "eng.track.gradient20", round(sum(r.s * d * m) FILTER (w = 90), 6) AS "eng.track.gradient90" FROM r LEFT JOIN w USING (p_partkey) GROUP BY r.p_partkey""")
+def family_gradient(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("pos"), "value")
+    n = e.agg(F.max("pos")).first()[0]
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 2 == 0, "+").otherwise("-").alias("strand"), F.when(F.col("p_size") % 10 != 3, F.col("p_partkey") * 37 % n + 1).alias("place"))
+    out = families.torsion_gradient(rows, e, [20, 90], n)
+    return out.select("key", *[F.round(f"`{c}`", 6).alias(c) for c in out.columns if c != "key"])
+
+
+_BASES = """WITH b AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS pos, substr('ACGT', CAST(1 + ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 6))::BIGINT % 4 AS BIGINT), 1) AS base FROM (SELECT DISTINCT o_custkey AS o_orderkey FROM orders)),
+n AS (SELECT count(*) AS n FROM b)"""
+
+
+@query("family_mapgc", f"""{_BASES}, k AS (SELECT a.pos, string_agg(c.base, '' ORDER BY i) AS kmer FROM b a, n, range(0, 5) t(i), b c WHERE c.pos = (a.pos - 1 + i) % n + 1 GROUP BY a.pos),
+c AS (SELECT pos, least(kmer, translate(reverse(kmer), 'ACGT', 'TGCA')) AS c FROM k), u AS (SELECT pos, CAST(count(*) OVER (PARTITION BY c) = 1 AS DOUBLE) AS u FROM c),
+t AS (SELECT pos, u, CAST(base IN ('G', 'C') AS DOUBLE) AS g FROM u JOIN b USING (pos)),
+r AS (SELECT p_partkey, CASE WHEN p_size % 10 <> 3 THEN p_partkey * 37 % n + 1 END AS place FROM part, n),
+w AS (SELECT p_partkey, w, avg(u) AS u, avg(g) AS g FROM r, n, (VALUES (10), (25), (50), (75)) v(w), LATERAL (SELECT unnest(range(0, w)) AS i), t WHERE t.pos = (((place - w // 2 + i - 1) % n) + n) % n + 1 GROUP BY ALL)
+SELECT r.p_partkey AS "key", {', '.join(f'round(max({c}) FILTER (w = {x}), 9) AS "eng.map.{m}{x}"' for m, c in (("unique", "u"), ("gc", "g")) for x in (10, 25, 50, 75))} FROM r LEFT JOIN w USING (p_partkey) GROUP BY r.p_partkey""")
+def family_mapgc(spark, sf_dir):
+    """A circle of letters from the customers with orders, in the order of their numbers."""
+    letters = F.substr(F.lit("ACGT"), (F.conv(F.substring(F.md5(F.col("o_custkey").cast("string")), 1, 6), 16, 10).cast("long") % 4 + 1).cast("int"), F.lit(1))
+    own = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    bases = stored(with_running_sum(own, "o_custkey", F.lit(1), "pos").select("pos", letters.alias("base")), "bases")
+    n = bases.count()
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") % 10 != 3, F.col("p_partkey") * 37 % n + 1).alias("place"))
+    out = families.mapgc_block(rows, bases, 5, [10, 25, 50, 75], n)
+    return out.select("key", *[F.round(f"`{c}`", 9).alias(c) for c in out.columns if c != "key"])
+
+
 @query("family_tracks", """WITH t AS (SELECT event_id + 1 AS pos, value, max(event_id) OVER () + 1 AS n FROM events), r AS (SELECT p_partkey, p_partkey * 37 % (SELECT max(n) FROM t) + 1 AS place FROM part),
 w AS (SELECT p_partkey, w, avg(value) AS m FROM r, (VALUES (10), (100)) v(w), LATERAL (SELECT unnest(range(0, w)) AS k), t WHERE t.pos = (((place - w // 2 + k - 1) % n) + n) % n + 1 GROUP BY ALL)
 SELECT p_partkey AS "key", round(max(m) FILTER (w = 10), 6) AS narrow, round(max(m) FILTER (w = 100), 6) AS wide, round(log2((max(m) FILTER (w = 10) + 1e-4) / (max(m) FILTER (w = 100) + 1e-4)), 5) AS ratio FROM w GROUP BY 1""")
