@@ -226,10 +226,11 @@ def _among(cells: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def unpacked(row: dict) -> Shard:
-    read = zstandard.ZstdDecompressor().decompress
-    forward, reverse = (np.frombuffer(read(row[c]), dtype=np.int32) for c in ("forward", "reverse"))
+    forward, reverse = (unpacked_numbers(row[c]).view(np.int32) for c in ("forward", "reverse"))
+    counts = np.array(row["counts"], dtype=np.int64)
+    starts = len(forward) - counts.sum() + np.cumsum(counts) - counts  # breaks sort first
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in row["words"]], dtype=np.uint64)
-    return Shard(np.array(row["starts"]), np.array(row["counts"]), hashes, forward, reverse, np.uint64(xxhash.xxh64_intdigest(row["lang"].encode())))
+    return Shard(starts, counts, hashes, forward, reverse, np.uint64(xxhash.xxh64_intdigest(row["lang"].encode())))
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -291,20 +292,18 @@ class _Shards:
     def give(self, lang: str) -> pa.RecordBatch:
         text, words = np.concatenate([*self.parts.pop(lang), np.zeros(1, dtype=np.int32)]), list(self.words.pop(lang))
         self.held.pop(lang)
-        pack = zstandard.ZstdCompressor(level=3).compress
-        forward, reverse = (pack(transform(t).tobytes()) for t in (text, text[::-1]))
+        forward, reverse = (packed(transform(t)) for t in (text, text[::-1]))
         counts = np.bincount(text, minlength=len(words) + 1)
-        starts = np.cumsum(counts) - counts
         self.next += 1
-        lists = (pa.array([x], pa.list_(kind)) for x, kind in ((words, pa.binary()), (starts[1:], pa.int64()), (counts[1:], pa.int64())))
+        lists = (pa.array([x], pa.list_(kind)) for x, kind in ((words, pa.binary()), (counts[1:], pa.int64())))
         return pa.RecordBatch.from_arrays(
             [pa.array([lang]), pa.array([self.next], pa.int64()), *lists, pa.array([forward], pa.binary()), pa.array([reverse], pa.binary())],
-            names=["lang", "shard", "words", "starts", "counts", "forward", "reverse"],
+            names=["lang", "shard", "words", "counts", "forward", "reverse"],
         )
 
 
 def build_index(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row a shard: (lang, shard, words, starts, counts, forward, reverse)."""
+    """One row a shard: (lang, shard, words, counts, forward, reverse)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(TaskContext.get().partitionId(), shard_words)
@@ -318,7 +317,7 @@ def build_index(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit("").cast("binary"))
     named = docs.select(text.alias("text"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"))
-    schema = "lang string, shard long, words array<binary>, starts array<long>, counts array<long>, forward binary, reverse binary"
+    schema = "lang string, shard long, words array<binary>, counts array<long>, forward binary, reverse binary"
     return named.mapInArrow(run, schema)
 
 
