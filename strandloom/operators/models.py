@@ -135,7 +135,7 @@ def random_search(train: DataFrame, space: Mapping[str, Sequence], draws: int, p
     best, since, log = (-np.inf, {}), 0, []
     for _ in range(draws):
         settings = {k: v[int(rng.integers(len(v)))] for k, v in space.items()}
-        scored = estimator(model, seed, **settings).fit(fit).transform(check)
+        scored = stored(estimator(model, seed, **settings).fit(fit).transform(check).select("label", "prediction"), "trial")
         rho = spearman_by(scored, [], "label", "prediction").first()
         score = rho.rho if rho and rho.rho is not None else 0.0
         log.append((settings, score))
