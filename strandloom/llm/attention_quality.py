@@ -17,6 +17,7 @@ their result; an empty table gives an empty result; other columns pass through u
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -53,16 +54,31 @@ def shape(word: str) -> str:
     return _CLASSES[2].sub(r"\1", _CLASSES[1].sub("0", letters))
 
 
+@functools.lru_cache(maxsize=100_000)
+def bucket(shaped: str) -> int:
+    return zlib.crc32(shaped.encode("utf-8", "surrogatepass")) % SHAPES
+
+
 def describe(word: str) -> tuple[list[float], int]:
     """Numbers of one word, and the bucket of its shape."""
     n = len(word)
+    last = word[-1]
+    mark = last in ".!?,;:"
+    if n <= 64 and (word[:-1] if mark and n > 1 else word).isalpha():
+        # Letters alone, perhaps with a mark behind them: the same numbers by fewer steps.
+        letters = n - mark
+        upper = 0 if word.islower() else sum(map(str.isupper, word))
+        return [
+            min(n, 40) / 8, letters / n, 0.0, upper / n, 0.0, mark / n, float(not word.isascii()), float(word[0].isupper()), float(upper == letters > 1),
+            float(last in ".!?"), float(last in ",;:"), 0.0, 0.0, float(n > 20), float(bool(_RUN.search(word))), float("www." in word),
+        ], bucket(("A" if word[0].isupper() else "a") + last * mark)
     letters, digits, upper, symbols = sum(map(str.isalpha, word)), sum(map(str.isdigit, word)), sum(map(str.isupper, word)), len(_SYMBOL.findall(word))
     other = n - letters - digits - symbols
     return [
         min(n, 40) / 8, letters / n, digits / n, upper / n, symbols / n, other / n, float(not word.isascii()), float(word[0].isupper()),
         float(upper == letters > 1), float(word[-1] in ".!?"), float(word[-1] in ",;:"), float(letters + digits == 0), float(letters > 0 < symbols),
         float(n > 20), float(bool(_RUN.search(word))), float(bool(_PLACE.search(word))),
-    ], zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % SHAPES
+    ], bucket(shape(word))
 
 
 class Words:
