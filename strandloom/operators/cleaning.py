@@ -63,6 +63,27 @@ def parse_property_column(c: Column) -> Column:
     return F.when(c.rlike(pattern), F.struct(part(1).cast("int").alias("position"), part(2).alias("unit"), part(3).alias("property")))
 
 
+# The units of a property's name and how many letters each spans.
+UNIT_SPANS = {"monomer": 1, "basepair": 1, "dimer": 2, "trimer": 3, "tetramer": 4}
+
+
+def parse_unit_column(c: Column) -> Column:
+    """Struct of position, unit, property and span of ``p<position><unit>.<property>``, the unit in any case and the property
+    whole; NULL for other units and names (PRJ-08)."""
+    pattern = r"^p(\d+)([A-Za-z]+)\.(.+)$"
+    spans = F.create_map(*[F.lit(x) for kv in UNIT_SPANS.items() for x in kv])
+    unit = F.lower(F.regexp_extract(c, pattern, 2))
+    found = F.struct(F.regexp_extract(c, pattern, 1).cast("int").alias("position"), unit.alias("unit"), F.regexp_extract(c, pattern, 3).alias("property"), F.try_element_at(spans, unit).alias("span"))
+    return F.when(c.rlike(pattern) & F.try_element_at(spans, unit).isNotNull(), found)
+
+
+def column_position(c: Column, last: int = 20) -> Column:
+    """Position of a name with an explicit ``p<position>`` in front, in any case and from 1 to ``last``; NULL otherwise (PRJ-08)."""
+    pattern = r"^[pP](\d+)(?=[A-Za-z_.]|$)"
+    position = F.regexp_extract(c, pattern, 1).try_cast("int")
+    return F.when(c.rlike(pattern) & position.between(1, last), position)
+
+
 def first_match(c: Column, ladder: Sequence[tuple[str, str]], default: str) -> Column:
     """Label of the first pattern that matches (PRJ-10)."""
     out = F.lit(default)

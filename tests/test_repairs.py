@@ -132,3 +132,13 @@ def test_late_rows_are_dropped_from_closed_windows(spark):
     rows(("2024-01-01 03:00:00", "a", 100.0), ("2024-01-06 00:00:00", "a", 7.0)).write.mode("append").parquet(source)
     second = run_windowed_means(spark, source, schema, "ts", "k", "v", state=state)
     assert sorted((str(r.start), r["mean"], r.n) for r in second.collect()) == [("2024-01-01 00:00:00", 2.0, 2), ("2024-01-03 00:00:00", 5.0, 1)]
+
+
+def test_dialects_of_column_names(spark):
+    from strandloom.operators import cleaning as C
+
+    names = ["p18dimer.Hbond.stackingraw", "p3BasePair.x", "p7pentamer.x", "p21.gc", "P4_one", "p0a", "p5", "p5-", "gc10", "p99999999999x", None]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = {r.i: (r.u and tuple(r.u), r.p) for r in rows.select("i", C.parse_unit_column(F.col("n")).alias("u"), C.column_position(F.col("n")).alias("p")).collect()}
+    assert [got[i] for i in range(len(names))] == [
+        ((18, "dimer", "Hbond.stackingraw", 2), 18), ((3, "basepair", "x", 1), 3), (None, 7), (None, None), (None, 4), (None, None), (None, 5), (None, None), (None, None), (None, None), (None, None)]
