@@ -113,6 +113,7 @@ class Aligner:
 
     a_path: str
     b_path: str
+    marks: tuple[str, str] = (";", "|")  # within a group between A and B; between groups
     known: Chunks = field(default_factory=Chunks)
 
     def __post_init__(self) -> None:
@@ -134,7 +135,7 @@ class Aligner:
             raise ValueError("a piece of the model spans a space; chunks would not be encoded on their own")
         self.a_size, self.b_size = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         # Texts of the ids within a group, at A's end of it and at its end.
-        self.texts = [f"{i}{mark}" for size, marks in ((len(self.a_bytes), ",;"), (len(self.b_bytes), ",|")) for i in range(size) for mark in marks]
+        self.texts = [f"{i}{mark}" for size, marks in ((len(self.a_bytes), "," + self.marks[0]), (len(self.b_bytes), "," + self.marks[1])) for i in range(size) for mark in marks]
 
     def learn(self, parts: list[str]) -> None:
         """Encode and align chunks space+part that were not met before."""
@@ -219,8 +220,8 @@ class Aligner:
 
 
 @functools.lru_cache(maxsize=1)
-def _aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+def _aligner(a_path: str, b_path: str, marks: tuple[str, str]) -> Aligner:
+    return Aligner(a_path, b_path, marks)
 
 
 _LONG = T.LongType()
@@ -239,11 +240,17 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     return materialise(joined.select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pair-counts")
 
 
-def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", heavy_pairs: int = HEAVY_PAIRS) -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``docs``."""
+def align_documents(
+    docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", heavy_pairs: int = HEAVY_PAIRS,
+    marks: tuple[str, str] = (";", "|"),
+) -> DataFrame:
+    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of ``docs``.
+
+    ``marks`` are the letters of the digested text between a group's A and B ids and between groups.
+    """
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        return _aligner(a_path, b_path).documents(texts_of(texts))
+        return _aligner(a_path, b_path, marks).documents(texts_of(texts))
 
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     aligned = materialise(map_columns(named, run, FIELDS, ["text"], ["id"]).withColumn("row", F.monotonically_increasing_id()), "aligned")

@@ -11,6 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from strandloom.llm import alignment as A
+from strandloom.llm.queries import QUERIES
 
 A_PATH, B_PATH = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -111,3 +112,28 @@ def test_pairs_of_a_large_group(monkeypatch):
     one = [small.documents([t]) for t in texts]
     for k, column in enumerate(plain):
         assert column.to_pylist() == [x[k][0].as_py() for x in one]
+
+
+def test_digest_of_the_query(spark, tmp_path):
+    texts = ["naïve 12,5 don't", "", None, "漢字 🙂🙂\x1c=====", "x" * 50 + "  y", "tab\tand\u0085line\u2028end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t, sp = Tokenizer.from_file(A_PATH), sentencepiece.SentencePieceProcessor(model_file=B_PATH)
+    letters = A._byte_of_letter()
+    want = {}
+    for key, text in enumerate(texts):
+        a, b = (t.encode(" " + text, add_special_tokens=False).ids, sp.encode(text)) if text else ([], [])
+        ab = [bytes(letters[c] for c in t.id_to_token(i)) for i in a]
+        bb = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if not text or not b"".join(ab) == b"".join(bb) == (" " + text).encode():
+            want[key] = ""
+            continue
+        # Ids of a group joined by ",", A before "|" before B, groups by ";": a1,a2|b1;a3|b2,b3.
+        at_a, at_b = np.cumsum([*map(len, ab)]).tolist(), np.cumsum([*map(len, bb)]).tolist()
+        groups, low = [], 0
+        for high in sorted(set(at_a) & set(at_b)):
+            ids = [",".join(str(i) for i, end in zip(x, at) if low < end <= high) for x, at in ((a, at_a), (b, at_b))]
+            groups.append("|".join(ids))
+            low = high
+        want[key] = hashlib.sha256(";".join(groups).encode()).hexdigest()
+    assert {r.doc_id: r.groups_sha256 for r in QUERIES["op12_alignment"](spark, str(tmp_path)).collect()} == want
+    assert sum(map(bool, want.values())) >= 3
