@@ -188,18 +188,19 @@ def transcription_block(rows: DataFrame, starts: DataFrame, genes: DataFrame, ex
     """Nearest start site by strand, host gene, strands against gene and fork, expression, and interactions (FF-G, JN-11, JN-12, JN-02, SC-24).
 
     Rows are (key, place, strand, gene), start sites (tss, strand), genes (left, right, strand), expression (gene,
-    level, ...) one row a gene. Of several genes that hold a place the one that starts last is its host.
+    level, ...) one row a gene. Of several genes that hold a place the one that starts last is its host, of equal starts the shortest, of equal genes the lesser strand.
     """
     out = rows.select("key", "place", "strand", "gene")
     for label, held in (("any", starts), ("plus", starts.where("strand = '+'")), ("minus", starts.where("strand = '-'"))):
         near = nearest_on_line(rows.where("place IS NOT NULL").select("key", F.col("place").alias("tss")), held, "key", "tss", n)
         out = out.join(near.select("key", F.least("before", "after", F.lit(farthest)).alias(f"eng.tx.tss.{label}")), "key", "left")
     spans = genes.select(F.col("left").alias("__l"), F.col("right").alias("__r"), F.col("strand").alias("__g"))
-    hosts = first_containing(interval_containment(rows.select("key", "place"), spans, "place", "__l", "__r", width), "key", "__l", "__r").select("key", "__l", "__r", "__g")
+    asked = rows.select("place").where("place IS NOT NULL").distinct()
+    hosts = first_containing(interval_containment(asked, spans.distinct(), "place", "__l", "__r", width), "place", "__l", "__r", "__g").select("place", "__l", "__r", "__g")
     length, share = F.col("__r") - F.col("__l") + 1, (F.col("place") - F.col("__l")) / (F.col("__r") - F.col("__l") + 1)
     forward = F.when(S.before_terminus(F.col("place"), origin, terminus, n), F.lit("+")).otherwise("-")
     measured = [c for c in expression.columns if c != "gene"]
-    joined = out.join(hosts, "key", "left").join(expression, "gene", "left")
+    joined = out.join(hosts, "place", "left").join(expression, "gene", "left")
     block = joined.select(
         "key", *[f"`eng.tx.tss.{x}`" for x in ("any", "plus", "minus")],
         F.when(F.col("__g") == "+", share).otherwise(1 - share).alias("eng.tx.gene.rel_position"), length.alias("eng.tx.gene.length"),

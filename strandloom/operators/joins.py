@@ -46,9 +46,9 @@ def interval_containment(points: DataFrame, intervals: DataFrame, point: str, lo
     return left.join(right, [*group, "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
 
 
-def first_containing(found: DataFrame, key: str, low: str, tie: str) -> DataFrame:
-    """Of a point's intervals the one that starts last, ties by the smallest name."""
-    best = Window.partitionBy(key).orderBy(F.desc(low), tie)
+def first_containing(found: DataFrame, key: str, low: str, *ties: str) -> DataFrame:
+    """Of a point's intervals the one that starts last, equals by the smallest ``ties``."""
+    best = Window.partitionBy(key).orderBy(F.desc(low), *ties)
     return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 
