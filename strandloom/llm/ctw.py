@@ -46,6 +46,8 @@ HEAVY_STRINGS, HEAVY_WORDS, WORD_BYTES = 1_000_000, 200_000, 64
 END = 255
 #: Distinct strings and words that a task combines before it sends them.
 FLUSH = 750_000
+#: Bytes of texts that a task codes at once; each takes some 70 bytes of work space.
+CODED_BYTES = 1 << 20
 
 _LGAMMA = np.array([math.lgamma(n / 2) for n in range(1, 1 << 13)])
 
@@ -98,18 +100,24 @@ def _gather(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
     nothing = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
     held, words, size = nothing, [], 0
 
+    def summed() -> tuple[pa.Array, np.ndarray]:
+        if not words:
+            return pa.array([], pa.string()), np.zeros(0, dtype=np.int64)
+        table = pa.table({"word": pa.concat_arrays([w for w, _ in words]), "n": np.concatenate([c for _, c in words])})
+        table = table.group_by("word").aggregate([("n", "sum")])
+        word = pa.concat_arrays(table["word"].chunks) if table["word"].num_chunks else pa.array([], pa.string())
+        return word, table["n_sum"].to_numpy().astype(np.int64)
+
     def out() -> pa.RecordBatch:
         value, n = held
-        table = pa.table({"word": pa.concat_arrays([w for w, _ in words]), "n": np.concatenate([c for _, c in words])}) if words else None
-        table = table.group_by("word").aggregate([("n", "sum")]).combine_chunks() if words else pa.table({"word": pa.array([], pa.string()), "n_sum": pa.array([], pa.int64())})
-        word, count = (pa.concat_arrays(table[c].chunks) if table[c].num_chunks else table[c].combine_chunks() for c in ("word", "n_sum"))
+        word, count = summed()
         return pa.RecordBatch.from_arrays(
             [pa.concat_arrays([pa.array(value), pa.nulls(len(word), pa.int64())]), pa.concat_arrays([pa.nulls(len(value), pa.string()), word]),
-             pa.concat_arrays([pa.array(n), count.cast(pa.int64())])],
+             pa.concat_arrays([pa.array(n), pa.array(count)])],
             names=["string", "word", "n"],
         )
 
-    for batch in slices(batches):
+    for batch in slices(batches, CODED_BYTES):
         texts, train = batch.column("text").fill_null(""), batch.column("train").fill_null(False)
         strings, coded = code(texts, depth)
         distinct = pa.array(strings).dictionary_encode()
@@ -120,6 +128,9 @@ def _gather(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.Record
         found, _ = words_of(texts.filter(train))
         words.append((found.dictionary, np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))))
         size += len(found.dictionary)
+        if len(held[0]) + size > FLUSH:
+            words = [summed()]
+            size = len(words[0][0])
         if len(held[0]) + size > FLUSH:
             yield out()
             held, words, size = nothing, [], 0
@@ -415,7 +426,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, depth: int, end_known: bo
         heavy, (known_strings, values) = shared.value
         known_strings = np.append(known_strings, -1)
         values = np.append(values, np.nan)
-        for batch in slices(batches):
+        for batch in slices(batches, CODED_BYTES):
             texts, n = batch.column("text").fill_null(""), batch.num_rows
             found, of = words_of(texts)
             logs = np.array([heavy.get(w, np.nan) for w in found.dictionary.to_numpy(zero_copy_only=False).tolist()], dtype=np.float64)
