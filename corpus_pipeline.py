@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandloom.llm.common import fresh, own_tables, work_path
+from strandloom.llm.common import fresh, own_tables, work_path, write_freed
 from strandloom.llm.langid import identify, language_dictionaries
 from strandloom.llm.near_duplicates import keep_one
 from strandloom.llm.packing import pack
@@ -70,6 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = work_path(spark, name)
         with own_tables(spark):
             rows = stage(spark, docs, sf_dir)
-            rows.write.parquet(path)
+            write_freed(rows, path)
         docs = spark.read.schema(rows.schema).parquet(path)
     return docs
