@@ -111,7 +111,7 @@ def hamming_texts(left: DataFrame, right: DataFrame, text: str, length: int, wit
     return pairs.select("l", "r", differ.alias("mismatches")).where(F.col("mismatches") <= within)
 
 
-def neighbours(df: DataFrame, key: str, vector: str, k: int, radius: float, group: str | None = None, tile: int = 2048) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, k: int, radius: float, group: str | None = None, tile: int = 8192) -> DataFrame:
     """(key, mean_near, within): mean distance to the k nearest other rows and number within the radius (JN-16).
 
     Over all rows, or over those of one ``group``. Rows are dealt into tiles by a hash; each pair of tiles is one
@@ -129,19 +129,30 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, radius: float, grou
         "g", "k", "v", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") <= F.col("b")).alias("first")
     )
 
+    # The greatest square whose root is within the radius.
+    most = radius * radius if radius >= 0 else -np.inf
+    while 0 <= most < np.inf and np.sqrt(np.nextafter(most, np.inf)) <= radius:
+        most = np.nextafter(most, np.inf)
+    while most > 0 and np.sqrt(most) > radius:
+        most = np.nextafter(most, 0)
+
     def near(left: np.ndarray, right: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[pa.Table]:
-        out = []
-        for s in range(0, len(left), 256):
-            x, ids = left[s : s + 256], own[s : s + 256]
-            square = (x * x).sum(axis=1)[:, None] + (right * right).sum(axis=1)[None, :] - 2 * (x @ right.T)
+        out, lengths, turned = [], (right * right).sum(axis=1)[None, :], -2 * right.T
+        for s in range(0, len(left), 128):
+            x, ids = left[s : s + 128], own[s : s + 128]
+            square = (x * x).sum(axis=1)[:, None] + lengths
+            square += x @ turned
             square[ids[:, None] == other[None, :]] = np.inf
-            distance = np.sqrt(np.maximum(square, 0))
-            at = np.lexsort((np.broadcast_to(other, distance.shape), distance), axis=1)[:, :k]
-            found = np.take_along_axis(distance, at, axis=1)
-            within = np.zeros(found.shape, dtype=np.int64)
-            within[:, :1] = (distance <= radius).sum(axis=1)[:, None]
-            keep = np.isfinite(found)
-            out.append(pa.table({"k": np.repeat(ids, at.shape[1])[keep.ravel()], "o": other[at][keep], "d": found[keep], "within": within[keep]}))
+            within = (square <= most).sum(axis=1)
+            # Only the k nearest of a row and their equals are sorted.
+            last = np.partition(square, k - 1, axis=1)[:, k - 1 : k] if square.shape[1] > k else np.inf
+            i, j = np.nonzero(np.isfinite(square) & ~(square > last))
+            distance = np.sqrt(np.maximum(square[i, j], 0))
+            order = np.lexsort((other[j], distance, i))
+            i, j, distance = i[order], j[order], distance[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            i, j, distance, place = (y[place < k] for y in (i, j, distance, place))
+            out.append(pa.table({"k": ids[i], "o": other[j], "d": distance, "within": np.where(place == 0, within[i], 0)}))
         return out
 
     def run(table: pa.Table) -> pa.Table:
@@ -154,7 +165,9 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int, radius: float, grou
         empty = pa.table({"k": ids[:0], "o": ids[:0], "d": np.zeros(0), "within": ids[:0]})
         return pa.concat_tables([empty, *parts])
 
-    found = cells.groupBy("g", "a", "b").applyInArrow(run, "k long, o long, d double, within long")
+    # A pair's work is far beyond its bytes, so pairs are dealt by an explicit number, which is not lowered for small ones.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cells.repartition(parts, "g", "a", "b").groupBy("g", "a", "b").applyInArrow(run, "k long, o long, d double, within long")
     # At most k rows a row and tile.
     ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("d", "o")))
     sums = ranked.groupBy("k").agg(F.avg(F.when(F.col("n") <= k, F.col("d"))).alias("mean_near"), F.sum("within").alias("within"))
