@@ -8,6 +8,9 @@ from strandloom.functions import sequence as S
 from strandloom.plans.registry import query
 from strandloom.sources.tables import table
 
+#: Texts a task whose k-mers are grouped at most.
+TEXTS = 25_000
+
 # Every letter of p_name and p_type becomes one of ACGT.
 AZ, TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACG"
 DNA = f"translate(upper(p_name || p_type), '{AZ}', '{TO}')"
@@ -19,6 +22,11 @@ def dna(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(s, "[^ACGT]", "").alias("s"))
 
 
+def dealt(df, key):
+    """Texts dealt by their key, so many a task that its k-mers fit whatever the rows; an explicit number is not coalesced."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TEXTS)), key)
+
+
 D = f"WITH d AS (SELECT p_partkey, {KEEP} AS s FROM part)"
 RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 
@@ -26,14 +34,15 @@ RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 @query("revcomp_canonical", f"""{D}, k AS (SELECT p_partkey, substr(s, i, 5) AS k FROM d, LATERAL (SELECT unnest(range(1, length(s) - 3)) AS i)),
 c AS (SELECT p_partkey, least(k, {RC.format('k')}) AS c FROM k) SELECT c AS kmer, count(*) AS n, count(DISTINCT p_partkey) AS parts FROM c GROUP BY 1""")
 def revcomp_canonical(spark, sf_dir):
-    k = dna(spark, sf_dir).select("p_partkey", F.explode(S.kmers(F.col("s"), 5)).alias("k")).select("p_partkey", S.canonical(F.col("k")).alias("kmer"))
-    return k.groupBy("kmer").agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("parts"))
+    k = dealt(dna(spark, sf_dir), "p_partkey").select("p_partkey", F.explode(S.kmers(F.col("s"), 5)).alias("k")).select("p_partkey", S.canonical(F.col("k")).alias("kmer"))
+    # A part's texts are in one task, so its k-mers meet there without another shuffle.
+    return k.groupBy("p_partkey", "kmer").agg(F.count("*").alias("n")).groupBy("kmer").agg(F.sum("n").alias("n"), F.count("p_partkey").alias("parts"))
 
 
 @query("kmer_uniqueness", f"""{D}, k AS (SELECT p_partkey, i AS pos, least(substr(s, i, 12), {RC.format('substr(s, i, 12)')}) AS c FROM d, LATERAL (SELECT unnest(range(1, length(s) - 10)) AS i)),
 u AS (SELECT *, count(*) OVER (PARTITION BY c) AS n FROM k) SELECT p_partkey, count(*) AS windows, count(*) FILTER (n = 1) AS "unique" FROM u GROUP BY 1""")
 def kmer_uniqueness(spark, sf_dir):
-    k = dna(spark, sf_dir).select("p_partkey", F.explode(S.kmers(F.col("s"), 12)).alias("k")).select("p_partkey", S.canonical(F.col("k")).alias("c"))
+    k = dealt(dna(spark, sf_dir), "p_partkey").select("p_partkey", F.explode(S.kmers(F.col("s"), 12)).alias("k")).select("p_partkey", S.canonical(F.col("k")).alias("c"))
     # Counts meet by k-mer first, so a common k-mer is one row of the join's other side.
     counts = k.groupBy("c").agg(F.count("*").alias("n"))
     return k.groupBy("p_partkey", "c").agg(F.count("*").alias("w")).join(counts, "c").groupBy("p_partkey").agg(F.sum("w").alias("windows"), F.sum(F.when(F.col("n") == 1, F.col("w")).otherwise(0)).alias("unique"))
